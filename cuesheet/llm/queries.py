@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import exact, sharding, simhash
+from cuesheet.llm import exact, packing, records, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_extendible_sharding": sharding.op3_extendible_sharding,
     "op5_exact_dedup": exact.op5_exact_dedup,
+    "op7_token_records": records.op7_token_records,
+    "op9_packing": packing.op9_packing,
 }
 
 SQL: dict[str, str] = {
