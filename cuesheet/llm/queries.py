@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import exact, packing, records, sharding, simhash
+from cuesheet.llm import exact, language, packing, records, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_extendible_sharding": sharding.op3_extendible_sharding,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op7_token_records": records.op7_token_records,
     "op9_packing": packing.op9_packing,
+    "op10_language_id": language.op10_language_id,
 }
 
 SQL: dict[str, str] = {
     "op3_extendible_sharding": sharding.OP3_SQL,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact.OP5_SQL,
 }
