@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import exact, language, packing, records, sharding, simhash, toxicity
+from cuesheet.llm import decontamination, exact, language, packing, quality, records, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_extendible_sharding": sharding.op3_extendible_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op7_token_records": records.op7_token_records,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_packing": packing.op9_packing,
     "op10_language_id": language.op10_language_id,
 }

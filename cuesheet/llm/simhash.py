@@ -146,5 +146,5 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id stays; so does a row that has no doc_id."""
-    dropped = near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    dropped = written(near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
