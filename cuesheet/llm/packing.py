@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesheet.llm.common import only, table, written
-from cuesheet.llm.tokens import Encoder
+from cuesheet.llm.tokens import Encoder, batches_of
 
 LENGTH, END, BUCKETS, MIN_GAP = 1024, 0, 256, 16
 
@@ -143,12 +143,10 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, closing = None, np.array([end], "<u2").tobytes()
-        for b in batches:
+        for part in batches_of(batches, 2):
             encode = encode or Encoder(tokenizer, blanks_dropped=False)
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                ids = [x + closing for x in encode(part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "n", "ids"])
+            ids = [x + closing for x in encode(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "n", "ids"])
 
     rows = only(docs, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return rows.mapInArrow(run, "row long, doc_id long, n long, ids binary")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesheet.llm.common import only, shared_dir, table, written
-from cuesheet.llm.tokens import Encoder
+from cuesheet.llm.tokens import Encoder, batches_of
 
 END = 2
 #: of the checksum's mask, as in TFRecord files
@@ -73,18 +73,16 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "d
         files, base = store(folder)
         name, encode, index, offset, closing = f"{base}/shard-{at:08d}", None, [], 0, np.array([end], "<u2").tobytes()
         out = None
-        for b in batches:
+        for part in batches_of(batches, 1):
             encode = encode or Encoder(tokenizer, blanks_dropped=True)
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    if out is None:
-                        files.create_dir(base, recursive=True)
-                        out = files.open_output_stream(f"{name}.rec.{attempt}", buffer_size=1 << 20)
-                    record = frame(ids + closing)
-                    out.write(record)
-                    index.append((key or 0, key is not None, offset, len(ids) // 2 + 1))
-                    offset += len(record)
+            for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
+                if out is None:
+                    files.create_dir(base, recursive=True)
+                    out = files.open_output_stream(f"{name}.rec.{attempt}", buffer_size=1 << 20)
+                record = frame(ids + closing)
+                out.write(record)
+                index.append((key or 0, key is not None, offset, len(ids) // 2 + 1))
+                offset += len(record)
         if out is None:
             return
         out.close()

@@ -1,23 +1,42 @@
 """Encoding with a public tokenizer, word by word.
 
 A tokenizer's pre-tokens never cross from a word to the blanks after it, so pieces of a text that start there can be
-encoded on their own and remembered: frequent words are looked up, the others encoded in one call a batch.
+encoded on their own and remembered. Most pieces are letters and then punctuation, which are two pre-tokens: these go to the
+tokenizer's model directly, all new ones of a batch as one text with a mark between them. Any other piece is encoded as it is.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-from tokenizers import Tokenizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer, pre_tokenizers
 
-#: pieces of a text for tokenizers that drop blanks
-WORDS = re.compile("[^\x20\x09-\x0d]+")
-#: pieces for byte-level tokenizers, in which the last space of a run goes with the word after it
-SPACED = re.compile(r"[ \n]+(?![^ \n])| ?[^ \n]+|[ \n]+")
-#: blanks other than space and line feed: such a text is encoded whole
-OTHER_BLANK = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-LONGEST_WORD, REMEMBERED = 48, 1_000_000
+#: what keeps a byte-level tokenizer's text from being cut before each space and around each line feed: other blanks, longer runs
+#: of blanks, and the sign that is put where it is cut
+UNCUT = r"[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n]{3}|[ \n]{2}\z"
+CUT = "\x01"
+#: of lines: letters that no normalisation but lower case changes, and then ASCII punctuation
+SIMPLE = re.compile(r"^(?:( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)|[^\n]*)$", re.MULTILINE)
+LONGEST, REMEMBERED = 64, 250_000
+#: the characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+MARK = SHOWN[0]
+
+
+def batches_of(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut up, so that a part has few rows and the strings of one column not many more than `size` bytes."""
+    for b in batches:
+        ends, first = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)), 0
+        while first < b.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, min(first + rows, int(np.searchsorted(ends, before + size))))
+            yield b.slice(first, last - first)
+            first = last
 
 
 class Encoder:
@@ -28,24 +47,83 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits")
-        self.blanks_dropped, self.known = blanks_dropped, {}
+        self.lower = blanks_dropped
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        (self.mark,) = self.bare.encode(MARK, add_special_tokens=False).ids
+        self.parts: dict[str, bytes] = {"": b""}
+        self.words, self.sizes, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u2")
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.blanks_dropped:
-            pieces = [WORDS.findall(t) for t in texts]
+    def _marked(self, parts: list[str]) -> list[bytes]:
+        """Of pre-tokens without line feeds."""
+        out = []
+        for i in range(0, len(parts), 2000):
+            some = parts[i : i + 2000]
+            shown = f"\n{MARK}\n".join("\n".join(some).encode().decode("latin-1").replace(" ", SHOWN[0x20]).split("\n"))
+            if not shown.isascii():
+                shown = shown.translate(SHOWN | {0x0A: "\n", 0x20: SHOWN[0x20]})
+            ids = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) != len(some):
+                raise ValueError("a mark was lost")
+            data, firsts = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
+            out += [data[2 * a : 2 * b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+        return out
+
+    def _pieces(self, wanted: list[str]) -> list[bytes]:
+        joined = "\n".join(x if "\n" not in x else "" for x in wanted)
+        found = SIMPLE.findall(joined.lower() if self.lower else joined) if wanted else []
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
+        parts = self.parts
+        new = sorted({p for pair in found for p in pair}.difference(parts), key=str.isascii)  # the mapping of bytes is needed for few
+        parts.update(zip(new, self._marked(new), strict=True))
+        ids = [parts[a] + parts[b] for a, b in found]
+        odd = [i for i, (a, _) in enumerate(found) if not a]
+        for i, x in zip(odd, self._whole([wanted[i] for i in odd]), strict=True):
+            ids[i] = x
+        return ids
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        if self.lower:
+            return pc.ascii_split_whitespace(texts)
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", f"{CUT}\n{CUT}"), CUT)
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Of an array of strings without nulls."""
+        whole = [] if self.lower else np.flatnonzero(pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)).tolist()
+        apart = dict(zip(whole, self._whole([texts[i].as_py() for i in whole]), strict=True))
+        if apart:
+            texts = pa.array(["" if i in apart else x for i, x in enumerate(texts.to_pylist())], pa.string())
+        pieces = self._cut(texts)
+        coded = pieces.flatten().dictionary_encode()
+        here, at = coded.dictionary, coded.indices.to_numpy()
+        row = pc.index_in(here, value_set=self.words)
+        new = here.filter(row.is_null())
+        ids = self._pieces(new.to_pylist())
+        row = pc.fill_null(row, -1).to_numpy(zero_copy_only=False).copy()
+        row[row < 0] = len(self.words) + np.arange(len(new))
+        sizes = np.concatenate((self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 2))
+        flat, starts = np.concatenate((self.flat, np.frombuffer(b"".join(ids), "<u2"))), np.cumsum(sizes) - sizes
+
+        def gathered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            counts = sizes[rows]
+            ends = np.cumsum(counts)
+            return flat[np.repeat(starts[rows] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+        data, ends = gathered(row[at])
+        data = data.tobytes()
+        if len(sizes) > REMEMBERED:  # frequent pieces are among those of this batch
+            short = pc.less_equal(pc.utf8_length(here), LONGEST)
+            row = row[short.to_numpy(zero_copy_only=False)]
+            self.words, self.flat, self.sizes = here.filter(short), gathered(row)[0], sizes[row]
         else:
-            pieces = [[t] if OTHER_BLANK.search(t) else SPACED.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        wanted = set().union(*pieces).difference(known)
-        new = [x for x in wanted if len(x) <= LONGEST_WORD]
-        known.update(zip(new, self._encoded(new), strict=True))
-        long = [x for x in wanted if len(x) > LONGEST_WORD]
-        extra = dict(zip(long, self._encoded(long), strict=True))
-        if not extra:
-            return [b"".join(map(known.__getitem__, p)) for p in pieces]
-        return [b"".join([known[x] if x in known else extra[x] for x in p]) for p in pieces]
+            self.words, self.flat, self.sizes = pa.concat_arrays([self.words, new]), flat, sizes
+        cuts = np.concatenate(([0], ends))[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()].tolist()
+        made = [data[2 * a : 2 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i, x in apart.items():
+            made[i] = x
+        return made
