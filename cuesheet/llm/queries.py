@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontamination, exact, language, packing, quality, records, sharding, simhash, toxicity
+from cuesheet.llm import decontamination, exact, language, packing, privacy, quality, records, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_extendible_sharding": sharding.op3_extendible_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact.op5_exact_dedup,
+    "op6_personal_data": privacy.op6_personal_data,
     "op7_token_records": records.op7_token_records,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_packing": packing.op9_packing,
