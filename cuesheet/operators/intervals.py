@@ -16,6 +16,11 @@ Keys = Sequence[str]
 EPSILON = 0.05
 
 
+def to_millis(seconds: Column) -> Column:
+    """Three decimals; the tiny amount sends halves up whatever their binary form."""
+    return F.round(seconds + 1e-9, 3)
+
+
 def overlap_seconds(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
@@ -112,7 +117,7 @@ def split_range(segments: DataFrame, shortest: float, longest: float) -> DataFra
     size = F.col("end_s") - F.col("start_s")
     n = F.when(size <= longest + 1e-6, F.lit(1)).otherwise(F.ceil(size / longest)).cast("int")
     parts = segments.where(size > 0).withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    edge = lambda i: F.round(F.col("start_s") + size * i / F.col("_n"), 3)
+    edge = lambda i: to_millis(F.col("start_s") + size * i / F.col("_n"))
     first = F.when(F.col("_n") == 1, F.col("start_s")).otherwise(edge(F.col("part")))
     last = F.when(F.col("part") == F.col("_n") - 1, F.col("end_s")).otherwise(edge(F.col("part") + 1))
     return parts.select(*(c for c in segments.columns if c not in ("start_s", "end_s")), "part", first.alias("start_s"), last.alias("end_s")).where("end_s - start_s > 0.05")
@@ -127,7 +132,7 @@ def split_gap(gaps: DataFrame, longest: float, eps: float = EPSILON) -> DataFram
     parts = gaps.where(size > eps).withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     last = F.when(F.col("part") == F.col("_n") - 1, F.col("end_s")).otherwise(F.col("start_s") + size / F.col("_n") * (F.col("part") + 1))
     first = F.col("start_s") + size / F.col("_n") * F.col("part")
-    return parts.select(*(c for c in gaps.columns if c not in ("start_s", "end_s")), "part", F.round(first, 3).alias("start_s"), F.round(last, 3).alias("end_s"))
+    return parts.select(*(c for c in gaps.columns if c not in ("start_s", "end_s")), "part", to_millis(first).alias("start_s"), to_millis(last).alias("end_s"))
 
 
 def complement_intervals(blocks: DataFrame, totals: DataFrame, keys: Keys, least_inside: float = 5.0, least_end: float = 10.0) -> DataFrame:
@@ -171,7 +176,7 @@ def apply_offset(segments: DataFrame, duration: float, offset: float, shortest:
     s, e = F.col("start_s") + offset, F.col("end_s") + offset
     kept = segments.where((e > 0) & (s < duration) & (F.trim("text") != ""))
     first = F.greatest(F.lit(0.0), s)
-    return kept.withColumns({"text": F.trim("text"), "end_s": F.round(F.least(F.lit(duration), F.greatest(e, first + shortest)), 3), "start_s": F.round(first, 3)})
+    return kept.withColumns({"text": F.trim("text"), "end_s": to_millis(F.least(F.lit(duration), F.greatest(e, first + shortest))), "start_s": to_millis(first)})
 
 
 def clip_to_song(segments: DataFrame, shortest: float = 8.0) -> DataFrame:
@@ -206,4 +211,4 @@ def timeline_intersect(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
 def safe_boundary_set(segments: DataFrame, sentences: DataFrame, keys: Keys) -> DataFrame:
     """Distinct edges of segments and sentences, to 3 decimals."""
     edges = lambda x: x.select(*keys, F.explode(F.array("start_s", "end_s")).alias("t"))
-    return edges(segments).union(edges(sentences)).select(*keys, F.round("t", 3).alias("t")).distinct()
+    return edges(segments).union(edges(sentences)).select(*keys, to_millis(F.col("t")).alias("t")).distinct()

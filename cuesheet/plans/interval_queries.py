@@ -79,15 +79,15 @@ def q11(v):
 
 @query("Q12_split_range", """WITH n AS (SELECT *, CASE WHEN end_s - start_s <= 18 + 1e-6 THEN 1 ELSE ceil((end_s - start_s) / 18)::INT END AS n FROM seg WHERE end_s > start_s),
     p AS (SELECT *, unnest(range(0, n))::INT AS part FROM n)
-    SELECT media_id, seg_index, part, CASE WHEN n = 1 THEN start_s ELSE round(start_s + (end_s - start_s) * part / n, 3) END AS start_s, CASE WHEN part = n - 1 THEN end_s ELSE round(start_s + (end_s - start_s) * (part + 1) / n, 3) END AS end_s FROM p
-    WHERE (CASE WHEN part = n - 1 THEN end_s ELSE round(start_s + (end_s - start_s) * (part + 1) / n, 3) END) - (CASE WHEN n = 1 THEN start_s ELSE round(start_s + (end_s - start_s) * part / n, 3) END) > 0.05""", "start_s end_s")
+    SELECT media_id, seg_index, part, CASE WHEN n = 1 THEN start_s ELSE round(start_s + (end_s - start_s) * part / n + 1e-9, 3) END AS start_s, CASE WHEN part = n - 1 THEN end_s ELSE round(start_s + (end_s - start_s) * (part + 1) / n + 1e-9, 3) END AS end_s FROM p
+    WHERE (CASE WHEN part = n - 1 THEN end_s ELSE round(start_s + (end_s - start_s) * (part + 1) / n + 1e-9, 3) END) - (CASE WHEN n = 1 THEN start_s ELSE round(start_s + (end_s - start_s) * part / n + 1e-9, 3) END) > 0.05""", "start_s end_s")
 def q12(v):
     return iv.split_range(v.seg.select("media_id", "seg_index", "start_s", "end_s"), 8.0, 18.0)
 
 
 @query("Q13_split_gap", """WITH g AS (SELECT *, end_s - start_s AS size FROM seg WHERE end_s - start_s > 0.05), h AS (SELECT *, greatest(1, floor((size + 15 - 0.05) / 15)) AS k FROM g),
     n AS (SELECT *, CASE WHEN size <= 15.05 THEN 1 ELSE k + CASE WHEN start_s + k * 15 < end_s - 0.05 THEN 1 ELSE 0 END END::INT AS n FROM h), p AS (SELECT *, unnest(range(0, n))::INT AS part FROM n)
-    SELECT media_id, seg_index, part, round(start_s + size / n * part, 3) AS start_s, round(CASE WHEN part = n - 1 THEN end_s ELSE start_s + size / n * (part + 1) END, 3) AS end_s FROM p""", "start_s end_s")
+    SELECT media_id, seg_index, part, round(start_s + size / n * part + 1e-9, 3) AS start_s, round(CASE WHEN part = n - 1 THEN end_s ELSE start_s + size / n * (part + 1) END + 1e-9, 3) AS end_s FROM p""", "start_s end_s")
 def q13(v):
     return iv.split_gap(v.seg.select("media_id", "seg_index", "start_s", "end_s"), 15.0)
 
@@ -136,7 +136,7 @@ def p14(v):
     return iv.clip_relative(v.sent, v.seg, M).select("media_id", "seg_index", F.col("b_pos").alias("pos"), F.col("b_start_s").alias("start_s"), F.col("b_end_s").alias("end_s"))
 
 
-@query("P15_apply_offset", "SELECT media_id, pos, trim(text) AS text, round(greatest(0.0, start_s - 3.5), 3) AS start_s, round(least(240.0, greatest(end_s - 3.5, greatest(0.0, start_s - 3.5) + 0.2)), 3) AS end_s FROM sent WHERE end_s - 3.5 > 0 AND start_s - 3.5 < 240 AND trim(text) <> ''", "start_s end_s")
+@query("P15_apply_offset", "SELECT media_id, pos, trim(text) AS text, round(greatest(0.0, start_s - 3.5) + 1e-9, 3) AS start_s, round(least(240.0, greatest(end_s - 3.5, greatest(0.0, start_s - 3.5) + 0.2)) + 1e-9, 3) AS end_s FROM sent WHERE end_s - 3.5 > 0 AND start_s - 3.5 < 240 AND trim(text) <> ''", "start_s end_s")
 def p15(v):
     return iv.apply_offset(v.sent, 240.0, -3.5)
 
@@ -175,7 +175,7 @@ def u02(v):
     return v.bnd.select("media_id", "t").union(ends).select("media_id", F.round("t", 1).alias("t")).distinct()
 
 
-@query("U03_safe_boundary_set", "SELECT media_id, round(start_s, 3) AS t FROM seg UNION SELECT media_id, round(end_s, 3) FROM seg UNION SELECT media_id, round(start_s, 3) FROM sent UNION SELECT media_id, round(end_s, 3) FROM sent", "t")
+@query("U03_safe_boundary_set", "SELECT media_id, round(start_s + 1e-9, 3) AS t FROM seg UNION SELECT media_id, round(end_s + 1e-9, 3) FROM seg UNION SELECT media_id, round(start_s + 1e-9, 3) FROM sent UNION SELECT media_id, round(end_s + 1e-9, 3) FROM sent", "t")
 def u03(v):
     return iv.safe_boundary_set(v.seg, v.sent, M)
 

@@ -8,8 +8,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: microseconds of the first moment of 2024 and of a ten-thousandth of a tick, which is ten minutes
-EPOCH_US, TICK_US, SONG = 1_704_067_200_000_000, 60_000, 720.0
+#: microseconds of the first moment of 2024 and of a thousandth of a tick, which is ten minutes
+EPOCH_US, TICK_US, SONG = 1_704_067_200_000_000, 600_000, 720.0
 
 
 def since_2024(ts: str) -> Column:
@@ -29,7 +29,7 @@ class Views:
     def tl(self) -> DataFrame:
         """Frames: media_id, frame, t, rms, kind."""
         order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        t = F.floor(since_2024("ts") / TICK_US) / F.lit(10_000.0)
+        t = F.floor(since_2024("ts") / TICK_US) / F.lit(1000.0)
         return self.table("events").select(F.col("user_id").alias("media_id"), F.row_number().over(order).cast("long").alias("frame"), t.alias("t"), F.col("value").alias("rms"), F.col("event_type").alias("kind"))
 
     @cached_property
@@ -120,7 +120,7 @@ class Views:
 
 
 SQL = {
-    "tl": ("", f"SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, ((epoch_us(ts) - {EPOCH_US}) // {TICK_US}) / 10000.0::DOUBLE AS t, value AS rms, event_type AS kind FROM events"),
+    "tl": ("", f"SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, ((epoch_us(ts) - {EPOCH_US}) // {TICK_US}) / 1000.0::DOUBLE AS t, value AS rms, event_type AS kind FROM events"),
     "seg": ("tl", f"SELECT media_id, floor(t / {SONG})::INT AS song_index, frame AS seg_index, t AS start_s, t + rms AS end_s, kind AS label, round(rms - floor(rms), 2) AS confidence FROM tl"),
     "act": ("seg", "SELECT media_id, seg_index AS act_id, label AS event, start_s, end_s FROM seg WHERE label IN ('click', 'view')"),
     "part_": ("seg", "SELECT * FROM seg WHERE label NOT IN ('click', 'view')"),
