@@ -42,3 +42,11 @@ def remainder(doc_id: str | Column, n: int) -> Column:
 def only(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and text under these names, whatever other columns there are; a null text is empty."""
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a column that tells them apart, and its name, which no other column has."""
+    name = "row_nr"
+    while name in df.columns:
+        name += "_"
+    return df.select("*", F.monotonically_increasing_id().alias(name)), name

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import table, written
+from cuesheet.llm.common import numbered, table, written
 
 WORD = re.compile(r"[^\W_]+")
 MIN_MATCH, THRESHOLD, FILTER_BITS, REMEMBERED = 4, 0.6, 1 << 26, 500_000
@@ -182,6 +182,6 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark item stay."""
-    rows = docs.select("*", F.monotonically_increasing_id().alias("row"))
-    found = contaminated(rows, table(spark, sf_dir, "benchmark"), key="row").select("row").distinct()
-    return rows.join(written(found), "row", "left_anti").select(docs.columns)
+    rows, row = numbered(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), key=row).select(row).distinct()
+    return rows.join(written(found), row, "left_anti").select(docs.columns)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import only, settled, table, written
+from cuesheet.llm.common import numbered, only, settled, table, written
 
 CHUNK_MIN, CHUNK_MAX = 1024, 8192
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -76,8 +76,8 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(text) AS text_sha256
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the row with the smallest doc_id stays, once."""
-    out = docs.select("*", F.monotonically_increasing_id().alias("row"))
-    made = recipes(out.select("row", "doc_id", normalised(F.coalesce("text", F.lit(""))).alias("text"))).select("doc_id", "row", "recipe")
+    out, row = numbered(docs)
+    made = recipes(out.select(F.col(row).alias("row"), "doc_id", normalised(F.coalesce("text", F.lit(""))).alias("text"))).select("doc_id", "row", "recipe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = made.groupBy("recipe").agg(first.alias("first")).select(F.col("first.row").alias("row"))
-    return out.join(kept, "row", "left_semi").select(docs.columns)
+    kept = made.groupBy("recipe").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return out.join(kept, row, "left_semi").select(docs.columns)
