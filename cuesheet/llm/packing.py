@@ -17,6 +17,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -205,31 +206,32 @@ def places(lengths: DataFrame, capacity: int = LENGTH, min_gap: int = MIN_GAP, b
     return ranked.mapInArrow(run, PLACE)
 
 
-def pack(tokens: DataFrame, capacity: int = LENGTH, min_gap: int = MIN_GAP) -> DataFrame:
+PIECE = "doc_id long, start long, length long, sequence_id long, offset long, doc_tokens long"
+
+
+def pack(tokens: DataFrame, capacity: int = LENGTH, min_gap: int = MIN_GAP, checksums: bool = False) -> DataFrame:
     """(doc_id, start, length, sequence_id, offset, doc_tokens, ids) of every piece, from rows (row, doc_id, n, ids).
 
-    Every id lies in one piece; a sequence's pieces follow each other from offset 0 and hold `capacity` ids at most. `tokens`
-    is read twice and so should be a table. No rows give no pieces; equal ids and repeated documents are packed like any other.
+    Every id lies in one piece; a sequence's pieces follow each other from offset 0 and hold `capacity` ids at most. With
+    `checksums` there is ids_crc32 (of the ids as unsigned 32-bit integers) instead of ids. `tokens` is read twice and so should
+    be a table. No rows give no pieces; equal ids and repeated documents are packed like any other.
     """
     found = tokens.select("row", "doc_id", "n", "ids").join(places(tokens.select("row", "n"), capacity, min_gap), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [[] for _ in range(7)]
-            for doc, n, ids, starts, lengths, sequences, offsets in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                for s, k, q, o in zip(starts, lengths, sequences, offsets, strict=True):
-                    for x, v in zip(out, (doc, s, k, q, o, n, ids[2 * s : 2 * (s + k)]), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:6]), pa.array(out[6], pa.binary())], names=["doc_id", "start", "length", "sequence_id", "offset", "doc_tokens", "ids"])
+        for b in batches_of(batches, 2):
+            counts = pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False)
+            starts, lengths, sequences, offsets = (b.column(i).flatten() for i in range(3, 7))
+            owner, last = pa.array(np.repeat(np.arange(b.num_rows), counts)), []
+            ids = b.column(2)
+            for i, s, k in zip(owner.to_pylist(), starts.to_pylist(), lengths.to_pylist(), strict=True):
+                part = ids[i].as_buffer()[2 * s : 2 * (s + k)]
+                last.append(zlib.crc32(np.frombuffer(part, "<u2").astype("<u4")) if checksums else part.to_pybytes())
+            columns = [b.column(0).take(owner), starts, lengths, sequences, offsets, b.column(1).take(owner), pa.array(last, pa.int64() if checksums else pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "sequence_id", "offset", "doc_tokens", "ids_crc32" if checksums else "ids"])
 
     columns = found.select("doc_id", "n", "ids", "starts", "lengths", "sequences", "offsets")
-    return columns.mapInArrow(run, "doc_id long, start long, length long, sequence_id long, offset long, doc_tokens long, ids binary")
-
-
-def _with_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        crcs = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in b.column(6)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crcs, pa.int64()), b.column(5), b.column(3), b.column(4)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    return columns.mapInArrow(run, f"{PIECE}, {'ids_crc32 long' if checksums else 'ids binary'}")
 
 
 def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,8 +240,7 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     A null text counts as empty and gives one id, the end. Rows without doc_id and repeated rows are packed like any other;
     other columns are ignored.
     """
-    pieces = pack(written(encoded(docs, tokenizer, doc_id, text)))
-    return pieces.mapInArrow(_with_crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pack(written(encoded(docs, tokenizer, doc_id, text)), checksums=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,8 @@ def read_digests(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record, read from the files and checked; start counts all ids before it."""
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = shards.select(before.alias("start"), "path")  # a row for each shard, not for each document
-    return found.repartition("path").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = max(1, shards.count())  # named, so that shards aren't put together for being few bytes here
+    return found.repartition(n, "path").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 A tokenizer's pre-tokens never cross from a word to the blanks after it, so pieces of a text that start there can be
 encoded on their own and remembered. Most pieces are letters and then punctuation, which are two pre-tokens: these go to the
-tokenizer's model directly, all new ones of a batch as one text with a mark between them. Any other piece is encoded as it is.
+tokenizer's model directly, all new ones of a batch as one text. Any other piece is encoded as it is.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 
@@ -21,14 +22,17 @@ UNCUT = r"[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 CUT = "\x01"
 #: of lines: letters that no normalisation but lower case changes, and then ASCII punctuation
 SIMPLE = re.compile(r"^(?:( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)|[^\n]*)$", re.MULTILINE)
-LONGEST, REMEMBERED = 64, 250_000
+LONGEST, REMEMBERED = 64, 200_000
 #: the characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+TABLE = "".join("\n" if b == 0x0A else SHOWN.get(b, chr(b)) for b in range(256))
 MARK = SHOWN[0]
+#: of tokens: the first of a pre-token with its space, and the end of a word
+SPACE, WORD_END = SHOWN[0x20], "</w>"
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut up, so that a part has few rows and the strings of one column not many more than `size` bytes."""
     for b in batches:
         ends, first = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)), 0
@@ -51,25 +55,34 @@ class Encoder:
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         (self.mark,) = self.bare.encode(MARK, add_special_tokens=False).ids
+        self.edge = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.endswith(WORD_END) if blanks_dropped else token.startswith(SPACE)
         self.parts: dict[str, bytes] = {"": b""}
         self.words, self.sizes, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u2")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _marked(self, parts: list[str]) -> list[bytes]:
-        """Of pre-tokens without line feeds."""
+    def _apart(self, parts: list[str], marked: bool) -> list[bytes]:
+        """Of pre-tokens without line feeds; where tokens show their edges no marks are needed between them."""
         out = []
         for i in range(0, len(parts), 2000):
             some = parts[i : i + 2000]
-            shown = f"\n{MARK}\n".join("\n".join(some).encode().decode("latin-1").replace(" ", SHOWN[0x20]).split("\n"))
-            if not shown.isascii():
-                shown = shown.translate(SHOWN | {0x0A: "\n", 0x20: SHOWN[0x20]})
+            shown = codecs.charmap_decode("\n".join(some).encode(), "strict", TABLE)[0]
+            if marked:
+                shown = shown.replace("\n", f"\n{MARK}\n")
             ids = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u2")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if marked:
+                ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                firsts = np.concatenate(([0], ends[:-1] + 1))
+            else:
+                ends = np.flatnonzero(self.edge[ids])
+                ends = ends + 1 if self.lower else np.append(ends[1:], len(ids))
+                firsts = np.concatenate(([0], ends[:-1]))
             if len(ends) != len(some):
-                raise ValueError("a mark was lost")
-            data, firsts = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
+                raise ValueError("an edge between pre-tokens was lost")
+            data = ids.tobytes()
             out += [data[2 * a : 2 * b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
         return out
 
@@ -79,8 +92,11 @@ class Encoder:
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
         parts = self.parts
-        new = sorted({p for pair in found for p in pair}.difference(parts), key=str.isascii)  # the mapping of bytes is needed for few
-        parts.update(zip(new, self._marked(new), strict=True))
+        new = list({p for pair in found for p in pair}.difference(parts))
+        spaced = [p for p in new if self.lower or p[0] == " "]
+        bare = [] if self.lower else [p for p in new if p[0] != " "]
+        parts.update(zip(spaced, self._apart(spaced, marked=False), strict=True))
+        parts.update(zip(bare, self._apart(bare, marked=True), strict=True))
         ids = [parts[a] + parts[b] for a, b in found]
         odd = [i for i, (a, _) in enumerate(found) if not a]
         for i, x in zip(odd, self._whole([wanted[i] for i in odd]), strict=True):
