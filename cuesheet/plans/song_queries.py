@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuesheet.operators import snapping as sn
 from cuesheet.operators import songs as so
 from cuesheet.plans.registry import query
 
@@ -80,3 +81,29 @@ def w16(v):
     names = F.when(F.col("label").isin("view", "signup"), "verse").when(F.col("label") == "purchase", "chorus").when(F.col("label") == "click", "prechorus").otherwise("silence")
     rows = v.seg.select("media_id", "song_index", "seg_index", "start_s", "end_s", F.col("confidence").alias("energy"), names.alias("label"))
     return so.structural_remap(rows, ["media_id", "song_index"], "seg_index")
+
+
+SNAP = """WITH a AS (SELECT media_id, list({'s': start_s, 'e': end_s} ORDER BY start_s, end_s) AS x FROM sent GROUP BY media_id), g AS (SELECT seg.*, coalesce(x, []) AS x FROM seg LEFT JOIN a USING (media_id)),
+    h AS (SELECT *, list_filter(x, lambda q: q.s + 0.05 < start_s AND start_s < q.e - 0.05)[1] AS hs, list_filter(x, lambda q: q.s + 0.05 < end_s AND end_s < q.e - 0.05)[1] AS he,
+        list_min(list_transform(x, lambda q, i: {'d': abs(q.s - start_s), 'i': i, 'e': q.s})) AS ns, list_min(list_transform(x, lambda q, i: {'d': abs(q.e - end_s), 'i': i, 'e': q.e})) AS ne, list_max(list_transform(list_filter(x, lambda q: q.e <= end_s), lambda q: q.e)) AS sung FROM g),
+    m AS (SELECT *, CASE WHEN abs(hs.s - start_s) <= 4 THEN hs.s WHEN ns.d <= 2 THEN ns.e ELSE start_s END AS a, CASE WHEN end_s - sung <= 2.15 THEN sung - 0.15 WHEN abs(he.e - end_s) <= 4 THEN he.e - 0.15 WHEN ne.d <= 2 THEN ne.e ELSE end_s END AS b FROM h),
+    t AS (SELECT *, list_filter(x, lambda q: q.s <= b AND q.e >= a) AS k FROM m), c AS (SELECT *, CASE WHEN k[1].s < a AND a - k[1].s <= 4 THEN k[1].s ELSE a END AS a2, CASE WHEN k[-1].e > b AND k[-1].e - b <= 4 THEN k[-1].e ELSE b END AS b2 FROM t)
+    SELECT media_id, seg_index, CASE WHEN b2 > a2 THEN a2 ELSE start_s END AS start_s, CASE WHEN b2 > a2 THEN b2 ELSE end_s END AS end_s FROM c"""
+
+
+@query("Q31_snap_to_sentences", SNAP, "start_s end_s")
+def q31(v):
+    return sn.snap_to_sentences(v.seg, v.sent, ["media_id"]).select("media_id", "seg_index", "start_s", "end_s")
+
+
+@query("Q21_split_subtitle")
+def q21(v):
+    return sn.split_subtitles(v.sent)
+
+
+@query("F07_title_score", r"""WITH x AS (SELECT page_id, trim(title) AS t, length(trim(title)) AS n, len(regexp_extract_all(title, '[a-zA-Z0-9]')) AS k FROM title)
+    SELECT page_id, greatest(0.0, least(100.0, round(50 + CASE WHEN n BETWEEN 3 AND 15 THEN 20 WHEN n BETWEEN 16 AND 25 THEN 8 ELSE 0 END + CASE WHEN NOT regexp_matches(t, '[，。！？、；：""''【】《》()（）\[\].,!?;:\-]') THEN 8 ELSE 0 END + 5 + CASE WHEN regexp_matches(t, '^ *[A-Z][A-Za-z ]*$') THEN 8 ELSE 0 END
+    - CASE WHEN n <= 2 OR n > 35 THEN 40 ELSE 0 END - CASE WHEN len(regexp_extract_all(t, '[，。！？!?;；]')) >= 2 THEN 25 ELSE 0 END - CASE WHEN t <> '' AND len(string_split_regex(t, '\s+')) >= 6 THEN least(25.0, 12.0 + 3 * (len(string_split_regex(t, '\s+')) - 6)) ELSE 0 END
+    - CASE WHEN len(regexp_extract_all(t, '[@_:;/\&*#%$~^]')) > 2 THEN 20 ELSE 0 END - CASE WHEN n > 0 AND k < 2 THEN 30 ELSE 0 END, 1))) AS score FROM x""", "score")
+def f07(v):
+    return v.title.select("page_id", sn.title_score(F.col("title")).alias("score"))
