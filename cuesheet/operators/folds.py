@@ -170,3 +170,26 @@ def merge_fragments(sentences: DataFrame, keys: Keys, max_gap: float = 0.45, max
         return F.when((F.size(acc) > 0) & near & open_, _kept(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(_kept(acc, x))
 
     return fold(rows, keys, ["start_s", "end_s", "text"], _typed("start_s: double, end_s: double, text: string"), step, lambda acc: acc)
+
+
+def first_last_relabel(segments: DataFrame, keys: Keys, shortest: float = 12.0, edge: float = 25.0) -> DataFrame:
+    """Short segments joined to the one before; then a first one under `edge` seconds is the intro and a last one the outro: start_s, end_s, label."""
+    rows = merge_short_runs(segments, keys, shortest)
+    w = Window.partitionBy(*keys)
+    rows = rows.withColumns({"_nr": F.row_number().over(w.orderBy("start_s", "end_s")), "_n": F.count("*").over(w)})
+    short = F.col("end_s") - F.col("start_s") < edge
+    label = F.when((F.col("_nr") == 1) & short, "intro").when((F.col("_nr") == F.col("_n")) & short, "outro").otherwise(F.col("label"))
+    return rows.withColumn("label", label).drop("_nr", "_n")
+
+
+def enforce_max_length(segments: DataFrame, keys: Keys, ident: str, longest: float) -> DataFrame:
+    """Same-label neighbours joined while the whole stays within `longest` and the gap is at most 2 s: start_s, end_s, label, n."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joins = (F.size(acc) > 0) & (last["label"] == x["label"]) & (x["start_s"] - last["end_s"] <= 2) & (F.greatest(last["end_s"], x["end_s"]) - last["start_s"] <= longest)
+        new = F.struct(x["start_s"].alias("start_s"), x["end_s"].alias("end_s"), x["label"].alias("label"), F.lit(1).alias("n"))
+        grown = F.struct(last["start_s"].alias("start_s"), F.greatest(last["end_s"], x["end_s"]).alias("end_s"), last["label"].alias("label"), (last["n"] + 1).alias("n"))
+        return F.when(joins, _kept(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(_kept(acc, new))
+
+    return fold(segments, keys, ["start_s", "end_s", "label", ident], _typed("start_s: double, end_s: double, label: string, n: int"), step, lambda acc: acc)

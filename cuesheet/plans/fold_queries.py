@@ -63,6 +63,22 @@ def q09_short(v):
     return fo.merge_short_runs(v.seg, M, 12.0)
 
 
+@query("W17_first_last_relabel", f"SELECT media_id, start_s, end_s, CASE WHEN nr = 1 AND end_s - start_s < 25 THEN 'intro' WHEN nr = n AND end_s - start_s < 25 THEN 'outro' ELSE label END AS label FROM (SELECT media_id, s.a AS start_s, s.b AS end_s, s.l AS label, row_number() OVER (PARTITION BY media_id ORDER BY s.a, s.b) AS nr, count(*) OVER (PARTITION BY media_id) AS n FROM ({SHORT}))", "start_s end_s")
+def w17(v):
+    return fo.first_last_relabel(v.seg, M)
+
+
+JOINED = """WITH RECURSIVE i AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_s, end_s, label, seg_index) AS nr, {'a': start_s, 'b': end_s, 'l': label, 'n': 1} AS s FROM seg),
+    w AS (SELECT media_id, nr, [s] AS acc FROM i WHERE nr = 1 UNION ALL
+      SELECT i.media_id, i.nr, CASE WHEN w.acc[-1].l = i.s.l AND i.s.a - w.acc[-1].b <= 2 AND greatest(w.acc[-1].b, i.s.b) - w.acc[-1].a <= 120 THEN list_append(w.acc[:-2], {'a': w.acc[-1].a, 'b': greatest(w.acc[-1].b, i.s.b), 'l': i.s.l, 'n': w.acc[-1].n + 1}) ELSE list_append(w.acc, i.s) END FROM w JOIN i ON i.media_id = w.media_id AND i.nr = w.nr + 1)
+    SELECT media_id, unnest(arg_max(acc, nr)) AS s FROM w GROUP BY media_id"""
+
+
+@query("Q15_join_within_limit", f"SELECT media_id, s.a AS start_s, s.b AS end_s, s.l AS label, s.n AS n FROM ({JOINED})", "start_s end_s")
+def q15(v):
+    return fo.enforce_max_length(v.seg, M, "seg_index", 120.0)
+
+
 @query("Q10_trim_edge_runs", "SELECT media_id, seg_index, start_s, end_s FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_s, end_s) AS nr, count(*) OVER (PARTITION BY media_id) AS n FROM seg) WHERE NOT (nr IN (1, n) AND end_s - start_s < 20)", "start_s end_s")
 def q10(v):
     return fo.trim_edge_runs(v.seg, M, 20.0).select("media_id", "seg_index", "start_s", "end_s")

@@ -440,3 +440,9 @@ def s16(v):
     entry = F.struct(F.concat(F.lit("p"), F.col("entry_id")).alias("path"), "bytes")
     index = v.ttl.groupBy(F.col("entry_id") % 50).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), F.col("cache_key"), F.lit("_"), F.col("entry_id")), entry)))).alias("json"))
     return dc.explode_cache_index(index, "json").select("cache_key", "path", "bytes")
+
+
+@query("A12_transcript_stability", "SELECT media_id, valid_share, monotone_share, (valid_share + monotone_share) / 2 AS stability FROM (SELECT media_id, avg((round(end_s, 9) - start_s BETWEEN 0.02 AND 4)::INT) AS valid_share, avg((b IS NULL OR start_s >= b - 0.15)::INT) AS monotone_share FROM (SELECT *, lag(start_s) OVER (PARTITION BY media_id ORDER BY word, pos, word_pos) AS b FROM word) GROUP BY media_id)", "valid_share monotone_share stability")
+def a12(v):
+    # in alphabetical order, so that some words go back in time
+    return ly.transcript_stability(v.word.select("media_id", "pos", "word_pos", "word", "start_s", F.round("end_s", 9).alias("end_s")), M, ["word", "pos", "word_pos"])
