@@ -30,7 +30,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     no group is gathered. Only the number of edges and a checksum come to the driver. Loops (u = v) are kept as
     nodes of their own; null ends are dropped; an empty table gives an empty result.
     """
-    nodes = edges.where("u is not null and v is not null").select("u", "v")
+    nodes = settled(edges.where("u is not null and v is not null").select("u", "v"))  # read twice below
     alone = nodes.select("u").union(nodes.select("v"))
     now, before = settled(nodes.where("u <> v").distinct()), None
     for _ in range(rounds):
