@@ -121,7 +121,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    return F.transform(v, lambda x: x / norm)
+    return F.transform(v, lambda x: x / F.nullif(norm, F.lit(0.0)))
 
 
 def by_dimension(rows: DataFrame, vector: str) -> DataFrame:
@@ -156,7 +156,7 @@ def local_self_similarity(rows: DataFrame, vector: str, keys: Keys, order: str,
 def distribution_entropy(vector: Column, least: float = 0.01) -> Column:
     """Entropy in bits of the vector's absolute values as shares, ignoring those up to `least`."""
     total = F.aggregate(vector, F.lit(0.0), lambda s, x: s + F.abs(x))
-    shares = F.filter(F.transform(vector, lambda x: F.abs(x) / total), lambda p: p > least)
+    shares = F.filter(F.transform(vector, lambda x: F.abs(x) / F.nullif(total, F.lit(0.0))), lambda p: p > least)
     return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 

@@ -70,7 +70,7 @@ def covering_interval(points: DataFrame, intervals: DataFrame, keys: Keys, point
 def overlap_ratio(segments: DataFrame, activity: DataFrame, keys: Keys, segment_id: Keys, events: Sequence[str]) -> DataFrame:
     """The share of each segment that each activity class covers, a column for each class."""
     found = overlap_join(segments, activity, keys, how="left")
-    share = lambda e: (F.coalesce(F.sum(F.when(F.col("b_event") == e, F.col("overlap_s"))), F.lit(0.0)) / F.first(F.col("end_s") - F.col("start_s"))).alias(e)
+    share = lambda e: (F.coalesce(F.sum(F.when(F.col("b_event") == e, F.col("overlap_s"))) / F.nullif(F.first(F.col("end_s") - F.col("start_s")), F.lit(0.0)), F.lit(0.0))).alias(e)
     return found.groupBy(*keys, *segment_id).agg(*map(share, events))
 
 

@@ -115,7 +115,7 @@ def j10(v):
 @query("J11_upgrade_by_region_overlap", """WITH o AS (SELECT s.media_id, s.seg_index, max(greatest(0.0, least(s.end_s, b.end_s) - greatest(s.start_s, b.start_s)) / (s.end_s - s.start_s)) FILTER (b.act_id IS NOT NULL) AS share FROM part_ s LEFT JOIN act b ON s.media_id = b.media_id AND s.start_s < b.end_s AND s.end_s > b.start_s GROUP BY ALL)
     SELECT media_id, seg_index, CASE WHEN share > 0.5 AND share * confidence > 0.3 AND label IN ('error', 'signup') THEN 'chorus' ELSE label END AS label FROM o JOIN part_ USING (media_id, seg_index)""")
 def j11(v):
-    found = iv.overlap_join(v.part, v.act, M, how="left").groupBy("media_id", "seg_index", "label", "confidence").agg(F.max(F.col("overlap_s") / (F.col("end_s") - F.col("start_s"))).alias("share"))
+    found = iv.overlap_join(v.part, v.act, M, how="left").groupBy("media_id", "seg_index", "label", "confidence").agg(F.max(F.try_divide(F.col("overlap_s"), F.col("end_s") - F.col("start_s"))).alias("share"))
     up = (F.col("share") > 0.5) & (F.col("share") * F.col("confidence") > 0.3) & F.col("label").isin("error", "signup")
     return found.select("media_id", "seg_index", F.when(up, "chorus").otherwise(F.col("label")).alias("label"))
 
