@@ -6,12 +6,17 @@ in groups that share a key. A group up to `group_limit` is one row, whose links
 which a spanning forest is kept. In a larger group each fingerprint names the words within one and within two bits of
 it (in the bits outside the key); two fingerprints are within three bits exactly if one has a word at one bit that the
 other has at two. Rows then grow in proportion to the group, and no pair is lost.
+
+The pipeline's stage asks for another similarity: a Jaccard similarity of 0.8 or more between sets of five-word shingles. Such
+texts are around 10 of 64 bits apart, which no layout of blocks reaches in few keys, so its candidates share a band of least
+hashes instead, and are verified by their whole sets.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import only, settled, table, written
+from cuesheet.llm.common import numbered, only, settled, table, written
 from cuesheet.llm.graph import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -28,6 +33,9 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DISTANCE = 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
 GROUP_LIMIT = 1024
+# The pipeline's stage: shingles of five words, similarity from 0.8 on. A pair at 0.8 shares a band with probability 0.998.
+STAGE_SIZE, SIMILAR, BANDS, BAND_ROWS, BAND_LIMIT = 5, Fraction(4, 5), 20, 6, 256
+FACTORS, SHIFTS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64, endpoint=False) | np.uint64(1)
 
 
 def shingles(text: str, size: int = 3) -> list[str]:
@@ -144,7 +152,89 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, size: int = STAGE_SIZE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text without words has one, so that all of these are alike."""
+    parts = set(shingles(text, size)) or {""}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in parts), np.uint64, len(parts)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: its BAND_ROWS least hashes, each under a multiplication of its own, in one word."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 512):
+        least = np.minimum(least, (FACTORS[:, None] * hashes[None, i : i + 512] + SHIFTS[:, None]).min(axis=1))
+    mixed = (least ^ least >> np.uint64(29)) * FACTORS[::-1]
+    return mixed.reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def similar_forest(sets: list[np.ndarray], least: Fraction = SIMILAR) -> list[tuple[int, int]]:
+    """Links (i, j) between sets whose Jaccard similarity reaches `least`, as many as a spanning forest of all such links needs."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    left, out = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first], queue = False, [first]
+        while queue and left.any():
+            i = queue.pop()
+            some = left[owners]
+            found = values[some]
+            at = np.minimum(np.searchsorted(sets[i], found), sizes[i] - 1)
+            both = np.bincount(owners[some][sets[i][at] == found], minlength=len(sets))
+            near = np.flatnonzero(left & (both * least.denominator >= (sizes + sizes[i] - both) * least.numerator))
+            left[near] = False
+            queue += near.tolist()
+            out += [(i, int(j)) for j in near]
+    return out
+
+
+def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int = BAND_LIMIT) -> DataFrame:
+    """(u, v): rows, by the number in column `row`, whose shingle sets have a similarity of SIMILAR or more.
+
+    Candidates share a band; equal lists of candidates are compared once, by their whole sets. A list longer than `band_limit` is
+    dealt into parts, and one of its rows joins every part, another in each band, so that the parts hang together.
+    """
+    plain = rows.select(F.col(row).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [band_keys(shingle_set(x.as_py())) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "keys"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_set(x.as_py()).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "hashes"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for members in b.column(0):
+                ids = members.values.field("row").to_pylist()
+                hashes = [x.values.to_numpy().view(np.uint64) for x in members.values.field("hashes")]
+                out += [(ids[i], ids[j]) for i, j in similar_forest(hashes)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    keyed = written(plain.mapInArrow(keys, "row long, keys array<long>")).select("row", F.posexplode("keys").alias("band", "key"))
+    dealt = F.xxhash64("row", "band")
+    shared = written(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("row", dealt).alias("hub")).where("n > 1"))
+    parts = keyed.join(shared, ["band", "key"]).withColumn("part", F.pmod(dealt, F.ceil(F.col("n") / band_limit)))
+    lists = parts.groupBy("band", "key", "part").agg(F.collect_set("row").alias("ids"), F.first("hub").alias("hub"))
+    lists = lists.select(F.array_sort(F.array_union("ids", F.array("hub"))).alias("ids")).where("size(ids) > 1")
+    # two hashes of the list name it
+    named = lists.select(F.xxhash64("ids").alias("list"), F.hash("ids").alias("list2"), "ids").dropDuplicates(["list", "list2"])
+    members = written(named.select("list", "list2", F.explode("ids").alias("row")))
+    whole = plain.join(members.select("row").distinct(), "row", "left_semi").mapInArrow(sets, "row long, hashes array<long>")
+    groups = members.join(whole, "row").groupBy("list", "list2").agg(F.collect_list(F.struct("row", "hashes")).alias("members"))
+    return groups.select("members").mapInArrow(linked, "u long, v long").distinct()
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays; so does a row that has no doc_id."""
-    dropped = written(near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    """Pipeline stage: of each component of similar texts the row with the smallest doc_id stays; so does a row that has no doc_id."""
+    rows, row = numbered(docs)
+    root = components(written(similar_links(rows, row))).withColumnRenamed("node", row)
+    member = written(rows.select(row, "doc_id").join(root, row))
+    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    dropped = written(member.join(least, "root").where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)

@@ -43,3 +43,35 @@ def test_run_packs_what_all_stages_keep(spark):
         docs = stage(spark, docs, DIR)
     got = corpus_pipeline.run(spark, DIR)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_texts_of_similarity_from_08_on_go(spark):
+    """Pairs at 0.8 to 1 and just under 0.8, by brute force; parts of a long list hang together."""
+    rng = random.Random(3)
+    docs = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        docs.append((2 * k, " ".join(words)))
+        for at in rng.sample(range(8, 112), k % 5 + 1):
+            words[at] = "other"
+        docs.append((2 * k + 1, " ".join(words)))
+    docs += [(1000 + i, f"{docs[0][1]} tail{i}") for i in range(60)]
+    sets = [set(simhash.shingles(t, 5)) for _, t in docs]
+    alike = [{j for j in range(len(docs)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in range(len(docs))]
+    least, todo = list(range(len(docs))), True
+    while todo:
+        new = [min(least[j] for j in x) for x in alike]
+        todo, least = new != least, new
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_of_each_group(spark, df, DIR).collect()}
+    assert kept == {docs[i][0] for i in range(len(docs)) if least[i] == i}
+    rows = df.withColumnRenamed("doc_id", "nr")
+    links = [(r.u, r.v) for r in simhash.similar_links(rows, "nr", band_limit=16).collect()]
+    assert {x for e in links for x in e} >= {0, *range(1000, 1060)}
+
+
+def test_a_near_copy_goes(spark):
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(120))
+    df = spark.createDataFrame([(4, text + " last."), (52, text + " other."), (53, "something else")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(spark, df, DIR).collect()) == [4, 53]
