@@ -1,12 +1,12 @@
 """Personal data: patterns for protected values, and terms that give them away, with DataFrame functions only.
 
 Protected values are found by pattern. A term (a word of at least TERM_LETTERS letters) within WINDOW characters of a value is its
-company; equal surroundings of a value count once, so that copies of a document are one piece of evidence. With N documents, n(c)
-surroundings of value c, n(t) documents that hold term t and n(c,t) surroundings of c that hold t, a term discloses
+company. Everything is counted in distinct texts, so that copies of a document are one piece of evidence: with N of them, n(c) that
+hold value c, n(t) that hold term t and n(c,t) in which c has t in its company, a term discloses
     log(n(c,t) N / (n(c) n(t))) / log(N / n(c))
 of what there is to know about c: their pointwise mutual information over c's information content, 1 for a term never seen
-without c. A term seen with a value in SUPPORT surroundings or more that discloses DISCLOSED or more is itself personal data: each
-of its occurrences is a span of kind `term`, to be generalised like the values themselves.
+without c. A term seen with a value in SUPPORT different surroundings or more that discloses DISCLOSED or more is itself personal
+data: each of its occurrences is a span of kind `term`, to be generalised like the values themselves.
 
 The patterns mean what the plain ones in PLAIN mean, leftmost and non-overlapping, but can't go back over a long run of characters.
 """
@@ -113,16 +113,18 @@ def surroundings(text: Column, spans: Column) -> Column:
 
 
 def revealing_terms(found: DataFrame, rows: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(term, value, disclosure) from rows (company) and documents (text)."""
-    n_docs = rows.count()
-    company = found.select(F.explode("company").alias("c")).select("c.value", "c.around", "c.terms").dropDuplicates(["value", "around"])
-    values = company.groupBy("value").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
-    pairs = company.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
+    """(term, value, disclosure) from rows (copy, company) and documents (text); copy is the hash of a text."""
+    copy = F.xxhash64("text").alias("copy")
+    n_docs = rows.select(copy).distinct().count()
+    company = found.select("copy", F.explode("company").alias("c")).select("copy", "c.value", "c.around", "c.terms").dropDuplicates(["value", "around", "copy"])
+    enough = F.count_distinct("around") >= support
+    values = company.groupBy("value").agg(F.count_distinct("copy").alias("n_c"), enough.alias("enough")).where("enough").drop("enough")
+    pairs = company.select("copy", "value", "around", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count_distinct("copy").alias("n_ct"), enough.alias("enough")).where("enough").drop("enough")
     candidates = written(pairs.join(values, "value"))
     if candidates.isEmpty():
         return candidates.select("term", "value", F.lit(0.0).alias("disclosure"))
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    words = rows.select(copy, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = words.join(candidates.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log(F.col("n_ct") * n_docs / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(n_docs) / F.col("n_c"))
     return candidates.join(held, "term").where(F.col("n_c") < n_docs).select("term", "value", F.least(share, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= disclosed)
 
@@ -136,7 +138,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     spans = rows.select("row", "doc_id", "text", base_spans(F.col("text")).alias("base"))
-    found = written(spans.select("row", "doc_id", "base", surroundings(F.col("text"), F.col("base")).alias("company")))
+    found = written(spans.select("row", "doc_id", F.xxhash64("text").alias("copy"), "base", surroundings(F.col("text"), F.col("base")).alias("company")))
     terms = written(revealing_terms(found, rows, support, disclosed).select("term").distinct())
     none = F.array().cast("array<struct<start: int, kind: int, end: int, value: string>>")
     if terms.isEmpty():

@@ -155,6 +155,19 @@ def test_terms_that_disclose(spark, odd):
     assert privacy.personal_data(odd).count() == odd.count() and privacy.personal_data(odd.limit(0)).count() == 0
 
 
+def test_terms_of_a_much_copied_document(spark):
+    """Exact and near copies of a document don't hide that its term is seen with its value only."""
+    rng = random.Random(11)
+    fill = lambda: " ".join(rng.choice(["common", "words", "are", "everywhere", "here"]) for _ in range(30))
+    docs = [(i, fill()) for i in range(400)]
+    docs += [(1000 + i, f"{fill()} write to Zebulon at zeb@corp.org now {fill()}") for i in range(3)]
+    docs += [(2000 + i, docs[400][1]) for i in range(300)]  # exact copies
+    docs += [(3000 + i, f"{docs[401][1]} {fill()}") for i in range(60)]  # other ends, the same surroundings
+    found = privacy.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(any(s.value == "Zebulon" for s in r.added) for r in found if r.doc_id >= 1000)
+    assert not any(r.added for r in found if r.doc_id < 1000)
+
+
 def plain_path(scores, penalty):
     n, k = scores.shape
     best = scores[0].astype(float)
