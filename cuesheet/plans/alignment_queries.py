@@ -13,16 +13,22 @@ def parts(v):
     """Sentences as songs of their own, with the lines of their text, and windows over their words."""
     lines = v.sent.select("media_id", "pos", "start_s", F.posexplode(F.split("text", r"(?<=[.\n])\s*")).alias("line", "text")).where("trim(text) <> ''")
     lines = lines.repartition(16, "media_id")  # few rows, but dear ones
-    windows = ly.time_windows(v.word, ["media_id", "pos"], ["word_pos"], 8.0, 4.0)
+    windows = ly.time_windows(v.word, ["media_id", "pos"], ["word_pos"])
     return lines.select("media_id", "pos", "line", "text", (F.col("start_s") + F.col("line") * 4.0).alias("t")), windows
 
 
 @query("J13_line_window_candidates")
 def j13(v):
-    return al.line_window_candidates(*parts(v), ["media_id", "pos"], drift=12.0, reach=12.0)
+    return al.line_window_candidates(*parts(v), ["media_id", "pos"], drift=12.0)
 
 
 @query("Q34_monotone_alignment")
 def q34(v):
     lines, windows = parts(v)
-    return al.monotone_alignment(lines, al.line_window_candidates(lines, windows, ["media_id", "pos"], drift=12.0, reach=12.0), ["media_id", "pos"], drift=12.0)
+    return al.monotone_alignment(lines, al.line_window_candidates(lines, windows, ["media_id", "pos"], drift=12.0), ["media_id", "pos"], drift=12.0)
+
+
+@query("A12_transcript_quality")
+def a12(v):
+    lyrics = v.sent.select("media_id", "pos", F.col("text").alias("lyrics"))
+    return ly.transcript_quality(v.word, lyrics, ["media_id", "pos"], ["word_pos"])
