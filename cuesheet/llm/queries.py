@@ -23,6 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_extendible_sharding": sharding.OP3_SQL,
-    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact.OP5_SQL,
 }

@@ -16,6 +16,12 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_every_sql_is_text():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values())
+
+
 def test_the_rest_works_without_the_corpus_subpackage(tmp_path):
     for p in REPO.iterdir():
         if p.name not in ("cuesheet", "corpus_pipeline.py", "tests") and not p.name.startswith("."):
