@@ -3,7 +3,7 @@
 Learning counts hashed character n-grams of words, by language, on a bounded sample: of each language the SAMPLE labelled
 documents whose hashed id is smallest, or all if there are fewer. The model is a table of languages by GRAMS buckets, whatever the corpus.
 
-A word's score for a language is the mean log probability of its n-grams times a weight that grows with its length; languages
+A run of more than LONGEST letters counts as words of at most that many. A word's score for a language is the mean log probability of its n-grams times a weight that grows with its length; languages
 whose learning texts hardly use the word's script are out. The best path over a text's words pays PENALTY for each change of
 language. Where one language beats every other by less than half of that on any run of words, no change can pay, and the path
 need not be searched.
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from cuesheet.llm.common import only, remainder, table
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LONGEST = 64
+#: a word, or a piece of a longer run of letters
+LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 GRAMS, SAMPLE, PENALTY, SMOOTHING, SCRIPT_SHARE, REMEMBERED = 1 << 16, 2000, 24.0, 0.1, 0.02, 300_000
 # First code points of Unicode ranges and the script that letters from there on mostly have.
 SCRIPTS = (
@@ -35,7 +37,7 @@ SCRIPTS = (
 STARTS, NAMES = np.array([x for x, _ in SCRIPTS]), [x for _, x in SCRIPTS]
 
 
-PRIME, LONGEST = np.uint64(0x9E3779B97F4A7C15), 64
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def script(word: str) -> str:
@@ -51,9 +53,9 @@ def scripts(words: list[str]) -> list[str]:
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of one to four characters of each word, its ends marked, and of the whole word.
 
-    Returns all buckets, and for each the number of its word. A word's first LONGEST characters count.
+    Returns all buckets, and for each the number of its word. No word is longer than LONGEST letters.
     """
-    marked = [f"<{w[:LONGEST].lower()}>" for w in words]
+    marked = [f"<{w.lower()}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     word, ends = np.repeat(np.arange(len(marked)), lengths), np.repeat(np.cumsum(lengths), lengths)

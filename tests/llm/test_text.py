@@ -205,5 +205,16 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language.identify(odd, language.learn(empty)).collect()} == {"und"}
 
 
+def test_long_runs_of_letters_are_read_to_their_end(spark):
+    teach = spark.createDataFrame([(1, "the cat and the dog are in the house with us", "en"), (2, "привет мир это мой дом и моя семья", "ru")], "doc_id long, text string, lang string")
+    model = language.learn(teach)
+    text = "thecatandthedogareinthehouse" * 3 + "приветмирэтомойдомимоясемья" * 100
+    ((lang, score, spans),) = language.Labeller(model)([text])
+    assert lang == "ru" and score > 0.95 and [x for *_, x in spans] == ["en", "ru"]
+    assert (spans[0][0], spans[-1][1]) == (0, len(text))
+    tail = spark.createDataFrame([(1, "a" * 64 + "привет" * 50, "ru"), (2, "the cat", "en")], "doc_id long, text string, lang string")
+    assert language.learn(tail).uses["cyrillic"].tolist() == [False, True]
+
+
 def test_base_hash_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
