@@ -1,7 +1,7 @@
 """Language identification of mixed texts: script ranges, per-word scores, and Viterbi with a switching penalty.
 
 Learning counts hashed character n-grams of words, by language, on a bounded sample: of each language the SAMPLE labelled
-documents whose hashed id is smallest, or all if there are fewer. The model is a table of languages by GRAMS buckets, whatever the corpus.
+different documents (id and text) whose hash is smallest, about, or all if there are fewer. The model is a table of languages by GRAMS buckets, whatever the corpus.
 
 A run of more than LONGEST letters counts as words of at most that many. A word's score for a language is the mean log probability of its n-grams times a weight that grows with its length; languages
 whose learning texts hardly use the word's script are out. The best path over a text's words pays PENALTY for each change of
@@ -180,13 +180,13 @@ class Labeller:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From rows (doc_id, text, lang); null languages and texts without letters teach nothing."""
-    known = labelled.where("lang is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    known = labelled.where("lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count_distinct("hash").alias("n")).collect()}  # a row for each language
     if not sizes:
         return Model([])
-    # of each language the ids whose hash is in the lowest part that holds `sample` of them on average
+    # of each language the documents whose hash is in the lowest part that holds `sample` of them on average
     edge = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n) * 2.0**32)))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < edge[F.col("lang")]).select("lang", "text")
+    some = known.where(F.pmod("hash", F.lit(1 << 32)) < edge[F.col("lang")]).dropDuplicates(["lang", "hash"]).select("lang", "text")
     made = some.mapInArrow(_counted, "lang string, bucket int, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n"))
     rows = made.toArrow()  # at most GRAMS and the scripts for each language
     return Model(list(zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True)))

@@ -3,7 +3,7 @@
 Each labeller votes good (1), bad (0) or abstains (-1) on a text. The counts of all vote patterns over the whole corpus, at most
 3 ** 9 rows, are all that the model of the labellers needs: it takes a labeller's votes as independent given the text's true class, and
 alternates between each pattern's posterior and each labeller's rates until they settle. Posteriors are then the soft labels
-of SAMPLE documents (those whose hashed id is smallest; a documented bound) that train a logistic scorer on FEATURES hashed
+of at most SAMPLE different documents (those whose hash of id and text is smallest; a documented bound) that train a logistic scorer on FEATURES hashed
 shape features. The scorer judges every document.
 """
 
@@ -163,6 +163,15 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array([x[0] for x in made], pa.list_(pa.int64())), pa.array([x[1] for x in made], pa.list_(pa.float64()))], names=["pattern", "at", "value"])
 
 
+def picked(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Of the different documents (id and text) the `sample` with the smallest hash, once each."""
+    hashed = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    n = hashed.select("hash").distinct().count()
+    # only twice as many as needed, on average, are put in order
+    low = hashed.where(F.pmod("hash", F.lit(1 << 32)) < min(1.0, 2 * sample / max(n, 1)) * 2.0**32)
+    return low.dropDuplicates(["hash"]).orderBy(F.pmod("hash", F.lit(1 << 32)), "hash").limit(sample).select("doc_id", "text")
+
+
 def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """From documents (doc_id, text); no labels are read."""
     found = rows.mapInArrow(_voted, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()  # 3 ** 9 rows at most
@@ -172,8 +181,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
     counts = found.column(1).to_numpy().astype(float)
     posterior, rates = expectation_maximisation(np.array([[int(c) - 1 for c in x] for x in names]), counts)
     soft = dict(zip(names, posterior.tolist(), strict=True))
-    part = min(1.0, sample / counts.sum())  # of the hash's range; `sample` documents on average
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < part * 2.0**32).mapInArrow(_described, "pattern string, at array<long>, value array<double>").toArrow()
+    some = picked(rows, sample).mapInArrow(_described, "pattern string, at array<long>, value array<double>").toArrow()
     if not some.num_rows:
         return Model(np.zeros(FEATURES), 0.0, rates)
     x = np.zeros((some.num_rows, FEATURES), np.float32)

@@ -101,6 +101,16 @@ def test_quality_without_labels(spark, odd, empty):
     assert [r.kept for r in quality.judge(odd, quality.learn(empty)).limit(3).collect()] == [True] * 3
 
 
+def test_samples_hold_their_bound(spark):
+    """With all ids null, repeated, or repeated with their text."""
+    df = spark.range(6000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end as doc_id", "case when id % 5 = 0 then 'same text' else concat('text ', id) end as text", "'en' as lang")
+    got = [(r.doc_id, r.text) for r in quality.picked(df, 300).collect()]
+    assert len(got) == len(set(got)) == 300
+    assert 50 < sum(i is None for i, _ in got) < 150 and 50 < sum(i == 7 for i, _ in got) < 150
+    model = language.learn(df, 300)
+    assert model.langs == ["en"] and quality.picked(df.limit(0)).count() == 0
+
+
 def test_expectation_maximisation_finds_the_labellers():
     rng = np.random.default_rng(6)
     truth = rng.random(20_000) < 0.85
