@@ -231,10 +231,10 @@ def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of similar texts the row with the smallest doc_id stays; so does a row that has no doc_id."""
+    """Pipeline stage: of each component of similar texts one row stays, that with the smallest doc_id (nulls last) and of these the first."""
     rows, row = numbered(docs)
     root = components(written(similar_links(rows, row))).withColumnRenamed("node", row)
     member = written(rows.select(row, "doc_id").join(root, row))
-    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    dropped = written(member.join(least, "root").where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first"))
+    dropped = member.select(row).join(first.select(F.col("first")[row].alias(row)), row, "left_anti")
+    return rows.join(written(dropped), row, "left_anti").select(docs.columns)

@@ -75,3 +75,13 @@ def test_a_near_copy_goes(spark):
     text = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(120))
     df = spark.createDataFrame([(4, text + " last."), (52, text + " other."), (53, "something else")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(spark, df, DIR).collect()) == [4, 53]
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    a, b, c, clean = text(), text(), text(), text()
+    docs = [(1, a), (2, a + " more"), (2, clean), (None, b), (None, b + " more"), (3, c), (3, c + " more")]
+    left = [(r.doc_id, r.text) for r in simhash.keep_one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), DIR).collect()]
+    assert len(left) == 4 and {(1, a), (2, clean)} <= set(left)
+    assert sum(i is None for i, _ in left) == sum(i == 3 for i, _ in left) == 1
