@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes, with DataFrame functions only.
 
-A normalised text is cut where its content says so: at the first end of a sentence after CHUNK_MIN characters, or after
-CHUNK_MAX. Equal texts are cut alike, and a change moves only the cuts near it. Each distinct chunk is moved once, to
+A normalised text is cut where its content says so: at the first end of a sentence after CHUNK_MIN characters, without one up to
+CHUNK_MAX at the first blank, and only in texts without blanks after CHUNK_MAX. Equal texts are cut alike, and a change moves only the cuts near it. Each distinct chunk is moved once, to
 verify that no other chunk has its identifier; from then on a document is its list of identifiers, and only those lists
 are shuffled and compared.
 """
@@ -25,7 +25,8 @@ def normalised(text: Column) -> Column:
 
 def chunks(text: Column) -> Column:
     """The text cut up; joined again, the parts are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?(?:[.!?] |\z)|.{{1,{CHUNK_MAX}}}"), F.lit(0))
+    some = rf".{{{CHUNK_MIN},{CHUNK_MAX}}}?"
+    return F.regexp_extract_all(text, F.lit(rf"(?s){some}(?:[.!?] |[。！？।؟]|\z)|{some} |.{{1,{CHUNK_MAX}}}"), F.lit(0))
 
 
 def recipes(docs: DataFrame, identifier: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -39,6 +40,8 @@ def recipes(docs: DataFrame, identifier: Callable[[Column], Column] = F.xxhash64
     plain = F.transform(chunks(F.col("text")), lambda x: identifier(x))
     if shared.isEmpty():
         return docs.withColumn("recipe", plain)
+    docs = written(docs)
+    cut = docs.select("row", F.posexplode(chunks(F.col("text"))).alias("at", "chunk")).withColumn("id", identifier(F.col("chunk")))
     clash = distinct.join(shared.select("id"), "id", "left_semi")
     smaller = clash.alias("a").join(clash.select("id", F.col("chunk").alias("other")).alias("b"), "id").groupBy("id", "chunk").agg(F.sum((F.col("other") < F.col("chunk")).cast("int")).cast("int").alias("nr"))
     renamed = cut.join(smaller, ["id", "chunk"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "nr"))).alias("nrs"))
@@ -56,10 +59,20 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", identifi
     """
     rows = only(docs, doc_id, text).withColumn("text", normalised(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
     made = written(recipes(rows, identifier).select("doc_id", "row", "recipe", F.sha2(F.col("text"), 256).alias("text_sha256")))
+    groups = shared_recipes(made)
+    kept = F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("kept")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id")
+    return made.join(groups, "recipe", "left").select("doc_id", keep_id, F.coalesce("group_size", F.lit(1)).alias("group_size"), kept, "text_sha256")
+
+
+def shared_recipes(made: DataFrame) -> DataFrame:
+    """(recipe, first, group_size) of the recipes that more than one row has, as a table.
+
+    The join of rows and this table then begins with plain shuffles of both sides, so that Spark can split the part of a recipe that very many
+    rows share (its adaptive skew join), as it can't where the groups are made in the same stage.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = made.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size"))
-    kept = (F.col("row") == F.col("first.row")).alias("kept")
-    return made.join(groups, "recipe").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept, "text_sha256")
+    return written(made.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size")).where("group_size > 1"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +88,13 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(text) AS text_sha256
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the smallest doc_id stays, once."""
+    """Pipeline stage: of equal texts (blanks as one space) the row with the smallest doc_id stays, once.
+
+    A null text counts as empty; a null doc_id comes after all others. Whole texts of any length are compared. Repeated rows are copies of each other.
+    Rows are told apart by a number of their own, so other columns, whatever their names, go with the row unchanged. An empty table stays empty.
+    """
     out, row = numbered(docs)
     made = recipes(out.select(F.col(row).alias("row"), "doc_id", normalised(F.coalesce("text", F.lit(""))).alias("text"))).select("doc_id", "row", "recipe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = made.groupBy("recipe").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    kept = written(made.groupBy("recipe").agg(first.alias("first")).select(F.col("first.row").alias(row)))
     return out.join(kept, row, "left_semi").select(docs.columns)

@@ -12,7 +12,7 @@ need not be searched.
 from __future__ import annotations
 
 import re
-import zlib
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +24,18 @@ from pyspark.sql import functions as F
 from cuesheet.llm.common import only, remainder, table
 
 LONGEST = 64
-#: a word, or a piece of a longer run of letters
-LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
+#: what a pattern's word characters hold besides letters, digits and the underscore: numerals such as ½, ² and ①
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: a word, or a piece of a longer run of letters; the first pattern is faster, and right in texts without such numerals
+SOME, LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}"), re.compile(rf"[^\W\d_{NUMERALS}]{{1,{LONGEST}}}")
+
+
+def words_of(text: str) -> tuple[re.Pattern[str], list[str]]:
+    """The text's words, and the pattern that finds them."""
+    found = SOME.findall(text)
+    return (SOME, found) if not found or "".join(found).isalpha() else (LETTERS, LETTERS.findall(text))
+
+
 GRAMS, SAMPLE, PENALTY, SMOOTHING, SCRIPT_SHARE, REMEMBERED = 1 << 16, 2000, 24.0, 0.1, 0.02, 300_000
 # First code points of Unicode ranges and the script that letters from there on mostly have.
 SCRIPTS = (
@@ -80,7 +90,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(LETTERS.findall(text))
+            words.setdefault(lang, Counter()).update(words_of(text)[1])
     for lang, found in words.items():
         total, letters, names = np.zeros(GRAMS, np.int64), Counter(), list(found)
         for i in range(0, len(names), 10_000):
@@ -153,7 +163,7 @@ class Labeller:
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """The language of most letters, its share of the letters, and the spans (start, end, language)."""
-        words = [LETTERS.findall(x) for x in texts]
+        patterns, words = zip(*map(words_of, texts), strict=True) if texts else ((), ())
         if not self.model.langs:
             return [("und", 0.0, [])] * len(texts)
         if len(self.rows) > REMEMBERED:
@@ -162,9 +172,9 @@ class Labeller:
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.table = np.vstack((self.table, self.model.scores(new)))
-        return [self._label(t, w) if w else ("und", 0.0, []) for t, w in zip(texts, words, strict=True)]
+        return [self._label(t, p, w) if w else ("und", 0.0, []) for t, p, w in zip(texts, patterns, words, strict=True)]
 
-    def _label(self, text: str, words: list[str]) -> tuple[str, float, list[tuple[int, int, str]]]:
+    def _label(self, text: str, pattern: re.Pattern[str], words: list[str]) -> tuple[str, float, list[tuple[int, int, str]]]:
         langs = self.model.langs
         path = best_path(self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))])
         letters = np.bincount(path, weights=np.fromiter(map(len, words), np.int64, len(words)), minlength=len(langs))
@@ -173,7 +183,7 @@ class Labeller:
         if len(cuts) == 2:  # the first letter to the last
             spans = [(text.index(words[0]), text.rindex(words[-1]) + len(words[-1]), langs[best])]
         else:
-            places = [m.span() for m in LETTERS.finditer(text)]
+            places = [m.span() for m in pattern.finditer(text)]
             spans = [(places[i][0], places[j - 1][1], langs[path[i]]) for i, j in zip(cuts, cuts[1:], strict=False)]
         return langs[best], float(letters[best] / letters.sum()), spans
 
@@ -199,8 +209,9 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """(doc_id, lang_pred, score, spans) of every row.
 
     lang_pred is the language of most letters (of equally many the first by name), score its share of the letters, spans the runs
-    of words of one language in code points, end exclusive. A text that is null, empty or without letters is `und` with score 0
-    and no spans, and so is every text if nothing was learned. Repeated rows are labelled alike; other columns are ignored.
+    of words of one language in code points, end exclusive. A text that is null, empty or without letters (numerals such as ½ are none) is `und` with
+    score 0 and no spans, and so is every text if nothing was learned. Texts of any length are read whole. Repeated rows are labelled alike; other
+    columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -159,10 +159,10 @@ PLACE = "row long, starts array<long>, lengths array<long>, sequences array<long
 def places(lengths: DataFrame, capacity: int = LENGTH, min_gap: int = MIN_GAP, buckets: int = BUCKETS) -> DataFrame:
     """For rows (row, n): the pieces of each, as arrays starts, lengths, sequences and offsets."""
     parts = lengths.select("row", F.floor(F.col("n") / capacity).alias("whole"), (F.col("n") % capacity).cast("int").alias("rest"), F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int").alias("bucket"))
-    counts = parts.groupBy("rest", "bucket").agg(F.count("*").alias("docs"), F.sum("whole").alias("whole")).collect()  # at most capacity x buckets rows
+    counts = parts.groupBy("rest", "bucket").agg(F.count("*").alias("docs"), F.sum("whole").alias("whole")).toArrow()  # at most capacity x buckets rows
     docs, whole = np.zeros((capacity, buckets), np.int64), np.zeros((capacity, buckets), np.int64)
-    for c in counts:
-        docs[c.rest, c.bucket], whole[c.rest, c.bucket] = c.docs, c.whole
+    rest, bucket, n, n_whole = (counts.column(i).to_numpy() for i in range(4))
+    docs[rest, bucket], whole[rest, bucket] = n, n_whole
     placed, packs = plan({i: int(n) for i, n in enumerate(docs.sum(1)) if i and n}, capacity, min_gap)
     first_rank = np.cumsum(docs, axis=1) - docs
     first_whole = packs + (np.cumsum(whole) - whole.ravel()).reshape(whole.shape)
@@ -237,8 +237,8 @@ def pack(tokens: DataFrame, capacity: int = LENGTH, min_gap: int = MIN_GAP, chec
 def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents with a checksum instead of the ids.
 
-    A null text counts as empty and gives one id, the end. Rows without doc_id and repeated rows are packed like any other;
-    other columns are ignored.
+    A null text counts as empty and gives one id, the end. Texts of any length are encoded whole and cut into pieces. Rows without doc_id and
+    repeated rows are packed like any other; other columns are ignored; an empty table gives no pieces.
     """
     return pack(written(encoded(docs, tokenizer, doc_id, text)), checksums=True)
 
@@ -248,5 +248,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of all documents."""
+    """Pipeline stage, the last: the pieces of all documents, as `packed` gives them: its cases hold here too."""
     return packed(docs, public_tokenizers.path("byte_bpe_50k.json"))

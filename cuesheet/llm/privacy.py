@@ -1,12 +1,17 @@
 """Personal data: patterns for protected values, and terms that give them away, with DataFrame functions only.
 
-Protected values are found by pattern. A term (a word of at least TERM_LETTERS letters) within WINDOW characters of a value is its
-company. Everything is counted in distinct texts, so that copies of a document are one piece of evidence: with N of them, n(c) that
-hold value c, n(t) that hold term t and n(c,t) in which c has t in its company, a term discloses
+Protected values are found by pattern. A value stands for several entities: itself, and the part of it that other values share (an address's
+host, an IP's network, a card's issuer, a phone's area). A term (a word of at least TERM_LETTERS letters) within WINDOW characters of a
+value, or in the name part of an e-mail address, is its company. Everything is counted in distinct texts, so that copies of a
+document are one piece of evidence: with N of them, n(c) that hold entity c, n(t) that hold term t and n(c,t) in which c has t in its company, a
+term discloses
     log(n(c,t) N / (n(c) n(t))) / log(N / n(c))
 of what there is to know about c: their pointwise mutual information over c's information content, 1 for a term never seen
-without c. A term seen with a value in SUPPORT different surroundings or more that discloses DISCLOSED or more is itself personal
-data: each of its occurrences is a span of kind `term`, to be generalised like the values themselves.
+without c. Two kinds of evidence make a term personal data itself:
+- it was seen with an entity in SUPPORT different surroundings or more, and discloses DISCLOSED or more of it;
+- it was seen with a whole value, if only once (most values occur once), is rare, in at most one text of RARE, and discloses SINGLE or more. In a
+  corpus of fewer than RARE texts no term is known to be rare, and this rule is silent.
+Each occurrence of such a term outside the values is a span of kind `term`. `sanitised` generalises values and terms to their kind.
 
 The patterns mean what the plain ones in PLAIN mean, leftmost and non-overlapping, but can't go back over a long run of characters.
 """
@@ -34,7 +39,7 @@ PATTERNS = {
     "phone": PLAIN["phone"],
 }
 KINDS = (*PLAIN, "term")
-WINDOW, TERM_LETTERS, SUPPORT, DISCLOSED = 60, 3, 3, 0.7
+WINDOW, TERM_LETTERS, SUPPORT, DISCLOSED, SINGLE, RARE = 60, 3, 3, 0.7, 0.9, 1000
 TERM = rf"\p{{L}}{{{TERM_LETTERS},}}"
 
 
@@ -98,57 +103,75 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(keyed)
 
 
+def entities(kind: Column, value: Column) -> Column:
+    """The value, and the part of it that others share, each with its kind."""
+    parts = F.array(F.substring_index(F.lower(value), "@", -1), F.substring_index(value, ".", 3), F.substring(digits(value), 1, 6), F.substring(digits(value), 1, 6))
+    return F.array(F.concat_ws(":", kind, F.lower(value)), F.concat_ws("/", kind, F.element_at(parts, kind + 1)))
+
+
 def surroundings(text: Column, spans: Column) -> Column:
-    """Of each value its company: the distinct terms on either side, and a hash of both sides."""
+    """Of each value its company: the distinct terms on either side and in an address's name, and a hash of both sides."""
 
     def one(s: Column) -> Column:
         first = F.greatest(F.lit(0), s["start"] - WINDOW)
         left = F.substring(text, first + 1, s["start"] - first)
         left = F.when(first > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
         right = F.regexp_replace(F.substring(text, s["end"] + 1, F.lit(WINDOW)), r"\p{L}+$", "")
-        terms = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(TERM), F.lit(0)))
-        return F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("value"), F.xxhash64(left, right).alias("around"), terms.alias("terms"))
+        name = F.when(s["kind"] == 0, F.substring_index(s["value"], "@", 1))
+        terms = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right, name)), F.lit(TERM), F.lit(0)))
+        return F.struct(entities(s["kind"], s["value"]).alias("entities"), F.xxhash64(left, right).alias("around"), terms.alias("terms"))
 
     return F.transform(spans, one)
 
 
-def revealing_terms(found: DataFrame, rows: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(term, value, disclosure) from rows (copy, company) and documents (text); copy is the hash of a text."""
+def revealing_terms(found: DataFrame, rows: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED, single: float = SINGLE, rare: int = RARE) -> DataFrame:
+    """(term, entity, disclosure) from rows (copy, company) and documents (text); copy is the hash of a text."""
     copy = F.xxhash64("text").alias("copy")
     n_docs = rows.select(copy).distinct().count()
-    company = found.select("copy", F.explode("company").alias("c")).select("copy", "c.value", "c.around", "c.terms").dropDuplicates(["value", "around", "copy"])
-    enough = F.count_distinct("around") >= support
-    values = company.groupBy("value").agg(F.count_distinct("copy").alias("n_c"), enough.alias("enough")).where("enough").drop("enough")
-    pairs = company.select("copy", "value", "around", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count_distinct("copy").alias("n_ct"), enough.alias("enough")).where("enough").drop("enough")
-    candidates = written(pairs.join(values, "value"))
+    company = found.select("copy", F.explode("company").alias("c")).select("copy", F.posexplode("c.entities").alias("part", "entity"), "c.around", "c.terms").dropDuplicates(["entity", "around", "copy"])
+    # entities and pairs are aggregated in tasks first, so a very common one is a row for each task and surroundings
+    seen = lambda *keys: company.groupBy(*keys).agg(F.count_distinct("copy").alias("n"), F.count_distinct("around").alias("places"))
+    values = seen("entity").select("entity", F.col("n").alias("n_c"))
+    by_term = company.withColumn("term", F.explode("terms")).groupBy("entity", "part", "term").agg(F.count_distinct("copy").alias("n_ct"), F.count_distinct("around").alias("places"))
+    candidates = written(by_term.where((F.col("places") >= support) | (F.col("part") == 0)).join(values, "entity").where(F.col("n_c") < n_docs))
     if candidates.isEmpty():
-        return candidates.select("term", "value", F.lit(0.0).alias("disclosure"))
+        return candidates.select("term", "entity", F.lit(0.0).alias("disclosure"))
     words = rows.select(copy, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     held = words.join(candidates.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log(F.col("n_ct") * n_docs / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(n_docs) / F.col("n_c"))
-    return candidates.join(held, "term").where(F.col("n_c") < n_docs).select("term", "value", F.least(share, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= disclosed)
+    judged = candidates.join(held, "term").withColumn("disclosure", F.least(share, F.lit(1.0)))
+    often = (F.col("places") >= support) & (F.col("disclosure") >= disclosed)
+    once = (F.col("part") == 0) & (F.col("n_t") * rare <= n_docs) & (F.col("disclosure") >= single)
+    return judged.where(often | once).select("term", "entity", "disclosure")
+
+
+PLACED = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
-def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(row, doc_id, base, added) of every row: the spans of values, and of terms that disclose them.
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED, single: float = SINGLE, rare: int = RARE) -> DataFrame:
+    """(row, doc_id, base, added, clean) of every row: the spans of values, of terms that disclose them, and the text with both generalised.
 
     Spans are structs (start, kind, end, value), kind a number in KINDS, in code points with the end exclusive, in order. Null texts
-    count as empty and have none. Repeated rows are treated alike; rows without doc_id are rows like any other; other columns are
-    ignored; an empty table gives no rows.
+    count as empty and have none. Texts of any length are read whole. Repeated rows are treated alike; rows without doc_id are rows like
+    any other; other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    spans = rows.select("row", "doc_id", "text", base_spans(F.col("text")).alias("base"))
-    found = written(spans.select("row", "doc_id", F.xxhash64("text").alias("copy"), "base", surroundings(F.col("text"), F.col("base")).alias("company")))
-    terms = written(revealing_terms(found, rows, support, disclosed).select("term").distinct())
-    none = F.array().cast("array<struct<start: int, kind: int, end: int, value: string>>")
-    if terms.isEmpty():
-        return found.select("row", "doc_id", "base", none.alias("added"))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")))
+    spans = rows.select("row", "text", base_spans(F.col("text")).alias("base")).where("size(base) > 0")
+    found = written(spans.select("row", F.xxhash64("text").alias("copy"), "base", surroundings(F.col("text"), F.col("base")).alias("company")))
+    terms = written(revealing_terms(found, rows, support, disclosed, single, rare).select("term").distinct())
     held = rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term")
-    by_row = written(held.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    by_row = held.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    marks = written(found.select("row", "base").join(by_row, "row", "full"))
+    # a row without values and terms has nothing to be joined
+    both = rows.join(marks, "row", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    placed = rows.join(by_row, "row").select("row", matches(F.col("text"), pattern, len(PLAIN)).alias("added"))
-    placed = placed.select("row", F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))).alias("added"))
-    return found.join(placed, "row", "left").select("row", "doc_id", "base", F.coalesce("added", none).alias("added"))
+    none = F.array().cast(PLACED)
+    base = F.coalesce("base", none)
+    added = F.transform(matches(F.col("text"), pattern, len(PLAIN)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    apart = F.filter(added, lambda s: ~F.exists("base", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+    made = both.select("row", "doc_id", "text", base.alias("base"), F.when(F.col("terms").isNull(), none).otherwise(F.coalesce(apart, none)).alias("added"))
+    spans = F.concat("base", "added")
+    return made.withColumn("clean", F.when(F.size(spans) > 0, sanitised(F.col("text"), spans)).otherwise(F.col("text"))).drop("text")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -173,4 +196,5 @@ def listed(spans: Column) -> Column:
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(PLAIN)]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    spans = listed(F.array_sort(F.concat("base", "added"))).alias("spans")
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), spans, F.size("added").cast("long").alias("n_term"), F.sha2("clean", 256).alias("clean_sha256"))

@@ -193,8 +193,8 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
 def judge(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, kept) of every row; score is the probability that the text is good, kept that it reaches `threshold`.
 
-    Null and empty texts are scored alike, by the scorer; repeated rows score alike; other columns are ignored. With nothing
-    learned every score is one half, and all are kept.
+    Null and empty texts are scored alike, by the scorer; texts of any length are read whole; repeated rows score alike; other columns are
+    ignored; an empty table gives no rows. With nothing learned every score is one half, and all are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -212,7 +212,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier keeps stay."""
+    """Pipeline stage: documents that the classifier keeps stay.
+
+    A null text counts as empty, and empty texts are scored like any other; texts of any length are read whole. Repeated rows and rows without
+    doc_id are judged by their text. Other columns, whatever their names, go with the row unchanged. An empty table stays empty.
+    """
     model = spark.sparkContext.broadcast(learn(only(docs, "doc_id", "text")))
     at = docs.columns.index("text")
 

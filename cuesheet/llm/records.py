@@ -5,8 +5,8 @@ payload. All numbers are little-endian. A checksum is zlib's CRC-32, rotated rig
 checksum of data that hold checksums isn't trivial. The payload is a document's ids as unsigned 16-bit integers. The index file
 beside it has a row for each record: doc_id, whether there is one, offset of the record, number of ids.
 
-Shards are written inside the tasks, under a name of their attempt first, and renamed when complete: a repeated task
-replaces a shard by the same bytes.
+A task writes its range of documents as shards of SHARD_BYTES, or one record more, and keeps no more of their index than a buffer. Files get
+a name of their attempt first and are renamed when complete: a repeated task replaces a shard by the same bytes.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import only, shared_dir, table, written
+from cuesheet.llm.common import WRITTEN, only, shared_dir, table, written
 from cuesheet.llm.tokens import Encoder, batches_of
 
 END = 2
 #: of the checksum's mask, as in TFRecord files
 MASK = 0xA282EAD8
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("n_tokens", "<u4")])
-SUMMARY = "shard int, records long, n_tokens long, bytes long, path string"
+SUMMARY = "shard long, records long, n_tokens long, bytes long, path string"
+SHARD_BYTES, BUFFERED, SHOWN = 256 << 20, 4096, 64
 
 
 def masked(data: bytes) -> int:
@@ -60,65 +61,86 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:").replace("//", "/") if uri.startswith(("file:", "/")) else uri)
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """Writes the shards and returns (shard, records, n_tokens, bytes, path), a row for each.
-
-    Documents are in ascending doc_id order over all shards, those without doc_id first, equal ids by text. A null text counts
-    as empty and gives the end id alone. `tokenizer` is a path that every executor can open. Other columns are ignored;
-    an empty table gives no shards.
+class Shard:
+    """A shard that is being written: the records, and beside them the index."""
+
+    def __init__(self, folder: str, name: str, attempt: int) -> None:
+        self.files, base = store(folder)
+        self.files.create_dir(base, recursive=True)
+        self.path, self.at, self.attempt = f"{folder}/{name}", f"{base}/{name}", attempt
+        self.out, self.idx = (self.files.open_output_stream(f"{self.at}.{kind}.{attempt}", buffer_size=1 << 20) for kind in ("rec", "idx"))
+        self.index, self.records, self.n_tokens, self.offset = [], 0, 0, 0
+
+    def add(self, key: int | None, payload: bytes) -> None:
+        record, n = frame(payload), len(payload) // 2
+        self.out.write(record)
+        self.index.append((key or 0, key is not None, self.offset, n))
+        self.records, self.n_tokens, self.offset = self.records + 1, self.n_tokens + n, self.offset + len(record)
+        if len(self.index) == BUFFERED:
+            self.flush()
+
+    def flush(self) -> None:
+        self.idx.write(np.array(self.index, INDEX).tobytes())
+        self.index = []
+
+    def close(self, number: int) -> pa.RecordBatch:
+        self.flush()
+        for x, kind in ((self.idx, "idx"), (self.out, "rec")):
+            x.close()
+            self.files.move(f"{self.at}.{kind}.{self.attempt}", f"{self.at}.{kind}")
+        columns = [(number, pa.int64()), (self.records, pa.int64()), (self.n_tokens, pa.int64()), (self.offset, pa.int64()), (self.path, pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], names=["shard", "records", "n_tokens", "bytes", "path"])
+
+
+def write_records(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards and returns (shard, records, n_tokens, bytes, path), a row for each; the number `shard` counts up with the documents.
+
+    Documents are in ascending doc_id order over all shards, those without doc_id first, equal ids by the first SHOWN characters of their text and
+    then as they come; so the rows of one id, however many, may be dealt to several tasks. A null text counts as empty and gives the end id alone.
+    Texts of any length are encoded whole. `tokenizer` is a path that every executor can open. Other columns are ignored; an empty
+    table gives no shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        files, base = store(folder)
-        name, encode, index, offset, closing = f"{base}/shard-{at:08d}", None, [], 0, np.array([end], "<u2").tobytes()
-        out = None
+        encode, part_nr, shard, closing = None, 0, None, np.array([end], "<u2").tobytes()
         for part in batches_of(batches, 1):
             encode = encode or Encoder(tokenizer, blanks_dropped=True)
             for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
-                if out is None:
-                    files.create_dir(base, recursive=True)
-                    out = files.open_output_stream(f"{name}.rec.{attempt}", buffer_size=1 << 20)
-                record = frame(ids + closing)
-                out.write(record)
-                index.append((key or 0, key is not None, offset, len(ids) // 2 + 1))
-                offset += len(record)
-        if out is None:
-            return
-        out.close()
-        rows = np.array(index, INDEX)
-        with files.open_output_stream(f"{name}.idx.{attempt}") as x:
-            x.write(rows.tobytes())
-        for kind in ("idx", "rec"):
-            files.move(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
-        columns = [[at], [len(rows)], [int(rows["n_tokens"].sum())], [offset], [f"{folder}/shard-{at:08d}"]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "records", "n_tokens", "bytes", "path"])
-
-    rows = only(docs, doc_id, text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(run, SUMMARY))
+                shard = shard or Shard(folder, f"shard-{at:08d}-{part_nr:06d}", attempt)
+                shard.add(key, ids + closing)
+                if shard.offset >= shard_bytes:
+                    yield shard.close(at << 32 | part_nr)
+                    shard, part_nr = None, part_nr + 1
+        if shard is not None:
+            yield shard.close(at << 32 | part_nr)
+
+    rows = only(docs, doc_id, text).withColumns({"head": F.substring("text", 1, SHOWN), "nr": F.monotonically_increasing_id()})
+    order = ("doc_id", "head", "nr")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    WRITTEN.append(folder)
+    return written(dealt.mapInArrow(run, SUMMARY))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for start, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             files, name = store(path)
-            with files.open_input_file(f"{name}.idx") as x:
-                index = np.frombuffer(x.read(), INDEX)
-            before = start + np.concatenate(([0], np.cumsum(index["n_tokens"], dtype=np.int64)))[:-1]
-            with files.open_input_file(f"{name}.rec") as x:
-                for i in range(0, len(index), 4096):
-                    some = index[i : i + 4096]
-                    first = int(some["offset"][0])
-                    last = int(index["offset"][i + 4096]) if i + 4096 < len(index) else x.size()
-                    x.seek(first)
-                    data, crcs = memoryview(x.read(last - first)), []
+            with files.open_input_stream(f"{name}.idx") as index, files.open_input_stream(f"{name}.rec", buffer_size=1 << 20) as records:
+                at = 0
+                while data := index.read(INDEX.itemsize * BUFFERED):
+                    some, crcs = np.frombuffer(data, INDEX), []
                     for offset, n in zip(some["offset"].tolist(), some["n_tokens"].tolist(), strict=True):
-                        ids = np.frombuffer(unframe(data, offset - first)[0], "<u2")
-                        if len(ids) != n:
-                            raise ValueError(f"{path}: the index has {n} ids at byte {offset}, the record {len(ids)}")
-                        crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                        payload, size = unframe(memoryview(records.read(2 * n + 16)), 0)
+                        if offset != at or len(payload) != 2 * n:
+                            raise ValueError(f"{path}: the index has {n} ids at byte {offset}, the record {len(payload) // 2} at {at}")
+                        crcs.append(zlib.crc32(np.frombuffer(payload, "<u2").astype("<u4").tobytes()))
+                        at += size
+                    sizes = some["n_tokens"].astype(np.int64)
+                    before = start + np.cumsum(sizes) - sizes
+                    start += int(sizes.sum())
                     ids = pa.array(some["doc_id"].copy(), mask=some["known"] == 0)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(before[i : i + 4096]), pa.array(some["n_tokens"].astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(before), pa.array(sizes), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(shards: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import settled, table
+from cuesheet.llm.common import settled, table, written
 
 BITS = 60
 SHARD_BYTES = 16 << 20
@@ -66,21 +66,33 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_id", tex
     such a shard. Rows with one id share a shard; rows without id count as one id. Other columns are ignored; an empty
     table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(doc_id)).alias("h"))
-    rows = settled(rows)
+    return placed(settled(sized(docs, doc_id, text)), limit).drop("h")
+
+
+def sized(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
+    """(doc_id, bytes, h) of every row, and more columns."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(doc_id)).alias("h"), *more)
+
+
+def placed(rows: DataFrame, limit: int) -> DataFrame:
+    """Adds shard, depth, shard_bytes and fits to rows (h, bytes), a table that is read twice."""
     leaves = settled(directory(rows.select("h", "bytes"), limit))
     depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # at most 61
     named = rows.withColumn("depth", F.explode(F.lit(depths).cast("array<int>"))) if depths else rows.withColumn("depth", F.lit(0))
     named = named.withColumn("prefix", shifted("h", BITS - F.col("depth")))
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"right(lpad(bin(prefix), {BITS}, '0'), depth)"))
-    return named.join(leaves, ["depth", "prefix"]).select("doc_id", "bytes", bits.alias("shard"), "depth", "shard_bytes", "fits")
+    return named.join(leaves, ["depth", "prefix"]).select(*rows.columns, bits.alias("shard"), "depth", "shard_bytes", "fits")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes (doc_id, text) as Parquet with a folder for each shard."""
-    found = shard(docs, limit, doc_id, text).select(F.col("doc_id").alias("key"), "shard").distinct()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows.join(found, F.col("doc_id").eqNullSafe(F.col("key"))).drop("key").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes every row's doc_id and text as Parquet, with a folder for each shard.
+
+    A folder's name is `shard=b` and the bits, so that a reader takes no prefix for a number and the one shard of a small table has a name too. Repeated
+    rows are written as often as they come; null ids and texts stay null; other columns are left out; an empty table gives no folders.
+    """
+    rows = written(sized(docs, doc_id, text, F.col(text).alias("text")))
+    found = placed(rows, limit).select("doc_id", "text", F.concat(F.lit("b"), "shard").alias("shard"))
+    found.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

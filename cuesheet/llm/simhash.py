@@ -141,9 +141,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     made = written(fingerprints(docs, doc_id, text, size))
     nodes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(nodes.select("fp"), group_limit)).withColumnsRenamed({"node": "fp"})
-    rooted = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
+    rooted = written(nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    # both sides of these joins are tables, so that Spark can split the part of a root or fingerprint that very many rows share
+    by_fp = written(rooted.join(named, "root").select("fp", "component_id"))
     return made.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 

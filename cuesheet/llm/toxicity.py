@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import only, remainder, settled, table
+from cuesheet.llm.common import only, remainder, table, written
 
 TOKEN = re.compile(r"[^\W\d_]+")
 TOKENS, SAMPLE, PRIOR, DEVIATIONS, DRIFT, SIGNIFICANT, THRESHOLD, REMEMBERED = 1 << 18, 10_000, 2000.0, 4.0, 0.25, 0.01, 0.7, 500_000
@@ -106,14 +106,15 @@ class Model:
     def __init__(self, counts: np.ndarray) -> None:
         self.weights, self.rate, self.log_k, self.curve = weights(counts), 1.0, 0.0, (-4.0, 1.0)
 
-    def fit(self, rows: list[tuple[int, list[float], int]], moments: np.ndarray) -> None:
-        """Lambda, K and the curve from (label, best segments' scores, tokens) and clean texts' moments in the learning sample."""
+    def fit_rivals(self, best: np.ndarray, n: np.ndarray, moments: np.ndarray) -> None:
+        """Lambda and K from clean texts' best segments, tokens and moments in the learning sample."""
         self.rate = growth_rate(moments)
         # clean texts' best scores follow exp(-K n exp(-lambda S)); the likeliest K by its closed form
-        hazard = [n * math.exp(-self.rate * (s[0] if s else 0.0)) for label, s, n in rows if label == 0 and n]
-        self.log_k = math.log(len(hazard) / sum(hazard)) if hazard and sum(hazard) > 0 else 0.0
-        x = np.array([self.evidence(s, n) for _, s, n in rows])
-        y = np.array([float(label) for label, _, _ in rows])
+        hazard = n * np.exp(-self.rate * best)
+        self.log_k = math.log(len(hazard) / hazard.sum()) if hazard.sum() > 0 else 0.0
+
+    def fit_curve(self, x: np.ndarray, y: np.ndarray) -> None:
+        """The curve from the evidence and the labels of the learning sample."""
         a, b = self.curve
         if 0 < y.sum() < len(y):
             a, b = logistic(np.minimum(x, 40.0), y)
@@ -142,6 +143,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * min(evidence, 40.0)))))
 
 
+def moments_of(w: np.ndarray) -> np.ndarray:
+    """Sums of exp(rate x weight) over a text's tokens, for each of RATES."""
+    total = np.zeros(len(RATES))
+    for i in range(0, len(w), 4096):
+        total += np.exp(np.outer(RATES, w[i : i + 4096])).sum(1)
+    return total
+
+
 class Scanner:
     def __init__(self, table: np.ndarray) -> None:
         self.table, self.known = table, {}
@@ -170,15 +179,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0, some]), pa.array(total[1, some])], names=["bucket", "clean", "toxic"])
 
 
-TOP = 32  # segments of a text that its evidence looks at
-
-
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From documents (doc_id, text) and labels (doc_id, toxic 0 or 1); of conflicting labels of a document 1 counts."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     # at most 2 x sample rows of two numbers
-    rows = settled(docs.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "toxic", "text"))
+    rows = written(docs.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "toxic", "text"))
     found = rows.mapInArrow(_counted, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # at most TOKENS rows
     counts = np.zeros((2, TOKENS), np.int64)
     counts[:, found.column(0).to_numpy()] = (found.column(1).to_numpy(), found.column(2).to_numpy())
@@ -189,15 +195,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         scan_ = Scanner(table_.value)
         for b in batches:
             made = [scan_(x.as_py()) for x in b.column(2)]
-            best = [sorted((s for _, _, s in x[1]), reverse=True)[:TOP] for x in made]
-            moments = [np.exp(np.outer(RATES, x[0])).sum(1).tolist() for x in made]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(best, pa.list_(pa.float64())), pa.array([len(x[0]) for x in made], pa.int64()), pa.array(moments, pa.list_(pa.float64()))], names=["label", "best", "n", "moments"])
-
-    found = rows.mapInArrow(scan, "label int, best array<double>, n long, moments array<double>").toArrow()  # 2 x sample rows at most
-    labels_, best, n, moments = (found.column(i).to_pylist() for i in range(4))
-    clean = [i for i, x in enumerate(labels_) if x == 0]
-    if clean and any(n[i] for i in clean):
-        model.fit(list(zip(labels_, best, n, strict=True)), np.sum([moments[i] for i in clean], axis=0) / sum(n[i] for i in clean))
+            scores = [sorted((s for _, _, s in x[1]), reverse=True) for x in made]
+            moments = [moments_of(x[0]).tolist() for x in made]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(scores, pa.list_(pa.float64())), pa.array([len(x[0]) for x in made], pa.int64()), pa.array(moments, pa.list_(pa.float64()))], names=["label", "scores", "n", "moments"])
+
+    scanned = written(rows.mapInArrow(scan, "label int, scores array<double>, n long, moments array<double>"))
+    clean = scanned.where("label = 0 and n > 0").select(F.coalesce(F.try_element_at("scores", F.lit(1)), F.lit(0.0)), "n", "moments").toArrow()  # `sample` rows at most
+    if not clean.num_rows:
+        return model
+    n = clean.column(1).to_numpy().astype(float)
+    model.fit_rivals(clean.column(0).to_numpy(), n, np.sum(clean.column(2).to_pylist(), axis=0) / n.sum())
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [model.evidence(s, k) for s, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["label", "evidence"])
+
+    weighed = scanned.select("label", "scores", "n").mapInArrow(weigh, "label int, evidence double").toArrow()  # 2 x sample rows at most
+    model.fit_curve(weighed.column(1).to_numpy(), weighed.column(0).to_numpy().astype(float))
     return model
 
 
@@ -208,8 +223,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """(doc_id, score, evidence, passages) of every row: the probability of label 1, and the significant toxic passages.
 
     Passages are in code points, end exclusive. Null and empty texts, and those without a word, have the score of no evidence
-    and no passages. Repeated rows score alike; other columns are ignored; without labels all weights are equal and no text has a
-    passage.
+    and no passages. Texts of any length are scanned whole and all their segments count. Repeated rows score alike; other columns are ignored; an
+    empty table gives no rows; without labels all weights are equal and no text has a passage.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -222,7 +237,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             for value in b.column(1):
                 text = value.as_py()
                 w, found = scan(text)
-                evidence = model.evidence(sorted((s for _, _, s in found), reverse=True)[:TOP], len(w))
+                evidence = model.evidence(sorted((s for _, _, s in found), reverse=True), len(w))
                 some = [x for x in found if model.excess(x[2], len(w)) > -math.log(SIGNIFICANT)]
                 places = [m.span() for m in TOKEN.finditer(text)] if some else []
                 out.append((model.score(evidence), evidence, [{"start": places[i][0], "end": places[j - 1][1], "score": s} for i, j, s in some]))

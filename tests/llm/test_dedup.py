@@ -118,3 +118,49 @@ def test_empty_tables(empty):
     assert exact.copies(empty).count() == 0
     assert simhash.near_groups(empty).count() == 0
     assert sharding.shard(empty).count() == 0
+
+
+@pytest.mark.parametrize("limit", [10, 5000, 10**9])
+def test_written_shards(spark, odd, rows, tmp_path, limit):
+    sharding.write_shards(odd, str(tmp_path / "s"), limit)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    by_id = {d: s for d, _, s, *_ in plain_shards(rows, limit)}
+    want = sorted((str(d), str(t), "b" + by_id[str(d)]) for d, t in rows)
+    assert sorted((str(r.doc_id), str(r.text), r.shard) for r in got.collect()) == want
+
+
+def test_tables_can_be_cleared(spark, odd):
+    from pathlib import Path
+
+    from cuesheet.llm import common
+
+    assert exact.copies(odd).count() == odd.count() and common.WRITTEN
+    paths = [Path(p.removeprefix("file:")) for p in common.WRITTEN if "table-" in p]
+    assert any(p.exists() for p in paths)
+    common.clear(spark)
+    assert not any(p.exists() for p in paths) and not common.WRITTEN
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from cuesheet.llm import common
+
+    def session(master):
+        held = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: held[-1] if held else None, setCheckpointDir=held.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+
+    assert common.shared_dir(session("local[4]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))
+
+
+def test_chunks_are_cut_by_content(spark):
+    """Without ends of sentences too: after a change near the start, the last chunks are as before."""
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(20_000))
+    df = spark.createDataFrame([(0, text), (1, "more " + text)], "row long, text string").select("row", exact.chunks(F.col("text")).alias("c"))
+    a, b = (r.c for r in df.orderBy("row").collect())
+    assert a[-1] == b[-1] and len(set(a) & set(b)) > len(a) / 2 and max(map(len, a[:-1])) < exact.CHUNK_MIN + 20

@@ -53,6 +53,18 @@ def test_records(odd, rows, tmp_path):
         start += len(ids)
 
 
+def test_small_shards_hold_their_bound(odd, rows, tmp_path):
+    encode = whole(WORD)
+    shards = records.write_records(odd, str(tmp_path / "r"), WORD, shard_bytes=50)
+    made = shards.collect()
+    assert len(made) > 5 and all(x.bytes - 50 < 16 + 2 * max(len(encode(t or "")) + 1 for _, t in rows) for x in made)
+    assert sum(x.records for x in made) == len(rows)
+    got = sorted(records.read_digests(shards).collect(), key=lambda r: r.start)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert [(r.doc_id, r.ids_crc32) for r in got] == [(d, crc([*encode(t or ""), 2])) for d, t in order]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+
+
 def test_damage_is_found(odd, tmp_path):
     shards = records.write_records(odd, str(tmp_path / "r"), WORD).collect()
     path = shards[0].path + ".rec"
@@ -88,6 +100,30 @@ def test_packing(odd, rows):
         assert zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes()) in want
 
 
+def test_checksums_of_pieces(odd, rows):
+    """The query's form: checksums of each piece's ids instead of the ids."""
+    encode = whole(BYTE)
+    texts = [(d, [*encode(t or ""), 0]) for d, t in rows]
+    pieces = packing.packed(odd, BYTE).collect()
+    assert all((d, p.doc_tokens) == (p.doc_id, len(ids)) for p in pieces for d, ids in [next(x for x in texts if x[0] == p.doc_id and len(x[1]) == p.doc_tokens)])
+    left = sorted((str(d), len(ids)) for d, ids in texts)
+    for p in pieces:
+        assert any(d == p.doc_id and p.ids_crc32 == crc(ids[p.start : p.start + p.length]) for d, ids in texts)
+        if p.start == 0:
+            left.remove((str(p.doc_id), p.doc_tokens))
+    assert not left
+    used = defaultdict(list)
+    for p in pieces:
+        used[p.sequence_id].append((p.offset, p.length))
+    for x in used.values():
+        ends = 0
+        for offset, n in sorted(x):
+            assert offset == ends and n > 0
+            ends += n
+        assert ends <= packing.LENGTH
+    assert len(used) <= sum(len(ids) for _, ids in texts) / packing.LENGTH * 1.05 + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 63), st.integers(1, 60), min_size=1, max_size=25), st.integers(1, 8))
 def test_plan_places_every_id_once(histogram, min_gap):
