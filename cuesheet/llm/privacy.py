@@ -11,7 +11,8 @@ without c. Two kinds of evidence make a term personal data itself:
 - it was seen with an entity in SUPPORT different surroundings or more, and discloses DISCLOSED or more of it;
 - it was seen with a whole value, if only once (most values occur once), is rare, in at most one text of RARE, and discloses SINGLE or more. In a
   corpus of fewer than RARE texts no term is known to be rare, and this rule is silent.
-Each occurrence of such a term outside the values is a span of kind `term`. `sanitised` generalises values and terms to their kind.
+Each occurrence of such a term outside the values, on single evidence in the texts that hold the value, on repeated evidence in any text, is a
+span of kind `term`. `sanitised` generalises values and terms to their kind.
 
 The patterns mean what the plain ones in PLAIN mean, leftmost and non-overlapping, but can't go back over a long run of characters.
 """
@@ -19,6 +20,8 @@ The patterns mean what the plain ones in PLAIN mean, leftmost and non-overlappin
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,54 +127,80 @@ def surroundings(text: Column, spans: Column) -> Column:
     return F.transform(spans, one)
 
 
-def revealing_terms(found: DataFrame, rows: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED, single: float = SINGLE, rare: int = RARE) -> DataFrame:
-    """(term, entity, disclosure) from rows (copy, company) and documents (text); copy is the hash of a text."""
-    copy = F.xxhash64("text").alias("copy")
-    n_docs = rows.select(copy).distinct().count()
-    company = found.select("copy", F.explode("company").alias("c")).select("copy", F.posexplode("c.entities").alias("part", "entity"), "c.around", "c.terms").dropDuplicates(["entity", "around", "copy"])
-    # entities and pairs are aggregated in tasks first, so a very common one is a row for each task and surroundings
-    seen = lambda *keys: company.groupBy(*keys).agg(F.count_distinct("copy").alias("n"), F.count_distinct("around").alias("places"))
-    values = seen("entity").select("entity", F.col("n").alias("n_c"))
-    by_term = company.withColumn("term", F.explode("terms")).groupBy("entity", "part", "term").agg(F.count_distinct("copy").alias("n_ct"), F.count_distinct("around").alias("places"))
-    candidates = written(by_term.where((F.col("places") >= support) | (F.col("part") == 0)).join(values, "entity").where(F.col("n_c") < n_docs))
+#: two hashes that name a text
+KEY = ["h1", "h2"]
+#: of the bitmap of terms: bits for each term, places of a term, and the most bits as a power of two
+TERM_BITS, TERM_PLACES, MOST_BITS = 64, 4, 26
+
+
+def revealing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED, single: float = SINGLE, rare: int = RARE) -> DataFrame:
+    """(term, entity, disclosure, often) from distinct texts (h1, h2, text) and their company (h1, h2, company); often: by repeated evidence."""
+    n_docs = texts.count()
+    company = found.select(*KEY, F.explode("company").alias("c")).select(*KEY, F.posexplode("c.entities").alias("part", "entity"), "c.around", "c.terms").dropDuplicates(["entity", "around", *KEY])
+    # distinct counts are put together in tasks first, so that a very common entity is a row for each task, text and surroundings
+    values = company.select("entity", *KEY).distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    pairs = company.select("entity", "part", F.explode("terms").alias("term"), *KEY, "around").groupBy("entity", "part", "term").agg(F.count_distinct(*KEY).alias("n_ct"), F.count_distinct("around").alias("places"))
+    candidates = written(pairs.where((F.col("places") >= support) | (F.col("part") == 0)).join(values, "entity").where(F.col("n_c") < n_docs))
     if candidates.isEmpty():
-        return candidates.select("term", "entity", F.lit(0.0).alias("disclosure"))
-    words = rows.select(copy, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = words.join(candidates.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+        return candidates.select("term", "entity", F.lit(0.0).alias("disclosure"), F.lit(True).alias("often"))
+    held = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log(F.col("n_ct") * n_docs / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(n_docs) / F.col("n_c"))
-    judged = candidates.join(held, "term").withColumn("disclosure", F.least(share, F.lit(1.0)))
+    judged = held.join(candidates, "term").withColumn("disclosure", F.least(share, F.lit(1.0)))
     often = (F.col("places") >= support) & (F.col("disclosure") >= disclosed)
     once = (F.col("part") == 0) & (F.col("n_t") * rare <= n_docs) & (F.col("disclosure") >= single)
-    return judged.where(often | once).select("term", "entity", "disclosure")
+    return judged.where(often | once).select("term", "entity", "disclosure", often.alias("often"))
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Texts that may hold some of the terms (distinct), with these: adds maybe. A Bloom filter of 2 ** MOST_BITS bits at most, one row beside each text, tells."""
+    size = 1 << min(MOST_BITS, max(16, (terms.count() * TERM_BITS).bit_length()))
+    at = lambda term, k: (F.pmod(F.xxhash64(term), F.lit(size)) + k * F.pmod(F.xxhash64(F.lit(7), term), F.lit(size))) % size
+    places = terms.select(F.explode(F.array(*(at("term", k) for k in range(TERM_PLACES)))).alias("at"))
+    bits = places.groupBy(F.floor(F.col("at") / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("b"))
+    every = texts.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("i")).join(bits, "i", "left").select("i", F.coalesce("b", F.lit(0)).alias("b"))
+    one = every.agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("x")).select(F.transform("x", lambda x: x["b"]).alias("bitmap"))
+    known = lambda at: F.getbit(F.element_at("bitmap", F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1
+    some = F.filter(terms_of(F.col("text")), lambda t: reduce(and_, (known(at(t, k)) for k in range(TERM_PLACES))))
+    return texts.crossJoin(F.broadcast(one)).select(*texts.columns, some.alias("maybe")).where("size(maybe) > 0")
 
 
 PLACED = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
-def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED, single: float = SINGLE, rare: int = RARE) -> DataFrame:
-    """(row, doc_id, base, added, clean) of every row: the spans of values, of terms that disclose them, and the text with both generalised.
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED, single: float = SINGLE, rare: int = RARE, shown: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(doc_id, base, added, clean) of every row: the spans of values, of terms that disclose them, and the text with both generalised.
 
-    Spans are structs (start, kind, end, value), kind a number in KINDS, in code points with the end exclusive, in order. Null texts
-    count as empty and have none. Texts of any length are read whole. Repeated rows are treated alike; rows without doc_id are rows like
-    any other; other columns are ignored; an empty table gives no rows.
+    Spans are structs (start, kind, end, value), kind a number in KINDS, in code points with the end exclusive, in order. `shown` is applied to
+    clean texts before they are joined to their rows, such as a digest. Null texts count as empty and have no spans. Texts of any length are read
+    whole. Repeated rows and texts are treated alike; rows without doc_id are rows like any other; other columns are ignored; an empty
+    table gives no rows.
     """
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")))
-    spans = rows.select("row", "text", base_spans(F.col("text")).alias("base")).where("size(base) > 0")
-    found = written(spans.select("row", F.xxhash64("text").alias("copy"), "base", surroundings(F.col("text"), F.col("base")).alias("company")))
-    terms = written(revealing_terms(found, rows, support, disclosed, single, rare).select("term").distinct())
-    held = rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(terms, "term")
-    by_row = held.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    marks = written(found.select("row", "base").join(by_row, "row", "full"))
-    # a row without values and terms has nothing to be joined
-    both = rows.join(marks, "row", "left")
+    plain = F.coalesce(text, F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), plain.alias("text"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(7), plain).alias("h2"))
+    texts = written(rows.select(*KEY, "text").dropDuplicates(KEY))
+    spans = texts.select(*KEY, "text", base_spans(F.col("text")).alias("base")).where("size(base) > 0")
+    valued = written(spans.withColumn("company", surroundings(F.col("text"), F.col("base"))))
+    terms = written(revealing_terms(valued, texts, support, disclosed, single, rare))
+    # a term of single evidence is marked where its value is, one of repeated evidence everywhere
+    near = valued.select(*KEY, F.explode("company").alias("c")).select(*KEY, F.explode("c.entities").alias("entity")).join(terms.where("not often"), "entity").select(*KEY, "term")
+    none, marked = F.array().cast(PLACED), valued.select(*KEY, "text", "base")
+    often = written(terms.where("often").select("term").distinct())
+    if not often.isEmpty():
+        some = written(holding(texts, often))
+        near = near.union(some.select(*KEY, F.explode("maybe").alias("term")).join(often, "term").select(*KEY, "term"))
+        marked = marked.union(some.join(valued.select(*KEY), KEY, "left_anti").select(*KEY, "text", none.alias("base")))
+    by_text = near.groupBy(*KEY).agg(F.array_sort(F.collect_set("term")).alias("terms"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    none = F.array().cast(PLACED)
-    base = F.coalesce("base", none)
-    added = F.transform(matches(F.col("text"), pattern, len(PLAIN)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    apart = F.filter(added, lambda s: ~F.exists("base", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
-    made = both.select("row", "doc_id", "text", base.alias("base"), F.when(F.col("terms").isNull(), none).otherwise(F.coalesce(apart, none)).alias("added"))
-    spans = F.concat("base", "added")
-    return made.withColumn("clean", F.when(F.size(spans) > 0, sanitised(F.col("text"), spans)).otherwise(F.col("text"))).drop("text")
+    ordered = F.transform(matches(F.col("text"), pattern, len(PLAIN)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    apart = F.filter(ordered, lambda s: ~F.exists("base", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+    made = marked.join(by_text, KEY, "left").select(*KEY, "text", "base", F.when(F.col("terms").isNull(), none).otherwise(apart).alias("added"))
+    made = written(made.select(*KEY, "base", "added", shown(sanitised(F.col("text"), F.concat("base", "added"))).alias("clean")))
+    found = rows.select("doc_id", *KEY, shown(F.col("text")).alias("own")).join(made, KEY, "left")
+    return found.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"), F.coalesce("clean", "own").alias("clean"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -194,7 +223,7 @@ def listed(spans: Column) -> Column:
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data(table(spark, sf_dir, "documents"))
+    found = personal_data(table(spark, sf_dir, "documents"), shown=lambda text: F.sha2(text, 256))
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(PLAIN)]
     spans = listed(F.array_sort(F.concat("base", "added"))).alias("spans")
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), spans, F.size("added").cast("long").alias("n_term"), F.sha2("clean", 256).alias("clean_sha256"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), spans, F.size("added").cast("long").alias("n_term"), F.col("clean").alias("clean_sha256"))

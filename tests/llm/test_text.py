@@ -328,12 +328,14 @@ def plain_terms(docs):
         n, n_c, n_t = len(texts), len(holds[c]), sum(w in x for x in words.values())
         if n_c < n and n_t:
             d = min(1.0, np.log(len(where) * n / (n_c * n_t)) / np.log(n / n_c))
-            if len(around) >= 3 and d >= 0.7 or whole and n_t * 1000 <= n and d >= 0.9:
-                found.add(w)
+            if len(around) >= 3 and d >= 0.7:
+                found.add((None, w))
+            elif whole and n_t * 1000 <= n and d >= 0.9:
+                found |= {(t, w) for t in holds[c]}
     out = set()
     for doc, t in docs:
         for m in re.finditer(r"[^\W\d_]+", t or ""):
-            if m[0].lower() in found and not any(a < m.end() and m.start() < b for a, _, b in spans[t or ""]):
+            if {(None, m[0].lower()), (t, m[0].lower())} & found and not any(a < m.end() and m.start() < b for a, _, b in spans[t or ""]):
                 out.add((doc, m.start(), m.end()))
     return out
 
