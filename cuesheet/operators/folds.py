@@ -1,7 +1,8 @@
 """Sequence folds: each decision depends on the one before it.
 
-A timeline's points are gathered into one sorted array (boundaries and segments of one recording, never its frames) and folded
-by the built-in `aggregate`, so that no row leaves the JVM.
+A timeline's points are gathered into one sorted array (boundaries and segments of one recording) and folded by the built-in
+`aggregate`, so that no row leaves the JVM. Where a wide gap makes what follows independent of what came before, as in spacing, only the
+stretches between such gaps are gathered.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuesheet.operators.intervals import Keys
+from cuesheet.operators.intervals import Keys, islands
 
 
 def gathered(rows: DataFrame, keys: Keys, *columns: str) -> DataFrame:
@@ -25,6 +26,13 @@ def fold(rows: DataFrame, keys: Keys, columns: list[str], start: Column, step: C
     return out.select(*keys, "_x.*")
 
 
+def stretches(points: DataFrame, keys: Keys, time: str, gap: float) -> tuple[DataFrame, list[str]]:
+    """The points with the number of their stretch, and the keys of a stretch: points at least `gap` apart are in different ones."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    apart = points.withColumn("_gap", F.col(time) - F.lag(time).over(w))
+    return islands(apart, keys, [time], F.coalesce(F.col("_gap") >= gap, F.lit(True))).drop("_gap"), [*keys, "island"]
+
+
 def _typed(fields: str) -> Column:
     return F.array().cast(f"array<struct<{fields}>>")
 
@@ -41,7 +49,8 @@ def min_spacing_filter(points: DataFrame, keys: Keys, time: str, distance: float
     """Points at least `distance` after the last that was kept; the first is measured from `start`."""
     step = lambda acc, x: F.when(x[time] - acc["at"] >= distance, F.struct(x[time].alias("at"), _kept(acc["out"], x).alias("out"))).otherwise(acc)
     init = F.struct(F.lit(float(start)).alias("at"), _typed(f"{time}: double").alias("out"))
-    return fold(points, keys, [time], init, step, lambda acc: acc["out"])
+    rows, parts = stretches(points.where(F.col(time) >= start + distance), keys, time, distance)
+    return fold(rows, parts, [time], init, step, lambda acc: acc["out"]).drop("island")
 
 
 def suppress_close_candidates(points: DataFrame, keys: Keys, time: str, score: str, gap: float = 60.0) -> DataFrame:
@@ -88,7 +97,10 @@ def select_by_score(points: DataFrame, keys: Keys, time: str, score: str, distan
             apart = (F.size(acc) == 0) | (x[time] - F.try_element_at(acc, F.lit(-1))[time] >= distance)
         return F.when(apart, _kept(acc, F.struct(x[time].alias(time), (-x["_rank"]).alias(score)))).otherwise(acc)
 
-    return fold(rows, keys, ["_rank", time], _typed(f"{time}: double, {score}: double"), step, lambda acc: acc)
+    if compat:
+        return fold(rows, keys, ["_rank", time], _typed(f"{time}: double, {score}: double"), step, lambda acc: acc)
+    rows, parts = stretches(rows, keys, time, distance)
+    return fold(rows, parts, ["_rank", time], _typed(f"{time}: double, {score}: double"), step, lambda acc: acc).drop("island")
 
 
 def peaks_with_min_distance(rows: DataFrame, col: str, keys: Keys, order: str, distance: int, height: float) -> DataFrame:

@@ -5,10 +5,12 @@ Frames of a timeline are ordered by `order`; windows are over the key columns.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cuesheet.operators.intervals import Keys, islands
+from cuesheet.operators.intervals import BUCKET_S, Keys, in_buckets, islands
 
 
 def centred(keys: Keys, order: str, size: int) -> WindowSpec:
@@ -168,19 +170,34 @@ def edge_signature(rows: DataFrame, vector: str, keys: Keys, order: str, size: i
     return whole.select(*keys, F.when(F.col("n") >= fewest, unit(F.col("v"))).alias("signature"))
 
 
-def pairwise_similarity(rows: DataFrame, vector: str, group: str, ident: str, threshold: float = 0.85) -> DataFrame:
+def pairwise_similarity(rows: DataFrame, vector: str, group: str, ident: str, threshold: float = 0.85, block: int = 2048) -> DataFrame:
     """Of each vector the number of others in its group with a cosine above the threshold, and its mean cosine with them.
 
-    The mean needs no pairs: it is the product with the group's sum of unit vectors. The count compares pairs, and only inside a group.
+    The mean needs no pairs: it is the product with the group's sum of unit vectors. The count compares all pairs, as matrix products of two
+    blocks of about `block` vectors at a time, so that no pair is ever a row and no task holds a group. Vectors without length are like none.
     """
     units = rows.select(group, ident, unit(F.col(vector)).alias("u"))
-    a, b = units.alias("a"), units.alias("b")
-    dot = F.aggregate(F.zip_with("a.u", "b.u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    close = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{ident}") != F.col(f"b.{ident}"))).where(dot > threshold)
-    counts = close.groupBy(F.col(f"a.{group}").alias(group), F.col(f"a.{ident}").alias(ident)).agg(F.count("*").alias("repeat_count"))
-    dims = by_dimension(units, "u")
-    total = F.sum("x").over(Window.partitionBy(group, "dim"))
-    means = dims.withColumns({"_t": total, "_n": F.count("*").over(Window.partitionBy(group, "dim"))}).groupBy(group, ident).agg(((F.sum(F.col("x") * F.col("_t")) - 1) / F.nullif(F.first("_n") - 1, F.lit(0))).alias("avg_similarity"))
+    blocks = units.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = units.where("u[0] is not null").join(blocks, group).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_n")).cast("int"))
+    pairs = dealt.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    met = pairs.withColumns({"_x": F.least("_b", "_c"), "_y": F.greatest("_b", "_c")})
+    ids = rows.schema[ident].dataType.simpleString()
+
+    def counted(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
+        first = (some["_b"] == key[1]).to_numpy()
+        a, b = (np.array(some.loc[x, "u"].tolist()) for x in (first, ~first if key[1] != key[2] else first))
+        if not len(a) or not len(b):
+            return pd.DataFrame({group: [], ident: [], "_k": []})
+        close = a @ b.T > threshold
+        if key[1] == key[2]:
+            np.fill_diagonal(close, False)
+            return pd.DataFrame({group: key[0], ident: some.loc[first, ident], "_k": close.sum(1)})
+        return pd.DataFrame({group: key[0], ident: pd.concat([some.loc[first, ident], some.loc[~first, ident]]), "_k": np.concatenate([close.sum(1), close.sum(0)])})
+
+    schema = f"{group} {rows.schema[group].dataType.simpleString()}, {ident} {ids}, _k long"
+    counts = met.groupBy(group, "_x", "_y").applyInPandas(counted, schema).groupBy(group, ident).agg(F.sum("_k").alias("repeat_count"))
+    sums = by_dimension(units, "u").groupBy(group, "dim").agg(F.sum("x").alias("_t"), F.count("*").alias("_n"))
+    means = by_dimension(units, "u").join(sums, [group, "dim"]).groupBy(group, ident).agg(((F.sum(F.col("x") * F.col("_t")) - 1) / F.nullif(F.first("_n") - 1, F.lit(0))).alias("avg_similarity"))
     return means.join(counts, [group, ident], "left").withColumn("repeat_count", F.coalesce("repeat_count", F.lit(0)))
 
 
@@ -195,7 +212,9 @@ def combine_window_logits(windows: DataFrame, keys: Keys, frame: str, logits: st
 def segment_features(frames: DataFrame, segments: DataFrame, keys: Keys, segment_id: str, time: str, col: str, silent: float) -> DataFrame:
     """Of the frames in each segment: mean, relation to the timeline's mean, deviation, first-to-last change, share of silence."""
     whole = frames.groupBy(*keys).agg(F.avg(col).alias("_whole"))
-    inside = segments.select(*keys, segment_id, "start_s", "end_s").join(frames.select(*keys, time, col), list(keys)).where((F.col(time) >= F.col("start_s")) & (F.col(time) < F.col("end_s")))
+    held = in_buckets(segments.select(*keys, segment_id, "start_s", "end_s"), "start_s", "end_s")
+    timed = frames.select(*keys, time, col, F.floor(F.col(time) / BUCKET_S).alias("_bucket"))
+    inside = held.join(timed, [*keys, "_bucket"]).where((F.col(time) >= F.col("start_s")) & (F.col(time) < F.col("end_s")))
     found = inside.groupBy(*keys, segment_id).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("deviation"), (F.max_by(col, time) - F.min_by(col, time)).alias("gradient"), F.avg((F.col(col) < silent).cast("double")).alias("silence_ratio"))
     return found.join(whole, list(keys)).withColumn("relative", F.col("mean") / F.col("_whole")).drop("_whole")
 

@@ -25,27 +25,43 @@ def overlap_seconds(a_start: Column, a_end: Column, b_start: Column, b_end: Colu
     return F.greatest(F.lit(0.0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: Keys, eps: float = 0.0, how: str = "inner", bucket_s: float | None = None) -> DataFrame:
-    """Pairs of a and b in one timeline that overlap by more than eps, with `overlap_s`.
+#: seconds of a time bucket: about the length of the longer intervals
+BUCKET_S = 120.0
 
-    b's columns other than the keys get the prefix b_. Where timelines are long, `bucket_s` (about the length of an
-    interval) makes time buckets part of the equality join: both sides are repeated for each bucket they touch, and a pair is kept
-    in the bucket where the later of the two starts, so it comes once.
+
+def in_buckets(rows: DataFrame, start: str, end: str, bucket_s: float = BUCKET_S) -> DataFrame:
+    """Each row once for each time bucket that its interval touches: adds _bucket, null without times."""
+    return rows.withColumn("_bucket", F.explode_outer(F.sequence(F.floor(F.col(start) / bucket_s), F.floor(F.col(end) / bucket_s))))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: Keys, eps: float = 0.0, how: str = "inner", bucket_s: float = BUCKET_S) -> DataFrame:
+    """Pairs of a and b in one timeline that overlap by more than eps, with `overlap_s`; in a left join also a's rows without any, with nulls.
+
+    b's columns other than the keys get the prefix b_. Time buckets are part of the equality join, so that a long timeline is no
+    hot key: both sides are repeated for each bucket they touch, and a pair is kept in the bucket where the later of the two
+    starts, so it comes once.
     """
-    right = b.select(*keys, *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys))
-    meets = (F.col("start_s") < F.col("b_end_s") - eps) & (F.col("end_s") > F.col("b_start_s") + eps)
+    found = _overlaps(a, b, keys, eps, how, bucket_s)
+    if how == "left":
+        # a row without partners came once for each of its buckets; it stays in its first
+        alone = F.max(F.col("overlap_s").isNotNull()).over(Window.partitionBy(*(F.col(f"`{c}`") for c in a.columns)))
+        first = F.coalesce(F.col("_bucket") == F.floor(F.col("start_s") / bucket_s), F.lit(True))
+        found = found.withColumn("_met", alone).where(F.col("overlap_s").isNotNull() | (~F.col("_met") & first)).drop("_met")
+    return found.drop("_bucket")
+
+
+def _overlaps(a: DataFrame, b: DataFrame, keys: Keys, eps: float = 0.0, how: str = "inner", bucket_s: float = BUCKET_S) -> DataFrame:
+    """As `overlap_join`, with _bucket; in a left join rows without partners come once for each bucket, and rows with some may come with nulls too."""
+    right = in_buckets(b.select(*keys, *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys)), "b_start_s", "b_end_s", bucket_s).alias("r")
+    left = in_buckets(a, "start_s", "end_s", bucket_s).alias("l")
+    meets = (F.col("l.start_s") < F.col("r.b_end_s") - eps) & (F.col("l.end_s") > F.col("r.b_start_s") + eps)
+    on = reduce(lambda x, y: x & y, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, "_bucket")))
+    first = F.col("l._bucket") == F.floor(F.greatest(F.col("l.start_s"), F.col("r.b_start_s")) / bucket_s)
+    joined = left.join(right, on & meets & first, how)
     # least and greatest skip nulls, which a left join makes
-    size = F.when(F.col("b_start_s").isNotNull(), overlap_seconds(F.col("start_s"), F.col("end_s"), F.col("b_start_s"), F.col("b_end_s")))
-    if bucket_s is None:
-        on = reduce(lambda x, y: x & y, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys))
-        joined = a.alias("l").join(right.alias("r"), on & meets, how)
-        return joined.select("l.*", *(f"r.{c}" for c in right.columns if c not in keys), size.alias("overlap_s"))
-    if how != "inner":
-        raise ValueError("buckets are for inner joins")
-    spans = lambda s, e: F.explode(F.sequence(F.floor(s / bucket_s), F.floor(e / bucket_s)))
-    left, right = a.withColumn("_bucket", spans(F.col("start_s"), F.col("end_s"))), right.withColumn("_bucket", spans(F.col("b_start_s"), F.col("b_end_s")))
-    first = F.floor(F.greatest("start_s", "b_start_s") / bucket_s)
-    return left.join(right, [*keys, "_bucket"]).where(meets & (F.col("_bucket") == first)).withColumn("overlap_s", size).drop("_bucket")
+    size = F.when(F.col("r.b_start_s").isNotNull(), overlap_seconds(F.col("l.start_s"), F.col("l.end_s"), F.col("r.b_start_s"), F.col("r.b_end_s")))
+    others = [c for c in b.columns if c not in keys]
+    return joined.select("l.*", *(F.col(f"r.b_{c}") for c in others), size.alias("overlap_s"))
 
 
 def segment_subtitles(segments: DataFrame, sentences: DataFrame, keys: Keys, eps: float = EPSILON) -> DataFrame:
@@ -62,14 +78,14 @@ def subtitle_cut_audit(segments: DataFrame, sentences: DataFrame, keys: Keys, ep
 
 def covering_interval(points: DataFrame, intervals: DataFrame, keys: Keys, point_id: Keys, eps: float = EPSILON) -> DataFrame:
     """Each point (t) with the earliest interval that holds it, eps inside both ends; points in none are left out."""
-    right = intervals.select(*keys, F.struct("start_s", "end_s").alias("held"))
-    inside = points.join(right, list(keys)).where((F.col("held.start_s") + eps < F.col("t")) & (F.col("t") < F.col("held.end_s") - eps))
+    right = in_buckets(intervals.select(*keys, "start_s", "end_s"), "start_s", "end_s").select(*keys, "_bucket", F.struct("start_s", "end_s").alias("held"))
+    inside = points.withColumn("_bucket", F.floor(F.col("t") / BUCKET_S)).join(right, [*keys, "_bucket"]).where((F.col("held.start_s") + eps < F.col("t")) & (F.col("t") < F.col("held.end_s") - eps))
     return inside.groupBy(*keys, *point_id, "t").agg(F.min("held").alias("held")).select(*keys, *point_id, "t", "held.start_s", "held.end_s")
 
 
 def overlap_ratio(segments: DataFrame, activity: DataFrame, keys: Keys, segment_id: Keys, events: Sequence[str]) -> DataFrame:
     """The share of each segment that each activity class covers, a column for each class."""
-    found = overlap_join(segments, activity, keys, how="left")
+    found = _overlaps(segments, activity, keys, how="left")  # rows without partners add nothing, however often they come
     share = lambda e: (F.coalesce(F.sum(F.when(F.col("b_event") == e, F.col("overlap_s"))) / F.nullif(F.first(F.col("end_s") - F.col("start_s")), F.lit(0.0)), F.lit(0.0))).alias(e)
     return found.groupBy(*keys, *segment_id).agg(*map(share, events))
 
@@ -191,7 +207,7 @@ def position_ratio(start: Column, song_start: Column, song_end: Column) -> Colum
 
 
 def coverage_seconds(segments: DataFrame, items: DataFrame, keys: Keys, segment_id: Keys) -> DataFrame:
-    found = overlap_join(segments, items, keys, how="left")
+    found = _overlaps(segments, items, keys, how="left")
     return found.groupBy(*keys, *segment_id).agg(F.coalesce(F.sum("overlap_s"), F.lit(0.0)).alias("covered_s"))
 
 

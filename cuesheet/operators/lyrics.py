@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import text as tx
 from cuesheet.operators.intervals import Keys, islands, to_millis
 
+# The pattern of a time stamp, and of metadata lines.
 STAMP = r"\[(\d{2}):(\d{2})(?:\.(\d{1,3}))?\]"
 META = r"(?i)^\[(ti|ar|al|au|by|offset|length|tool|ve):"
 
@@ -95,9 +96,10 @@ def alignment_summary(lines: DataFrame, keys: Keys) -> DataFrame:
 
 def hotwords(lines: DataFrame, keys: Keys, text: str, k: int) -> DataFrame:
     """The k commonest pairs of adjacent characters of each timeline's text, of equally common ones the first by text: keys, gram, n, nr."""
-    value = F.regexp_replace(F.col(text), r"\s", "")
-    grams = F.when(F.length(value) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(value) - 1)), lambda i: F.substring(value, i, F.lit(2))))
-    counts = lines.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    rows = lines.select(*keys, F.regexp_extract_all(text, F.lit(r"\S"), F.lit(0)).alias("_c"))
+    n = F.greatest(F.lit(0), F.size("_c") - 1)
+    grams = F.zip_with(F.slice("_c", F.lit(1), n), F.slice("_c", F.lit(2), n), lambda a, b: F.concat(a, b))
+    counts = rows.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
     nr = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "gram")).cast("long")
     return counts.withColumn("nr", nr).where(F.col("nr") <= k)
 

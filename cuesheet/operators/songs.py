@@ -14,8 +14,12 @@ from cuesheet.operators.intervals import Keys
 
 def character_grams(text: Column, n: int = 3) -> Column:
     """The distinct runs of n characters; a shorter text is one run."""
-    size = F.length(text)
-    return F.when(size < n, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.substring(text, i, F.lit(n)))))
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    size = F.greatest(F.lit(0), F.length(text) - n + 1)
+    runs = F.slice(letters, F.lit(1), size)
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(letters, F.lit(k + 1), size), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(runs))
 
 
 def best_catalog_match(wanted: DataFrame, catalog: DataFrame, ident: str, title: str, catalog_id: str, catalog_title: str, least: float = 0.45) -> DataFrame:

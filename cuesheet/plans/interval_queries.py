@@ -25,7 +25,7 @@ def merged_sql(name, source, gap=0.0, keys="media_id"):
 
 @query("J01_interval_overlap_join", f"SELECT s.media_id, s.seg_index, b.act_id, {OVERLAP} AS overlap_s FROM part_ s JOIN act b ON s.media_id = b.media_id AND s.start_s < b.end_s AND s.end_s > b.start_s", "overlap_s")
 def j01(v):
-    return iv.overlap_join(v.part, v.act, M, bucket_s=100.0).select("media_id", "seg_index", F.col("b_act_id").alias("act_id"), "overlap_s")
+    return iv.overlap_join(v.part, v.act, M).select("media_id", "seg_index", F.col("b_act_id").alias("act_id"), "overlap_s")
 
 
 @query("J02_segment_subtitles", "SELECT s.media_id, s.seg_index, b.pos, b.start_s < s.start_s - 0.05 AS truncated_start, b.end_s > s.end_s + 0.05 AS truncated_end FROM seg s JOIN sent b ON s.media_id = b.media_id AND s.start_s < b.end_s AND s.end_s > b.start_s")

@@ -438,7 +438,7 @@ def s15(v):
 @query("S16_explode_cache_index", "SELECT 'k' || cache_key || '_' || entry_id AS cache_key, 'p' || entry_id AS path, bytes FROM ttl")
 def s16(v):
     entry = F.struct(F.concat(F.lit("p"), F.col("entry_id")).alias("path"), "bytes")
-    index = v.ttl.groupBy(F.col("entry_id") % 50).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), F.col("cache_key"), F.lit("_"), F.col("entry_id")), entry)))).alias("json"))
+    index = v.ttl.groupBy(F.floor(F.col("entry_id") / 1000)).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), F.col("cache_key"), F.lit("_"), F.col("entry_id")), entry)))).alias("json"))
     return dc.explode_cache_index(index, "json").select("cache_key", "path", "bytes")
 
 
