@@ -121,7 +121,15 @@ def text_units(text: Column) -> Column:
     return F.greatest(F.lit(1), F.length(F.regexp_replace(text, r"\s", "")))
 
 
-SPLIT_MARKS = "，。！？；：、,.!?;: "
+# Marks after which a subtitle may be cut, and those after which a line may be broken.
+SPLIT_MARKS = "。！？、，；：,.;:!? "
+WRAP_MARKS = "。！？、，；：,.;:!?"
+
+
+def auto_wrap(text: Column, max_chars: int = 10, joint: str = "\\N") -> Column:
+    """The text in lines of at most max_chars: broken after the first mark in the second half of a line, else at the limit; null as it is."""
+    some = rf"(?s).{{1,{max_chars}}}\z|.{{{max(1, max_chars // 2) - 1},{max_chars - 1}}}?[{WRAP_MARKS}]|.{{{max_chars}}}"
+    return F.array_join(F.regexp_extract_all(text, F.lit(some), F.lit(0)), joint)
 
 
 def subtitle_split_index(text: Column, max_chars: int = 10) -> Column:

@@ -1,10 +1,12 @@
-"""Cut safety on the driver's tables: order-dependent repairs, so without SQL; golden cases are in tests/test_cutsafety.py."""
+"""Cut safety on the driver's tables: cuts of pairs of clips, and order-dependent repairs without SQL; golden cases are in tests/test_cutsafety.py."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import labels as lb
+from cuesheet.operators import cuts as ct
 from cuesheet.operators import cutsafety as cs
 from cuesheet.plans.registry import query
 from cuesheet.plans.views import Views
@@ -24,19 +26,77 @@ def normalized(v: Views, *steps: str):
     return cs.normalize_overlaps(export_segments(v), on_songs(v.sent), on_songs(v.word), ["media_id"], 8.0, 18.0, steps or cs.STEPS)
 
 
-@query("Q17_overlap_cut")
+KINDS = "CASE label WHEN 'view' THEN '主歌' WHEN 'click' THEN '副歌' WHEN 'signup' THEN '合唱' WHEN 'purchase' THEN '副歌' ELSE '讲话串场' END"
+#: clips with the next of their timeline, of one song; sentences and words with the song of their start
+PAIRS = f"""c AS (SELECT media_id, song_index, seg_index, start_s, end_s, {KINDS} AS type, confidence > 0.5 AS hl, CASE label WHEN 'view' THEN 60 WHEN 'signup' THEN 90 WHEN 'error' THEN 40 ELSE 80 END + CASE WHEN confidence > 0.5 THEN 20 ELSE 0 END AS wt FROM seg),
+    n AS (SELECT media_id, song_index, seg_index, start_s AS ls, end_s AS le, type, hl, wt, lead(song_index) OVER w AS rg, lead(seg_index) OVER w AS next_id, lead(start_s) OVER w AS rs, lead(end_s) OVER w AS re, lead(type) OVER w AS rtype, lead(hl) OVER w AS rhl, lead(wt) OVER w AS rwt FROM c WINDOW w AS (PARTITION BY media_id ORDER BY start_s, end_s, seg_index)),
+    pr AS (SELECT * FROM n WHERE rg = song_index), sn AS (SELECT media_id, floor(start_s / 720)::INT AS song_index, start_s AS s, end_s AS e FROM sent WHERE end_s > start_s)"""
+RATED = """SELECT {keys}, CASE WHEN x >= 8 AND y >= 8 AND x <= 18 * 1.10::DOUBLE AND y <= 18 * 1.10::DOUBLE THEN 0 ELSE 1 END AS rk, cost + abs(cut - ref) * 0.05::DOUBLE + CASE WHEN x < 8 THEN (8 - x) * 20 ELSE 0 END + CASE WHEN y < 8 THEN (8 - y) * 20 ELSE 0 END + CASE WHEN x > 18 * 1.10::DOUBLE THEN (x - 18) * 4 ELSE 0 END + CASE WHEN y > 18 * 1.10::DOUBLE THEN (y - 18) * 4 ELSE 0 END AS sc, abs(cut - ref) AS ds, cut
+    FROM (SELECT *, cut - ls AS x, re - cut AS y FROM {rows}) WHERE x > 0.1 AND y > 0.1"""
+
+
+@query("Q17_overlap_cut", f"""WITH {PAIRS}, o AS (SELECT *, greatest(ls, rs) AS a, least(le, re) AS b, (greatest(ls, rs) + least(le, re)) / 2 AS ref FROM pr WHERE le - rs > 0.3),
+    g AS (SELECT * FROM (SELECT media_id, song_index, e AS s, lead(s) OVER (PARTITION BY media_id, song_index ORDER BY s, e) AS e FROM sn) WHERE e > s),
+    k AS (SELECT o.*, (greatest(g.s, a) + least(g.e, b)) / 2 AS cut, 0.0::DOUBLE AS cost FROM o JOIN g USING (media_id, song_index) WHERE a < g.e + 1e-9 AND b > g.s - 1e-9
+      UNION ALL SELECT o.*, unnest([sn.s, sn.e]), 1.0 FROM o JOIN sn USING (media_id, song_index) WHERE a < sn.e + 1e-9 AND b > sn.s - 1e-9
+      UNION ALL SELECT o.*, CASE WHEN least(sn.e, le) - greatest(sn.s, ls) >= least(sn.e, re) - greatest(sn.s, rs) THEN sn.e ELSE sn.s END, 2.0 FROM o JOIN sn USING (media_id, song_index) WHERE least(sn.e, le) - greatest(sn.s, ls) > 0 AND least(sn.e, re) - greatest(sn.s, rs) > 0),
+    l AS (SELECT * FROM k WHERE cost <> 1 OR cut BETWEEN a AND b), u AS (SELECT media_id, seg_index, bool_or(cut - ls > 0.1 AND re - cut > 0.1) AS usable FROM l GROUP BY ALL), i AS (SELECT DISTINCT o.media_id, o.seg_index FROM o JOIN sn USING (media_id, song_index) WHERE sn.s + 0.05 < ref AND ref < sn.e - 0.05),
+    z AS (SELECT * FROM l UNION ALL SELECT o.*, ref, CASE WHEN u.usable AND i.seg_index IS NOT NULL THEN 500.0 ELSE 5.0 END FROM o LEFT JOIN u USING (media_id, seg_index) LEFT JOIN i USING (media_id, seg_index)),
+    r AS ({RATED.format(keys='media_id, seg_index', rows='z')}), f AS (SELECT *, row_number() OVER (PARTITION BY media_id, seg_index ORDER BY rk, sc, ds, cut) AS nr FROM r)
+    SELECT o.media_id, o.seg_index, o.next_id, round(coalesce(f.cut, o.ref) + 1e-9, 3) AS cut FROM o LEFT JOIN f ON f.media_id = o.media_id AND f.seg_index = o.seg_index AND f.nr = 1""", "cut")
 def q17(v):
-    return normalized(v, "part")
+    return ct.overlap_cuts(export_segments(v), on_songs(v.sent), ["media_id"], "seg_index", 8.0, 18.0)
 
 
-@query("Q18_adjacent_cut")
+TOUCHING = "tl2 AS (SELECT media_id, song_index, seg_index, ls, re, next_id, (le + rs) / 2 AS ref FROM pr WHERE abs(rs - le) <= 0.5)"
+
+
+def touching(v):
+    """Clips whose overlaps are parted already, so that neighbours share a boundary: each ends where the next begins."""
+    rows = export_segments(v)
+    w = Window.partitionBy("media_id").orderBy("start_s", "end_s", "seg_index")
+    return rows.withColumn("end_s", F.coalesce(F.lead("start_s").over(w), F.col("end_s")))
+
+
+PARTED = PAIRS.replace("start_s, end_s, CASE label WHEN 'view' THEN '主歌'", "start_s, coalesce(lead(start_s) OVER (PARTITION BY media_id ORDER BY start_s, end_s, seg_index), end_s) AS end_s, CASE label WHEN 'view' THEN '主歌'", 1)
+
+
+@query("Q18_adjacent_cut", f"""WITH {PARTED}, {TOUCHING}, h AS (SELECT b.*, s.s, s.e FROM (SELECT t.*, (SELECT min({{'s': sn.s, 'e': sn.e}}) FROM sn WHERE sn.media_id = t.media_id AND sn.song_index = t.song_index AND sn.s + 0.05 < t.ref AND t.ref < sn.e - 0.05) AS q FROM tl2 t) b, LATERAL (SELECT q.s AS s, q.e AS e) s WHERE q IS NOT NULL),
+    wd AS (SELECT media_id, floor(start_s / 720)::INT AS song_index, start_s AS a, end_s AS b, greatest(1, length(regexp_replace(word, '\\s', '', 'g'))) AS u FROM word),
+    d AS (SELECT h.media_id, h.seg_index, sum(CASE WHEN ref >= b THEN u WHEN ref <= a THEN 0 ELSE least(u, floor(u * ((ref - a) / greatest(0.05::DOUBLE, b - a)) + 0.5)) END) AS done, sum(u) AS total FROM h JOIN wd ON wd.media_id = h.media_id AND wd.song_index = h.song_index AND h.s < wd.b AND h.e > wd.a GROUP BY ALL),
+    p AS (SELECT h.*, CASE WHEN total > 0 THEN done / total >= 0.6 AND (done > 3 OR e - ref <= 0.45) OR e - ref <= 0.45 AND done / total >= 0.5 ELSE (ref - s) / (e - s) >= 0.55 OR e - ref <= 0.45 END AS before FROM h LEFT JOIN d USING (media_id, seg_index)),
+    z AS (SELECT *, e AS cut, CASE WHEN before THEN 0.0 ELSE 3.0 END::DOUBLE AS cost FROM p UNION ALL SELECT *, s, CASE WHEN before THEN 3.5 ELSE 0.0 END FROM p),
+    r AS ({RATED.format(keys='media_id, seg_index, next_id, ref', rows='z')}), f AS (SELECT *, row_number() OVER (PARTITION BY media_id, seg_index ORDER BY rk, sc, ds, cut) AS nr FROM r)
+    SELECT media_id, seg_index, next_id, ref AS t, round(cut + 1e-9, 3) AS cut FROM f WHERE nr = 1 AND abs(cut - ref) > 0.05""", "t cut")
 def q18(v):
-    return normalized(v, "part", "protect")
+    return ct.adjacent_cuts(touching(v), on_songs(v.sent), on_songs(v.word), ["media_id"], "seg_index", 8.0, 18.0)
+
 
+def ending(v):
+    """Clips that end 0.1 s before the end of a sentence of their song, one after the other."""
+    w = Window.partitionBy("media_id", "song_index").orderBy("start_s", "pos")
+    rows = on_songs(v.sent).withColumn("_before", F.lag("end_s").over(w))
+    return rows.select("media_id", "song_index", F.col("pos").alias("seg_index"), F.coalesce(F.col("_before") - 0.1, F.col("start_s")).alias("start_s"), (F.col("end_s") - 0.1).alias("end_s"))
 
-@query("Q23_protect_boundaries")
+
+@query("Q23_protect_boundaries", f"""WITH sn AS (SELECT media_id, floor(start_s / 720)::INT AS song_index, pos, start_s AS s, end_s AS e FROM sent), c AS (SELECT media_id, song_index, pos AS seg_index, coalesce(lag(e) OVER (PARTITION BY media_id, song_index ORDER BY s, pos) - 0.1::DOUBLE, s) AS start_s, e - 0.1::DOUBLE AS end_s FROM sn),
+    n AS (SELECT media_id, song_index, seg_index, start_s AS ls, end_s AS le, lead(song_index) OVER w AS rg, lead(seg_index) OVER w AS next_id, lead(start_s) OVER w AS rs, lead(end_s) OVER w AS re FROM c WINDOW w AS (PARTITION BY media_id ORDER BY start_s, end_s, seg_index)),
+    t AS (SELECT *, (le + rs) / 2 AS ref FROM n WHERE rg = song_index AND abs(rs - le) <= 0.5), q AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.media_id = t.media_id AND sn.song_index = t.song_index AND sn.s + 0.05 < t.ref AND t.ref < sn.e - 0.05)),
+    m AS (SELECT q.*, (SELECT sn.e FROM sn WHERE sn.media_id = q.media_id AND sn.song_index = q.song_index AND sn.e > sn.s AND abs(sn.e - q.ref) <= 0.12 ORDER BY abs(sn.e - q.ref), sn.e LIMIT 1) AS e FROM q),
+    x AS (SELECT m.*, (SELECT min(sn.s) FROM sn WHERE sn.media_id = m.media_id AND sn.song_index = m.song_index AND sn.e > sn.s AND sn.s > m.e + 0.05) AS nx FROM m WHERE e IS NOT NULL),
+    z AS (SELECT *, 0.5::DOUBLE AS cost FROM (SELECT *, least(e + 0.35::DOUBLE, greatest(e, coalesce(nx - 0.05::DOUBLE, e + 0.35::DOUBLE))) AS cut FROM x) WHERE cut > ref + 0.05),
+    r AS ({RATED.format(keys='media_id, seg_index, next_id, ref', rows='z')}) SELECT media_id, seg_index, next_id, ref AS t, round(cut + 1e-9, 3) AS cut FROM r""", "t cut")
 def q23(v):
-    return normalized(v, "protect")
+    return ct.padded_cuts(ending(v), on_songs(v.sent), ["media_id"], "seg_index", 8.0, 18.0)
+
+
+@query("Q28_fill_covered_gaps", f"""WITH {PAIRS}, g AS (SELECT *, rs - le AS size FROM pr WHERE rs - le > 0.5), k AS (SELECT g.media_id, g.seg_index, sum(greatest(0.0, least(rs, sn.e) - greatest(le, sn.s))) AS sung FROM g JOIN sn USING (media_id, song_index) WHERE le < sn.e AND rs > sn.s GROUP BY ALL),
+    f AS (SELECT g.*, CASE WHEN wt >= rwt THEN type ELSE rtype END AS kind FROM g JOIN k USING (media_id, seg_index) WHERE sung >= greatest(0.5, least(2.0, size * 0.2))), h AS (SELECT *, greatest(1, floor((size + 18 - 0.05) / 18)) AS j FROM f),
+    m AS (SELECT *, CASE WHEN size <= 18.05 THEN 1 ELSE j + CASE WHEN le + j * 18 < rs - 0.05 THEN 1 ELSE 0 END END::INT AS n FROM h), p AS (SELECT *, unnest(range(0, n))::INT AS part FROM m)
+    SELECT media_id, song_index, seg_index, kind AS type, hl OR rhl AS is_highlight, part, round(le + size / n * part + 1e-9, 3) AS start_s, round(CASE WHEN part = n - 1 THEN rs ELSE le + size / n * (part + 1) END + 1e-9, 3) AS end_s FROM p""", "start_s end_s")
+def q28(v):
+    rows = export_segments(v)
+    return ct.covered_gap_fills(rows, on_songs(v.sent), ["media_id"], "seg_index", lb.type_priority(F.col("type"), F.col("is_highlight")), 18.0)
 
 
 @query("Q27_repair_short")
@@ -44,11 +104,6 @@ def q27(v):
     return normalized(v, "repair")
 
 
-@query("Q28_fill_covered_gaps")
-def q28(v):
-    return normalized(v, "fill")
-
-
 @query("Q29_normalize_overlaps")
 def q29(v):
     return normalized(v)

@@ -96,7 +96,16 @@ def q31(v):
     return sn.snap_to_sentences(v.seg, v.sent, ["media_id"]).select("media_id", "seg_index", "start_s", "end_s")
 
 
-@query("Q21_split_subtitle")
+MARKS = "。！？、，；：,.;:!? "
+SPLIT = f"""WITH RECURSIVE x AS (SELECT media_id, pos, trim(text) AS t, length(trim(text)) AS l, start_s, end_s FROM sent), y AS (SELECT *, CASE WHEN l <= 10 THEN 1 ELSE greatest(2, ceil(l / 8.0), ceil(l / 10.0))::INT END AS n FROM x WHERE l > 0),
+    w AS (SELECT media_id, pos, t, l, n, start_s, end_s, 0 AS k, [0::BIGINT] AS cuts FROM y UNION ALL
+      SELECT media_id, pos, t, l, n, start_s, end_s, k + 1, list_append(cuts, list_min(list_transform(range(greatest(cuts[-1] + 1, l - 10 * (n - k - 1), ceil(l * (k + 1) / n)::BIGINT - 2), least(cuts[-1] + 10, CASE WHEN k + 1 = n - 1 THEN l - 4 ELSE l - (n - k - 1) END, ceil(l * (k + 1) / n)::BIGINT + 2) + 1), lambda i: {{'c': abs(i - ceil(l * (k + 1) / n)) + CASE WHEN contains('{MARKS}', substr(t, i, 1)) THEN 0 ELSE 3 END, 'i': i}})).i) FROM w WHERE k < n - 1),
+    d AS (SELECT media_id, pos, t, start_s, end_s, list_append(cuts, l) AS c FROM w WHERE k = n - 1), p AS (SELECT media_id, pos, start_s, end_s, list_filter(list_transform(range(1, len(c)), lambda i: trim(substr(t, c[i] + 1, c[i + 1] - c[i]))), lambda q: q <> '') AS parts FROM d),
+    z AS (SELECT *, greatest(0.0, end_s - start_s) AS size, list_sum(list_transform(parts, lambda q: length(q))) AS total FROM p), s AS (SELECT *, list_transform(parts, lambda q: CASE WHEN size <= 0.12 THEN 0.06::DOUBLE ELSE greatest(0.06::DOUBLE, size * length(q) / total) END) AS share FROM z), e AS (SELECT *, unnest(range(0, len(parts)))::INT AS part FROM s)
+    SELECT media_id, pos, part, parts[part + 1] AS text, least(end_s, start_s + coalesce(list_sum(share[1:part]), 0.0)) AS start_s, CASE WHEN part = len(parts) - 1 THEN end_s ELSE least(end_s, start_s + list_sum(share[1:part + 1])) END AS end_s FROM e"""
+
+
+@query("Q21_split_subtitle", f"SELECT * FROM ({SPLIT})", "start_s end_s")
 def q21(v):
     return sn.split_subtitles(v.sent)
 

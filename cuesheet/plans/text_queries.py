@@ -164,6 +164,11 @@ def f16(v):
     return v.line.select("media_id", "line", tx.subtitle_split_index(F.col("text")).cast("long").alias("at"))
 
 
+@query("F17_auto_wrap", r"SELECT media_id, line, array_to_string(regexp_extract_all(text, '(?s).{1,10}\z|.{4,9}?[。！？、，；：,.;:!?]|.{10}'), '\N') AS wrapped FROM line")
+def f17(v):
+    return v.line.select("media_id", "line", tx.auto_wrap(F.col("text")).alias("wrapped"))
+
+
 @query("F18_joints", "SELECT media_id, pos, word_pos, regexp_matches(word, '[A-Za-z0-9]$') AS spaced, regexp_matches(trim(word), '[。！？!?,，、；;：:.…]$') AS ended FROM word")
 def f18(v):
     return v.word.select("media_id", "pos", F.col("word_pos").cast("long").alias("word_pos"), tx.needs_space(F.col("word"), F.lit("a")).alias("spaced"), tx.ends_with_punctuation(F.col("word")).alias("ended"))
