@@ -22,7 +22,7 @@ EXPORT_TYPES = {
 DISPLAY_TYPES = {"verse": "主歌", "chorus": "副歌", "audience": "合唱", "crowd": "合唱", "speech": "讲话串场", "talk": "讲话串场", "solo": "乐器SOLO"}
 UNLABELLED = "未标注"
 TYPE_WEIGHTS = {"高光瞬间": 100, "合唱": 90, "副歌": 80, "主歌": 60, "乐器SOLO": 50, "讲话串场": 40}
-#: (type, marks anywhere in a file stem, marks in its lower case, ends of its lower case), first match wins
+# Fixed values: (type, marks anywhere in a file stem, marks in its lower case, ends of its lower case), first match wins.
 FILE_MARKS = (
     ("讲话串场", ("讲话串场",), (), ()), ("乐器SOLO", ("乐器SOLO", "独奏"), (), ()), ("主歌", ("主歌",), (), ()), ("副歌", ("副歌",), (), ()), ("合唱", ("合唱",), (), ()),
     ("主歌", (), ("_verse_",), ("_verse",)), ("副歌", (), ("_chorus_",), ("_chorus",)), ("合唱", (), ("_audience_", "_crowd_"), ()), ("讲话串场", (), ("_speech_", "_talk_"), ()), ("乐器SOLO", (), ("_solo_",), ()),
@@ -76,6 +76,7 @@ def type_from_filename(name: Column) -> Column:
     return F.coalesce(found, F.lit(UNLABELLED))
 
 
+# The scenes in order; the thresholds of the two rules below are fixed too.
 SCENES = ("speech", "clap", "crowd", "music")
 
 
@@ -115,3 +116,23 @@ def weighted_condition_score(rules: Sequence[tuple[str, float]]) -> Column:
 
 def feature_value(features: Column, key: str, default: float) -> Column:
     return F.coalesce(F.try_element_at(features, F.lit(key)), F.lit(default))
+
+
+def refined_by_activity(label: Column, confidence: Column, singing: Column, speech: Column, intro: str = "intro", spoken: Sequence[str] = ("speech", "talk")) -> Column:
+    """Struct label, confidence by the shares of a segment that are sung and spoken: sung talk is a verse, a spoken intro or anything spoken and unsung is talk."""
+    sung = (singing > 0.5) & label.isin(*spoken)
+    talk = (label == intro) & (speech > 0.65) & (singing < 0.45) | (speech > 0.75) & (singing < 0.25)
+    return F.struct(F.when(sung, "verse").when(talk, "talk").otherwise(label).alias("label"), F.least(F.lit(1.0), confidence + F.when(sung, 0.3).when(talk, 0.1).otherwise(0.0)).alias("confidence"))
+
+
+# What a feature must be for each flag, by the features' names.
+FLAGS = {
+    "high_energy": "rms > rms_p50", "very_high_energy": "rms > rms_p75", "has_voice": "voice_ratio > 0.25 and voice_ratio < 0.90", "speech_like": "voice_ratio < 0.25", "stable_beat": "beat_regularity > 0.3",
+    "zcr_above_mean": "zcr > zcr_mean", "flatness_above_mean": "flatness > flatness_mean", "song_high_energy": "song_rms_baseline > 0 and relative_energy > 1.0",
+    "song_very_high_energy": "song_rms_p85 > 0 and relative_energy > song_rms_p85 / greatest(song_rms_baseline, 1e-8)",
+}
+
+
+def feature_flags() -> list[Column]:
+    """The nine flags as columns over features named as in FLAGS."""
+    return [F.expr(x).alias(k) for k, x in FLAGS.items()]

@@ -61,6 +61,11 @@ def subtitle_cache_key(file_hash: Column, song: Column, language: Column, kind:
     return F.md5(F.concat_ws("_", file_hash, song.cast("string"), language, kind).cast("binary"))
 
 
+def file_key(size: Column, head: Column, tail: Column) -> Column:
+    """The key of a file by its size, first and last bytes, so that it need not be read whole."""
+    return F.sha1(F.concat(size.cast("string").cast("binary"), head.cast("binary"), tail.cast("binary")))
+
+
 def new_id(prefix: str, *key: Column) -> Column:
     """A stable id of a key: a repeated run gives the same."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *(k.cast("string") for k in key)).cast("binary"), 256), 1, 16))

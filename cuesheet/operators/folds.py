@@ -64,10 +64,10 @@ def suppress_close_candidates(points: DataFrame, keys: Keys, time: str, score: s
     return fold(points, keys, [time, score], _typed(f"{time}: double, {score}: double"), step, lambda acc: acc)
 
 
-def cluster_boundaries(points: DataFrame, keys: Keys, time: str, source: str, weights: Mapping[str, float], radius: float = 15.0) -> DataFrame:
+def cluster_boundaries(points: DataFrame, keys: Keys, time: str, source: str, weights: Mapping[str, float], radius: float = 15.0, keep: float = 0.55) -> DataFrame:
     """Clusters of points in time order: a point joins the first whose weighted centre is within the radius. Columns center, score, n.
 
-    The score is the sum of the weights of the sources that a cluster holds.
+    The score is the sum of the weights of the sources that a cluster holds; clusters with less than `keep` are left out.
     """
     weight = F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, float(w))))
     rows = points.withColumn("_w", weight[F.col(source)])
@@ -84,7 +84,8 @@ def cluster_boundaries(points: DataFrame, keys: Keys, time: str, source: str, we
         return F.when(which.isNull(), _kept(acc, new)).otherwise(F.transform(acc, lambda c, i: F.when(i == which, joined(c)).otherwise(c)))
 
     score = lambda c: F.aggregate(c["sources"], F.lit(0.0), lambda s, x: s + weight[x])
-    return fold(rows, keys, [time, source, "_w"], init, step, lambda acc: F.transform(acc, lambda c: F.struct(c["center"], score(c).alias("score"), c["n"])))
+    found = fold(rows, keys, [time, source, "_w"], init, step, lambda acc: F.transform(acc, lambda c: F.struct(c["center"], score(c).alias("score"), c["n"])))
+    return found.where(F.col("score") >= keep - 1e-9)
 
 
 def select_by_score(points: DataFrame, keys: Keys, time: str, score: str, distance: float, compat: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cuesheet.operators.intervals import BUCKET_S, Keys, in_buckets, islands
+from cuesheet.operators.intervals import BUCKET_S, Keys, in_buckets, islands, overlap_join
 
 
 def centred(keys: Keys, order: str, size: int) -> WindowSpec:
@@ -22,6 +22,17 @@ def moving_average(col: str | Column, keys: Keys, order: str, size: int) -> Colu
     return F.avg(col).over(centred(keys, order, size))
 
 
+def reflected_average(rows: DataFrame, col: str, keys: Keys, order: str, size: int) -> DataFrame:
+    """Adds smooth: the mean of `size` frames around each, the series mirrored at its ends (the first and last frame twice). Timelines have `size` frames or more."""
+    w = Window.partitionBy(*keys)
+    rows = rows.withColumns({"_nr": F.row_number().over(w.orderBy(order)), "_n": F.count("*").over(w)})
+    mirror = F.when(F.col("_nr") <= size // 2, 1 - F.col("_nr")), F.when(F.col("_n") - F.col("_nr") < size // 2, 2 * F.col("_n") + 1 - F.col("_nr"))
+    places = F.array_compact(F.array(F.col("_nr"), *mirror))
+    spread = rows.withColumn("_at", F.explode(places))
+    mean = F.avg(col).over(w.orderBy("_at").rowsBetween(-(size // 2), size - 1 - size // 2))
+    return spread.withColumn("smooth", mean).where(F.col("_at") == F.col("_nr")).drop("_nr", "_n", "_at")
+
+
 def local_extrema(rows: DataFrame, col: str, keys: Keys, order: str, reach: int, kind: str = "max") -> DataFrame:
     """Frames strictly above (or below) all of up to `reach` neighbours on each side; the first and last frame never are."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -77,14 +88,18 @@ def static_runs(rows: DataFrame, col: str, keys: Keys, time: str, below: float,
     return found.where(F.col("end_s") - F.col("start_s") >= min_len)
 
 
-def frame_statistics(rows: DataFrame, col: str, keys: Keys, fewest: int = 10) -> DataFrame:
-    """Mean, deviation and percentiles of the active frames: those above the 5th percentile if there are more than `fewest`, else all."""
-    floor = rows.groupBy(*keys).agg(F.percentile(col, F.lit(0.05)).alias("_p5"))
-    marked = rows.join(floor, list(keys)).withColumn("_on", F.col(col) > F.col("_p5"))
-    counted = marked.withColumn("_n", F.sum(F.col("_on").cast("int")).over(Window.partitionBy(*keys)))
-    active = counted.where((F.col("_n") <= fewest) | F.col("_on"))
-    shares = (10, 25, 50, 75, 90, 95)
-    return active.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("deviation"), *(F.percentile(col, F.lit(p / 100)).alias(f"p{p}") for p in shares))
+#: percentiles of the active frames
+SHARES = (10, 25, 50, 75, 90, 95)
+
+
+def frame_statistics(rows: DataFrame, columns: list[str], keys: Keys, energy: str = "rms", fewest: int = 10) -> DataFrame:
+    """Mean, deviation and percentiles of each column over the active frames: those whose energy is above its 5th percentile if there are more than `fewest`, else all."""
+    floor = rows.groupBy(*keys).agg(F.percentile(energy, F.lit(0.05)).alias("_p5"))
+    marked = rows.join(floor, list(keys)).withColumn("_on", F.col(energy) > F.col("_p5"))
+    some = marked.groupBy(*keys).agg((F.count_if("_on") <= fewest).alias("_all"))
+    active = marked.join(some, list(keys)).where("_all or _on")
+    each = [x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), *(F.percentile(c, F.lit(p / 100)).alias(f"{c}_p{p}") for p in SHARES))]
+    return active.groupBy(*keys).agg(F.count("*").alias("n"), *each)
 
 
 def song_statistics(rows: DataFrame, col: str, keys: Keys, order: str, size: int) -> DataFrame:
@@ -162,9 +177,9 @@ def distribution_entropy(vector: Column, least: float = 0.01) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
-def edge_signature(rows: DataFrame, vector: str, keys: Keys, order: str, size: int, fewest: int = 2) -> DataFrame:
-    """The mean vector of the first `size` frames of each timeline, of length one; null with fewer than `fewest` frames."""
-    first = rows.withColumn("_nr", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_nr") <= size)
+def edge_signature(rows: DataFrame, vector: str, keys: Keys, order: str, size: int, fewest: int = 2, tail: bool = False) -> DataFrame:
+    """The mean vector of the first (or last) `size` frames of each timeline, of length one; null with fewer than `fewest` frames."""
+    first = rows.withColumn("_nr", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order) if tail else F.asc(order)))).where(F.col("_nr") <= size)
     means = by_dimension(first.select(*keys, vector), vector).groupBy(*keys, "dim").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
     whole = means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("v"), F.first("n").alias("n"))
     return whole.select(*keys, F.when(F.col("n") >= fewest, unit(F.col("v"))).alias("signature"))
@@ -201,22 +216,83 @@ def pairwise_similarity(rows: DataFrame, vector: str, group: str, ident: str, th
     return means.join(counts, [group, ident], "left").withColumn("repeat_count", F.coalesce("repeat_count", F.lit(0)))
 
 
-def combine_window_logits(windows: DataFrame, keys: Keys, frame: str, logits: str) -> DataFrame:
-    """The mean of overlapping windows' logits for each frame, as probabilities: the best class, its number from 0, and its probability."""
+def combine_window_logits(windows: DataFrame, keys: Keys, frame: str, logits: str, boundary: str) -> DataFrame:
+    """The mean of overlapping windows' outputs for each frame: the best class, its number from 0, its probability, and the probability of a boundary."""
     means = by_dimension(windows.select(*keys, frame, logits), logits).groupBy(*keys, frame, "dim").agg(F.avg("x").alias("m"))
-    best = means.groupBy(*keys, frame).agg(F.max_by("dim", F.struct("m", -F.col("dim"))).alias("class"), F.max("m").alias("_top"), F.collect_list("m").alias("_all"))
+    best = means.groupBy(*keys, frame).agg(F.max_by("dim", F.struct("m", -F.col("dim"))).alias("class"), F.max("m").alias("_top"), F.array_sort(F.collect_list("m")).alias("_all"))
     total = F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top")))
-    return best.select(*keys, frame, "class", (1 / total).alias("probability"))
+    edges = windows.groupBy(*keys, frame).agg((1 / (1 + F.exp(-F.avg(boundary)))).alias("boundary"))
+    return best.select(*keys, frame, "class", (1 / total).alias("probability")).join(edges, [*keys, frame])
+
 
+def segment_confidence(frames: DataFrame, segment: Keys) -> DataFrame:
+    """Of each segment's frames (probability, boundary) the mean boundary probability times the mean probability of the best class."""
+    return frames.groupBy(*segment).agg((F.avg("boundary") * F.avg("probability")).alias("confidence"))
 
-def segment_features(frames: DataFrame, segments: DataFrame, keys: Keys, segment_id: str, time: str, col: str, silent: float) -> DataFrame:
-    """Of the frames in each segment: mean, relation to the timeline's mean, deviation, first-to-last change, share of silence."""
-    whole = frames.groupBy(*keys).agg(F.avg(col).alias("_whole"))
+
+def top_classes(frames: DataFrame, keys: Keys, frame: str, size: int, k: int = 3) -> DataFrame:
+    """The k commonest classes of each stretch of `size` frames; of equally common ones the smaller number: bucket, class, n, nr."""
+    counts = frames.groupBy(*keys, F.floor(F.col(frame) / size).alias("bucket"), "class").agg(F.count("*").alias("n"))
+    nr = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(F.desc("n"), "class")).cast("long")
+    return counts.withColumn("nr", nr).where(F.col("nr") <= k)
+
+
+def segment_features(frames: DataFrame, segments: DataFrame, keys: Keys, segment_id: str, time: str, energy: str, centroid: str, likelihood: str, silent: float) -> DataFrame:
+    """Of the frames in each segment: energy and centroid by mean, deviation, relation to the timeline's mean and (centroid) first-to-last change, the share of
+    silence, the energy's variance, and the mean likelihood of a repeat."""
+    whole = frames.groupBy(*keys).agg(F.avg(energy).alias("_e"), F.avg(centroid).alias("_c"))
     held = in_buckets(segments.select(*keys, segment_id, "start_s", "end_s"), "start_s", "end_s")
-    timed = frames.select(*keys, time, col, F.floor(F.col(time) / BUCKET_S).alias("_bucket"))
+    timed = frames.select(*keys, time, energy, centroid, likelihood, F.floor(F.col(time) / BUCKET_S).alias("_bucket"))
     inside = held.join(timed, [*keys, "_bucket"]).where((F.col(time) >= F.col("start_s")) & (F.col(time) < F.col("end_s")))
-    found = inside.groupBy(*keys, segment_id).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("deviation"), (F.max_by(col, time) - F.min_by(col, time)).alias("gradient"), F.avg((F.col(col) < silent).cast("double")).alias("silence_ratio"))
-    return found.join(whole, list(keys)).withColumn("relative", F.col("mean") / F.col("_whole")).drop("_whole")
+    found = inside.groupBy(*keys, segment_id).agg(
+        F.avg(energy).alias("energy"), F.stddev_pop(energy).alias("deviation"), F.var_pop(energy).alias("variance"), F.avg((F.col(energy) < silent).cast("double")).alias("silence_ratio"),
+        F.avg(centroid).alias("centroid"), F.stddev_pop(centroid).alias("centroid_std"), (F.max_by(centroid, time) - F.min_by(centroid, time)).alias("centroid_gradient"), F.avg(likelihood).alias("repeat_likelihood"),
+    )
+    both = found.join(whole, list(keys))
+    return both.withColumns({"relative_energy": F.col("energy") / F.nullif("_e", F.lit(0.0)), "centroid_relative": F.col("centroid") / F.nullif("_c", F.lit(0.0))}).drop("_e", "_c")
+
+
+def strong_peaks_apart(peaks: DataFrame, groups: DataFrame, keys: Keys, time: str, score: str, tolerance: float = 3.0, share: float = 0.85) -> DataFrame:
+    """Peaks of at least the share-quantile of their timeline's scores that no group (t) is within the tolerance of: the second tier of `agreeing_signals`."""
+    floor = peaks.groupBy(*keys).agg(F.percentile(score, F.lit(share)).alias("_p"))
+    strong = peaks.join(floor, list(keys)).where(F.col(score) >= F.col("_p")).drop("_p")
+    around = groups.select(*keys, (F.col("t") - tolerance).alias("start_s"), (F.col("t") + tolerance).alias("end_s"))
+    points = strong.select(*keys, time, F.col(time).alias("start_s"), F.col(time).alias("end_s"))
+    near = overlap_join(points, around, keys, eps=-1e-9).select(*keys, time).distinct()
+    return strong.join(near, [*keys, time], "left_anti")
+
+
+# The weight of each sign of a boundary.
+SIGNS = {"applause_low": 3.0, "chroma": 2.0, "mfcc": 2.5, "centroid": 1.8, "beat": 1.2, "crowd": 2.0, "key_drop": 3.0, "valley": 0.8}
+
+
+def boundary_score_curve(rows: DataFrame, keys: Keys, signs: dict[str, float] | None = None) -> DataFrame:
+    """Adds score: the weighted sum of the signs (a column each, 0 and more), each over its largest value in the timeline."""
+    signs = signs or SIGNS
+    most = rows.groupBy(*keys).agg(*(F.max(c).alias(f"_{c}") for c in signs))
+    parts = [F.when(F.col(f"_{c}") > 0, F.col(c) / F.col(f"_{c}") * w).otherwise(0.0) for c, w in signs.items()]
+    return rows.join(most, list(keys)).withColumn("score", sum(parts[1:], parts[0])).drop(*(f"_{c}" for c in signs))
+
+
+def applause_mask(rows: DataFrame, keys: Keys, order: str, size: int) -> DataFrame:
+    """Adds flag: frames (rms, zcr, flatness, pitch) like noise with energy, without runs shorter than `size` and holes shorter than twice that."""
+    bounds = {"zcr": 0.6, "flatness": 0.5, "pitch": 0.6, "rms": 0.15}
+    q = rows.groupBy(*keys).agg(*(F.percentile(c, F.lit(p)).alias(f"_{c}") for c, p in bounds.items()))
+    noisy = (F.col("zcr") > F.col("_zcr")) & (F.col("flatness") > F.col("_flatness")) & (F.col("pitch") < F.col("_pitch")) & (F.col("rms") > F.col("_rms"))
+    marked = rows.join(q, list(keys)).withColumn("flag", noisy).drop(*(f"_{c}" for c in bounds))
+    return binary_close(binary_open(marked, "flag", keys, order, size), "flag", keys, order, 2 * size)
+
+
+def voice_mask(rows: DataFrame, keys: Keys) -> DataFrame:
+    """Adds flag: frames (rms, zcr, centroid) of some energy with a voice's rate of zero crossings and centroid."""
+    q = rows.groupBy(*keys).agg(F.percentile("rms", F.lit(0.2)).alias("_p"))
+    voice = (F.col("rms") > F.col("_p")) & (F.col("zcr") > 0.02) & (F.col("zcr") < 0.20) & (F.col("centroid") > 300) & (F.col("centroid") < 4000)
+    return rows.join(q, list(keys)).withColumn("flag", voice).drop("_p")
+
+
+def vocal_share(vocal: Column, full: Column) -> Column:
+    """The voice ratio where voices were separated: their energy over that of everything, at most 1."""
+    return F.coalesce(F.least(F.lit(1.0), vocal / F.nullif(full, F.lit(0.0))), F.lit(0.0))
 
 
 def agreeing_signals(points: DataFrame, keys: Keys, time: str, signal: str, tolerance: float = 3.0, fewest: int = 2) -> DataFrame:

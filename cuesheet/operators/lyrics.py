@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text as tx
+from cuesheet.operators.asof import next_non_null_start
 from cuesheet.operators.intervals import Keys, islands, to_millis
 
 # The pattern of a time stamp, and of metadata lines.
@@ -173,3 +174,17 @@ def transcript_quality(words: DataFrame, lyrics: DataFrame, keys: Keys, order: K
     both = said.join(lyrics, list(keys)).join(transcript_stability(words, keys, order), list(keys))
     rows = both.withColumn("coverage", tx.text_similarity(F.substring("_said", 1, 1200), F.substring("lyrics", 1, 1200)))
     return rows.select(*keys, "coverage", "stability", (0.72 * F.col("coverage") + 0.28 * F.col("stability")).alias("quality"))
+
+
+def lines_to_segments(lines: DataFrame, keys: Keys, order: Keys, duration: float, clip_start: float, clip_end: float, shortest: float = 0.8) -> DataFrame:
+    """Timed lines (t, text) that touch a clip as sentences in the clip's time, cut to it; a line ends where the next timed one starts, at `duration` the last."""
+    timed = next_non_null_start(lines, keys, order, duration, shortest).where("trim(text) <> ''")
+    inside = timed.where((F.col("end_s") > clip_start) & (F.col("t") < clip_end))
+    last = F.least(F.lit(clip_end - clip_start), F.greatest(F.col("end_s") - clip_start, F.col("t") - clip_start + shortest))
+    return inside.withColumns({"start_s": F.greatest(F.lit(0.0), F.col("t") - clip_start), "end_s": last}).where("end_s > 0")
+
+
+def joined_result(sentences: DataFrame, keys: Keys, order: str) -> DataFrame:
+    """One row for each timeline: its sentences' trimmed text in order, a line each, and their number."""
+    rows = sentences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.trim("text").alias("text")))).alias("x"))
+    return rows.select(*keys, F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("text"), F.size("x").cast("long").alias("n"))

@@ -123,7 +123,7 @@ CLUSTERS = """WITH RECURSIVE i AS (SELECT media_id, row_number() OVER (PARTITION
     SELECT media_id, unnest(arg_max(acc, nr)) AS s FROM g GROUP BY media_id"""
 
 
-@query("Q04_cluster_boundaries", f"SELECT media_id, round(s.center + 1e-7, 3) AS center, list_sum(list_transform(s.sources, lambda x: CASE x WHEN 'title' THEN 0.6 WHEN 'audio' THEN 0.25 ELSE 0.15 END::DOUBLE)) AS score, s.n AS n FROM ({CLUSTERS})", "center score")
+@query("Q04_cluster_boundaries", f"SELECT media_id, round(s.center + 1e-7, 3) AS center, list_sum(list_transform(s.sources, lambda x: CASE x WHEN 'title' THEN 0.6 WHEN 'audio' THEN 0.25 ELSE 0.15 END::DOUBLE)) AS score, s.n AS n FROM ({CLUSTERS}) WHERE list_sum(list_transform(s.sources, lambda x: CASE x WHEN 'title' THEN 0.6 WHEN 'audio' THEN 0.25 ELSE 0.15 END::DOUBLE)) >= 0.55 - 1e-9", "center score")
 def q04(v):
     return fo.cluster_boundaries(v.bnd, M, "t", "source", WEIGHTS, 40.0).withColumn("center", F.round(F.col("center") + 1e-7, 3))
 

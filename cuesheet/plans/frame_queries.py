@@ -12,9 +12,15 @@ W = "(PARTITION BY media_id ORDER BY frame ROWS BETWEEN {} AND {})"
 SMOOTH5 = "OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 
 
-@query("W01_moving_average", f"SELECT media_id, frame, avg(rms) {SMOOTH5} AS smooth FROM tl", "smooth")
+MIRRORED = f"""a AS (SELECT media_id, frame, rms, row_number() OVER (PARTITION BY media_id ORDER BY frame) AS nr, count(*) OVER (PARTITION BY media_id) AS n FROM tl),
+    m AS (SELECT *, nr AS spot FROM a UNION ALL SELECT *, 1 - nr FROM a WHERE nr <= 2 UNION ALL SELECT *, 2 * n + 1 - nr FROM a WHERE n - nr < 2),
+    r AS (SELECT *, avg(rms) OVER (PARTITION BY media_id ORDER BY spot ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS reflected FROM m)"""
+
+
+@query("W01_moving_average", f"WITH {MIRRORED}, s AS (SELECT media_id, frame, avg(rms) {SMOOTH5} AS smooth FROM tl) SELECT media_id, frame, s.smooth, r.reflected FROM r JOIN s USING (media_id, frame) WHERE spot = nr", "smooth reflected")
 def w01(v):
-    return v.tl.select("media_id", "frame", fr.moving_average("rms", M, "frame", 5).alias("smooth"))
+    rows = v.tl.select("media_id", "frame", "rms", fr.moving_average("rms", M, "frame", 5).alias("cut"))
+    return fr.reflected_average(rows, "rms", M, "frame", 5).select("media_id", "frame", F.col("cut").alias("smooth"), F.col("smooth").alias("reflected"))
 
 
 @query("W02_local_extrema", """SELECT media_id, frame, rms FROM (SELECT *, max(rms) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS a, max(rms) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS b FROM tl) WHERE rms > a AND rms > b""")
@@ -90,13 +96,24 @@ def w13(v):
     return v.seg.select("media_id", "seg_index", F.lag("confidence").over(w).alias("prev_confidence"), F.lead("confidence").over(w).alias("next_confidence"), F.row_number().over(w).cast("long").alias("nr"), F.count("*").over(song).alias("n"))
 
 
-P = ", ".join(f"quantile_cont(rms, {p / 100}) AS p{p}" for p in (10, 25, 50, 75, 90, 95))
+#: frames with features made from their numbers; the same text serves both engines
+FRAMES = """media_id, frame, t, rms, CAST(frame * 7 % 11 AS DOUBLE) / 40 AS zcr, CAST(frame * 3 % 10 AS DOUBLE) / 10 AS flatness, CAST(frame * 13 % 17 AS DOUBLE) / 17 AS pitch, CAST(frame * 37 % 4500 AS DOUBLE) + 1 AS centroid,
+    CAST(frame * 5 % 19 AS DOUBLE) / 19 AS likelihood"""
+FEATURED = f"fs AS (SELECT {FRAMES} FROM tl)"
+
+
+def featured(v):
+    return v.tl.selectExpr(*FRAMES.replace("\n", " ").split(", "))
+
+
+MEASURED = ["rms", "zcr", "centroid", "flatness", "pitch"]
+STATS = {f"{c}_{k}": x for c in MEASURED for k, x in ({"mean": f"avg({c})", "std": f"stddev_pop({c})"} | {f"p{p}": f"quantile_cont({c}, {p / 100})" for p in fr.SHARES}).items()}
 
 
-@query("A01_frame_statistics", f"""WITH f AS (SELECT media_id, quantile_cont(rms, 0.05) AS p5 FROM tl GROUP BY media_id), m AS (SELECT tl.*, rms > p5 AS on_, sum((rms > p5)::INT) OVER (PARTITION BY media_id) AS k FROM tl JOIN f USING (media_id))
-    SELECT media_id, count(*) AS n, avg(rms) AS mean, stddev_pop(rms) AS deviation, {P} FROM m WHERE k <= 10 OR on_ GROUP BY media_id""", "mean deviation p10 p25 p50 p75 p90 p95")
+@query("A01_frame_statistics", f"""WITH {FEATURED}, f AS (SELECT media_id, quantile_cont(rms, 0.05) AS p5 FROM tl GROUP BY media_id), m AS (SELECT fs.*, rms > p5 AS on_, sum((rms > p5)::INT) OVER (PARTITION BY media_id) AS k FROM fs JOIN f USING (media_id))
+    SELECT media_id, count(*) AS n, {', '.join(f'{x} AS {k}' for k, x in STATS.items())} FROM m WHERE k <= 10 OR on_ GROUP BY media_id""", " ".join(STATS))
 def a01(v):
-    return fr.frame_statistics(v.tl, "rms", M)
+    return fr.frame_statistics(featured(v), MEASURED, M)
 
 
 @query("A02_song_statistics", f"WITH m AS (SELECT media_id, avg(rms) {SMOOTH5} AS s FROM tl) SELECT media_id, avg(s) AS mean, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.75) AS p75, quantile_cont(s, 0.85) AS p85, 1 / (1 + stddev_pop(s) / nullif(avg(s), 0)) AS stability FROM m GROUP BY media_id", "mean p50 p75 p85 stability")
@@ -104,10 +121,12 @@ def a02(v):
     return fr.song_statistics(v.tl, "rms", M, "frame", 5)
 
 
-@query("A03_segment_features", """WITH w AS (SELECT media_id, avg(rms) AS w FROM tl GROUP BY media_id), i AS (SELECT s.media_id, s.seg_index, f.t, f.rms FROM seg s JOIN tl f ON s.media_id = f.media_id AND f.t >= s.start_s AND f.t < s.end_s)
-    SELECT i.media_id, seg_index, avg(rms) AS mean, stddev_pop(rms) AS deviation, arg_max(rms, t) - arg_min(rms, t) AS gradient, avg((rms < 10)::INT) AS silence_ratio, avg(rms) / any_value(w) AS relative FROM i JOIN w USING (media_id) GROUP BY i.media_id, seg_index""", "mean deviation gradient silence_ratio relative")
+@query("A03_segment_features", f"""WITH {FEATURED}, w AS (SELECT media_id, avg(rms) AS we, avg(centroid) AS wc FROM fs GROUP BY media_id), i AS (SELECT s.media_id, s.seg_index, f.* EXCLUDE (media_id) FROM seg s JOIN fs f ON s.media_id = f.media_id AND f.t >= s.start_s AND f.t < s.end_s)
+    SELECT i.media_id, seg_index, avg(rms) AS energy, stddev_pop(rms) AS deviation, var_pop(rms) AS variance, avg((rms < 10)::INT) AS silence_ratio, avg(centroid) AS centroid, stddev_pop(centroid) AS centroid_std, arg_max(centroid, t) - arg_min(centroid, t) AS centroid_gradient,
+    avg(likelihood) AS repeat_likelihood, avg(rms) / any_value(we) AS relative_energy, avg(centroid) / any_value(wc) AS centroid_relative FROM i JOIN w USING (media_id) GROUP BY i.media_id, seg_index""",
+    "energy deviation variance silence_ratio centroid centroid_std centroid_gradient repeat_likelihood relative_energy centroid_relative")
 def a03(v):
-    return fr.segment_features(v.tl, v.seg, M, "seg_index", "t", "rms", 10.0)
+    return fr.segment_features(featured(v), v.seg, M, "seg_index", "t", "rms", "centroid", "likelihood", 10.0)
 
 
 @query("A20_interval_stability", """WITH g AS (SELECT media_id, t - lag(t) OVER (PARTITION BY media_id ORDER BY t) AS gap FROM tl WHERE kind = 'click')
@@ -121,22 +140,47 @@ def a21(v):
     return v.vec.groupBy("song").agg(F.avg(fr.distribution_entropy(F.col("v"))).alias("entropy"))
 
 
-@query("A22_edge_signature", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY frame) AS nr FROM vec), d AS (SELECT song, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM n WHERE nr <= 12), m AS (SELECT song, dim, avg(x) AS m FROM d GROUP BY song, dim),
-    k AS (SELECT *, m / sqrt(sum(m * m) OVER (PARTITION BY song)) AS x FROM m) SELECT song, dim - 1 AS dim, x FROM k""", "x")
+SIDE = """{n}1 AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY frame {order}) AS nr FROM vec), {n}2 AS (SELECT song, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM {n}1 WHERE nr <= 12), {n}3 AS (SELECT song, dim, avg(x) AS m FROM {n}2 GROUP BY song, dim),
+    {n} AS (SELECT song, dim - 1 AS dim, m / sqrt(sum(m * m) OVER (PARTITION BY song)) AS x FROM {n}3)"""
+
+
+@query("A22_edge_signature", f"WITH {SIDE.format(n='hd', order='')}, {SIDE.format(n='ta', order='DESC')} SELECT song, dim, hd.x AS head, ta.x AS tail FROM hd JOIN ta USING (song, dim)", "head tail")
 def a22(v):
-    return fr.by_dimension(fr.edge_signature(v.vec, "v", ["song"], "frame", 12), "signature").select("song", F.col("dim").cast("long").alias("dim"), "x")
+    side = lambda name, tail: fr.by_dimension(fr.edge_signature(v.vec, "v", ["song"], "frame", 12, tail=tail), "signature").select("song", F.col("dim").cast("long").alias("dim"), F.col("x").alias(name))
+    return side("head", False).join(side("tail", True), ["song", "dim"])
 
 
-@query("A25_voice_ratio", "WITH f AS (SELECT media_id, quantile_cont(rms, 0.2) AS p FROM tl GROUP BY media_id) SELECT media_id, floor(t / 720)::INT AS song_index, avg((rms > p)::INT) AS voice_ratio FROM tl JOIN f USING (media_id) GROUP BY ALL", "voice_ratio")
+@query("A25_voice_ratio", f"WITH {FEATURED}, f AS (SELECT media_id, quantile_cont(rms, 0.2) AS p FROM tl GROUP BY media_id) SELECT media_id, floor(t / 720)::INT AS song_index, avg((rms > p)::INT) AS voice_ratio, least(1.0, coalesce(avg(rms) FILTER (zcr > 0.1), 0.0) / avg(rms)) AS vocal_share FROM fs JOIN f USING (media_id) GROUP BY ALL", "voice_ratio vocal_share")
 def a25(v):
-    return fr.voice_ratio(v.tl.withColumn("song_index", F.floor(F.col("t") / 720).cast("int")), "rms", M, "song_index")
+    rows = featured(v).withColumn("song_index", F.floor(F.col("t") / 720).cast("int"))
+    shares = rows.groupBy("media_id", "song_index").agg(fr.vocal_share(F.avg(F.when(F.col("zcr") > 0.1, F.col("rms"))), F.avg("rms")).alias("vocal_share"))
+    return fr.voice_ratio(rows, "rms", M, "song_index").join(shares, ["media_id", "song_index"])
+
+
+#: each vector as the outputs of three overlapping windows: 63 classes and the boundary
+COMBINED = """w AS (SELECT song, frame + k AS frame, v FROM vec, range(0, 3) r(k)), d AS (SELECT song, frame, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM w), m AS (SELECT song, frame, dim, avg(x) AS m FROM d GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY song, frame ORDER BY m DESC, dim) AS nr, exp(m) / sum(exp(m)) OVER (PARTITION BY song, frame) AS probability FROM m WHERE dim < 63),
+    cb AS (SELECT r.song, r.frame, r.dim::INT AS class, probability, 1 / (1 + exp(-b.m)) AS boundary FROM r JOIN m b ON b.song = r.song AND b.frame = r.frame AND b.dim = 63 WHERE nr = 1)"""
+
+
+def combined(v):
+    windows = v.vec.select("song", F.explode(F.sequence(F.col("frame"), F.col("frame") + 2)).alias("frame"), F.slice("v", 1, 63).alias("v"), F.element_at("v", 64).alias("b"))
+    return fr.combine_window_logits(windows, ["song"], "frame", "v", "b")
 
 
-@query("A26_combine_window_logits", """WITH w AS (SELECT song, frame + k AS frame, v[1:8] AS v FROM vec, range(0, 3) r(k)), d AS (SELECT song, frame, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM w), m AS (SELECT song, frame, dim, avg(x) AS m FROM d GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY song, frame ORDER BY m DESC, dim) AS nr, exp(m) / sum(exp(m)) OVER (PARTITION BY song, frame) AS probability FROM m) SELECT song, frame, dim::INT AS class, probability FROM r WHERE nr = 1""", "probability")
+@query("A26_combine_window_logits", f"WITH {COMBINED} SELECT * FROM cb", "probability boundary")
 def a26(v):
-    windows = v.vec.select("song", F.explode(F.sequence(F.col("frame"), F.col("frame") + 2)).alias("frame"), F.slice("v", 1, 8).alias("v"))
-    return fr.combine_window_logits(windows, ["song"], "frame", "v")
+    return combined(v)
+
+
+@query("A26_segment_confidence", f"WITH {COMBINED} SELECT song, frame // 10 AS part, avg(boundary) * avg(probability) AS confidence FROM cb GROUP BY ALL", "confidence")
+def a26_segments(v):
+    return fr.segment_confidence(combined(v).withColumn("part", F.floor(F.col("frame") / 10)), ["song", "part"])
+
+
+@query("A26_top_classes", f"WITH {COMBINED} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song, bucket ORDER BY n DESC, class) AS nr FROM (SELECT song, frame // 60 AS bucket, class, count(*) AS n FROM cb GROUP BY ALL)) WHERE nr <= 3")
+def a26_top(v):
+    return fr.top_classes(combined(v), ["song"], "frame", 60)
 
 
 @query("A28_signal_diagnostics", "SELECT media_id, max(t) - min(t) AS duration_s, 20 * log10(greatest(max(abs(rms)), 1e-9)) AS peak_db, 20 * log10(greatest(avg(abs(rms)), 1e-9)) AS mean_db, avg((abs(rms) < 5)::INT) AS silent_share, max(abs(rms)) > 5 AS valid FROM tl GROUP BY media_id", "duration_s peak_db mean_db silent_share")
@@ -158,20 +202,20 @@ def j19(v):
     return fr.pairwise_similarity(v.vec, "v", "song", "frame", 0.3).select("song", "frame", "avg_similarity", "repeat_count")
 
 
-@query("W18_applause_mask", """WITH q AS (SELECT media_id, quantile_cont(rms, 0.6) AS p60, quantile_cont(rms, 0.15) AS p15, quantile_cont(frame % 17, 0.5) AS z FROM tl GROUP BY media_id),
-    b AS (SELECT media_id, frame, (rms < p60 AND rms > p15 AND frame % 17 > z)::INT AS f FROM tl JOIN q USING (media_id)), o1 AS (SELECT media_id, frame, min(f) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS f FROM b),
-    o2 AS (SELECT media_id, frame, max(f) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) = 1 AS flag FROM o1) SELECT * FROM o2""")
+def window(f, before, after):
+    return f"{f} OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+
+
+@query("W18_applause_mask", f"""WITH {FEATURED}, q AS (SELECT media_id, quantile_cont(zcr, 0.6) AS a, quantile_cont(flatness, 0.5) AS b, quantile_cont(pitch, 0.6) AS c, quantile_cont(rms, 0.15) AS d FROM fs GROUP BY media_id),
+    f0 AS (SELECT media_id, frame, (zcr > a AND flatness > b AND pitch < c AND rms > d)::INT AS f FROM fs JOIN q USING (media_id)), f1 AS (SELECT media_id, frame, {window('min(f)', 1, 0)} AS f FROM f0), f2 AS (SELECT media_id, frame, {window('max(f)', 0, 1)} AS f FROM f1),
+    f3 AS (SELECT media_id, frame, {window('max(f)', 1, 2)} AS f FROM f2), f4 AS (SELECT media_id, frame, {window('min(f)', 2, 1)} = 1 AS flag FROM f3) SELECT * FROM f4""")
 def w18(v):
-    rows = v.tl.withColumn("z", F.col("frame") % 17)
-    q = rows.groupBy("media_id").agg(F.percentile("rms", F.lit(0.6)).alias("p60"), F.percentile("rms", F.lit(0.15)).alias("p15"), F.percentile("z", F.lit(0.5)).alias("zq"))
-    flags = rows.join(q, "media_id").select("media_id", "frame", ((F.col("rms") < F.col("p60")) & (F.col("rms") > F.col("p15")) & (F.col("z") > F.col("zq"))).alias("flag"))
-    return fr.binary_open(flags, "flag", M, "frame", 2)
+    return fr.applause_mask(featured(v), M, "frame", 2).select("media_id", "frame", "flag")
 
 
-@query("W19_voice_mask", "WITH q AS (SELECT media_id, quantile_cont(rms, 0.2) AS p20 FROM tl GROUP BY media_id) SELECT media_id, frame, rms > p20 AND rms < 200 AS flag FROM tl JOIN q USING (media_id)")
+@query("W19_voice_mask", f"WITH {FEATURED}, q AS (SELECT media_id, quantile_cont(rms, 0.2) AS p20 FROM fs GROUP BY media_id) SELECT media_id, frame, rms > p20 AND zcr > 0.02 AND zcr < 0.20 AND centroid > 300 AND centroid < 4000 AS flag FROM fs JOIN q USING (media_id)")
 def w19(v):
-    q = v.tl.groupBy("media_id").agg(F.percentile("rms", F.lit(0.2)).alias("p20"))
-    return v.tl.join(q, "media_id").select("media_id", "frame", ((F.col("rms") > F.col("p20")) & (F.col("rms") < 200)).alias("flag"))
+    return fr.voice_mask(featured(v), M).select("media_id", "frame", "flag")
 
 
 @query("W20_intervals_to_mask", "SELECT DISTINCT media_id, unnest(range(floor(start_s / 10)::BIGINT, ceil(end_s / 10)::BIGINT)) AS hop FROM seg WHERE end_s > start_s")
@@ -179,16 +223,29 @@ def w20(v):
     return fr.intervals_to_mask(v.seg, M, 10.0)
 
 
-@query("W22_boundary_score_curve", f"WITH {CHANGE}, z AS (SELECT *, 1 - rms / max(rms) OVER (PARTITION BY media_id) AS low FROM c) SELECT media_id, frame, 2.5 * change + 3.0 * low * (frame % 3 = 0)::INT AS score FROM z", "score")
+#: the signs: the change of the energy and others from frame numbers
+SIGNS = """media_id, frame, change AS mfcc, CAST(frame * 3 % 7 AS DOUBLE) AS chroma, CAST(frame * 5 % 11 AS DOUBLE) AS centroid, CAST(frame * 7 % 13 AS DOUBLE) AS beat, CAST(frame % 5 AS DOUBLE) AS crowd, CAST(frame * 11 % 17 AS DOUBLE) AS key_drop, 1 / (1 + rms) AS valley,
+    CASE WHEN frame % 3 = 0 THEN 1 / (1 + rms) ELSE 0 * rms END AS applause_low"""
+SCORE = " + ".join(f"CASE WHEN max({c}) OVER (PARTITION BY media_id) > 0 THEN {c} / max({c}) OVER (PARTITION BY media_id) * {w}::DOUBLE ELSE 0.0 END" for c, w in fr.SIGNS.items())
+
+
+@query("W22_boundary_score_curve", f"WITH {CHANGE}, z AS (SELECT {SIGNS} FROM c) SELECT media_id, frame, {SCORE} AS score FROM z", "score")
 def w22(v):
-    from pyspark.sql import Window
+    rows = fr.change_rate(v.tl, "rms", M, "frame", 5).selectExpr(*SIGNS.replace("\n", " ").split(", "))
+    return fr.boundary_score_curve(rows, M).select("media_id", "frame", "score")
 
-    rows = fr.change_rate(v.tl, "rms", M, "frame", 5)
-    low = 1 - F.col("rms") / F.max("rms").over(Window.partitionBy("media_id"))
-    return rows.select("media_id", "frame", (2.5 * F.col("change") + 3.0 * low * (F.col("frame") % 3 == 0).cast("int")).alias("score"))
 
+AGREEING = """g AS (SELECT *, t - lag(t) OVER (PARTITION BY media_id ORDER BY t, source) AS gap FROM bnd), i AS (SELECT *, sum(CASE WHEN gap > 15 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t, source ROWS UNBOUNDED PRECEDING) AS island FROM g),
+    ag AS (SELECT media_id, avg(t) AS t, count(DISTINCT source) AS n_signals FROM i GROUP BY media_id, island HAVING count(DISTINCT source) >= 2)"""
 
-@query("Q07_agreeing_signals", """WITH g AS (SELECT *, t - lag(t) OVER (PARTITION BY media_id ORDER BY t, source) AS gap FROM bnd), i AS (SELECT *, sum(CASE WHEN gap > 15 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t, source ROWS UNBOUNDED PRECEDING) AS island FROM g)
-    SELECT media_id, avg(t) AS t, count(DISTINCT source) AS n_signals FROM i GROUP BY media_id, island HAVING count(DISTINCT source) >= 2""", "t")
+
+@query("Q07_agreeing_signals", f"WITH {AGREEING} SELECT * FROM ag", "t")
 def q07(v):
     return fr.agreeing_signals(v.bnd, M, "t", "source", 15.0)
+
+
+@query("Q07_strong_peaks_apart", f"""WITH {AGREEING}, p AS (SELECT media_id, quantile_cont(rms, 0.85) AS p FROM tl GROUP BY media_id)
+    SELECT media_id, tl.t, rms FROM tl JOIN p USING (media_id) WHERE rms >= p AND NOT EXISTS (SELECT 1 FROM ag WHERE ag.media_id = tl.media_id AND abs(ag.t - tl.t) <= 15)""", "t")
+def q07_peaks(v):
+    groups = fr.agreeing_signals(v.bnd, M, "t", "source", 15.0)
+    return fr.strong_peaks_apart(v.tl.select("media_id", "t", "rms"), groups, M, "t", "rms", 15.0)

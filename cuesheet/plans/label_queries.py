@@ -9,7 +9,7 @@ from cuesheet.functions import labels as lb
 from cuesheet.operators import frames as fr
 from cuesheet.operators import intervals as iv
 from cuesheet.operators import reports as rp
-from cuesheet.plans.interval_queries import RATIO, SONGS, songs
+from cuesheet.plans.interval_queries import RATIO, TOTALS, merged_sql, totals
 from cuesheet.plans.registry import query
 
 M = ["media_id"]
@@ -107,17 +107,15 @@ def ratio_rows(v):
 
 @query("J10_refine_labels_by_activity", f"WITH r AS ({RATIO.format(extra='s.label, s.confidence,')}) SELECT media_id, seg_index, {REFINED} AS label, least(1.0, confidence + CASE WHEN click > 0.5 AND label IN ('error', 'signup') THEN 0.3 WHEN {REFINED} = 'talk' THEN 0.1 ELSE 0 END) AS confidence FROM r", "confidence")
 def j10(v):
-    sung = (F.col("click") > 0.5) & F.col("label").isin("error", "signup")
-    spoken = ~sung & F.when(F.col("label") == "purchase", (F.col("view") > 0.65) & (F.col("click") < 0.45) | (F.col("view") > 0.75) & (F.col("click") < 0.25)).otherwise((F.col("view") > 0.75) & (F.col("click") < 0.25))
-    return ratio_rows(v).select("media_id", "seg_index", F.when(sung, "verse").when(spoken, "talk").otherwise(F.col("label")).alias("label"), F.least(F.lit(1.0), F.col("confidence") + F.when(sung, 0.3).when(spoken, 0.1).otherwise(0.0)).alias("confidence"))
+    found = lb.refined_by_activity(F.col("label"), F.col("confidence"), F.col("click"), F.col("view"), intro="purchase", spoken=("error", "signup"))
+    return ratio_rows(v).select("media_id", "seg_index", found.alias("x")).select("media_id", "seg_index", "x.*")
 
 
-@query("J11_upgrade_by_region_overlap", """WITH o AS (SELECT s.media_id, s.seg_index, max(greatest(0.0, least(s.end_s, b.end_s) - greatest(s.start_s, b.start_s)) / (s.end_s - s.start_s)) FILTER (b.act_id IS NOT NULL) AS share FROM part_ s LEFT JOIN act b ON s.media_id = b.media_id AND s.start_s < b.end_s AND s.end_s > b.start_s GROUP BY ALL)
-    SELECT media_id, seg_index, CASE WHEN share > 0.5 AND share * confidence > 0.3 AND label IN ('error', 'signup') THEN 'chorus' ELSE label END AS label FROM o JOIN part_ USING (media_id, seg_index)""")
+@query("J11_upgrade_by_region_overlap", f"""WITH {TOTALS}, {merged_sql('m', 'act')}, cr AS (SELECT t.media_id, coalesce(sum(m.end_s - m.start_s), 0.0) / any_value(t.total_s) AS ratio FROM totals t LEFT JOIN m USING (media_id) GROUP BY t.media_id),
+    o AS (SELECT s.media_id, s.seg_index, max(greatest(0.0, least(s.end_s, b.end_s) - greatest(s.start_s, b.start_s)) / (s.end_s - s.start_s)) FILTER (b.act_id IS NOT NULL) AS share FROM part_ s LEFT JOIN act b ON s.media_id = b.media_id AND s.start_s < b.end_s AND s.end_s > b.start_s GROUP BY ALL)
+    SELECT media_id, seg_index, CASE WHEN share > 0.5 AND share * confidence > 0.3 AND label IN ('error', 'signup') AND ratio <= 0.25 THEN 'chorus' ELSE label END AS label FROM o JOIN part_ USING (media_id, seg_index) JOIN cr USING (media_id)""")
 def j11(v):
-    found = iv.overlap_join(v.part, v.act, M, how="left").groupBy("media_id", "seg_index", "label", "confidence").agg(F.max(F.try_divide(F.col("overlap_s"), F.col("end_s") - F.col("start_s"))).alias("share"))
-    up = (F.col("share") > 0.5) & (F.col("share") * F.col("confidence") > 0.3) & F.col("label").isin("error", "signup")
-    return found.select("media_id", "seg_index", F.when(up, "chorus").otherwise(F.col("label")).alias("label"))
+    return iv.upgrade_by_region_overlap(v.part, v.act, totals(v), M, ["seg_index"], ("error", "signup"), most=0.25).select("media_id", "seg_index", "label")
 
 
 @query("A29_weighted_condition_score", "SELECT media_id, frame, CASE WHEN rms > 50 THEN 2.0 ELSE 0 END + CASE WHEN t < 1000 THEN 1.5 ELSE 0 END - CASE WHEN kind = 'error' THEN 3.0 ELSE 0 END AS score FROM tl", "score")
@@ -131,11 +129,14 @@ def f19(v):
     return v.tl.select("media_id", "frame", lb.feature_value(features, "rms", -1.0).alias("value"))
 
 
-@query("F25_feature_flags", "WITH q AS (SELECT media_id, quantile_cont(rms, 0.5) AS p50, quantile_cont(rms, 0.75) AS p75, avg(rms) AS m FROM tl GROUP BY media_id) SELECT media_id, frame, rms > p50 AS high_energy, rms > p75 AS very_high_energy, frame % 10 / 10.0 > 0.25 AND frame % 10 / 10.0 < 0.9 AS has_voice, frame % 10 / 10.0 < 0.25 AS speech_like, rms > m AS above_mean FROM tl JOIN q USING (media_id)")
+FLAGGED = """media_id, frame, rms, CAST(frame % 10 AS DOUBLE) / 10 AS voice_ratio, CAST(frame * 3 % 7 AS DOUBLE) / 7 AS beat_regularity, CAST(frame * 7 % 11 AS DOUBLE) AS zcr, CAST(5 AS DOUBLE) AS zcr_mean, CAST(frame * 5 % 9 AS DOUBLE) AS flatness, CAST(4 AS DOUBLE) AS flatness_mean,
+    rms / 45 AS relative_energy, CAST(frame % 4 * 20 AS DOUBLE) AS song_rms_baseline, CAST(frame % 3 * 40 AS DOUBLE) AS song_rms_p85"""
+
+
+@query("F25_feature_flags", f"WITH q AS (SELECT media_id, quantile_cont(rms, 0.5) AS rms_p50, quantile_cont(rms, 0.75) AS rms_p75 FROM tl GROUP BY media_id), f AS (SELECT {FLAGGED} FROM tl) SELECT media_id, frame, {', '.join(f'{x} AS {k}' for k, x in lb.FLAGS.items())} FROM f JOIN q USING (media_id)")
 def f25(v):
-    q = v.tl.groupBy("media_id").agg(F.percentile("rms", F.lit(0.5)).alias("p50"), F.percentile("rms", F.lit(0.75)).alias("p75"), F.avg("rms").alias("m"))
-    voice = F.col("frame") % 10 / 10
-    return v.tl.join(q, "media_id").select("media_id", "frame", (F.col("rms") > F.col("p50")).alias("high_energy"), (F.col("rms") > F.col("p75")).alias("very_high_energy"), ((voice > 0.25) & (voice < 0.9)).alias("has_voice"), (voice < 0.25).alias("speech_like"), (F.col("rms") > F.col("m")).alias("above_mean"))
+    q = v.tl.groupBy("media_id").agg(F.percentile("rms", F.lit(0.5)).alias("rms_p50"), F.percentile("rms", F.lit(0.75)).alias("rms_p75"))
+    return v.tl.selectExpr(*FLAGGED.replace("\n", " ").split(", ")).join(q, "media_id").select("media_id", "frame", *lb.feature_flags())
 
 
 @query("A17_rebalance_over_predicted", """WITH k AS (SELECT *, CASE WHEN label IN ('click', 'view', 'purchase') THEN 'chorus' ELSE 'verse' END AS type FROM seg), c AS (SELECT *, count(*) OVER (PARTITION BY media_id, song_index) AS n, avg((type = 'chorus')::INT) OVER (PARTITION BY media_id, song_index) AS share FROM k)

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import text as tx
 from cuesheet.operators import cache as ca
+from cuesheet.operators import folds as fo
 from cuesheet.operators import lyrics as ly
+from cuesheet.operators import snapping as sn
+from cuesheet.operators import titles as ti
+from cuesheet.plans.fold_queries import CHUNKS
 from cuesheet.plans.registry import query
+from cuesheet.plans.song_queries import SPLIT
 from cuesheet.sources import documents as dc
 
 M = ["media_id"]
@@ -138,9 +143,11 @@ def f10(v):
     return v.title.select("page_id", tx.escape_ass(F.concat(F.lit("{"), F.col("title"), F.lit("}"))).alias("ass"), tx.escape_srt(F.concat(F.lit("<"), F.col("title"), F.lit(">"))).alias("srt"))
 
 
-@query("F12_cache_key", "SELECT entry_id, md5(concat_ws('_', 'h' || cache_key, entry_id, 'zh', 'ass')) AS key FROM ttl")
+@query("F12_cache_key", "SELECT entry_id, md5(concat_ws('_', 'h' || cache_key, entry_id, 'zh', 'ass')) AS key, sha1(bytes || 'head' || cache_key || 'tail' || entry_id) AS file_key FROM ttl")
 def f12(v):
-    return v.ttl.select("entry_id", ca.subtitle_cache_key(F.concat(F.lit("h"), F.col("cache_key")), F.col("entry_id"), F.lit("zh"), F.lit("ass")).alias("key"))
+    key = ca.subtitle_cache_key(F.concat(F.lit("h"), F.col("cache_key")), F.col("entry_id"), F.lit("zh"), F.lit("ass"))
+    file = ca.file_key(F.col("bytes"), F.concat(F.lit("head"), F.col("cache_key")), F.concat(F.lit("tail"), F.col("entry_id")))
+    return v.ttl.select("entry_id", key.alias("key"), file.alias("file_key"))
 
 
 @query("F13_strictness_threshold", "SELECT media_id, line, least(0.9, greatest(0.25, line % 10 / 10.0 + CASE line % 3 WHEN 0 THEN 0.08 WHEN 1 THEN -0.07 ELSE 0.0 END))::DOUBLE AS threshold, CASE line % 3 WHEN 0 THEN 0.34 WHEN 1 THEN 0.28 ELSE 0.3 END::DOUBLE AS floor_ FROM line", "threshold floor_")
@@ -174,10 +181,11 @@ def f18(v):
     return v.word.select("media_id", "pos", F.col("word_pos").cast("long").alias("word_pos"), tx.needs_space(F.col("word"), F.lit("a")).alias("spaced"), tx.ends_with_punctuation(F.col("word")).alias("ended"))
 
 
-@query("F20_json_safe", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN json_extract_string(props, '$.k')::INT END AS k FROM events")
+@query("F20_json_safe", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN json_extract_string(props, '$.k')::INT END AS k, CASE WHEN event_id % 5 <> 0 THEN '{\"k\":' || json_extract_string(props, '$.k') || '}' ELSE '{}' END AS text FROM events")
 def f20(v):
     raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("oops "), F.col("props"))).otherwise(F.col("props"))
-    return v.table("events").select("event_id", F.from_json(raw, "k int").alias("p")).select("event_id", "p.k")
+    rows = v.table("events").select("event_id", dc.json_safe(raw, "k int").alias("p"))
+    return rows.select("event_id", "p.k", dc.json_text(F.col("p")).alias("text"))
 
 
 @query("F21_first_visible_time", "SELECT media_id, (min(start_s) + arg_min(end_s, pos)) / 2 AS first_s FROM sent GROUP BY media_id", "first_s")
@@ -256,12 +264,17 @@ def q41(v):
     return ly.proportional_times(v.line, M, "line", F.length("text"), 200.0).select("media_id", "line", "start_s", "end_s")
 
 
-@query("Q42_lines_to_segments", "SELECT media_id, line, greatest(0.0, t - 10) AS start_s, least(30.0, greatest(e - 10, t - 10 + 0.8)) AS end_s FROM (SELECT media_id, line, t, coalesce(first_value(t IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 40.0) AS e, text FROM line) WHERE t IS NOT NULL AND e - 10 > 0 AND t - 10 < 30 AND trim(text) <> ''", "start_s end_s")
+CLIPPED = "sg AS (SELECT media_id, line, greatest(0.0, t - 10) AS start_s, least(30.0, greatest(e - 10, t - 10 + 0.8)) AS end_s, text FROM (SELECT media_id, line, t, greatest(coalesce(first_value(t IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 40.0), t + 0.8) AS e, text FROM line) WHERE t IS NOT NULL AND e > 10 AND t < 40 AND trim(text) <> '')"
+
+
+@query("Q42_lines_to_segments", f"WITH {CLIPPED} SELECT media_id, line, start_s, end_s FROM sg WHERE end_s > 0", "start_s end_s")
 def q42(v):
-    from cuesheet.operators.asof import next_non_null_start
+    return ly.lines_to_segments(v.line, M, ["line"], 40.0, 10.0, 40.0).select("media_id", "line", "start_s", "end_s")
 
-    timed = next_non_null_start(v.line, M, ["line"], 40.0).where("trim(text) <> '' and end_s > 10 and t < 40")
-    return timed.select("media_id", "line", F.greatest(F.lit(0.0), F.col("t") - 10).alias("start_s"), F.least(F.lit(30.0), F.greatest(F.col("end_s") - 10, F.col("t") - 10 + 0.8)).alias("end_s")).where("end_s > 0")
+
+@query("Q42_joined_result", f"WITH {CLIPPED} SELECT media_id, string_agg(trim(text), chr(10) ORDER BY line) AS text, count(*) AS n FROM sg WHERE end_s > 0 GROUP BY media_id")
+def q42_result(v):
+    return ly.joined_result(ly.lines_to_segments(v.line, M, ["line"], 40.0, 10.0, 40.0), M, "line")
 
 
 JITTER = "j AS (SELECT media_id, line, line * 1.0 - line % 4 * 0.75 AS start_s, line * 1.0 + 0.1 AS end_s FROM line)"
@@ -302,22 +315,50 @@ def q22(v):
 
 @query("J18_title_candidates_for_song", "SELECT s.media_id, s.song_index, p.point_id FROM (SELECT media_id, song_index, min(start_s) AS a, max(end_s) AS b FROM seg GROUP BY ALL) s JOIN bnd p ON p.media_id = s.media_id AND p.t BETWEEN s.a - 20 AND least(s.b + 20, s.a + 90) WHERE p.source = 'title'")
 def j18(v):
-    songs = v.seg.groupBy("media_id", "song_index").agg(F.min("start_s").alias("a"), F.max("end_s").alias("b"))
-    return songs.join(v.bnd.where("source = 'title'"), "media_id").where("t between a - 20 and least(b + 20, a + 90)").select("media_id", "song_index", "point_id")
+    songs = v.seg.groupBy("media_id", "song_index").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+    return ti.title_candidates(v.bnd.where("source = 'title'"), songs, M).select("media_id", "song_index", "point_id")
+
+
+def title_sql(t):
+    """The score of a Latin text `t`, trimmed."""
+    k = f"len(regexp_extract_all({t}, '[a-zA-Z0-9]'))"
+    return rf"""greatest(0.0, least(100.0, round(50 + CASE WHEN length({t}) BETWEEN 3 AND 15 THEN 20 WHEN length({t}) BETWEEN 16 AND 25 THEN 8 ELSE 0 END + CASE WHEN NOT regexp_matches({t}, '[，。！？、；：""''【】《》()（）\[\].,!?;:\-]') THEN 8 ELSE 0 END + 5 + CASE WHEN regexp_matches({t}, '^ *[A-Z][A-Za-z ]*$') THEN 8 ELSE 0 END
+    - CASE WHEN length({t}) <= 2 OR length({t}) > 35 THEN 40 ELSE 0 END - CASE WHEN len(regexp_extract_all({t}, '[，。！？!?;；]')) >= 2 THEN 25 ELSE 0 END - CASE WHEN {t} <> '' AND len(string_split_regex({t}, '\s+')) >= 6 THEN least(25.0, 12.0 + 3 * (len(string_split_regex({t}, '\s+')) - 6)) ELSE 0 END
+    - CASE WHEN len(regexp_extract_all({t}, '[@_:;/\&*#%$~^]')) > 2 THEN 20 ELSE 0 END - CASE WHEN length({t}) > 0 AND {k} < 2 THEN 30 ELSE 0 END, 1)))"""
+
+
+def seen(v):
+    """Probes as texts on frames, in two parts."""
+    text = F.concat(F.substring("title", 1, 9), F.lit("|"), F.expr("substring(title, 10)"))
+    return v.probe.select("song", text.alias("text"), F.col("confidence").alias("score"), (F.col("probe") % 2 * 0.5).alias("ocr_score"), F.greatest(F.lit(0.0), 1 - F.abs(F.col("probe") - 2) / 6).alias("closeness"))
 
 
-@query("A15_title_pool_vote", "WITH c AS (SELECT song, trim(unnest(string_split_regex(title, '[ |/]+'))) AS chunk, confidence, probe FROM probe), s AS (SELECT song, chunk, sum(confidence + greatest(0.0, 1 - abs(probe - 2) / 6.0)) AS score FROM c WHERE length(chunk) >= 2 GROUP BY ALL) SELECT song, chunk, score FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY round(score, 6) DESC, chunk) AS nr FROM s) WHERE nr = 1", "score")
+POOLED = f"""s AS (SELECT song, title, round(sum((score + ocr + near) * CASE WHEN length(title) <= 4 THEN 1.5 WHEN length(title) <= 10 THEN 1.3 WHEN length(title) <= 18 THEN 1.0 ELSE 0.6 END::DOUBLE * (1 + ocr * 0.5)), 6) AS votes
+      FROM (SELECT song, trim(unnest([substr(title, 1, 9), substr(title, 10)])) AS title, confidence AS score, probe % 2 * 0.5::DOUBLE AS ocr, greatest(0.0::DOUBLE, 1 - abs(probe - 2) / 6.0::DOUBLE) AS near FROM probe) WHERE title <> '' AND {title_sql('title')} >= 60 GROUP BY ALL),
+    po AS (SELECT song, title, votes FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY votes DESC, encode(title)) AS nr FROM s) WHERE nr = 1)"""
+
+
+@query("A15_title_pool_vote", f"WITH {POOLED} SELECT * FROM po", "votes")
 def a15(v):
-    chunks = v.probe.select("song", F.explode(F.split("title", "[ |/]+")).alias("chunk"), "confidence", "probe").withColumn("chunk", F.trim("chunk")).where("length(chunk) >= 2")
-    pool = chunks.groupBy("song", "chunk").agg(F.round(F.sum(F.col("confidence") + F.greatest(F.lit(0.0), 1 - F.abs(F.col("probe") - 2) / 6)), 6).alias("score"))
-    nr = F.row_number().over(Window.partitionBy("song").orderBy(F.desc("score"), "chunk"))
-    return pool.withColumn("nr", nr).where("nr = 1").drop("nr")
+    return ti.title_pool_vote(seen(v), ["song"])
+
 
+NORM = "regexp_replace(regexp_replace(lower(trim({0})), '(live|music|mv|karaoke|official|version|ver)', ' ', 'g'), '[^0-9a-z一-龥]+', '', 'g')"
+LOW = "(lower(trim({0})) IN ('', 'unknown', 'none', 'null', 'n/a') OR length({0}) > 40 OR regexp_matches({0}, '(live|official|karaoke|www\\.|http)', 'i') OR regexp_matches({0}, '[-_|/·]{{2,}}'))"
+DECIDED = f"""WITH {POOLED}, p AS (SELECT song, coalesce(max(title) FILTER (probe = 1 AND track_id < 4), '') AS audio, coalesce(max(title) FILTER (probe = 2), '') AS artist, max(title) FILTER (probe = 3 AND track_id = 0) AS lyric, max(confidence) > 0.7 AS sure, song % 2 = 0 AS named FROM probe GROUP BY song),
+    q AS (SELECT p.*, coalesce(po.title, '') AS ocr, CASE WHEN named THEN artist ELSE 'somebody else' END AS singer, NOT named AND artist <> '' AND NOT (contains({NORM.format("'somebody else'")}, {NORM.format('artist')}) OR contains({NORM.format('artist')}, {NORM.format("'somebody else'")})) AS unfit FROM p LEFT JOIN po USING (song)),
+    f AS (SELECT *, CASE WHEN trim(audio) <> '' AND NOT {LOW.format('trim(audio)')} AND NOT unfit THEN trim(audio) WHEN lyric IS NOT NULL THEN lyric WHEN trim(ocr) <> '' AND (sure OR {title_sql('trim(ocr)')} >= 60) THEN trim(ocr) WHEN trim(audio) <> '' THEN trim(audio) ELSE '未知歌曲' END AS found FROM q)
+    SELECT song, CASE WHEN found = '未知歌曲' AND named AND artist <> '' THEN 'hinted' ELSE found END AS title FROM f"""
 
-@query("Q43_decide_title", "SELECT song, coalesce(max(CASE WHEN probe = 2 AND confidence >= 0.6 THEN title END), max(CASE WHEN probe = 1 AND length(title) > 8 THEN title END), max(CASE WHEN probe = 3 THEN title END), 'unknown') AS title FROM probe GROUP BY song")
+
+@query("Q43_decide_title", DECIDED)
 def q43(v):
     pick = lambda cond: F.max(F.when(F.expr(cond), F.col("title")))
-    return v.probe.groupBy("song").agg(F.coalesce(pick("probe = 2 and confidence >= 0.6"), pick("probe = 1 and length(title) > 8"), pick("probe = 3"), F.lit("unknown")).alias("title"))
+    rows = v.probe.groupBy("song").agg(F.coalesce(pick("probe = 1 and track_id < 4"), F.lit("")).alias("audio"), F.coalesce(pick("probe = 2"), F.lit("")).alias("artist"), pick("probe = 3 and track_id = 0").alias("lyric"), (F.max("confidence") > 0.7).alias("sure"))
+    rows = rows.join(ti.title_pool_vote(seen(v), ["song"]).select("song", F.col("title").alias("ocr")), "song", "left")
+    singer = F.when(F.col("song") % 2 == 0, F.col("artist")).otherwise("somebody else")
+    fits = ti.consistent(singer, F.col("artist")), ti.consistent(singer, F.col("artist"), known=True)
+    return rows.select("song", ti.decide_title(F.col("audio"), fits[0], F.col("lyric"), F.col("ocr"), F.col("sure"), F.lit("hinted"), fits[1]).alias("title"))
 
 
 LATEST = "SELECT cache_key, arg_max(entry_id, saved_at) AS entry_id, max(saved_at) AS saved_at, arg_max(bytes, saved_at) AS bytes FROM ttl {where} GROUP BY cache_key"
@@ -406,19 +447,24 @@ def s09(v):
     return dc.load_hints(first.unionByName(second), "song", "json", "priority")
 
 
-@query("S10_write_ass", r"SELECT media_id, string_agg('Dialogue: 0,' || printf('%d:%02d:%05.2f', floor(start_s / 3600)::INT, floor((start_s % 3600) / 60)::INT, start_s % 60) || ',' || printf('%d:%02d:%05.2f', floor(end_s / 3600)::INT, floor((end_s % 3600) / 60)::INT, end_s % 60) || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\', '\\'), '{', '\{'), '}', '\}'), chr(10), '\N'), chr(10) ORDER BY start_s, end_s) AS document FROM sent GROUP BY media_id")
+@query("S10_write_ass", rf"SELECT media_id, string_agg('Dialogue: 0,' || printf('%d:%02d:%05.2f', floor(start_s / 3600)::INT, floor((start_s % 3600) / 60)::INT, start_s % 60) || ',' || printf('%d:%02d:%05.2f', floor(end_s / 3600)::INT, floor((end_s % 3600) / 60)::INT, end_s % 60) || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\', '\\'), '{{', '\{{'), '}}', '\}}'), chr(10), '\N'), chr(10) ORDER BY start_s, end_s, text) AS document FROM ({SPLIT}) GROUP BY media_id")
 def s10(v):
-    return dc.ass_documents(v.sent, M)
+    return dc.ass_documents(sn.split_subtitles(v.sent), M)
+
+
+WHOLE_CHUNKS = CHUNKS.replace("media_id * 100000 + pos AS k, row_number() OVER (PARTITION BY media_id, pos ORDER BY word_pos)", "media_id AS k, row_number() OVER (PARTITION BY media_id ORDER BY pos, word_pos)")
 
 
-@query("S11_write_srt", "SELECT media_id, string_agg(pos || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10), chr(10) ORDER BY pos) AS document FROM (SELECT *, floor(start_s * 1000 + 1e-6)::BIGINT AS a, floor(end_s * 1000 + 1e-6)::BIGINT AS b FROM sent) GROUP BY media_id")
+@query("S11_write_srt", f"SELECT media_id, string_agg(nr || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10), chr(10) ORDER BY nr) AS document FROM (SELECT k AS media_id, s.text AS text, row_number() OVER (PARTITION BY k ORDER BY s.a, s.b) AS nr, floor(s.a * 1000 + 1e-6)::BIGINT AS a, floor(s.b * 1000 + 1e-6)::BIGINT AS b FROM ({WHOLE_CHUNKS})) GROUP BY media_id")
 def s11(v):
-    return dc.srt_documents(v.sent, M)
+    words = v.word.withColumn("word_pos", F.col("pos") * 100_000 + F.col("word_pos"))
+    return dc.srt_documents(fo.words_to_chunks(words, M), M)
 
 
-@query("S12_export_manifest", "SELECT media_id, seg_index, row_number() OVER (PARTITION BY media_id ORDER BY start_s, seg_index) AS sequence, printf('%03d_', row_number() OVER (PARTITION BY media_id ORDER BY start_s, seg_index)) || label || '.mp4' AS file FROM seg")
+@query("S12_export_manifest", "SELECT *, '20240101_' || folder || '_' || lpad(sequence::VARCHAR, 3, '0') || '_' || type || '.mp4' AS file FROM (SELECT media_id, seg_index, row_number() OVER (PARTITION BY media_id ORDER BY start_s, seg_index) AS sequence, 'Song_' || song_index AS folder, label AS type, 'Song: ' || song_index AS title, confidence > 0.5 AS is_highlight, start_s, end_s FROM seg)", "start_s end_s")
 def s12(v):
-    return dc.export_manifest(v.seg, M, ["start_s", "seg_index"]).select("media_id", "seg_index", "sequence", "file")
+    rows = v.seg.select("media_id", "seg_index", F.col("label").alias("type"), F.concat(F.lit("Song: "), F.col("song_index")).alias("title"), (F.col("confidence") > 0.5).alias("is_highlight"), "start_s", "end_s")
+    return dc.export_manifest(rows, M, ["start_s", "seg_index"], "20240101")
 
 
 @query("S13_sample_json", 'SELECT sample_id, "old" AS original_label, "new" AS current_label, CASE WHEN sample_id % 3 = 0 THEN false ELSE is_modified END AS is_modified, 0 AS n_tags, \'\' AS notes FROM lab')

@@ -94,9 +94,9 @@ class Views:
 
     @cached_property
     def probe(self) -> DataFrame:
-        """Title probes: song, probe (1 to 3), track_id, title, confidence, pos_weight."""
+        """Title probes: song, probe (from 1), track_id, title, confidence, pos_weight."""
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        rows = self.table("lineitem").select("*", F.row_number().over(order).cast("long").alias("probe")).where("probe <= 3")
+        rows = self.table("lineitem").select("*", F.row_number().over(order).cast("long").alias("probe"))
         rows = rows.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         weight = F.when(F.col("probe") == 2, 1.2).otherwise(1.0)
         return rows.select(F.col("l_orderkey").alias("song"), "probe", (F.col("l_suppkey") % 5).alias("track_id"), F.col("p_name").alias("title"), F.round(F.col("l_discount") * 10, 2).alias("confidence"), weight.alias("pos_weight"))
@@ -130,7 +130,7 @@ SQL = {
     "line": ("", "SELECT media_id, line, text, CASE WHEN line % 5 <> 4 THEN line * 3.0::DOUBLE END AS t FROM (SELECT doc_id AS media_id, (generate_subscripts(w, 1) - 1)::INT AS line, unnest(w) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))"),
     "vec": ("", "SELECT label AS song, vec_id AS frame, embedding::DOUBLE[] AS v FROM embeddings"),
     "lab": ("", "SELECT *, old <> new AS is_modified FROM (SELECT doc_id AS sample_id, lang, source, CASE WHEN quality = 1 THEN 'verse' ELSE 'chorus' END AS old, CASE WHEN n_chars > 3000 THEN 'chorus' WHEN n_chars < 300 THEN 'solo' WHEN quality = 1 THEN 'verse' ELSE 'chorus' END AS new, n_chars FROM labels JOIN documents USING (doc_id))"),
-    "probe": ("", "SELECT l_orderkey AS song, probe, l_suppkey % 5 AS track_id, p_name AS title, round(l_discount * 10, 2) AS confidence, CASE WHEN probe = 2 THEN 1.2 ELSE 1.0 END::DOUBLE AS pos_weight FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS probe FROM lineitem) JOIN part ON l_partkey = p_partkey WHERE probe <= 3"),
+    "probe": ("", "SELECT l_orderkey AS song, probe, l_suppkey % 5 AS track_id, p_name AS title, round(l_discount * 10, 2) AS confidence, CASE WHEN probe = 2 THEN 1.2 ELSE 1.0 END::DOUBLE AS pos_weight FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS probe FROM lineitem) JOIN part ON l_partkey = p_partkey"),
     "ttl": ("", f"SELECT event_id AS entry_id, json_extract_string(props, '$.k')::INT AS cache_key, (epoch_us(ts) - {EPOCH_US}) / 1e6::DOUBLE AS saved_at, floor(value * 100)::BIGINT AS bytes, event_type <> 'error' AS usable FROM events"),
     "path": ("", "SELECT page_id, url AS path FROM pages"),
     "title": ("", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"),

@@ -96,10 +96,22 @@ def write_documents(documents: DataFrame, keys: Keys, path: str) -> None:
     documents.write.mode("overwrite").partitionBy(*keys).text(path)
 
 
-def export_manifest(segments: DataFrame, keys: Keys, order: list[str]) -> DataFrame:
-    """Adds the clip's sequence number in its media and its file name."""
+def export_manifest(segments: DataFrame, keys: Keys, order: list[str], prefix: str) -> DataFrame:
+    """Segments (title, type, is_highlight, start_s, end_s) with the clip's sequence number in its media, its folder (the song's title) and its file name."""
     nr = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-    return segments.withColumn("sequence", nr).withColumn("file", F.concat(F.format_string("%03d_", F.col("sequence")), tx.sanitize_filename(F.col("label")), F.lit(".mp4")))
+    title = tx.sanitize_filename(F.col("title"), "未知歌曲")
+    file = F.concat_ws("_", F.lit(prefix), F.col("folder"), F.format_string("%03d", F.col("sequence")), F.concat(F.col("type"), F.lit(".mp4")))
+    return segments.withColumns({"sequence": nr, "folder": title}).withColumn("file", file)
+
+
+def json_safe(value: Column, schema: str) -> Column:
+    """JSON text by a schema, null where it doesn't parse."""
+    return F.from_json(value, schema)
+
+
+def json_text(value: Column) -> Column:
+    """A struct or map as JSON; null as an empty object."""
+    return F.coalesce(F.to_json(value), F.lit("{}"))
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
