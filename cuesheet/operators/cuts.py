@@ -58,6 +58,33 @@ def overlap_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str,
     return found.select(*pair, "next_id", to_millis(F.coalesce("cut", "middle")).alias("cut"))
 
 
+def aligned_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, soft_min: float = 4.0) -> DataFrame:
+    """Where neighbours of a song (with original_start_s, original_end_s) that overlap after snapping part, each pair by itself: keys, order, next_id, cut.
+
+    A cut goes to the start of the first or the end of the last sentence that both hold, without one to a sentence's edge in the overlap, without one to
+    the middle of the original edges, held inside the overlap. It costs its distance from both original edges, and 100 for each second that a side is under
+    `soft_min`; of equals the earlier. Pairs whose every cut leaves a side of 0.05 s or less are left out.
+    """
+    song, pair = [*keys, "song_index"], [*keys, order, "next_id"]
+    rows = neighbours(clips, keys, order, "original_start_s", "original_end_s").where(F.col("l_end") - F.col("r_start") > EQUAL)
+    rows = rows.select(*song, order, "next_id", "l_start", "l_end", "r_start", "r_end", F.col("original_end_s").alias("was_end"), F.col("r_original_start_s").alias("was_start"))
+    spans = rows.withColumns({"start_s": F.col("r_start") - EQUAL, "end_s": F.col("l_end") + EQUAL})
+    met = overlap_join(spans, sentences.where("end_s > start_s").select(*song, "start_s", "end_s"), song, eps=-1e-9)
+    inside = lambda a, b: F.least("b_end_s", b) - F.greatest("b_start_s", a) > 0
+    shared = inside("l_start", "l_end") & inside("r_start", "r_end")
+    edge = lambda c: F.when(F.col(c).between(F.col("start_s"), F.col("end_s")), F.col(c))
+    sums = met.groupBy(*pair).agg(F.min(F.when(shared, F.struct("b_start_s", "b_end_s"))).alias("_a"), F.max(F.when(shared, F.struct("b_start_s", "b_end_s"))).alias("_b"), F.flatten(F.collect_list(F.array(edge("b_start_s"), edge("b_end_s")))).alias("_e"))
+    both = rows.join(sums, pair, "left")
+    edges = F.array_compact(F.coalesce("_e", F.array().cast("array<double>")))
+    middle = F.greatest("r_start", F.least("l_end", (F.col("was_end") + F.col("was_start")) / 2))
+    places = F.when(F.col("_a").isNotNull(), F.array("_a.b_start_s", "_b.b_end_s")).when(F.size(edges) > 0, edges).otherwise(F.array(middle))
+    cuts = both.withColumn("cut", F.explode(places)).withColumn("cut", F.round(F.col("cut") + 1e-9, 6))
+    left, right = F.col("cut") - F.col("l_start"), F.col("r_end") - F.col("cut")
+    under = lambda x: F.when(x < soft_min, (soft_min - x) * 100).otherwise(0.0)
+    cost = F.round(F.abs(F.col("was_end") - F.col("cut")) + F.abs(F.col("was_start") - F.col("cut")) + under(left) + under(right), 6)
+    return cuts.where((left > EQUAL) & (right > EQUAL)).groupBy(*pair).agg(F.min(F.struct(cost.alias("cost"), F.col("cut"))).alias("_x")).select(*pair, F.col("_x.cut").alias("cut"))
+
+
 def boundaries(clips: DataFrame, keys: Keys, order: str) -> DataFrame:
     """Neighbours of a song at most 0.5 s apart, with the boundary (t) that they share."""
     rows = neighbours(clips, keys, order).where(F.abs(F.col("r_start") - F.col("l_end")) <= SHARED)

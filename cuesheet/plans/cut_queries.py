@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cuesheet.functions import labels as lb
 from cuesheet.operators import cuts as ct
 from cuesheet.operators import cutsafety as cs
+from cuesheet.operators import snapping as sn
 from cuesheet.plans.registry import query
+from cuesheet.plans.song_queries import SNAP
 from cuesheet.plans.views import Views
 
 
@@ -73,13 +75,13 @@ def q18(v):
 
 
 def ending(v):
-    """Clips that end 0.1 s before the end of a sentence of their song, one after the other."""
+    """Clips that end 0.02 s before the end of a sentence of their song, one after the other."""
     w = Window.partitionBy("media_id", "song_index").orderBy("start_s", "pos")
     rows = on_songs(v.sent).withColumn("_before", F.lag("end_s").over(w))
-    return rows.select("media_id", "song_index", F.col("pos").alias("seg_index"), F.coalesce(F.col("_before") - 0.1, F.col("start_s")).alias("start_s"), (F.col("end_s") - 0.1).alias("end_s"))
+    return rows.select("media_id", "song_index", F.col("pos").alias("seg_index"), F.coalesce(F.col("_before") - 0.02, F.col("start_s")).alias("start_s"), (F.col("end_s") - 0.02).alias("end_s"))
 
 
-@query("Q23_protect_boundaries", f"""WITH sn AS (SELECT media_id, floor(start_s / 720)::INT AS song_index, pos, start_s AS s, end_s AS e FROM sent), c AS (SELECT media_id, song_index, pos AS seg_index, coalesce(lag(e) OVER (PARTITION BY media_id, song_index ORDER BY s, pos) - 0.1::DOUBLE, s) AS start_s, e - 0.1::DOUBLE AS end_s FROM sn),
+@query("Q23_protect_boundaries", f"""WITH sn AS (SELECT media_id, floor(start_s / 720)::INT AS song_index, pos, start_s AS s, end_s AS e FROM sent), c AS (SELECT media_id, song_index, pos AS seg_index, coalesce(lag(e) OVER (PARTITION BY media_id, song_index ORDER BY s, pos) - 0.02::DOUBLE, s) AS start_s, e - 0.02::DOUBLE AS end_s FROM sn),
     n AS (SELECT media_id, song_index, seg_index, start_s AS ls, end_s AS le, lead(song_index) OVER w AS rg, lead(seg_index) OVER w AS next_id, lead(start_s) OVER w AS rs, lead(end_s) OVER w AS re FROM c WINDOW w AS (PARTITION BY media_id ORDER BY start_s, end_s, seg_index)),
     t AS (SELECT *, (le + rs) / 2 AS ref FROM n WHERE rg = song_index AND abs(rs - le) <= 0.5), q AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.media_id = t.media_id AND sn.song_index = t.song_index AND sn.s + 0.05 < t.ref AND t.ref < sn.e - 0.05)),
     m AS (SELECT q.*, (SELECT sn.e FROM sn WHERE sn.media_id = q.media_id AND sn.song_index = q.song_index AND sn.e > sn.s AND abs(sn.e - q.ref) <= 0.12 ORDER BY abs(sn.e - q.ref), sn.e LIMIT 1) AS e FROM q),
@@ -99,6 +101,18 @@ def q28(v):
     return ct.covered_gap_fills(rows, on_songs(v.sent), ["media_id"], "seg_index", lb.type_priority(F.col("type"), F.col("is_highlight")), 18.0)
 
 
+@query("Q32_deoverlap_aligned", f"""WITH sp AS (SELECT * FROM ({SNAP})), c AS (SELECT media_id, song_index, seg_index, sp.start_s AS start_s, sp.end_s AS end_s, seg.start_s AS os, seg.end_s AS oe FROM sp JOIN seg USING (media_id, seg_index)), sn AS (SELECT media_id, floor(start_s / 720)::INT AS song_index, start_s AS s, end_s AS e FROM sent WHERE end_s > start_s),
+    n AS (SELECT media_id, song_index, seg_index, start_s AS ls, end_s AS le, oe AS we, lead(song_index) OVER w AS rg, lead(seg_index) OVER w AS next_id, lead(start_s) OVER w AS rs, lead(end_s) OVER w AS re, lead(os) OVER w AS ws FROM c WINDOW w AS (PARTITION BY media_id ORDER BY start_s, end_s, seg_index)),
+    o AS (SELECT * FROM n WHERE rg = song_index AND le - rs > 0.05), h AS (SELECT o.media_id, o.seg_index, min({{'s': s, 'e': e}}) AS a, max({{'s': s, 'e': e}}) AS b FROM o JOIN sn USING (media_id, song_index) WHERE least(e, le) - greatest(s, ls) > 0 AND least(e, re) - greatest(s, rs) > 0 GROUP BY ALL),
+    g AS (SELECT media_id, seg_index, list(x) AS xs FROM (SELECT o.media_id, o.seg_index, rs, le, unnest([s, e]) AS x FROM o JOIN sn USING (media_id, song_index) WHERE s <= le + 0.05 AND e >= rs - 0.05) WHERE x BETWEEN rs - 0.05::DOUBLE AND le + 0.05::DOUBLE GROUP BY ALL),
+    k AS (SELECT o.*, round(unnest(CASE WHEN h.a IS NOT NULL THEN [h.a.s, h.b.e] WHEN g.xs IS NOT NULL THEN g.xs ELSE [greatest(rs, least(le, (we + ws) / 2))] END) + 1e-9, 6) AS cut FROM o LEFT JOIN h USING (media_id, seg_index) LEFT JOIN g USING (media_id, seg_index)),
+    z AS (SELECT *, round(abs(we - cut) + abs(ws - cut) + CASE WHEN cut - ls < 4 THEN (4 - (cut - ls)) * 100 ELSE 0 END + CASE WHEN re - cut < 4 THEN (4 - (re - cut)) * 100 ELSE 0 END, 6) AS cost FROM k WHERE cut - ls > 0.05 AND re - cut > 0.05)
+    SELECT media_id, seg_index, next_id, cut FROM (SELECT *, row_number() OVER (PARTITION BY media_id, seg_index ORDER BY cost, cut) AS nr FROM z) WHERE nr = 1""", "cut")
+def q32(v):
+    snapped = sn.snap_to_sentences(v.seg, v.sent, ["media_id"])
+    return ct.aligned_cuts(snapped, on_songs(v.sent), ["media_id"], "seg_index")
+
+
 @query("Q27_repair_short")
 def q27(v):
     return normalized(v, "repair")

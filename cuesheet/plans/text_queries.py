@@ -447,7 +447,7 @@ def s09(v):
     return dc.load_hints(first.unionByName(second), "song", "json", "priority")
 
 
-@query("S10_write_ass", rf"SELECT media_id, string_agg('Dialogue: 0,' || printf('%d:%02d:%05.2f', floor(start_s / 3600)::INT, floor((start_s % 3600) / 60)::INT, start_s % 60) || ',' || printf('%d:%02d:%05.2f', floor(end_s / 3600)::INT, floor((end_s % 3600) / 60)::INT, end_s % 60) || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\', '\\'), '{{', '\{{'), '}}', '\}}'), chr(10), '\N'), chr(10) ORDER BY start_s, end_s, text) AS document FROM ({SPLIT}) GROUP BY media_id")
+@query("S10_write_ass", rf"SELECT media_id, string_agg('Dialogue: 0,' || printf('%d:%02d:%05.2f', floor(start_s / 3600)::INT, floor((start_s % 3600) / 60)::INT, start_s % 60) || ',' || printf('%d:%02d:%05.2f', floor(end_s / 3600)::INT, floor((end_s % 3600) / 60)::INT, end_s % 60) || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\', '\\'), '{{', '\{{'), '}}', '\}}'), chr(10), '\N'), chr(10) ORDER BY a, b, text) AS document FROM (SELECT media_id, start_s AS a, end_s AS b, round(start_s + 1e-9, 2) AS start_s, round(end_s + 1e-9, 2) AS end_s, text FROM ({SPLIT})) GROUP BY media_id")
 def s10(v):
     return dc.ass_documents(sn.split_subtitles(v.sent), M)
 
