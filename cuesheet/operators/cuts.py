@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.text import text_units
 from cuesheet.operators.cutsafety import EQUAL, NEAR_END, OVERLAP, PAD, SHARED
+from cuesheet.operators.folds import enforce_max_length
 from cuesheet.operators.intervals import Keys, overlap_join, split_gap, to_millis
 from cuesheet.operators.lyrics import cut_candidate_score
 
@@ -149,3 +150,29 @@ def covered_gap_fills(clips: DataFrame, sentences: DataFrame, keys: Keys, order:
     filled = gaps.join(sung, pair).where(F.col("_sung") >= enough)
     filled = filled.select(*song, order, kind.alias("type"), (F.col("is_highlight") | F.col("r_is_highlight")).alias("is_highlight"), "start_s", "end_s")
     return split_gap(filled, longest).where(F.col("end_s") - F.col("start_s") > EQUAL)
+
+
+def split_at_safe_boundaries(segments: DataFrame, points: DataFrame, keys: Keys, order: str, shortest: float, longest: float, label: str = "type") -> DataFrame:
+    """Segments over `longest` in parts that end at the safe point (t) nearest to `longest` after their start; then neighbours of one type that fit are joined: start_s, end_s, label, n.
+
+    A part ends at most half of `shortest` (0.5 s at least) before that place or 1 s after it; without a point there, at it. No part is shorter than
+    `shortest`, but what is left at a segment's end; under 0.5 s of that is dropped. Highlights stay whole up to 1.1 times `longest`.
+    """
+    size = F.col("end_s") - F.col("start_s")
+    whole = (size <= longest) | F.col("is_highlight") & (size <= longest * 1.1)
+    inside = points.select(*keys, F.col("t").alias("start_s"), F.col("t").alias("end_s"))
+    near = overlap_join(segments.where(~whole), inside, keys, eps=-1e-9).groupBy(*keys, order).agg(F.sort_array(F.collect_set("b_start_s")).alias("_points"))
+    rows = segments.where(~whole).join(near, [*keys, order], "left").withColumn("_points", F.coalesce("_points", F.array().cast("array<double>")))
+
+    def step(cuts: Column, _: Column) -> Column:
+        at = F.element_at(cuts, -1)
+        ideal = F.least(at + longest, F.col("end_s"))
+        low, high = F.greatest(at + shortest, ideal - max(0.5, shortest / 2)), F.least(ideal + 1.0, F.col("end_s"))
+        best = F.array_min(F.transform(F.filter("_points", lambda b: (b >= low) & (b <= high)), lambda b: F.struct(F.abs(b - ideal).alias("d"), b.alias("b"))))["b"]
+        after = F.least(F.col("end_s"), F.greatest(F.coalesce(best, ideal), at + shortest))
+        return F.when(at < F.col("end_s") - 0.5, F.concat(cuts, F.array(after))).otherwise(cuts)
+
+    cuts = F.aggregate(F.sequence(F.lit(0), F.ceil(size / shortest).cast("int")), F.array(F.col("start_s")), step)
+    parts = rows.withColumn("_c", cuts).select(*keys, order, label, F.posexplode(F.slice("_c", F.lit(1), F.size("_c") - 1)).alias("_i", "start_s"), "_c")
+    parts = parts.select(*keys, order, F.col(label).alias("label"), "start_s", F.element_at("_c", F.col("_i") + 2).alias("end_s"))
+    return enforce_max_length(parts.unionByName(segments.where(whole).select(*keys, order, F.col(label).alias("label"), "start_s", "end_s")), keys, order, longest)

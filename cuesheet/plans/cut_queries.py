@@ -9,6 +9,7 @@ from cuesheet.functions import labels as lb
 from cuesheet.operators import cuts as ct
 from cuesheet.operators import cutsafety as cs
 from cuesheet.operators import snapping as sn
+from cuesheet.plans.fold_queries import JOINED
 from cuesheet.plans.registry import query
 from cuesheet.plans.song_queries import SNAP
 from cuesheet.plans.views import Views
@@ -113,6 +114,19 @@ def q32(v):
     return ct.aligned_cuts(snapped, on_songs(v.sent), ["media_id"], "seg_index")
 
 
+SAFE_PARTS = """WITH RECURSIVE pt AS (SELECT DISTINCT media_id, round(unnest([start_s, end_s]) + 1e-9, 3) AS t FROM sent), c AS (SELECT media_id, seg_index, start_s, end_s, label, confidence > 0.5 AS hl FROM seg), h AS (SELECT * FROM c WHERE NOT (end_s - start_s <= 60 OR hl AND end_s - start_s <= 60 * 1.1::DOUBLE)),
+    b AS (SELECT h.*, coalesce((SELECT list(t) FROM pt WHERE pt.media_id = h.media_id AND t >= start_s - 1e-9 AND t <= end_s + 1e-9), []) AS ps FROM h), w AS (SELECT media_id, seg_index, label, end_s, ps, start_s AS a, start_s AS z, 0 AS k FROM b
+      UNION ALL SELECT media_id, seg_index, label, end_s, ps, z, least(end_s, greatest(coalesce(list_min(list_transform(list_filter(ps, lambda p: p >= greatest(z + 20, least(z + 60, end_s) - 10) AND p <= least(least(z + 60, end_s) + 1.0, end_s)), lambda p: {'d': abs(p - least(z + 60, end_s)), 'p': p})).p, least(z + 60, end_s)), z + 20)), k + 1 FROM w WHERE z < end_s - 0.5)
+    SELECT media_id, seg_index, label, a AS start_s, z AS end_s FROM w WHERE k > 0 UNION ALL SELECT media_id, seg_index, label, start_s, end_s FROM c WHERE end_s - start_s <= 60 OR hl AND end_s - start_s <= 60 * 1.1::DOUBLE"""
+
+
+@query("Q14_split_at_safe_boundaries", f"SELECT media_id, s.a AS start_s, s.b AS end_s, s.l AS label, s.n AS n FROM ({JOINED.replace('FROM seg)', f'FROM ({SAFE_PARTS}))').replace('<= 120', '<= 60')})", "start_s end_s")
+def q14(v):
+    rows = v.seg.select("media_id", "seg_index", "start_s", "end_s", F.col("label").alias("type"), (F.col("confidence") > 0.5).alias("is_highlight"))
+    points = v.sent.select("media_id", F.explode(F.array("start_s", "end_s")).alias("t")).select("media_id", F.round(F.col("t") + 1e-9, 3).alias("t"))
+    return ct.split_at_safe_boundaries(rows, points, ["media_id"], "seg_index", 20.0, 60.0)
+
+
 @query("Q27_repair_short")
 def q27(v):
     return normalized(v, "repair")
