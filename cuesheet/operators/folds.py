@@ -206,3 +206,32 @@ def enforce_max_length(segments: DataFrame, keys: Keys, ident: str, longest: flo
         return F.when(joins, _kept(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(_kept(acc, new))
 
     return fold(segments, keys, ["start_s", "end_s", "label", ident], _typed("start_s: double, end_s: double, label: string, n: int"), step, lambda acc: acc)
+
+
+def structure_split(frames: DataFrame, beats: DataFrame, totals: DataFrame, keys: Keys, target: float, shortest: float, longest: float, least: float = 3.0) -> DataFrame:
+    """Timelines (total_s) in parts of about `target` seconds: start_s, end_s; parts under `least` seconds are left out.
+
+    A part ends between `shortest` and `longest` after its start, at the frame (t, change) of strong change that is nearest to the target, a large change
+    counting for up to 0.3 of it, else at the target; then it moves to the nearest beat (t) within 2 s. Changes above the 70th percentile are strong, or where
+    fewer than three are, above the median. Gathered are the strong frames and beats of one timeline.
+    """
+    q = frames.groupBy(*keys).agg(F.percentile("change", F.lit(0.7)).alias("_p70"), F.percentile("change", F.lit(0.5)).alias("_p50"))
+    marked = frames.join(q, list(keys))
+    counts = marked.groupBy(*keys).agg((F.count_if(F.col("change") > F.col("_p70")) < 3).alias("_few"))
+    strong = marked.join(counts, list(keys)).where((F.col("change") > F.col("_p70")) | F.col("_few") & (F.col("change") > F.col("_p50")))
+    rows = totals.join(gathered(strong, keys, "t", "change"), list(keys), "left").join(beats.groupBy(*keys).agg(F.sort_array(F.collect_set("t")).alias("_b")), list(keys), "left")
+    rows = rows.withColumns({"items": F.coalesce("items", _typed("t: double, change: double")), "_b": F.coalesce("_b", F.array().cast("array<double>"))})
+
+    def step(cuts: Column, _: Column) -> Column:
+        at = _last(cuts)
+        ideal, low, high = at + target, at + shortest, F.least(at + longest, F.col("total_s"))
+        cost = lambda x: F.round(F.abs(x["t"] - ideal) / target - x["change"] * 0.3, 9)
+        best = F.array_min(F.transform(F.filter("items", lambda x: (x["t"] >= low) & (x["t"] <= high)), lambda x: F.struct(cost(x).alias("c"), x["t"].alias("t"))))["t"]
+        best = F.coalesce(best, F.least(high, ideal))
+        beat = F.array_min(F.transform(F.filter("_b", lambda b: F.abs(b - best) < 2.0), lambda b: F.struct(F.abs(b - best).alias("d"), b.alias("b"))))["b"]
+        cut = F.when(beat.isNotNull(), F.greatest(low, F.least(beat, high))).otherwise(best)
+        return F.when(at < F.col("total_s") - shortest, _kept(cuts, cut)).otherwise(cuts)
+
+    cuts = F.aggregate(F.sequence(F.lit(1), F.ceil(F.col("total_s") / shortest).cast("int") + 1), F.array(F.lit(0.0)), step)
+    ends = rows.withColumn("_c", F.concat(cuts, F.array("total_s"))).select(*keys, F.posexplode(F.slice("_c", F.lit(1), F.size("_c") - 1)).alias("_i", "start_s"), "_c")
+    return ends.select(*keys, "start_s", F.element_at("_c", F.col("_i") + 2).alias("end_s")).where(F.col("end_s") - F.col("start_s") >= least)

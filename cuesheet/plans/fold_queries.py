@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cuesheet.operators import folds as fo
 from cuesheet.operators import frames as fr
+from cuesheet.plans.frame_queries import CHANGE
+from cuesheet.plans.interval_queries import totals
 from cuesheet.plans.registry import query
 
 M = ["media_id"]
@@ -150,3 +152,19 @@ FRAGMENTS = """WITH RECURSIVE i AS (SELECT media_id * 100000 + pos AS k, row_num
 @query("Q20_merge_fragments", f"SELECT k // 100000 AS media_id, k % 100000 AS pos, s.text AS text, s.a AS start_s, s.b AS end_s FROM ({FRAGMENTS})", "start_s end_s")
 def q20(v):
     return fo.merge_fragments(v.word.select("media_id", "pos", "start_s", "end_s", F.col("word").alias("text")), ["media_id", "pos"])
+
+
+PARTS = f"""WITH RECURSIVE {CHANGE}, q AS (SELECT media_id, quantile_cont(change, 0.7) AS p70, quantile_cont(change, 0.5) AS p50 FROM c GROUP BY media_id), n AS (SELECT media_id, count(*) FILTER (change > p70) < 3 AS few FROM c JOIN q USING (media_id) GROUP BY media_id),
+    st AS (SELECT media_id, list({{'t': t, 'c': change}} ORDER BY t, change) AS x FROM c JOIN q USING (media_id) JOIN n USING (media_id) WHERE change > p70 OR few AND change > p50 GROUP BY media_id), be AS (SELECT media_id, list(t ORDER BY t) AS b FROM (SELECT DISTINCT media_id, t FROM bnd) GROUP BY media_id),
+    g AS (SELECT o.media_id, o.total_s, coalesce(x, []) AS x, coalesce(b, []) AS b FROM (SELECT media_id, max(end_s) AS total_s FROM seg GROUP BY media_id) o LEFT JOIN st USING (media_id) LEFT JOIN be USING (media_id)),
+    w AS (SELECT media_id, total_s, x, b, [0.0::DOUBLE] AS cuts, 0 AS k FROM g UNION ALL
+      SELECT media_id, total_s, x, b, list_append(cuts, CASE WHEN beat IS NOT NULL THEN greatest(cuts[-1] + 150, least(beat, least(cuts[-1] + 450, total_s))) ELSE best END), k + 1 FROM (SELECT *, list_min(list_transform(list_filter(b, lambda y: abs(y - best) < 2), lambda y: {{'d': abs(y - best), 'b': y}})).b AS beat FROM
+        (SELECT *, coalesce(list_min(list_transform(list_filter(x, lambda y: y.t >= cuts[-1] + 150 AND y.t <= least(cuts[-1] + 450, total_s)), lambda y: {{'c': round(abs(y.t - (cuts[-1] + 300)) / 300 - y.c * 0.3::DOUBLE, 9), 't': y.t}})).t, least(least(cuts[-1] + 450, total_s), cuts[-1] + 300)) AS best FROM w WHERE cuts[-1] < total_s - 150))),
+    e AS (SELECT media_id, list_append(arg_max(cuts, k), any_value(total_s)) AS c FROM w GROUP BY media_id), p AS (SELECT media_id, c, unnest(range(1, len(c))) AS i FROM e)
+    SELECT media_id, c[i] AS start_s, c[i + 1] AS end_s FROM p WHERE c[i + 1] - c[i] >= 3"""
+
+
+@query("Q35_structure_split", f"SELECT * FROM ({PARTS})", "start_s end_s")
+def q35(v):
+    changes = fr.change_rate(v.tl, "rms", M, "frame", 5).select("media_id", "t", "change")
+    return fo.structure_split(changes, v.bnd.select("media_id", "t"), totals(v), M, 300.0, 150.0, 450.0)
