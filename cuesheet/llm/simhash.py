@@ -190,18 +190,20 @@ def similar_forest(sets: list[np.ndarray], least: Fraction = SIMILAR) -> list[tu
     return out
 
 
-def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int = BAND_LIMIT) -> DataFrame:
-    """(u, v): rows, by the number in column `row`, whose shingle sets have a similarity of SIMILAR or more.
+def links_between(sets: list[np.ndarray], roots: np.ndarray, asks: np.ndarray, least: Fraction = SIMILAR) -> list[tuple[int, int]]:
+    """Links (i, j) of the asking sets i with sets of other roots whose similarity reaches `least`: one for each such root."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, owners, out = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), []
+    for i in np.flatnonzero(asks):
+        at = np.minimum(np.searchsorted(sets[i], values), sizes[i] - 1)
+        both = np.bincount(owners[sets[i][at] == values], minlength=len(sets))
+        near = np.flatnonzero((roots != roots[i]) & (both * least.denominator >= (sizes + sizes[i] - both) * least.numerator))
+        out += [(int(i), int(near[k])) for k in np.unique(roots[near], return_index=True)[1]]
+    return out
 
-    Candidates share a band; equal lists of candidates are compared once, by their whole sets. A list longer than `band_limit` is
-    dealt into parts, and one of its rows joins every part, another in each band, so that the parts hang together.
-    """
-    plain = rows.select(F.col(row).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [band_keys(shingle_set(x.as_py())) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "keys"])
+def _compared(plain: DataFrame, members: DataFrame, lists: list[str]) -> DataFrame:
+    """(u, v): links within each list of rows. `members` has the lists' columns, row, root and asks; a list without any that asks is compared as a whole."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,24 +213,67 @@ def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, int]] = []
-            for members in b.column(0):
-                ids = members.values.field("row").to_pylist()
-                hashes = [x.values.to_numpy().view(np.uint64) for x in members.values.field("hashes")]
-                out += [(ids[i], ids[j]) for i, j in similar_forest(hashes)]
+            for group in b.column(0):
+                ids = group.values.field("row").to_pylist()
+                hashes = [x.values.to_numpy().view(np.uint64) for x in group.values.field("hashes")]
+                asks = group.values.field("asks").to_numpy(zero_copy_only=False)
+                found = links_between(hashes, group.values.field("root").to_numpy(), asks) if asks.any() else similar_forest(hashes)
+                out += [(ids[i], ids[j]) for i, j in found]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
+    whole = plain.join(members.select("row").distinct(), "row", "left_semi").mapInArrow(sets, "row long, hashes array<long>")
+    groups = members.join(whole, "row").groupBy(*lists).agg(F.collect_list(F.struct("row", "hashes", "root", "asks")).alias("members"))
+    return groups.select("members").mapInArrow(linked, "u long, v long").distinct()
+
+
+def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int = BAND_LIMIT) -> DataFrame:
+    """(u, v): rows, by the number in column `row`, whose shingle sets have a similarity of SIMILAR or more: enough to connect all that share a band.
+
+    Candidates share a band; equal lists of candidates are compared once, by their whole sets. A list longer than `band_limit` is
+    dealt into parts, and one of its rows joins every part, so that its component is one after this first step in all but rare cases.
+    Where it isn't, the rows outside the list's largest component are compared with every row of the list, block by block.
+    """
+    plain = rows.select(F.col(row).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [band_keys(shingle_set(x.as_py())) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "keys"])
+
     keyed = written(plain.mapInArrow(keys, "row long, keys array<long>")).select("row", F.posexplode("keys").alias("band", "key"))
     dealt = F.xxhash64("row", "band")
-    shared = written(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("row", dealt).alias("hub")).where("n > 1"))
-    parts = keyed.join(shared, ["band", "key"]).withColumn("part", F.pmod(dealt, F.ceil(F.col("n") / band_limit)))
+    # the number of rows and two sums of hashes name a list
+    name = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("list"), F.sum(F.hash("row").cast("long")).alias("list2")]
+    shared = written(keyed.groupBy("band", "key").agg(*name, F.min_by("row", dealt).alias("hub")).where("n > 1"))
+    parts = keyed.join(shared.drop("list", "list2"), ["band", "key"]).withColumn("part", F.pmod(dealt, F.ceil(F.col("n") / band_limit)))
     lists = parts.groupBy("band", "key", "part").agg(F.collect_set("row").alias("ids"), F.first("hub").alias("hub"))
     lists = lists.select(F.array_sort(F.array_union("ids", F.array("hub"))).alias("ids")).where("size(ids) > 1")
-    # two hashes of the list name it
     named = lists.select(F.xxhash64("ids").alias("list"), F.hash("ids").alias("list2"), "ids").dropDuplicates(["list", "list2"])
-    members = written(named.select("list", "list2", F.explode("ids").alias("row")))
-    whole = plain.join(members.select("row").distinct(), "row", "left_semi").mapInArrow(sets, "row long, hashes array<long>")
-    groups = members.join(whole, "row").groupBy("list", "list2").agg(F.collect_list(F.struct("row", "hashes")).alias("members"))
-    return groups.select("members").mapInArrow(linked, "u long, v long").distinct()
+    members = written(named.select("list", "list2", F.explode("ids").alias("row"), F.lit(0).cast("long").alias("root"), F.lit(False).alias("asks")))
+    found = written(_compared(plain, members, ["list", "list2"]))
+    large = written(shared.where(F.col("n") > band_limit).dropDuplicates(["n", "list", "list2"]).select("band", "key", "n"))
+    if large.isEmpty():
+        return found
+    blocks = written(_blocks(keyed, large, components(found), band_limit))
+    return found if blocks.isEmpty() else found.union(_compared(plain, blocks, ["band", "key", "part", "chunk"])).distinct()
+
+
+def _blocks(keyed: DataFrame, large: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """The rows of the large lists that hold several components: every row outside the list's largest component (asks) meets every row of the list in one block.
+
+    A block has about `limit` rows of the list and at most about as many that ask; of a list with n rows, m of them asking, there are n m / limit^2.
+    """
+    inside = keyed.join(large, ["band", "key"]).join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    inside = written(inside)
+    sizes = inside.groupBy("band", "key", "root").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("base")).where("roots > 1")
+    rows = inside.join(mixed, ["band", "key"]).withColumns({"asks": F.col("root") != F.col("base"), "parts": F.ceil(F.col("n") / limit), "chunks": F.ceil((F.col("n") - F.col("m")) / limit)})
+    own = lambda n: F.array(F.pmod(F.xxhash64("row", "band"), F.col(n)))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    met = rows.select("band", "key", "row", "root", F.lit(False).alias("asks"), F.explode(own("parts")).alias("part"), every("chunks").alias("to")).select("*", F.explode("to").alias("chunk"))
+    asking = rows.where("asks").select("band", "key", "row", "root", "asks", F.explode(every("parts")).alias("part"), own("chunks").alias("to")).select("*", F.explode("to").alias("chunk"))
+    # one that asks and meets itself is one row
+    return met.union(asking).groupBy("band", "key", "part", "chunk", "row", "root").agg(F.max("asks").alias("asks"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,23 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     left = [(r.doc_id, r.text) for r in simhash.keep_one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), DIR).collect()]
     assert len(left) == 4 and {(1, a), (2, clean)} <= set(left)
     assert sum(i is None for i, _ in left) == sum(i == 3 for i, _ in left) == 1
+
+
+def test_long_lists_lose_no_component(spark, monkeypatch):
+    """Chains, whose ends are unlike each other and unlike any hub, in lists cut into parts of eight."""
+    rng = random.Random(9)
+    docs, want = [], {}
+    for k in range(4):
+        words = [f"k{k}w{i}" for i in range(150)]
+        for i in range(40):
+            docs.append((100 * k + i, " ".join(words)))
+            want[docs[-1][0]] = 100 * k
+            words[rng.randrange(60)] += "x"
+    rows = spark.createDataFrame(docs, "nr long, text string")
+    blocks, met = simhash._blocks, []
+    monkeypatch.setattr(simhash, "_blocks", lambda *x: met.append(blocks(*x)) or met[0])
+    found = simhash.similar_links(rows, "nr", band_limit=8)
+    assert met[0].where("asks").count() > 0
+    assert {r.node: r.root for r in simhash.components(found).collect()} == want
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in docs}
+    assert all(len(sets[r.u] & sets[r.v]) >= 0.8 * len(sets[r.u] | sets[r.v]) for r in found.collect())
