@@ -87,7 +87,7 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     assert sum(i is None for i, _ in left) == sum(i == 3 for i, _ in left) == 1
 
 
-def test_long_lists_lose_no_component(spark, monkeypatch):
+def test_long_lists_lose_no_component(spark):
     """Chains, whose ends are unlike each other and unlike any hub, in lists cut into parts of eight."""
     rng = random.Random(9)
     docs, want = [], {}
@@ -98,10 +98,18 @@ def test_long_lists_lose_no_component(spark, monkeypatch):
             want[docs[-1][0]] = 100 * k
             words[rng.randrange(60)] += "x"
     rows = spark.createDataFrame(docs, "nr long, text string")
-    blocks, met = simhash._blocks, []
-    monkeypatch.setattr(simhash, "_blocks", lambda *x: met.append(blocks(*x)) or met[0])
     found = simhash.similar_links(rows, "nr", band_limit=8)
-    assert met[0].where("asks").count() > 0
     assert {r.node: r.root for r in simhash.components(found).collect()} == want
     sets = {i: set(simhash.shingles(t, 5)) for i, t in docs}
     assert all(len(sets[r.u] & sets[r.v]) >= 0.8 * len(sets[r.u] | sets[r.v]) for r in found.collect())
+    # the second step alone: one list of all rows, of which the first step has linked one chain and left the others apart
+    keyed = rows.selectExpr("nr AS row", "0 AS band", "7L AS key")
+    large = spark.createDataFrame([(0, 7, len(docs))], "band int, key long, n long")
+    roots = rows.where("nr < 40").selectExpr("nr AS node", "0L AS root")
+    blocks = simhash._blocks(keyed, large, roots, 8)
+    assert blocks.where("asks").select("row").distinct().count() == 120
+    added = simhash._compared(rows.withColumnRenamed("nr", "row"), blocks, ["band", "key", "part", "chunk"])
+    both = added.union(roots.where("node > 0").selectExpr("node", "root"))
+    assert {r.node: r.root for r in simhash.components(both).collect()} == want
+    few = simhash._blocks(keyed, large, roots.union(rows.where("nr >= 40").selectExpr("nr", "0L")), 8)
+    assert few.isEmpty()
