@@ -136,13 +136,24 @@ def merge_short_runs(segments: DataFrame, keys: Keys, shortest: float) -> DataFr
     return fold(segments, keys, ["start_s", "end_s", "label"], _typed("start_s: double, end_s: double, label: string"), step, lambda acc: acc)
 
 
-def trim_edge_runs(segments: DataFrame, keys: Keys, shortest: float = 1.0) -> DataFrame:
-    """Segments in time order without a first or last one shorter than `shortest`."""
+def trim_edge_runs(segments: DataFrame, keys: Keys, ident: str, shortest: float = 1.0) -> DataFrame:
+    """Segments in time order with whole edges: start_s, end_s, label.
+
+    What begins a timeline joins the next segment, whose label it takes, until at least `shortest` seconds are together; what ends one
+    joins the segment before in the same way. Then equal labels in a row at either edge are one segment. One segment alone stays as it is.
+    """
     w = Window.partitionBy(*keys)
-    order = w.orderBy("start_s", "end_s")
-    rows = segments.withColumns({"_nr": F.row_number().over(order), "_n": F.count("*").over(w)})
-    edge = (F.col("_nr") == 1) | (F.col("_nr") == F.col("_n"))
-    return rows.where(~edge | (F.col("end_s") - F.col("start_s") >= shortest)).drop("_nr", "_n")
+    rows = segments.select(*keys, "start_s", "end_s", "label", F.row_number().over(w.orderBy("start_s", "end_s", ident)).alias("_nr"))
+    rows = rows.withColumns({"_from": F.min_by("start_s", "_nr").over(w), "_to": F.max_by("end_s", "_nr").over(w)})
+    rows = rows.withColumn("_k", F.coalesce(F.min(F.when(F.col("end_s") - F.col("_from") >= shortest, F.col("_nr"))).over(w), F.max("_nr").over(w)))
+    rows = rows.where("_nr >= _k").withColumn("start_s", F.when(F.col("_nr") == F.col("_k"), F.col("_from")).otherwise(F.col("start_s")))
+    rows = rows.withColumn("_j", F.coalesce(F.max(F.when(F.col("_to") - F.col("start_s") >= shortest, F.col("_nr"))).over(w), F.col("_k")))
+    rows = rows.where("_nr <= _j").withColumn("end_s", F.when(F.col("_nr") == F.col("_j"), F.col("_to")).otherwise(F.col("end_s")))
+    rows = rows.withColumns({"_a": F.min_by("label", "_nr").over(w), "_b": F.max_by("label", "_nr").over(w)})
+    other = lambda edge: F.when(~F.col("label").eqNullSafe(F.col(edge)), F.col("_nr"))
+    rows = rows.withColumns({"_head": F.min(other("_a")).over(w), "_tail": F.max(other("_b")).over(w)})
+    part = F.when(F.col("_head").isNull() | (F.col("_nr") < F.col("_head")), 0).when(F.col("_nr") > F.col("_tail"), -1).otherwise(F.col("_nr"))
+    return rows.groupBy(*keys, part.alias("_part")).agg(F.min_by("start_s", "_nr").alias("start_s"), F.max_by("end_s", "_nr").alias("end_s"), F.min_by("label", "_nr").alias("label")).drop("_part")
 
 
 #: sentence punctuation that ends a chunk
@@ -169,20 +180,33 @@ def words_to_chunks(words: DataFrame, keys: Keys, max_chars: int = 24, max_gap:
     return fold(rows, keys, ["word_pos", "word", "start_s", "end_s"], _typed("text: string, start_s: double, end_s: double"), step, lambda acc: acc)
 
 
-def merge_fragments(sentences: DataFrame, keys: Keys, max_gap: float = 0.45, max_chars: int = 15, max_s: float = 5.0) -> DataFrame:
-    """Close short pieces of a sentence as one: both together short, and either tiny or the first without final punctuation."""
+def merge_fragments(sentences: DataFrame, keys: Keys, max_gap: float = 0.45, max_chars: int = 15, max_s: float = 5.0, left_gap: float = 0.5, left_chars: int = 24) -> DataFrame:
+    """Close short pieces of a sentence as one: both together short, and either tiny or the first without final punctuation.
+
+    In a second pass a single character that is left joins the piece before it, or else the one after it, if within `left_gap` seconds of
+    one that has at most `left_chars` characters.
+    """
     rows = sentences.withColumn("text", F.trim("text")).where("text <> ''")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
+    def together(a: Column, b: Column) -> Column:
+        joint = F.when(a["text"].rlike("[A-Za-z0-9]$") & b["text"].rlike("^[A-Za-z0-9]"), " ").otherwise("")
+        return F.struct(a["start_s"].alias("start_s"), F.greatest(a["end_s"], b["end_s"]).alias("end_s"), F.concat(a["text"], joint, b["text"]).alias("text"))
+
+    def short(acc: Column, x: Column) -> Column:
+        last = _last(acc)
         a, b = last["text"], x["text"]
         near = (F.greatest(F.lit(0.0), x["start_s"] - last["end_s"]) <= max_gap) & (F.length(a) + F.length(b) <= max_chars) & (F.greatest(last["end_s"], x["end_s"]) - last["start_s"] <= max_s)
         open_ = (F.length(a) <= 2) | (F.length(b) <= 2) | ~F.contains(F.lit(CHUNK_ENDS + "."), F.right(a, F.lit(1)))
-        joint = F.when(a.rlike("[A-Za-z0-9]$") & b.rlike("^[A-Za-z0-9]"), " ").otherwise("")
-        grown = F.struct(last["start_s"].alias("start_s"), F.greatest(last["end_s"], x["end_s"]).alias("end_s"), F.concat(a, joint, b).alias("text"))
-        return F.when((F.size(acc) > 0) & near & open_, _kept(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(_kept(acc, x))
+        return F.when((F.size(acc) > 0) & near & open_, _kept(F.slice(acc, 1, F.size(acc) - 1), together(last, x))).otherwise(_kept(acc, x))
+
+    def single(acc: Column, x: Column) -> Column:
+        last = _last(acc)
+        a, b = F.length(last["text"]), F.length(x["text"])
+        alone = (a <= 1) & (b <= left_chars) | (b <= 1) & (a <= left_chars)
+        return F.when((F.size(acc) > 0) & alone & (x["start_s"] - last["end_s"] <= left_gap), _kept(F.slice(acc, 1, F.size(acc) - 1), together(last, x))).otherwise(_kept(acc, x))
 
-    return fold(rows, keys, ["start_s", "end_s", "text"], _typed("start_s: double, end_s: double, text: string"), step, lambda acc: acc)
+    none = _typed("start_s: double, end_s: double, text: string")
+    return fold(rows, keys, ["start_s", "end_s", "text"], none, short, lambda acc: F.aggregate(acc, none, single))
 
 
 def first_last_relabel(segments: DataFrame, keys: Keys, shortest: float = 12.0, edge: float = 25.0) -> DataFrame:

@@ -81,9 +81,21 @@ def q15(v):
     return fo.enforce_max_length(v.seg, M, "seg_index", 120.0)
 
 
-@query("Q10_trim_edge_runs", "SELECT media_id, seg_index, start_s, end_s FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_s, end_s) AS nr, count(*) OVER (PARTITION BY media_id) AS n FROM seg) WHERE NOT (nr IN (1, n) AND end_s - start_s < 20)", "start_s end_s")
+EDGES = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_s, end_s, seg_index) AS nr FROM seg),
+    f AS (SELECT media_id, arg_min(start_s, nr) AS s0, arg_max(end_s, nr) AS e0 FROM a GROUP BY media_id),
+    k AS (SELECT media_id, s0, e0, coalesce(min(nr) FILTER (end_s - s0 >= 20), max(nr)) AS k FROM a JOIN f USING (media_id) GROUP BY media_id, s0, e0),
+    b AS (SELECT media_id, nr, CASE WHEN nr = k THEN s0 ELSE start_s END AS start_s, end_s, label, k, e0 FROM a JOIN k USING (media_id) WHERE nr >= k),
+    j AS (SELECT media_id, coalesce(max(nr) FILTER (e0 - start_s >= 20), max(k)) AS j FROM b GROUP BY media_id),
+    c AS (SELECT media_id, nr, start_s, CASE WHEN nr = j THEN e0 ELSE end_s END AS end_s, label FROM b JOIN j USING (media_id) WHERE nr <= j),
+    x AS (SELECT media_id, arg_min(label, nr) AS l0, arg_max(label, nr) AS l1 FROM c GROUP BY media_id),
+    m AS (SELECT media_id, min(nr) FILTER (label <> l0) AS head, max(nr) FILTER (label <> l1) AS tail FROM c JOIN x USING (media_id) GROUP BY media_id),
+    p AS (SELECT *, CASE WHEN head IS NULL OR nr < head THEN 0 WHEN nr > tail THEN -1 ELSE nr END AS part FROM c JOIN m USING (media_id))
+    SELECT media_id, arg_min(start_s, nr) AS start_s, arg_max(end_s, nr) AS end_s, arg_min(label, nr) AS label FROM p GROUP BY media_id, part"""
+
+
+@query("Q10_trim_edge_runs", EDGES, "start_s end_s")
 def q10(v):
-    return fo.trim_edge_runs(v.seg, M, 20.0).select("media_id", "seg_index", "start_s", "end_s")
+    return fo.trim_edge_runs(v.seg, M, "seg_index", 20.0)
 
 
 GREEDY = """WITH RECURSIVE i AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY {score} DESC, {time}) AS nr, {{'t': {time}, 'c': {score}}} AS s FROM {rows}),
@@ -145,8 +157,12 @@ def q19(v):
 FRAGMENTS = """WITH RECURSIVE i AS (SELECT media_id * 100000 + pos AS k, row_number() OVER (PARTITION BY media_id, pos ORDER BY start_s, end_s, word) AS nr, {'a': start_s, 'b': end_s, 'text': trim(word)} AS s FROM word WHERE trim(word) <> ''),
     w AS (SELECT k, nr, [s] AS acc FROM i WHERE nr = 1 UNION ALL
       SELECT i.k, i.nr, CASE WHEN greatest(0, i.s.a - w.acc[-1].b) <= 0.45 AND length(w.acc[-1].text) + length(i.s.text) <= 15 AND greatest(w.acc[-1].b, i.s.b) - w.acc[-1].a <= 5 AND (length(w.acc[-1].text) <= 2 OR length(i.s.text) <= 2 OR NOT contains('。！？!?,，、；;：:.', right(w.acc[-1].text, 1)))
-        THEN list_append(w.acc[:-2], {'a': w.acc[-1].a, 'b': greatest(w.acc[-1].b, i.s.b), 'text': w.acc[-1].text || CASE WHEN regexp_matches(w.acc[-1].text, '[A-Za-z0-9]$') AND regexp_matches(i.s.text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || i.s.text}) ELSE list_append(w.acc, i.s) END FROM w JOIN i ON i.k = w.k AND i.nr = w.nr + 1)
-    SELECT k, unnest(arg_max(acc, nr)) AS s FROM w GROUP BY k"""
+        THEN list_append(w.acc[:-2], {'a': w.acc[-1].a, 'b': greatest(w.acc[-1].b, i.s.b), 'text': w.acc[-1].text || CASE WHEN regexp_matches(w.acc[-1].text, '[A-Za-z0-9]$') AND regexp_matches(i.s.text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || i.s.text}) ELSE list_append(w.acc, i.s) END FROM w JOIN i ON i.k = w.k AND i.nr = w.nr + 1),
+    d AS (SELECT k, arg_max(acc, nr) AS m FROM w GROUP BY k),
+    y AS (SELECT k, m, 1 AS o, [m[1]] AS r FROM d UNION ALL
+      SELECT k, m, o + 1, CASE WHEN m[o + 1].a - r[-1].b <= 0.5 AND (length(r[-1].text) <= 1 AND length(m[o + 1].text) <= 24 OR length(m[o + 1].text) <= 1 AND length(r[-1].text) <= 24)
+        THEN list_append(r[:-2], {'a': r[-1].a, 'b': greatest(r[-1].b, m[o + 1].b), 'text': r[-1].text || CASE WHEN regexp_matches(r[-1].text, '[A-Za-z0-9]$') AND regexp_matches(m[o + 1].text, '^[A-Za-z0-9]') THEN ' ' ELSE '' END || m[o + 1].text}) ELSE list_append(r, m[o + 1]) END FROM y WHERE o < len(m))
+    SELECT k, unnest(arg_max(r, o)) AS s FROM y GROUP BY k"""
 
 
 @query("Q20_merge_fragments", f"SELECT k // 100000 AS media_id, k % 100000 AS pos, s.text AS text, s.a AS start_s, s.b AS end_s FROM ({FRAGMENTS})", "start_s end_s")
