@@ -9,10 +9,11 @@ term discloses
 of what there is to know about c: their pointwise mutual information over c's information content, 1 for a term never seen
 without c. Two kinds of evidence make a term personal data itself:
 - it was seen with an entity in SUPPORT different surroundings or more, and discloses DISCLOSED or more of it;
-- it was seen with a whole value, if only once (most values occur once), is rare, in at most one text of RARE, and discloses SINGLE or more. In a
-  corpus of fewer than RARE texts no term is known to be rare, and this rule is silent.
-Each occurrence of such a term outside the values, on single evidence in the texts that hold the value, on repeated evidence in any text, is a
-span of kind `term`. `sanitised` generalises values and terms to their kind.
+- it was seen with a whole value, if only once (most values occur once), discloses SINGLE or more, is rare, and wouldn't be met there by chance. A term is
+  rare if its number of texts, less two standard deviations of such a count, is at most one of RARE; chance is the probability that n(c,t) texts dealt
+  blindly all hold c, (n(c) / N) ** n(c,t), and CHANCE or less is asked for. Both hold alike for any number of texts.
+Each occurrence of such a term outside the values, on single evidence in the texts where it was in a value's company, on repeated evidence in any text, is
+a span of kind `term`. `sanitised` generalises values and terms to their kind.
 
 The patterns mean what the plain ones in PLAIN mean, leftmost and non-overlapping, but can't go back over a long run of characters.
 """
@@ -42,7 +43,7 @@ PATTERNS = {
     "phone": PLAIN["phone"],
 }
 KINDS = (*PLAIN, "term")
-WINDOW, TERM_LETTERS, SUPPORT, DISCLOSED, SINGLE, RARE = 60, 3, 3, 0.7, 0.9, 1000
+WINDOW, TERM_LETTERS, SUPPORT, DISCLOSED, SINGLE, RARE, CHANCE = 60, 3, 3, 0.7, 0.9, 1000, 0.001
 TERM = rf"\p{{L}}{{{TERM_LETTERS},}}"
 
 
@@ -147,7 +148,8 @@ def revealing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT,
     share = F.log(F.col("n_ct") * n_docs / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(n_docs) / F.col("n_c"))
     judged = held.join(candidates, "term").withColumn("disclosure", F.least(share, F.lit(1.0)))
     often = (F.col("places") >= support) & (F.col("disclosure") >= disclosed)
-    once = (F.col("part") == 0) & (F.col("n_t") * rare <= n_docs) & (F.col("disclosure") >= single)
+    chance = F.pow(F.col("n_c") / n_docs, F.col("n_ct"))
+    once = (F.col("part") == 0) & ((F.col("n_t") - 2 * F.sqrt("n_t")) * rare <= n_docs) & (chance <= CHANCE) & (F.col("disclosure") >= single)
     return judged.where(often | once).select("term", "entity", "disclosure", often.alias("often"))
 
 
@@ -185,8 +187,9 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     spans = texts.select(*KEY, "text", base_spans(F.col("text")).alias("base")).where("size(base) > 0")
     valued = written(spans.withColumn("company", surroundings(F.col("text"), F.col("base"))))
     terms = written(revealing_terms(valued, texts, support, disclosed, single, rare))
-    # a term of single evidence is marked where its value is, one of repeated evidence everywhere
-    near = valued.select(*KEY, F.explode("company").alias("c")).select(*KEY, F.explode("c.entities").alias("entity")).join(terms.where("not often"), "entity").select(*KEY, "term")
+    # a term of single evidence is marked where it was beside the value, so that a value of many texts doesn't bring each one's terms to all; one of repeated evidence everywhere
+    beside = valued.select(*KEY, F.explode("company").alias("c")).select(*KEY, F.element_at("c.entities", 1).alias("entity"), F.explode("c.terms").alias("term"))
+    near = beside.join(terms.where("not often").select("term", "entity"), ["term", "entity"]).select(*KEY, "term")
     none, marked = F.array().cast(PLACED), valued.select(*KEY, "text", "base")
     often = written(terms.where("often").select("term").distinct())
     if not often.isEmpty():

@@ -330,8 +330,8 @@ def plain_terms(docs):
             d = min(1.0, np.log(len(where) * n / (n_c * n_t)) / np.log(n / n_c))
             if len(around) >= 3 and d >= 0.7:
                 found.add((None, w))
-            elif whole and n_t * 1000 <= n and d >= 0.9:
-                found |= {(t, w) for t in holds[c]}
+            elif whole and (n_t - 2 * n_t**0.5) * 1000 <= n and (n_c / n) ** len(where) <= 0.001 and d >= 0.9:
+                found |= {(t, w) for t in where}
     out = set()
     for doc, t in docs:
         for m in re.finditer(r"[^\W\d_]+", t or ""):
@@ -354,6 +354,20 @@ def test_terms_are_those_of_brute_force(spark):
     assert got == want and len(want) > 30 and (4000, 10, 17) in want
 
 
+def test_terms_in_a_small_corpus_and_beside_a_value_that_many_texts_share(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("ijklmnop") for _ in range(8))
+    fill = lambda: " ".join(rng.choice(["common", "words", "are", "everywhere", "here"]) for _ in range(20))
+    docs = [(i, f"{fill()} {word()} {fill()}") for i in range(200)] + [(300 + i, f"{fill()} Zebulon zeb@corp.org {fill()}") for i in range(2)]
+    added = {r.doc_id: [s.value for s in r.added] for r in privacy.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert added.pop(300) == added.pop(301) == ["Zebulon"] and not any(added.values())
+    # a shared value: each text's own word stays its own, and there are no more rows than texts
+    docs = [(i, f"{fill()} {word()} desk@corp.org {fill()}") for i in range(600)] + [(1000 + i, fill()) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end) for r in privacy.personal_data(df).collect() for s in r.added}
+    assert got == plain_terms(docs)
+
+
 def test_the_query_generalises_what_it_finds(spark, tmp_path):
     docs = [(1, "mail a@b.c now"), (2, None), (3, "ip 10.0.0.1 and +49 30 1234567!"), (3, "x")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
