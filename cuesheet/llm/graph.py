@@ -11,14 +11,15 @@ from cuesheet.llm.common import settled
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # settled, here and below: both sides of the join are then shuffled for it alone, and Spark can split a hub's part
+    least = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = settled(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -34,7 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     alone = nodes.select("u").union(nodes.select("v"))
     now, before = settled(nodes.where("u <> v").distinct()), None
     for _ in range(rounds):
-        stars = _large_star(now).where("u <> v").distinct()
+        stars = settled(_large_star(now).where("u <> v").distinct())  # read twice
         now = settled(_small_star(stars).where("u <> v").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
