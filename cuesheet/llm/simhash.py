@@ -34,7 +34,7 @@ DISTANCE = 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
 GROUP_LIMIT = 1024
 # The pipeline's stage: shingles of five words, similarity from 0.8 on. A pair at 0.8 shares a band with probability 0.998.
-STAGE_SIZE, SIMILAR, BANDS, BAND_ROWS, BAND_LIMIT = 5, Fraction(4, 5), 20, 6, 256
+STAGE_SIZE, SIMILAR, BANDS, BAND_ROWS, BAND_LIMIT, SKETCH = 5, Fraction(4, 5), 20, 6, 256, 1 << 18
 FACTORS, SHIFTS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64, endpoint=False) | np.uint64(1)
 
 
@@ -231,7 +231,8 @@ def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int
 
     Candidates share a band; equal lists of candidates are compared once, by their whole sets. A list longer than `band_limit` is
     dealt into parts, and one of its rows joins every part, so that its component is one after this first step in all but rare cases.
-    Where it isn't, the rows outside the list's largest component are compared with every row of the list, block by block.
+    Where it isn't, its rows are listed anew by their prefixes (see `_prefixes`), which all similar rows share and rows that have only some passage in
+    common don't. In such a list the rows outside its largest component are compared with every row, block by block.
     """
     plain = rows.select(F.col(row).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
 
@@ -251,13 +252,57 @@ def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int
     named = lists.select(F.xxhash64("ids").alias("list"), F.hash("ids").alias("list2"), "ids").dropDuplicates(["list", "list2"])
     members = written(named.select("list", "list2", F.explode("ids").alias("row"), F.lit(0).cast("long").alias("root"), F.lit(False).alias("asks")))
     found = written(_compared(plain, members, ["list", "list2"]))
-    large = written(shared.where(F.col("n") > band_limit).dropDuplicates(["n", "list", "list2"]).select("band", "key", "n"))
+    large = written(shared.where(F.col("n") > band_limit).dropDuplicates(["n", "list", "list2"]).select("band", "key"))
     if large.isEmpty():
         return found
-    blocks = written(_blocks(keyed, large, components(found), band_limit))
+    roots = components(found).withColumnRenamed("node", "row")
+    inside = written(keyed.join(large, ["band", "key"]).join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")))
+    mixed = inside.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "key")
+    rooted = written(inside.join(mixed, ["band", "key"]).select("row", "root").distinct())
+    if rooted.isEmpty():
+        return found
+    tokens = written(_prefixes(plain.join(rooted.select("row"), "row", "left_semi")).join(rooted, "row"))
+    several = [F.min("root").alias("a"), F.max("root").alias("b")]
+    lists = tokens.groupBy("band", "key").agg(*name, *several).where("a <> b").dropDuplicates(["n", "list", "list2"]).select("band", "key", "n")
+    blocks = written(_blocks(tokens.drop("root"), written(lists), rooted.withColumnRenamed("row", "node"), band_limit))
     return found if blocks.isEmpty() else found.union(_compared(plain, blocks, ["band", "key", "part", "chunk"])).distinct()
 
 
+def _prefixes(plain: DataFrame, least: Fraction = SIMILAR) -> DataFrame:
+    """(row, band, key): of each row its rarest shingles, so many that two rows of a similarity of `least` have one of them in common.
+
+    Sets of n and m shingles at that similarity share k = ceil(least n) or more, so in any one order of all shingles the first n - k + 1 of one set meet
+    those of the other. The order is by how often a shingle occurs in these rows, counted in SKETCH buckets whatever their number; passages
+    that many rows share come last, and so lie outside the prefix of rows with a text of their own. `band` is 0.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            for x in b.column(1):
+                np.add.at(sums, (shingle_set(x.as_py()) % np.uint64(SKETCH)).astype(np.int64), 1)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["at", "n"])
+
+    seen = plain.mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
+    often = np.zeros(SKETCH, np.int64)
+    often[seen.column("at").to_numpy()] = seen.column("n").to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, keys = [], []
+            for row, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = shingle_set(x.as_py())
+                n = len(found) + least.numerator * -len(found) // least.denominator + 1
+                order = np.argsort(often[(found % np.uint64(SKETCH)).astype(np.int64)], kind="stable")[:n]
+                rows.append(np.full(len(order), row))
+                keys.append(found[order].view(np.int64))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(keys))], names=["row", "key"])
+
+    return plain.mapInArrow(first, "row long, key long").select("row", F.lit(0).alias("band"), "key")
+
+
 def _blocks(keyed: DataFrame, large: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
     """The rows of the large lists that hold several components: every row outside the list's largest component (asks) meets every row of the list in one block.
 
@@ -277,7 +322,12 @@ def _blocks(keyed: DataFrame, large: DataFrame, roots: DataFrame, limit: int) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of similar texts one row stays, that with the smallest doc_id (nulls last) and of these the first."""
+    """Pipeline stage: of each component of similar texts one row stays, that with the smallest doc_id (nulls last) and of these the first.
+
+    A null text counts as empty. Texts without words, null ones among them, are alike, so that one of them stays; a text of fewer words than a shingle has is
+    one shingle. Texts of any length are compared whole, by the set of their shingles. Repeated rows are alike, whatever their ids. All columns are kept as they
+    are, whatever their names; an empty table gives no rows.
+    """
     rows, row = numbered(docs)
     root = components(written(similar_links(rows, row))).withColumnRenamed("node", row)
     member = written(rows.select(row, "doc_id").join(root, row))

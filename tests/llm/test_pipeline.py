@@ -113,3 +113,30 @@ def test_long_lists_lose_no_component(spark):
     assert {r.node: r.root for r in simhash.components(both).collect()} == want
     few = simhash._blocks(keyed, large, roots.union(rows.where("nr >= 40").selectExpr("nr", "0L")), 8)
     assert few.isEmpty()
+
+
+def test_rows_with_a_passage_in_common_are_not_compared_with_each_other(spark):
+    """Many unlike rows share a long passage, and so some band; few of them are alike. Prefixes list the similar ones only."""
+    rng = random.Random(12)
+    own = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage, docs = own(90), []
+    for i in range(300):
+        docs.append((i, " ".join(passage + own(40))))
+    for i in range(0, 40, 2):
+        words = docs[i][1].split()
+        words[125] = "other"
+        docs.append((1000 + i, " ".join(words)))
+    rows = spark.createDataFrame(docs, "nr long, text string")
+    found = simhash.similar_links(rows, "nr", band_limit=8)
+    assert {frozenset(r) for r in found.collect()} == {frozenset((i, 1000 + i)) for i in range(0, 40, 2)}
+    prefixes = simhash._prefixes(rows.withColumnRenamed("nr", "row"))
+    lists = prefixes.groupBy("key").count().where("count > 1").collect()
+    assert lists and max(r["count"] for r in lists) == 2
+
+
+def test_odd_rows_leave_one_of_each_group(odd, empty, spark):
+    left = simhash.keep_one_of_each_group(spark, odd, DIR)
+    texts = [r.text for r in left.collect()]
+    assert left.columns == odd.columns and len(texts) == len(set(texts))
+    assert sum(not (t or "").strip() for t in texts) == 1 and sum(len(t or "") > 100_000 for t in texts) == 1
+    assert simhash.keep_one_of_each_group(spark, empty, DIR).count() == 0
