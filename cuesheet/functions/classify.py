@@ -1,7 +1,7 @@
 """Two-stage classification of segments by weighted rules on their features.
 
 A score is the sum of the weights of the conditions that hold. Stage 1 gates exclude what isn't music, first gate first; stage 2 compares
-six scores. Rules on the label before are left out here: they need a segment's predecessor to be decided first.
+six scores. Some of these rise after a verse or a chorus; `candidates` has the decision for each label that can come before.
 
 Features (columns): silence, rms, beat, voice, harmonic, entropy, flux, dmfcc, flat (flatness over its mean), hf_zcr, hf_energy, rms_var, spread, pitch,
 rr (rms over its mean), stability (of the centroid), crel (centroid over the song's), cmean (centroid over the mean), pos, rel (relative energy),
@@ -78,9 +78,14 @@ VERSE_BASE: Rules = (
 )
 #: terms that aren't weights of conditions, as SQL
 EXTRA = {
-    "verse": "greatest(0.0, ({base}) + 0.5 * bpm)",
+    "verse": "greatest(0.0, ({base}) + 0.5 * bpm + {after})",
     "chorus": "case when rel >= 1 then least(10 * (rel - 1), 5.0) else 0.0 end + 5 * likelihood + 2 * bpm + 1.5 * stability + case when {sung} then 2 * least(repeats, 3) + 3 * alike else 0.0 end + case when {loud} then 5 * likelihood else 0.0 end",
 }
+#: labels that change the scores of what comes after them, as states from 1 on; any other label is state 0
+STATES = ("", "verse", "chorus")
+# What a label adds to the scores after it, and the part of a verse's that isn't bounded below.
+AFTER = {("verse", "verse"): 1.0, ("chorus", "verse"): 1.0, ("outro", "chorus"): 1.5}
+VERSE_AFTER_VERSE = f"case when {ONCE} then 1.0 else 0.0 end"
 LOUD = f"{ONCE} and rel > 1.05 and voice > 0.40 and harmonic > 0.5"
 
 
@@ -88,8 +93,14 @@ def as_sql(rules: Rules) -> str:
     return " + ".join(f"case when {c} then {float(w)} else 0.0 end" for c, w in rules)
 
 
-def music_sql(label: str) -> str:
-    extra = EXTRA.get(label, "0.0").format(base=as_sql(VERSE_BASE), sung=SUNG_AGAIN, loud=LOUD)
+def music_sql(label: str, before: str = "") -> str:
+    """The score of a label after another."""
+    after = AFTER.get((label, before), 0.0)
+    extra = EXTRA.get(label, "{after}").format(base=as_sql(VERSE_BASE), sung=SUNG_AGAIN, loud=LOUD, after=after)
+    if label == "chorus":
+        extra += f" + {after}"
+    if label == before == "verse":
+        extra += f" + {VERSE_AFTER_VERSE}"
     return f"{as_sql(MUSIC[label])} + {extra}"
 
 
@@ -102,11 +113,23 @@ def gate() -> Column:
     return F.when(silent, "silence").when(weighted_condition_score(SPEECH) >= 6, spoken).when(talk, "talk").when(weighted_condition_score(CROWD) >= 3.5, "crowd").when(audience, "audience")
 
 
+def _decided(gate_: Column, scores: dict[str, Column]) -> Column:
+    ranked = F.reverse(F.array_sort(F.array(*(F.struct(c.alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("l")) for i, (k, c) in enumerate(scores.items())))))
+    top, second = ranked[0]["s"], ranked[1]["s"]
+    gap = F.when(top > 0, 0.5 + F.least(F.lit(0.45), 0.5 * (top - second) / (top + 0.01))).otherwise(0.8)
+    sure = F.when(gate_.isNull(), F.greatest(F.lit(0.4), F.least(F.lit(0.98), gap)))
+    return F.struct(F.coalesce(gate_, ranked[0]["l"]).alias("label"), sure.alias("confidence"))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Adds `after`: for each of STATES the decision (label, confidence) if that came before. Confidence, for music only, comes from the gap between the two best
+    scores; of equal scores the first in the order of MUSIC wins."""
+    scored = rows.withColumns({"_gate": gate()} | {f"_{k}_{i}": F.round(F.expr(music_sql(k, before)), 6) for i, before in enumerate(STATES) for k in MUSIC if not i or (k, before) in AFTER})
+    column = lambda k, i: F.col(f"_{k}_{i}") if (k, STATES[i]) in AFTER else F.col(f"_{k}_0")
+    decided = F.array(*(_decided(F.col("_gate"), {k: column(k, i) for k in MUSIC}) for i in range(len(STATES))))
+    return scored.select(*rows.columns, decided.alias("after"))
+
+
 def two_stage_classify(rows: DataFrame) -> DataFrame:
-    """Adds label and, for music, confidence from the gap between the two best scores; of equal scores the first in the order of MUSIC."""
-    scored = rows.withColumns({"_gate": gate()} | {f"_{k}": F.round(F.expr(music_sql(k)), 6) for k in MUSIC})
-    ranked = F.reverse(F.array_sort(F.array(*(F.struct(F.col(f"_{k}").alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("l")) for i, k in enumerate(MUSIC)))))
-    scored = scored.withColumn("_r", ranked)
-    top, second = F.col("_r")[0]["s"], F.col("_r")[1]["s"]
-    sure = F.greatest(F.lit(0.4), F.least(F.lit(0.98), 0.5 + F.least(F.lit(0.45), 0.5 * (top - second) / F.nullif(top + 0.01, F.lit(0.0)))))
-    return scored.select(*rows.columns, F.coalesce("_gate", F.col("_r")[0]["l"]).alias("label"), F.when(F.col("_gate").isNull(), sure).alias("confidence"))
+    """Adds label and confidence of segments on their own, as if no other came before."""
+    return candidates(rows).select(*rows.columns, F.col("after")[0]["label"].alias("label"), F.col("after")[0]["confidence"].alias("confidence"))

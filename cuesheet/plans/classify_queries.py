@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cuesheet.functions import classify as cl
+from cuesheet.operators import classification as cn
 from cuesheet.plans.registry import query
 
 # the same text serves both engines
@@ -11,14 +14,26 @@ FEATURES = """media_id, frame, rms, (frame * 7 % 11) / 11.0 AS silence, (frame *
     (frame * 43 % 53) / 53.0 AS stability, (frame * 47 % 59) / 40.0 AS crel, (frame * 53 % 61) / 40.0 AS cmean, t / 4320.0 AS pos, rms / 45.0 AS rel, (frame * 59 % 67) / 67.0 AS likelihood, (frame * 61 % 71) / 71.0 AS bpm, frame % 4 AS repeats, (frame * 67 % 73) / 73.0 AS alike,
     rms * 0.9 AS prev_rms, rms * 1.1 AS next_rms, 3.0 AS p10, 5.0 AS p15, 12.0 AS p25, 33.0 AS p50, 45.0 AS p60, 70.0 AS p75"""
 ORDER = list(cl.MUSIC)
-SCORES = ", ".join(f"round({cl.music_sql(k)}, 6) AS s_{k}" for k in ORDER)
+SCORES = ", ".join(f"round({cl.music_sql(k, before)}, 6) AS s_{k}_{i}" for i, before in enumerate(cl.STATES) for k in ORDER)
 GATE = f"""CASE WHEN silence > 0.7 OR rms < 1e-4 THEN 'silence' WHEN {cl.as_sql(cl.SPEECH)} >= 6 THEN CASE WHEN harmonic > 0.3 AND beat > 0.15 THEN 'talk' ELSE 'speech' END
     WHEN voice > 0.15 AND harmonic < 0.75 AND {cl.as_sql(cl.TALK)} >= 6 THEN 'talk' WHEN {cl.as_sql(cl.CROWD)} >= 3.5 THEN 'crowd' WHEN voice > 0.15 AND {cl.as_sql(cl.AUDIENCE)} >= 4 THEN 'audience' END"""
-BEST = "greatest(" + ", ".join(f"s_{k}" for k in ORDER) + ")"
-PICK = "CASE " + " ".join(f"WHEN s_{k} = {BEST} THEN '{k}'" for k in ORDER) + " END"
 
 
-@query("Q36_two_stage_classify", f"WITH f AS (SELECT {FEATURES} FROM tl), s AS (SELECT *, {GATE} AS gate, {SCORES} FROM f) SELECT media_id, frame, coalesce(gate, {PICK}) AS label FROM s")
+def picked(i: int) -> str:
+    best = "greatest(" + ", ".join(f"s_{k}_{i}" for k in ORDER) + ")"
+    return "coalesce(gate, CASE " + " ".join(f"WHEN s_{k}_{i} = {best} THEN '{k}'" for k in ORDER) + f" END) AS l_{i}"
+
+
+def sure(i: int) -> str:
+    first, second = (f"list_reverse_sort([{', '.join(f's_{k}_{i}' for k in ORDER)}])[{n}]" for n in (1, 2))
+    return f"CASE WHEN gate IS NULL THEN greatest(0.4, least(0.98, CASE WHEN {first} > 0 THEN 0.5 + least(0.45, 0.5 * ({first} - {second}) / ({first} + 0.01)) ELSE 0.8 END))::DOUBLE END AS c_{i}"
+
+
+@query("Q36_two_stage_classify", f"""SELECT * FROM (WITH RECURSIVE f AS (SELECT {FEATURES} FROM tl), s AS (SELECT *, {GATE} AS gate, {SCORES} FROM f),
+    d AS MATERIALIZED (SELECT media_id, frame, row_number() OVER (PARTITION BY media_id ORDER BY frame) AS nr, {', '.join(f'{picked(i)}, {sure(i)}' for i in range(3))} FROM s),
+    w AS (SELECT media_id, nr, frame, l_0 AS label, c_0 AS confidence FROM d WHERE nr = 1 UNION ALL
+      SELECT d.media_id, d.nr, d.frame, CASE w.label WHEN 'verse' THEN l_1 WHEN 'chorus' THEN l_2 ELSE l_0 END, CASE w.label WHEN 'verse' THEN c_1 WHEN 'chorus' THEN c_2 ELSE c_0 END FROM w JOIN d ON d.media_id = w.media_id AND d.nr = w.nr + 1)
+    SELECT media_id, frame, label, round(confidence + 1e-9, 6) AS confidence FROM w)""", "confidence")
 def q36(v):
     rows = v.tl.selectExpr(*FEATURES.replace("\n", " ").split(", "))
-    return cl.two_stage_classify(rows).select("media_id", "frame", "label")
+    return cn.classify_in_order(rows, ["media_id"], "frame", 16).select("media_id", "frame", "label", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"))

@@ -27,9 +27,9 @@ def q02(v):
     return fo.min_spacing_filter(v.bnd, M, "t", 60.0, -60.0)
 
 
-@query("T02_suppress_retries", f"SELECT cache_key, state.t AS t FROM ({walked('SELECT cache_key, row_number() OVER (PARTITION BY cache_key ORDER BY saved_at) AS nr, {0} AS s FROM ttl'.format(chr(123) + chr(39) + 't' + chr(39) + ': saved_at' + chr(125)), 'i.s.t - w.state.t >= 43200', keys='cache_key')} SELECT * FROM w) WHERE kept", "t")
+@query("T02_suppress_retries", f"SELECT cache_key, state.t AS t FROM ({walked('SELECT cache_key, row_number() OVER (PARTITION BY cache_key ORDER BY saved_at) AS nr, {0} AS s FROM ttl'.format(chr(123) + chr(39) + 't' + chr(39) + ': saved_at' + chr(125)), 'i.s.t - w.state.t >= 600', keys='cache_key')} SELECT * FROM w) WHERE kept", "t")
 def t02(v):
-    return fo.min_spacing_filter(v.ttl.select("cache_key", F.col("saved_at").alias("t")), ["cache_key"], "t", 43200.0, -1e12)
+    return fo.min_spacing_filter(v.ttl.select("cache_key", F.col("saved_at").alias("t")), ["cache_key"], "t", 600.0, -1e12)
 
 
 BETTER = """WITH RECURSIVE i AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY t, rms) AS nr, {'t': t, 'c': rms} AS s FROM tl WHERE kind = 'error'),
@@ -117,16 +117,6 @@ def w06(v):
     return fo.peaks_with_min_distance(v.tl, "rms", M, "frame", 5, 30.0)
 
 
-SMOOTHED = "(SELECT media_id, frame, avg(rms) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS rms FROM tl)"
-
-
-@query("Q25_energy_regions", f"SELECT media_id, s.t - 2 AS first_frame, s.t + 3 AS last_frame, s.c AS rms FROM ({GREEDY.format(score='rms', time='frame', rows=PEAKS.replace('FROM tl', 'FROM ' + SMOOTHED), distance=6)})", "rms")
-def q25(v):
-    smooth = v.tl.select("media_id", "frame", fr.moving_average("rms", M, "frame", 3).alias("rms"))
-    peaks = fo.peaks_with_min_distance(smooth, "rms", M, "frame", 6, 30.0)
-    return peaks.select("media_id", (F.col("frame") - 2).alias("first_frame"), (F.col("frame") + 3).alias("last_frame"), "rms")
-
-
 WEIGHTS = {"title": 0.6, "audio": 0.25, "structure": 0.15}
 CLUSTERS = """WITH RECURSIVE i AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY t, source) AS nr, t, source, CASE source WHEN 'title' THEN 0.6 WHEN 'audio' THEN 0.25 ELSE 0.15 END::DOUBLE AS w FROM bnd),
     g AS (SELECT media_id, nr, [{'center': t, 'total': w, 'weighted': t * w, 'n': 1, 'sources': [source]}] AS acc FROM i WHERE nr = 1 UNION ALL

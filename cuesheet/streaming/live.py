@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def tumbling_profile(rows: DataFrame, time: str, label: str, size: str = "60 seconds", late: str = "5 minutes") -> DataFrame:
@@ -29,9 +31,52 @@ def session_regions(rows: DataFrame, time: str, key: str, gap: str = "60 seconds
     return rows.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"), F.max(time).alias("last")).select(key, F.col("session_window.start").alias("start"), "last", "n")
 
 
-def suppress_retries(rows: DataFrame, time: str, key: str, within: str = "600 seconds") -> DataFrame:
-    """The first event of a key, and no other until so long after it."""
-    return rows.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+class Spacing(StatefulProcessor):
+    """Of a key: the times that the watermark hasn't passed yet, and the last time that was kept."""
+
+    def __init__(self, key: str, time: str, within: float) -> None:
+        self.key, self.time, self.within_us = key, time, round(within * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending, self.kept = handle.getListState("pending", "at long"), handle.getValueState("kept", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        times = sorted(r.at_us for r in rows)
+        self.pending.appendList([(t,) for t in times])
+        for ms in sorted({-(-t // 1000) for t in times}):
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        """Times up to the timer's are all there is before them, and are decided in their order."""
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        times = sorted(x[0] for x in self.pending.get())
+        last, out = self.kept.get()[0] if self.kept.exists() else None, []
+        for t in (t for t in times if t <= until):
+            if last is None or t - last >= self.within_us:
+                last = t
+                out.append(t)
+        left = [(t,) for t in times if t > until]
+        self.pending.put(left) if left else self.pending.clear()
+        if last is not None:
+            self.kept.update((last,))
+        return iter([Row(**{self.key: key[0], "at_us": t}) for t in out])
+
+    def close(self) -> None:
+        pass
+
+
+def suppress_retries(rows: DataFrame, time: str, key: str, within: float = 600.0, late: str = "10 minutes") -> DataFrame:
+    """The first event of a key, and then each that comes `within` seconds or more after the last one kept: key, time.
+
+    Events wait until the watermark, `late` behind the newest, has passed them, and are then taken in order of time, so that their order of arrival doesn't matter. Needs the RocksDB state
+    store (spark.sql.streaming.stateStore.providerClass). The batch twin is `min_spacing_filter`.
+    """
+    timed = rows.withWatermark(time, late).select(key, time, F.unix_micros(time).alias("at_us"))
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, at_us long"
+    kept = timed.groupBy(key).transformWithState(Spacing(key, time, within), schema, "append", "eventTime")
+    return kept.select(key, F.timestamp_micros("at_us").alias(time))
 
 
 def ttl_lookups(rows: DataFrame, key: str, seconds: float) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cuesheet.operators.cache import still_valid
+from cuesheet.operators.folds import min_spacing_filter
 from cuesheet.streaming import live
 
 
@@ -42,10 +46,27 @@ def test_windows(events, tmp_path, name, f):
     assert rows(drained(f(stream), name, tmp_path).where(early)) == rows(f(batch).where(early))
 
 
-def test_retries(spark, events, tmp_path):
-    _, stream = events
-    got = drained(live.suppress_retries(stream.where("id < 3 or id = 999"), "ts", "kind"), "retries", tmp_path)
-    assert got.count() == 4
+@pytest.mark.parametrize("seed", range(3))
+def test_retries(spark, tmp_path, seed):
+    """Random streams in several micro-batches, out of order within the watermark: what is kept is what the batch twin keeps."""
+    rng, late = random.Random(seed), 900
+    times = sorted(rng.choice((rng.randrange(40_000), 50 * rng.randrange(800))) for _ in range(400))
+    arriving = sorted(((t + rng.randrange(late // 2), t, rng.choice("abbc")) for t in times))
+    path, schema = str(tmp_path / "in"), "s long, kind string"
+    for i in range(0, len(arriving), 80):
+        spark.createDataFrame([(t, k) for _, t, k in arriving[i : i + 80]], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(200_000, "z")], schema).coalesce(1).write.mode("append").parquet(path)
+    for i, p in enumerate(sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)):
+        os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
+    timed = lambda df: df.withColumn("ts", F.timestamp_seconds("s"))
+    stream = timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = drained(live.suppress_retries(stream, "ts", "kind", 600.0, f"{late} seconds"), f"retries{seed}", tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = min_spacing_filter(spark.read.parquet(path).select("kind", F.col("s").cast("double").alias("t")), ["kind"], "t", 600.0, -1e12).where("kind <> 'z'")
+    assert sorted((r.kind, r.s) for r in got.select("kind", F.unix_seconds("ts").cast("double").alias("s")).collect()) == sorted((r.kind, r.t) for r in want.collect())
 
 
 def test_ttl(events, tmp_path):
