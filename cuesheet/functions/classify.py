@@ -124,7 +124,7 @@ def _decided(gate_: Column, scores: dict[str, Column]) -> Column:
 def candidates(rows: DataFrame) -> DataFrame:
     """Adds `after`: for each of STATES the decision (label, confidence) if that came before. Confidence, for music only, comes from the gap between the two best
     scores; of equal scores the first in the order of MUSIC wins."""
-    scored = rows.withColumns({"_gate": gate()} | {f"_{k}_{i}": F.round(F.expr(music_sql(k, before)), 6) for i, before in enumerate(STATES) for k in MUSIC if not i or (k, before) in AFTER})
+    scored = rows.withColumns({"_gate": gate()} | {f"_{k}_{i}": F.round(F.expr(music_sql(k, before)) + 1e-9, 6) for i, before in enumerate(STATES) for k in MUSIC if not i or (k, before) in AFTER})
     column = lambda k, i: F.col(f"_{k}_{i}") if (k, STATES[i]) in AFTER else F.col(f"_{k}_0")
     decided = F.array(*(_decided(F.col("_gate"), {k: column(k, i) for k in MUSIC}) for i in range(len(STATES))))
     return scored.select(*rows.columns, decided.alias("after"))

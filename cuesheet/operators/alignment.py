@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from difflib import SequenceMatcher
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text as tx
+from cuesheet.functions.text import estimated_line_seconds
+from cuesheet.operators.asof import NO_ANCHOR_S, fill_between_anchors
 from cuesheet.operators.intervals import Keys
 
 
@@ -64,24 +70,103 @@ def best_path(groups: list[tuple[float | None, np.ndarray, np.ndarray]], scale:
 
 
 def monotone_alignment(lines: DataFrame, candidates: DataFrame, keys: Keys, scale: float = 1.0, drift: float = 6.0) -> DataFrame:
-    """Each line with the candidate on the best path: keys, line, start_s, similarity, status (confirmed from 0.5 on, review, or interpolated without)."""
+    """Each line with the candidate on the best path: keys, line, start_s, similarity, confidence (the score from 0 to 1), status (confirmed from a similarity of 0.5 on, review, or interpolated without)."""
     both = lines.select(*keys, "line", "t").join(candidates.select(*keys, "line", "center", "similarity", "score"), [*keys, "line"], "left")
     types = {f.name: f.dataType.simpleString() for f in both.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "line")) + ", start_s double, similarity double, status string"
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        groups, ids, found = [], [], []
-        for line, g in rows.sort_values(["line", "center"]).groupby("line", sort=True):
-            g = g[g["center"].notna()]
-            t = rows.loc[rows["line"] == line, "t"].iloc[0]
-            ids.append(line)
-            found.append(g)
-            groups.append((None if pd.isna(t) else float(t), g["center"].to_numpy(float), g["score"].to_numpy(float)))
-        out = []
-        for line, g, i in zip(ids, found, best_path(groups, scale, drift), strict=True):
-            c = None if i < 0 else g.iloc[i]
-            status = "interpolated" if c is None else "confirmed" if c["similarity"] >= 0.5 else "review"
-            out.append((*key, line, None if c is None else float(c["center"]), None if c is None else float(c["similarity"]), status))
-        return pd.DataFrame(out, columns=[*keys, "line", "start_s", "similarity", "status"])
-
-    return both.groupBy(*keys).applyInPandas(run, schema)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "line")) + ", start_s double, similarity double, confidence double, status string"
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("line", "ascending"), ("center", "ascending")])
+        line, t, center, similarity, score = (rows.column(c).to_numpy() for c in ("line", "t", "center", "similarity", "score"))
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        found = [np.arange(a, b)[~np.isnan(center[a:b])] for a, b in zip(first, np.append(first[1:], len(line)), strict=True)]
+        path = best_path([(None if np.isnan(t[a]) else float(t[a]), center[g], score[g]) for a, g in zip(first, found, strict=True)], scale, drift)
+        at = np.array([-1 if i < 0 else g[i] for g, i in zip(found, path, strict=True)])
+        none = at < 0
+        sure = np.clip(score[at], 0.0, 1.0)
+        status = np.where(none, "interpolated", np.where(similarity[at] >= 0.5, "confirmed", "review"))
+        heads = {k: rows.column(k).take(first) for k in (*keys, "line")}
+        return pa.table(heads | {"start_s": pa.array(center[at], mask=none), "similarity": pa.array(similarity[at], mask=none), "confidence": pa.array(sure, mask=none), "status": pa.array(status.tolist())})
+
+    floats = {c: F.col(c).cast("double") for c in ("t", "center", "similarity", "score")}
+    return both.withColumns(floats).groupBy(*keys).applyInArrow(run, schema)
+
+
+def placed_lines(lines: DataFrame, candidates: DataFrame, keys: Keys, scale: float = 1.0, offset: float = NO_ANCHOR_S, drift: float = 6.0) -> DataFrame:
+    """All lines (line, t, text) with a time: on the best path through their candidates, and where that isn't sure by the anchors around them (see `fill_between_anchors`)."""
+    aligned = monotone_alignment(lines, candidates, keys, scale, drift)
+    both = lines.select(*keys, "line", "t", "text").join(aligned, [*keys, "line"]).withColumn("end_s", F.col("start_s") + estimated_line_seconds(F.col("text")))
+    return fill_between_anchors(both, keys, "line", scale, offset)
+
+
+#: what doesn't count in a line or word: blanks and some punctuation
+SKIPPED = re.compile(r"[\s，。、？！…—·\-\(\)\[\]]")
+
+
+def next_match(line: str, chars: str, least: float, reach: int) -> tuple[float, int, int] | None:
+    """The window of `chars` most like a line (score, first, end), among those that begin up to `reach` times its length on; None under `least`. Of equals the first."""
+    if len(line) < 2 or not chars:
+        return None
+    size, n = max(len(line) - 2, min(len(line) + 5, 20)), min(len(chars), reach * len(line) + 2)
+    left, both, bounds = Counter(line), 0, []
+    for at, c in enumerate(chars[: n - 1 + size]):  # characters in common with the line, whatever their order, bound the likeness
+        both += left[c] > 0
+        left[c] -= 1
+        if at >= size:
+            left[chars[at - size]] += 1
+            both -= left[chars[at - size]] > 0
+        if at >= size - 1:
+            bounds.append(2 * both / (len(line) + size))
+    for first in range(len(bounds), n):  # windows cut short by the end
+        rest = chars[first:]
+        bounds.append(2 * sum((Counter(line) & Counter(rest)).values()) / (len(line) + len(rest)))
+    best, score = None, -1.0
+    matcher = SequenceMatcher(None, line, "")
+    for first in sorted(range(n), key=lambda i: (-bounds[i], i)):
+        if bounds[first] < score:
+            break
+        matcher.set_seq2(chars[first : first + size])
+        ratio = matcher.ratio()
+        if best is None or ratio > score or ratio == score and first < best[1]:
+            best, score = (ratio, first, min(first + size, len(chars))), ratio
+    return best if score >= least else None
+
+
+def sequential_line_match(lines: DataFrame, words: DataFrame, keys: Keys, least: float = 0.25, reach: int = 3, default_s: float = 5.0) -> DataFrame:
+    """Lines (line, text, t) in order, each with the words (nr, word, start_s, end_s) most like it after the match before: score, matched, start_s, end_s, first_word, last_word.
+
+    The words' characters run on from the cursor, which stands behind the last word of the match before; a window over them has about the line's length and begins within `reach` times it. The match
+    ends with the word of the character after its window, and so does its time. A line whose best window is less like it than `least`, or that has under two characters, has score 0 and its
+    own time until the next line's, or for `default_s` seconds. One song's lines and words are one group.
+    """
+    types = {f.name: f.dataType.simpleString() for f in lines.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "line")) + ", score double, matched string, start_s double, end_s double, first_word long, last_word long"
+
+    def run(mine: pa.Table, said: pa.Table) -> pa.Table:
+        mine, said = mine.sort_by("line"), said.sort_by("nr")
+        texts = [SKIPPED.sub("", x or "") for x in mine.column("text").to_pylist()]
+        times = [*mine.column("t").to_pylist(), None]
+        spoken = [SKIPPED.sub("", x or "") for x in said.column("word").to_pylist()]
+        nr, starts, ends = (said.column(c).to_pylist() for c in ("nr", "start_s", "end_s"))
+        chars, of = "".join(spoken), np.repeat(np.arange(len(spoken)), [len(x) for x in spoken])
+        first_char = np.append(0, np.cumsum([len(x) for x in spoken])).astype(int)
+        out, cursor = [], 0
+        for i, text in enumerate(texts):
+            begin = int(first_char[cursor])
+            found = next_match(text, chars[begin : begin + (reach + 1) * len(text) + 30], least, reach)
+            if found is None:
+                after = times[i + 1] if i + 1 < len(texts) and times[i + 1] is not None else None if times[i] is None else times[i] + default_s
+                out.append((0.0, "", times[i], after, None, None))
+                continue
+            ratio, a, b = found
+            one, last = int(of[begin + a]), int(of[min(begin + b, len(of) - 1)])
+            out.append((round(ratio, 3), chars[begin + a : begin + b], round(starts[one], 2), round(ends[last], 2), nr[one], nr[last]))
+            cursor = last + 1
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        kinds = (pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        names = ("score", "matched", "start_s", "end_s", "first_word", "last_word")
+        return pa.table({k: mine.column(k) for k in (*keys, "line")} | {n: pa.array(list(x), k) for n, x, k in zip(names, columns, kinds, strict=True)})
+
+    mine = lines.select(*keys, "line", "text", F.col("t").cast("double").alias("t"))
+    said = words.select(*(F.col(k).alias(k) for k in keys), F.col("nr").cast("long").alias("nr"), "word", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
+    return mine.groupBy(*keys).cogroup(said.groupBy(*keys)).applyInArrow(run, schema)

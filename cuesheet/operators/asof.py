@@ -5,10 +5,11 @@ Both sides are put under one another and read by windows over the key, so that a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuesheet.operators.intervals import Keys
+from cuesheet.functions.text import estimated_line_seconds
+from cuesheet.operators.intervals import Keys, to_millis
 
 
 def _with_neighbours(points: DataFrame, refs: DataFrame, keys: Keys, strict: bool = False) -> DataFrame:
@@ -61,14 +62,39 @@ def next_non_null_start(lines: DataFrame, keys: Keys, order: Keys, duration: flo
     return lines.withColumn("end_s", F.greatest(end, F.col("t") + shortest)).where(F.col("t").isNotNull())
 
 
-def anchor_interpolate(lines: DataFrame, keys: Keys, order: str, time: Column, anchor: Column) -> DataFrame:
-    """Adds placed_s to lines with their own time: between the two confirmed anchors around a line by linear interpolation, past the
-    first or last by that anchor's shift, and without any by its own time."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    pair = F.when(anchor.isNotNull(), F.struct(time.alias("own"), anchor.alias("placed")))
-    near = lines.withColumns({"_own": time, "_a": F.last(pair, ignorenulls=True).over(before), "_b": F.first(pair, ignorenulls=True).over(after)})
-    a, b, own = F.col("_a"), F.col("_b"), F.col("_own")
-    inside = a["placed"] + (b["placed"] - a["placed"]) * (own - a["own"]) / (b["own"] - a["own"])
-    placed = F.when(a.isNull() & b.isNull(), own).when(a.isNull(), own + b["placed"] - b["own"]).when(b.isNull(), own + a["placed"] - a["own"]).when(b["own"] == a["own"], a["placed"]).otherwise(inside)
-    return near.withColumn("placed_s", placed).drop("_own", "_a", "_b")
+#: fixed values: the share of the prediction in a blend, the least length of a line and its distance from the next anchor, the shift of songs without anchors, and confidences
+BLEND, LEAST_S, APART_S, NO_ANCHOR_S = 0.55, 0.35, 0.05, 13.0
+ALONE, NO_ANCHORS, SHARE, LOWEST, HIGHEST = 0.32, 0.25, 0.7, 0.26, 0.62
+
+
+def fill_between_anchors(lines: DataFrame, keys: Keys, order: str, scale: float = 1.0, offset: float = NO_ANCHOR_S, spacing: float = 4.0) -> DataFrame:
+    """Lines (t, text, start_s, end_s, confidence, status) of which every one has a time: those that aren't confirmed are placed by the anchors around them.
+
+    Anchors are confirmed lines with a start and a lyric time t. A line's time is interpolated between the anchors before and after it, or runs on from the only one at the pace `scale`, or
+    is its lyric time plus `offset` where there is none; a start that it has counts for 0.45. It ends after its estimated length, but before the next anchor.
+    Its confidence is 0.7 of the mean confidence of the anchors up to two lines away, within bounds. A line without lyric time has one between its timed neighbours', in proportion to `order`,
+    or `spacing` seconds a line from them. Adds time_source.
+    """
+    by = Window.partitionBy(*keys).orderBy(order)
+    past, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    timed = F.when(F.col("t").isNotNull(), F.struct(F.col(order).alias("o"), F.col("t").alias("t")))
+    rows = lines.withColumns({"_p": F.last(timed, ignorenulls=True).over(past), "_n": F.first(timed, ignorenulls=True).over(ahead)})
+    p, n, at = F.col("_p"), F.col("_n"), F.col(order)
+    between = F.when(p["o"] == n["o"], p["t"]).otherwise(p["t"] + (n["t"] - p["t"]) * (at - p["o"]) / (n["o"] - p["o"]))
+    own = F.coalesce(between, p["t"] + spacing * (at - p["o"]), n["t"] - spacing * (n["o"] - at), at * spacing)
+    rows = rows.withColumn("_t", own)
+    anchor = F.when((F.col("status") == "confirmed") & F.col("start_s").isNotNull() & F.col("t").isNotNull(), F.struct(F.col("t").alias("own"), F.col("start_s").alias("placed"), F.col("confidence").alias("c")))
+    rows = rows.withColumn("_anchor", anchor)
+    later = by.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumns({"_a": F.last("_anchor", ignorenulls=True).over(past), "_b": F.first("_anchor", ignorenulls=True).over(ahead), "_next": F.first("_anchor", ignorenulls=True).over(later)["placed"], "_near": F.avg("_anchor.c").over(by.rangeBetween(-2, 2))})
+    a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
+    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (t - a["own"]) / (b["own"] - a["own"])))
+    both = F.when(F.abs(b["own"] - a["own"]) > 1e-6, a["placed"] + ratio * (b["placed"] - a["placed"]))
+    predicted = F.coalesce(both, a["placed"] + scale * (t - a["own"]), b["placed"] - scale * (b["own"] - t), t + offset)
+    start = F.greatest(F.lit(0.0), F.coalesce(BLEND * predicted + (1 - BLEND) * F.col("start_s"), predicted))
+    end = start + estimated_line_seconds(F.col("text"))
+    end = F.when(F.col("_next").isNull(), end).otherwise(F.least(end, F.greatest(start + LEAST_S, F.col("_next") - APART_S)))
+    sure = F.when(a.isNull() & b.isNull(), NO_ANCHORS).when(F.col("_near").isNull(), ALONE).otherwise(F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), SHARE * F.col("_near"))))
+    fixed = F.col("status") == "confirmed"
+    placed = {"start_s": F.when(fixed, F.col("start_s")).otherwise(to_millis(start)), "end_s": F.when(fixed, F.col("end_s")).otherwise(to_millis(F.greatest(end, start + LEAST_S))), "confidence": F.when(fixed, F.col("confidence")).otherwise(F.round(sure + 1e-9, 4)), "status": F.when(fixed, F.col("status")).otherwise("interpolated"), "time_source": F.when(fixed, "anchor").otherwise("interp")}
+    return rows.select(*(c for c in lines.columns if c not in placed), *(c.alias(k) for k, c in placed.items()))

@@ -25,7 +25,14 @@ def j13(v):
 @query("Q34_monotone_alignment")
 def q34(v):
     lines, windows = parts(v)
-    return al.monotone_alignment(lines, al.line_window_candidates(lines, windows, ["media_id", "pos"], drift=12.0), ["media_id", "pos"], drift=12.0)
+    found = al.line_window_candidates(lines, windows, ["media_id", "pos"], drift=12.0)
+    return al.placed_lines(lines, found, ["media_id", "pos"], drift=12.0).drop("text")
+
+
+@query("J25_sequential_line_match")
+def j25(v):
+    lines, _ = parts(v)
+    return al.sequential_line_match(lines, v.word.withColumnRenamed("word_pos", "nr"), ["media_id", "pos"])
 
 
 @query("A12_transcript_quality")

@@ -46,10 +46,23 @@ def w14(v):
     return asof.next_non_null_start(v.line, M, ["line"], 300.0).select("media_id", "line", "t", "end_s")
 
 
-@query("J15_anchor_interpolate", """WITH a AS (SELECT media_id, line, line * 3.0 AS own, CASE WHEN line % 4 = 1 THEN line * 3.3 + 2.0 END AS placed FROM line),
-    b AS (SELECT *, last_value(CASE WHEN placed IS NOT NULL THEN own END IGNORE NULLS) OVER p AS ao, last_value(placed IGNORE NULLS) OVER p AS ap, first_value(CASE WHEN placed IS NOT NULL THEN own END IGNORE NULLS) OVER n AS bo, first_value(placed IGNORE NULLS) OVER n AS bp FROM a
-      WINDOW p AS (PARTITION BY media_id ORDER BY line ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY media_id ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT media_id, line, CASE WHEN ap IS NULL AND bp IS NULL THEN own WHEN ap IS NULL THEN own + bp - bo WHEN bp IS NULL THEN own + ap - ao WHEN bo = ao THEN ap ELSE ap + (bp - ap) * (own - ao) / (bo - ao) END::DOUBLE AS placed_s FROM b""", "placed_s")
+#: the estimated length of a line
+LINE_SECONDS = r"""greatest(0.9, least(4.5, 1.0 + 0.09::DOUBLE * length(regexp_replace(text, '[\s　、。！，．：；？（）—‘’"''…“”]', '', 'g'))))"""
+FILLED = """WITH x AS (SELECT media_id, line, text, t, CASE WHEN line % 4 = 1 AND media_id % 7 <> 0 THEN 'confirmed' ELSE 'review' END AS status, CASE WHEN line % 4 = 1 THEN line * 3.3 + 2.0 WHEN line % 3 = 0 THEN line * 3.1 + 1.0 END::DOUBLE AS start_s, (line % 10) / 10.0::DOUBLE AS confidence FROM line),
+    a AS (SELECT *, CASE WHEN t IS NOT NULL THEN {'o': line, 't': t} END AS tm, CASE WHEN status = 'confirmed' AND start_s IS NOT NULL AND t IS NOT NULL THEN {'own': t, 'placed': start_s, 'c': confidence} END AS an FROM x),
+    b AS (SELECT *, last_value(tm IGNORE NULLS) OVER p AS p, first_value(tm IGNORE NULLS) OVER n AS n, last_value(an IGNORE NULLS) OVER p AS a, first_value(an IGNORE NULLS) OVER n AS b, first_value(an IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx,
+      avg(an.c) OVER (PARTITION BY media_id ORDER BY line RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM a WINDOW p AS (PARTITION BY media_id ORDER BY line ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY media_id ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    c AS (SELECT *, coalesce(CASE WHEN p.o = n.o THEN p.t ELSE p.t + (n.t - p.t) * (line - p.o) / (n.o - p.o) END, p.t + 4.0 * (line - p.o), n.t - 4.0 * (n.o - line), line * 4.0)::DOUBLE AS own FROM b),
+    d AS (SELECT *, coalesce(CASE WHEN abs(b.own - a.own) > 1e-6 THEN a.placed + greatest(0.0, least(1.0, (own - a.own) / (b.own - a.own))) * (b.placed - a.placed) END, a.placed + 1.1::DOUBLE * (own - a.own), b.placed - 1.1::DOUBLE * (b.own - own), own + 13.0)::DOUBLE AS predicted FROM c),
+    e AS (SELECT *, greatest(0.0, coalesce(0.55::DOUBLE * predicted + (1 - 0.55::DOUBLE) * start_s, predicted)) AS s FROM d), f AS (SELECT *, s + {seconds} AS e0 FROM e),
+    g AS (SELECT *, coalesce(CASE WHEN nx IS NOT NULL THEN least(e0, greatest(s + 0.35::DOUBLE, nx.placed - 0.05::DOUBLE)) END, e0) AS e1 FROM f)
+    SELECT media_id, line, CASE WHEN status = 'confirmed' THEN start_s ELSE round(s + 1e-9, 3) END AS start_s, CASE WHEN status = 'confirmed' THEN start_s + 2 ELSE round(greatest(e1, s + 0.35::DOUBLE) + 1e-9, 3) END AS end_s,
+      CASE WHEN status = 'confirmed' THEN confidence WHEN a IS NULL AND b IS NULL THEN 0.25 ELSE round(CASE WHEN near IS NULL THEN 0.32 ELSE greatest(0.26, least(0.62, 0.7::DOUBLE * near)) END + 1e-9, 4) END::DOUBLE AS confidence, CASE WHEN status = 'confirmed' THEN 'confirmed' ELSE 'interpolated' END AS status FROM g"""
+
+
+@query("J15_anchor_interpolate", FILLED.replace("{seconds}", LINE_SECONDS), "start_s end_s confidence")
 def j15(v):
-    rows = v.line.select("media_id", "line")
-    return asof.anchor_interpolate(rows, M, "line", F.col("line") * 3.0, F.when(F.col("line") % 4 == 1, F.col("line") * 3.3 + 2.0))
+    status = F.when((F.col("line") % 4 == 1) & (F.col("media_id") % 7 != 0), "confirmed").otherwise("review")
+    start = F.when(F.col("line") % 4 == 1, F.col("line") * 3.3 + 2.0).when(F.col("line") % 3 == 0, F.col("line") * 3.1 + 1.0)
+    rows = v.line.withColumns({"status": status, "start_s": start, "end_s": start + 2, "confidence": (F.col("line") % 10) / 10.0})
+    return asof.fill_between_anchors(rows, M, "line", 1.1).select("media_id", "line", "start_s", "end_s", "confidence", "status")

@@ -14,7 +14,7 @@ FEATURES = """media_id, frame, rms, (frame * 7 % 11) / 11.0 AS silence, (frame *
     (frame * 43 % 53) / 53.0 AS stability, (frame * 47 % 59) / 40.0 AS crel, (frame * 53 % 61) / 40.0 AS cmean, t / 4320.0 AS pos, rms / 45.0 AS rel, (frame * 59 % 67) / 67.0 AS likelihood, (frame * 61 % 71) / 71.0 AS bpm, frame % 4 AS repeats, (frame * 67 % 73) / 73.0 AS alike,
     rms * 0.9 AS prev_rms, rms * 1.1 AS next_rms, 3.0 AS p10, 5.0 AS p15, 12.0 AS p25, 33.0 AS p50, 45.0 AS p60, 70.0 AS p75"""
 ORDER = list(cl.MUSIC)
-SCORES = ", ".join(f"round({cl.music_sql(k, before)}, 6) AS s_{k}_{i}" for i, before in enumerate(cl.STATES) for k in ORDER)
+SCORES = ", ".join(f"round({cl.music_sql(k, before)} + 1e-9, 6) AS s_{k}_{i}" for i, before in enumerate(cl.STATES) for k in ORDER)
 GATE = f"""CASE WHEN silence > 0.7 OR rms < 1e-4 THEN 'silence' WHEN {cl.as_sql(cl.SPEECH)} >= 6 THEN CASE WHEN harmonic > 0.3 AND beat > 0.15 THEN 'talk' ELSE 'speech' END
     WHEN voice > 0.15 AND harmonic < 0.75 AND {cl.as_sql(cl.TALK)} >= 6 THEN 'talk' WHEN {cl.as_sql(cl.CROWD)} >= 3.5 THEN 'crowd' WHEN voice > 0.15 AND {cl.as_sql(cl.AUDIENCE)} >= 4 THEN 'audience' END"""
 
