@@ -30,6 +30,23 @@ def newest(rows: DataFrame, n: int, at: str, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(at), tie).limit(n)
 
 
+def get(library: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
+    """The library's rows of the wanted keys; keys that it doesn't have give none."""
+    return library.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def counted(library: DataFrame) -> DataFrame:
+    """The number of rows, as a table of one row."""
+    return library.agg(F.count("*").alias("n"))
+
+
+def migrated(cache: DataFrame, archive: DataFrame, keys: Keys) -> DataFrame:
+    """The cache with the archive's usable rows of keys for which it has no usable one; those replace what it had. Caches have one row for each key."""
+    good = cache.where("usable")
+    moved = archive.where("usable").join(good.select(*keys), list(keys), "left_anti")
+    return cache.join(moved.select(*keys), list(keys), "left_anti").unionByName(moved)
+
+
 def lookup(wanted: DataFrame, cache: DataFrame, keys: Keys) -> DataFrame:
     """Wanted rows with the payload of the cache, null on a miss."""
     return wanted.join(cache, list(keys), "left")

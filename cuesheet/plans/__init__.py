@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("interval_queries", "asof_queries", "frame_queries", "label_queries", "fold_queries", "text_queries", "cut_queries", "song_queries", "classify_queries", "alignment_queries", "structure_queries", "duration_queries")
+MODULES = ("interval_queries", "asof_queries", "frame_queries", "label_queries", "fold_queries", "text_queries", "cut_queries", "song_queries", "classify_queries", "alignment_queries", "structure_queries", "duration_queries", "archive_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

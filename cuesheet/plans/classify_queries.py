@@ -8,10 +8,10 @@ from cuesheet.functions import classify as cl
 from cuesheet.operators import classification as cn
 from cuesheet.plans.registry import query
 
-# the same text serves both engines
-FEATURES = """media_id, frame, rms, (frame * 7 % 11) / 11.0 AS silence, (frame * 3 % 10) / 10.0 AS beat, (frame * 13 % 17) / 17.0 AS voice, (frame * 5 % 19) / 19.0 AS harmonic, (frame * 11 % 41) / 10.0 AS entropy, (frame * 17 % 23) / 4.0 AS flux,
-    (frame * 19 % 29) / 8.0 AS dmfcc, (frame * 23 % 31) / 10.0 AS flat, (frame * 29 % 37) / 200.0 AS hf_zcr, (frame * 31 % 43) / 100.0 AS hf_energy, rms * (frame % 5) / 2.0 AS rms_var, frame * 37 % 4000 + 500.0 AS spread, (frame * 41 % 47) / 150.0 AS pitch, rms / 50.0 AS rr,
-    (frame * 43 % 53) / 53.0 AS stability, (frame * 47 % 59) / 40.0 AS crel, (frame * 53 % 61) / 40.0 AS cmean, t / 4320.0 AS pos, rms / 45.0 AS rel, (frame * 59 % 67) / 67.0 AS likelihood, (frame * 61 % 71) / 71.0 AS bpm, frame % 4 AS repeats, (frame * 67 % 73) / 73.0 AS alike,
+# the same text serves both engines; 1e0 is a double in both
+FEATURES = """media_id, frame, rms, (frame * 7 % 11) / 11e0 AS silence, (frame * 3 % 10) / 10e0 AS beat, (frame * 13 % 17) / 17e0 AS voice, (frame * 5 % 19) / 19e0 AS harmonic, (frame * 11 % 41) / 10e0 AS entropy, (frame * 17 % 23) / 4e0 AS flux,
+    (frame * 19 % 29) / 8e0 AS dmfcc, (frame * 23 % 31) / 10e0 AS flat, (frame * 29 % 37) / 200e0 AS hf_zcr, (frame * 31 % 43) / 100e0 AS hf_energy, rms * (frame % 5) / 2e0 AS rms_var, frame * 37 % 4000 + 500.0 AS spread, (frame * 41 % 47) / 150e0 AS pitch, rms / 50e0 AS rr,
+    (frame * 43 % 53) / 53e0 AS stability, (frame * 47 % 59) / 40e0 AS crel, (frame * 53 % 61) / 40e0 AS cmean, t / 4320e0 AS pos, rms / 45e0 AS rel, (frame * 59 % 67) / 67e0 AS likelihood, (frame * 61 % 71) / 71e0 AS bpm, frame % 4 AS repeats, (frame * 67 % 73) / 73e0 AS alike,
     rms * 0.9 AS prev_rms, rms * 1.1 AS next_rms, 3.0 AS p10, 5.0 AS p15, 12.0 AS p25, 33.0 AS p50, 45.0 AS p60, 70.0 AS p75"""
 ORDER = list(cl.MUSIC)
 SCORES = ", ".join(f"round({cl.music_sql(k, before)} + 1e-9, 6) AS s_{k}_{i}" for i, before in enumerate(cl.STATES) for k in ORDER)

@@ -394,15 +394,6 @@ def s08(v):
     return ca.lookup(wanted, ca.latest(entries(v), ["cache_key"], "saved_at", "entry_id").select("cache_key", "entry_id"), ["cache_key"]).select("media_id", "cache_key", "entry_id")
 
 
-@query("J21_cache_hits_misses", "WITH c AS (SELECT cache_key, arg_max(bytes, saved_at) AS bytes FROM ttl WHERE usable AND entry_id % 40 = 0 GROUP BY cache_key), a AS (SELECT cache_key, arg_max(bytes, saved_at) AS bytes FROM ttl WHERE usable AND entry_id % 40 = 1 GROUP BY cache_key) SELECT w.cache_key, CASE WHEN c.bytes IS NOT NULL THEN 'cache' WHEN a.bytes IS NOT NULL THEN 'archive' ELSE 'process' END AS origin, coalesce(c.bytes, a.bytes) AS payload FROM (SELECT DISTINCT cache_key FROM ttl) w LEFT JOIN c USING (cache_key) LEFT JOIN a USING (cache_key)")
-def j21(v):
-    def some(k):
-        rows = v.ttl.where(f"usable and entry_id % 40 = {k}").select("cache_key", "entry_id", "saved_at", F.col("bytes").alias("payload"), "usable")
-        return ca.latest(rows, ["cache_key"], "saved_at", "entry_id")
-
-    return ca.hits_and_misses(v.ttl.select("cache_key").distinct(), some(0), some(1), ["cache_key"])
-
-
 @query("T01_ttl_cache_batch", "SELECT r.cache_key, r.read_id, r.read_at, CASE WHEN r.read_at - s <= 86400 THEN s END AS saved_at FROM (SELECT r.*, (SELECT max(e.saved_at) FROM ttl e WHERE e.cache_key = r.cache_key AND e.usable AND e.saved_at <= r.read_at) AS s FROM (SELECT cache_key, entry_id AS read_id, saved_at + 3600 AS read_at FROM ttl) r) r", "read_at saved_at")
 def t01(v):
     reads = v.ttl.select("cache_key", F.col("entry_id").alias("read_id"), (F.col("saved_at") + 3600).alias("read_at"))
@@ -414,23 +405,11 @@ def s01(v):
     return dc.analysis_from_json(dc.analysis_to_json(v.seg, M), M, "json")
 
 
-@query("S02_first_usable_archive", "SELECT cache_key, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY saved_at DESC, entry_id) AS nr FROM ttl WHERE usable AND bytes > 500) WHERE nr = 1")
-def s02(v):
-    usable = dc.asr_usable(F.when(~F.col("usable"), "failed"), F.when(F.col("bytes") > 500, 1).otherwise(0), F.lit(None), F.lit(""))
-    return dc.first_usable(v.ttl, ["cache_key"], "saved_at", "entry_id", usable).select("cache_key", "entry_id")
-
-
 @query("P08_asr_usable", "SELECT entry_id, usable AND (bytes > 500 OR entry_id % 2 = 0) AS ok FROM ttl")
 def p08(v):
     return v.ttl.select("entry_id", dc.asr_usable(F.when(~F.col("usable"), "failed"), F.when(F.col("bytes") > 500, 1).otherwise(0), F.lit(None), F.when(F.col("entry_id") % 2 == 0, "x").otherwise(" ")).alias("ok"))
 
 
-@query("S03_archive_index", "SELECT media_id, count(DISTINCT s.pos) AS sentence_count, count(*) AS word_count FROM sent s JOIN word w USING (media_id, pos) GROUP BY media_id")
-def s03(v):
-    docs = v.sent.groupBy("media_id").agg(F.size(F.collect_list("pos")).cast("long").alias("sentence_count"))
-    return docs.join(v.word.groupBy("media_id").agg(F.count("*").alias("word_count")), "media_id")
-
-
 @query("S04_normalize_provider_payload", "SELECT media_id, pos AS key, 0 AS pos, CASE WHEN pos % 5 <> 0 THEN text END AS text, CASE WHEN pos % 5 <> 0 THEN floor(start_s * 1000) / 1000 END AS start_s, CASE WHEN pos % 5 <> 0 THEN floor(end_s * 1000) / 1000 END AS end_s, CASE WHEN pos % 5 <> 0 THEN 1 ELSE 0 END AS n_words, CASE WHEN pos % 5 = 0 THEN 'no quota' END AS error FROM sent", "start_s end_s")
 def s04(v):
     ms = lambda c: F.floor(F.col(c) * 1000)

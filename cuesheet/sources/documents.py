@@ -50,14 +50,6 @@ def first_usable(rows: DataFrame, keys: Keys, newest: str, tie: str, usable: Col
     return rows.where(usable).withColumn("_nr", nr).where("_nr = 1").drop("_nr")
 
 
-def write_asr_archive(sentences: DataFrame, words: DataFrame, keys: Keys, path: str) -> DataFrame:
-    """Writes a JSON document of each key's sentences and returns the index: keys, sentence_count, word_count."""
-    docs = sentences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "text"))).alias("sentences"))
-    docs.write.mode("overwrite").json(path)
-    counts = words.groupBy(*keys).agg(F.count("*").alias("word_count"))
-    return docs.select(*keys, F.size("sentences").cast("long").alias("sentence_count")).join(counts, list(keys), "left").withColumn("word_count", F.coalesce("word_count", F.lit(0)))
-
-
 def explode_cache_index(rows: DataFrame, json: str) -> DataFrame:
     """A map of key to entry as rows cache_key, path, song_index, ..."""
     return rows.select(F.explode(F.from_json(json, f"map<string, {ENTRY}>")).alias("cache_key", "e")).select("cache_key", "e.*")
