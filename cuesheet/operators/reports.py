@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuesheet.functions import text as tx
 from cuesheet.operators.intervals import Keys
 
 
@@ -63,19 +64,35 @@ def rebalance_over_predicted(rows: DataFrame, keys: Keys, kind: str, weak: Colum
     return rows.withColumn("_most", most).withColumn(kind, F.when(F.col("_most") & (F.col(kind) == common) & weak, F.lit(other)).otherwise(F.col(kind))).drop("_most")
 
 
-def probe_vote(probes: DataFrame, key: str, sure: float = 0.82) -> DataFrame:
-    """The probe that names a song: the first if it is sure; else the best of the track that two or more agree on; else the best by
-    position weight and confidence, less trusted where the runner-up is close.
+def title_agreement(probes: DataFrame, key: str) -> DataFrame:
+    """Of each probe (key, probe, title) how far the titles of the song's other probes agree with its own: half the mean of their similarities; 0 for a probe alone.
 
-    Probes are (key, probe, track_id, title, confidence, pos_weight), track_id null where unknown. Agreement of titles is
-    not scored here; `songs.title_vote` does it.
+    Probes with one title are compared once: the pairs are of a song's different titles, weighted by how many probes have them.
+    """
+    named = probes.select(key, "probe", tx.norm_title(F.col("title")).alias("_t"))
+    titles = named.groupBy(key, "_t").agg(F.count("*").alias("_n"))
+    other = titles.select(key, F.col("_t").alias("_u"), F.col("_n").alias("_m"))
+    met = titles.join(other, key).where("_t <> _u").withColumn("_s", tx.plain_ratio(F.col("_t"), F.col("_u")))
+    sums = met.groupBy(key, "_t").agg(F.sum(F.col("_s") * F.col("_m")).alias("_others"))
+    own = F.when(F.col("_t") == "", 0.0).otherwise(F.col("_n") - 1.0)
+    all_ = F.sum("_n").over(Window.partitionBy(key))
+    degree = titles.withColumn("_all", all_).join(sums, [key, "_t"], "left").select(key, "_t", ((own + F.coalesce("_others", F.lit(0.0))) * 0.5 / F.greatest(F.col("_all") - 1, F.lit(1))).alias("agreement"))
+    return named.join(degree, [key, "_t"]).select(key, "probe", "agreement")
+
+
+def probe_vote(probes: DataFrame, key: str, sure: float = 0.82, agreement: DataFrame | None = None) -> DataFrame:
+    """The probe that names a song: the first if it has a track or is sure; else the best of the track that two or more agree on; else the best by
+    position weight and confidence, and where given by `agreement` (see `title_agreement`), less trusted where the runner-up is close.
+
+    Probes are (key, probe, track_id, title, confidence, pos_weight), track_id null where unknown.
     """
     song = Window.partitionBy(key)
     agreed = F.when(F.col("track_id").isNotNull(), F.count("*").over(Window.partitionBy(key, "track_id")))
-    score = F.col("pos_weight") * (1 + F.least(F.col("confidence"), F.lit(1.0)))
-    rows = probes.withColumns({"_n": agreed, "_score": score, "_sure": (F.col("probe") == 1) & (F.col("confidence") >= sure)})
+    rows = probes.withColumn("agreement", F.lit(0.0)) if agreement is None else probes.join(agreement, [key, "probe"])
+    score = F.col("pos_weight") * (1 + F.least(F.col("confidence"), F.lit(1.0))) + F.col("agreement")
+    rows = rows.withColumns({"_n": agreed, "_score": score, "_sure": (F.col("probe") == 1) & (F.col("track_id").isNotNull() | (F.col("confidence") >= sure))})
     rows = rows.withColumn("_rank", F.when(F.col("_sure"), 2).when(F.coalesce(F.col("_n") >= 2, F.lit(False)), 1).otherwise(0))
-    value = F.when(F.col("_rank") == 1, F.col("confidence") * F.col("pos_weight")).otherwise(F.col("_score"))
+    value = F.round(F.when(F.col("_rank") == 1, F.col("confidence") * F.col("pos_weight")).otherwise(F.col("_score")), 9)
     votes = F.when(F.col("_rank") == 1, F.col("_n")).otherwise(0)
     order = song.orderBy(F.desc("_rank"), F.desc("_votes"), F.desc("_value"), "probe")
     rows = rows.withColumns({"_value": value, "_votes": votes}).withColumns({"_next": F.lead("_value").over(order), "_nr": F.row_number().over(order)})

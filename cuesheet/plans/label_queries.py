@@ -197,12 +197,23 @@ def a30(v):
     return identified(v).groupBy("pos_weight").agg(F.count("*").alias("n"), F.countDistinct("song").alias("songs"), F.avg((F.col("origin") == "unknown").cast("double")).alias("unknown_rate"))
 
 
-@query("A16_probe_vote", """WITH p AS (SELECT *, count(*) OVER (PARTITION BY song, track_id) AS k, pos_weight * (1 + least(confidence, 1.0)) AS score, probe = 1 AND confidence >= 0.82 AS sure FROM probe),
-    r AS (SELECT *, CASE WHEN sure THEN 2 WHEN k >= 2 THEN 1 ELSE 0 END AS rank FROM p), q AS (SELECT *, CASE WHEN rank = 1 THEN confidence * pos_weight ELSE score END AS val, CASE WHEN rank = 1 THEN k ELSE 0 END AS votes FROM r),
+@query("A16_probe_vote", """WITH t AS (SELECT * REPLACE (CASE WHEN track_id >= 3 THEN track_id END AS track_id) FROM probe), p AS (SELECT *, CASE WHEN track_id IS NOT NULL THEN count(*) OVER (PARTITION BY song, track_id) ELSE 0 END AS k, pos_weight * (1 + least(confidence, 1.0)) AS score, probe = 1 AND (track_id IS NOT NULL OR confidence >= 0.82) AS sure FROM t),
+    r AS (SELECT *, CASE WHEN sure THEN 2 WHEN k >= 2 THEN 1 ELSE 0 END AS rank FROM p), q AS (SELECT *, round(CASE WHEN rank = 1 THEN confidence * pos_weight ELSE score END, 9) AS val, CASE WHEN rank = 1 THEN k ELSE 0 END AS votes FROM r),
     o AS (SELECT *, lead(val) OVER w AS nxt, row_number() OVER w AS nr FROM q WINDOW w AS (PARTITION BY song ORDER BY rank DESC, votes DESC, val DESC, probe))
     SELECT song, probe, track_id, title, CASE WHEN rank = 0 AND (val - nxt) / val < 0.15 THEN confidence * 0.6 ELSE confidence END AS confidence, CASE rank WHEN 2 THEN 'first' WHEN 1 THEN 'track' ELSE 'score' END AS how FROM o WHERE nr = 1""", "confidence")
 def a16(v):
-    return rp.probe_vote(v.probe, "song")
+    return rp.probe_vote(some_tracks(v), "song")
+
+
+def some_tracks(v):
+    """Probes of which two in five have a track."""
+    return v.probe.withColumn("track_id", F.when(F.col("track_id") >= 3, F.col("track_id")))
+
+
+@query("A16_vote_by_titles")
+def a16_titles(v):
+    rows = some_tracks(v)
+    return rp.probe_vote(rows, "song", agreement=rp.title_agreement(rows, "song"))
 
 
 EDITS = "edits AS (SELECT media_id, seg_index, start_s + 1.5 AS new_start_s, end_s + 2.0 AS new_end_s, CASE WHEN seg_index % 10 = 5 THEN 'solo' END AS new_label FROM seg WHERE seg_index % 5 = 0)"

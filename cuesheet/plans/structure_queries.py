@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from cuesheet.operators import structure as st
-from cuesheet.plans.fold_queries import GREEDY
+from cuesheet.plans.fold_queries import GREEDY, walked
+from cuesheet.plans.interval_queries import totals
 from cuesheet.plans.registry import query
 
 M = ["media_id"]
@@ -54,3 +55,17 @@ ENERGY_TOPS = GREEDY.format(score="v", time="spot", rows=f"(SELECT q.media_id, q
     SELECT * FROM (SELECT pm.media_id, greatest(nr - 3, 0) AS first, least(nr + 4, n) AS last, prominence, v / highest AS confidence FROM pm JOIN lv ON lv.media_id = pm.media_id WHERE prominence >= 8) WHERE last - first >= 5""", "prominence confidence")
 def q25(v):
     return st.energy_regions(v.tl, M, "frame", "rms", 3, 6, 3, 4, 5, prominence=8.0, chunk=32)
+
+
+VALLEYS = "SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY t) AS nr, {'t': t} AS s FROM va"
+NEIGHBOURS = "min(rms) OVER (PARTITION BY tl.media_id ORDER BY t ROWS BETWEEN {} AND {})"
+
+
+@query("Q08_song_boundaries", f"""WITH en AS (SELECT media_id, max(end_s) AS total_s FROM seg GROUP BY media_id), er AS (SELECT tl.media_id, t, rms FROM tl JOIN en ON en.media_id = tl.media_id WHERE kind = 'error' AND total_s - t >= 15),
+    ch AS (SELECT media_id, s.t AS t FROM ({GREEDY.format(score='rms', time='t', rows='er', distance=60)})), fw AS (SELECT en.media_id, total_s FROM en LEFT JOIN ch ON ch.media_id = en.media_id GROUP BY ALL HAVING total_s > 250 AND count(t) < greatest(5, floor(total_s / 250))),
+    nb AS (SELECT tl.media_id, t, rms, {NEIGHBOURS.format('2 PRECEDING', '1 PRECEDING')} AS a, {NEIGHBOURS.format('1 FOLLOWING', '2 FOLLOWING')} AS b, total_s FROM tl JOIN fw ON fw.media_id = tl.media_id), va AS (SELECT media_id, t FROM nb WHERE rms < a AND rms < b AND total_s - t >= 15 AND t >= 60),
+    sp AS (SELECT media_id, state.t AS t FROM ({walked(VALLEYS, 'i.s.t - w.state.t >= 60')} SELECT * FROM w) WHERE kept)
+    SELECT media_id, t, 'score' AS origin FROM ch UNION ALL SELECT media_id, t, 'valley' FROM sp WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.media_id = sp.media_id AND abs(ch.t - sp.t) <= 60)""", "t")
+def q08(v):
+    points = v.tl.where("kind = 'error'").select("media_id", "t", "rms")
+    return st.song_boundaries(points, v.tl.select("media_id", "t", "rms"), totals(v), M, "t", "rms", "rms", distance=60.0, song=250.0, reach=2)
