@@ -158,9 +158,8 @@ def a25(v):
 
 
 #: each vector as the outputs of three overlapping windows: 63 classes and the boundary
-COMBINED = """w AS (SELECT song, frame + k AS frame, v FROM vec, range(0, 3) r(k)), d AS (SELECT song, frame, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM w), m AS (SELECT song, frame, dim, avg(x) AS m FROM d GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY song, frame ORDER BY m DESC, dim) AS nr, exp(m) / sum(exp(m)) OVER (PARTITION BY song, frame) AS probability FROM m WHERE dim < 63),
-    cb AS (SELECT r.song, r.frame, r.dim::INT AS class, probability, 1 / (1 + exp(-b.m)) AS boundary FROM r JOIN m b ON b.song = r.song AND b.frame = r.frame AND b.dim = 63 WHERE nr = 1)"""
+COMBINED = """w AS (SELECT song, frame + k AS frame, v FROM vec, range(0, 3) r(k)), g AS (SELECT song, frame, list(v) AS vs FROM w GROUP BY ALL), m AS (SELECT song, frame, list_transform(range(1, 65), lambda d: list_avg(list_transform(vs, lambda x: x[d]))) AS m FROM g),
+    p AS (SELECT song, frame, m[1:63] AS p, list_max(m[1:63]) AS top, m[64] AS b FROM m), cb AS (SELECT song, frame, (list_position(p, top) - 1)::INT AS class, 1 / list_sum(list_transform(p, lambda x: exp(x - top))) AS probability, 1 / (1 + exp(-b)) AS boundary FROM p)"""
 
 
 def combined(v):
