@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from difflib import SequenceMatcher
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -12,30 +17,62 @@ from cuesheet.operators.frames import cosine
 from cuesheet.operators.intervals import Keys
 
 
-def character_grams(text: Column, n: int = 3) -> Column:
-    """The distinct runs of n characters; a shorter text is one run."""
-    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    size = F.greatest(F.lit(0), F.length(text) - n + 1)
-    runs = F.slice(letters, F.lit(1), size)
-    for k in range(1, n):
-        runs = F.zip_with(runs, F.slice(letters, F.lit(k + 1), size), lambda a, b: F.concat(a, b))
-    return F.when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(runs))
+#: characters are counted in so many classes; lengths are put together in buckets a quarter wider each
+CLASSES, STEP = 64, 1.25
+
+
+def character_counts(texts: list[str]) -> np.ndarray:
+    """How often each class of characters occurs in each text."""
+    out = np.zeros((len(texts), CLASSES), np.int32)
+    for row, x in zip(out, texts, strict=True):
+        row += np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") % CLASSES, minlength=CLASSES).astype(np.int32)
+    return out
 
 
-def best_catalog_match(wanted: DataFrame, catalog: DataFrame, ident: str, title: str, catalog_id: str, catalog_title: str, least: float = 0.45) -> DataFrame:
+def best_catalog_match(wanted: DataFrame, catalog: DataFrame, ident: str, title: str, catalog_id: str, catalog_title: str, least: float = 0.45, block: int = 4096) -> DataFrame:
     """For each wanted title the catalogue's most similar one from `least` up: ident, catalog_id, similarity; of equals the smallest id.
 
-    Only pairs that share three characters in a row and may reach `least` by their lengths are compared; equal catalogue titles are
-    compared once.
+    Exact: a pair is left out only where it can't reach `least`. Lengths bound the similarity, so a title meets the buckets of lengths that are near enough, each in blocks of titles; in a block
+    the characters in common, whatever their order, bound it for all pairs at once, and pairs are compared from the highest bound down until no bound reaches the best. Equal titles are compared once.
     """
     a = wanted.select(ident, tx.norm_title(F.col(title)).alias("_a")).where("_a <> ''")
-    b = catalog.select(tx.norm_title(F.col(catalog_title)).alias("_b"), catalog_id).where("_b <> ''").groupBy("_b").agg(F.min(catalog_id).alias(catalog_id))
-    left = a.select("_a").distinct().select("_a", F.explode(character_grams(F.col("_a"))).alias("_g"))
-    right = b.select("_b", F.explode(character_grams(F.col("_b"))).alias("_g"))
-    pairs = left.join(right, "_g").where(tx.ratio_bound(F.col("_a"), F.col("_b")) >= least).select("_a", "_b").distinct()
-    scored = pairs.withColumn("similarity", tx.plain_ratio(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= least).join(b, "_b")
-    best = scored.groupBy("_a").agg(F.max_by(F.struct(catalog_id, "similarity"), F.struct("similarity", (-F.col(catalog_id)).alias("i"))).alias("_x"))
-    return a.join(best, "_a").select(ident, f"_x.{catalog_id}", "_x.similarity")
+    b = catalog.select(tx.norm_title(F.col(catalog_title)).alias("_b"), catalog_id).where("_b <> ''").groupBy("_b").agg(F.min(catalog_id).alias("_id"))
+    asked = a.select("_a").distinct()
+    stripes, slices = (max(1, -(-x.count() // block)) for x in (asked, b))
+    bucket = lambda n: F.floor(F.log(n) / math.log(STEP)).cast("int")
+    size = F.length("_a").cast("double")
+    ratio = (2 - least) / least
+    near = F.explode(F.sequence(bucket(F.greatest(F.lit(1.0), size / ratio - 1e-9)), bucket(size * ratio + 1e-9))).alias("_k")
+    left = asked.select("_a", F.pmod(F.xxhash64("_a"), stripes).alias("_s"), near).select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_t"))
+    right = b.select("_b", "_id", bucket(F.length("_b")).alias("_k"), F.pmod(F.xxhash64("_b"), slices).cast("int").alias("_t")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("_s"))
+
+    def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.sort_by("_id")
+        texts, ids, out = theirs.column("_b").to_pylist(), theirs.column("_id").to_pylist(), []
+        sizes, counts = np.array([len(x) for x in texts]), character_counts(texts)
+        own = mine.column("_a").to_pylist()
+        for x, c in zip(own, character_counts(own), strict=True):
+            if not texts:
+                break
+            bounds = 2 * np.minimum(c, counts).sum(axis=1) / (sizes + len(x))
+            top, at = least, -1
+            matcher = SequenceMatcher(None, x, "")
+            for i in np.argsort(-bounds, kind="stable"):
+                if bounds[i] < top:
+                    break
+                matcher.set_seq2(texts[i])
+                found = matcher.ratio()
+                if found > top or found == top and (at < 0 or i < at):
+                    top, at = found, int(i)
+            if at >= 0:
+                out.append((x, ids[at], top))
+        return pa.table({"_a": pa.array([r[0] for r in out], pa.string()), "_id": pa.array([r[1] for r in out], theirs.schema.field("_id").type), "similarity": pa.array([r[2] for r in out], pa.float64())})
+
+    ids = catalog.schema[catalog_id].dataType.simpleString()
+    keys = ("_k", "_t", "_s")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"_a string, _id {ids}, similarity double")
+    top = found.groupBy("_a").agg(F.max_by(F.struct(F.col("_id").alias(catalog_id), "similarity"), F.struct("similarity", (-F.col("_id")).alias("i"))).alias("_x"))
+    return a.join(top, "_a").select(ident, f"_x.{catalog_id}", "_x.similarity")
 
 
 def best_line_window(lines: DataFrame, transcripts: DataFrame, keys: Keys, longest: int) -> DataFrame:

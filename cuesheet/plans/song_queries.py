@@ -25,7 +25,7 @@ def j22(v):
 @query("J20_best_line_window")
 def j20(v):
     lines = v.probe.select("song", F.col("probe").alias("line"), F.col("title").alias("text"))
-    said = lines.where("line >= 2").groupBy("song").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "").alias("transcript"))
+    said = lines.groupBy("song").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "").alias("transcript"))
     return so.best_line_window(lines, said, ["song"], 3)
 
 

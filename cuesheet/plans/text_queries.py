@@ -117,8 +117,7 @@ def f04(v):
 @query("F05_text_similarity")
 def f05(v):
     pairs = v.line.where("line > 0").select("media_id", "line", "text").join(v.line.select("media_id", (F.col("line") + 1).alias("line"), F.col("text").alias("before")), ["media_id", "line"])
-    near = pairs.where(tx.ratio_bound(tx.norm_text_align(F.col("text")), tx.norm_text_align(F.col("before"))) >= 0.5)
-    return near.select("media_id", "line", tx.text_similarity(F.col("text"), F.col("before")).alias("similarity"))
+    return pairs.select("media_id", "line", tx.text_similarity(F.col("text"), F.col("before")).alias("similarity"))
 
 
 @query("F06_title_similarity")
