@@ -94,7 +94,7 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart by a number of their own, so other columns, whatever their names, go with the row unchanged. An empty table stays empty.
     """
     out, row = numbered(docs)
-    made = recipes(out.select(F.col(row).alias("row"), "doc_id", normalised(F.coalesce("text", F.lit(""))).alias("text"))).select("doc_id", "row", "recipe")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = written(made.groupBy("recipe").agg(first.alias("first")).select(F.col("first.row").alias(row)))
-    return out.join(kept, row, "left_semi").select(docs.columns)
+    made = written(recipes(out.select(F.col(row).alias("row"), "doc_id", normalised(F.coalesce("text", F.lit(""))).alias("text"))).select("doc_id", "row", "recipe"))
+    # what goes is less than what stays, so where it is small enough no text moves for the last join
+    dropped = made.join(shared_recipes(made), "recipe").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(row))
+    return out.join(written(dropped), row, "left_anti").select(docs.columns)
