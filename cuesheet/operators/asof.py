@@ -12,7 +12,7 @@ from cuesheet.functions.text import estimated_line_seconds
 from cuesheet.operators.intervals import Keys, to_millis
 
 
-def _with_neighbours(points: DataFrame, refs: DataFrame, keys: Keys, strict: bool = False) -> DataFrame:
+def with_neighbours(points: DataFrame, refs: DataFrame, keys: Keys, strict: bool = False) -> DataFrame:
     """Points (columns and t) with _before and _after, the times of refs (column t) around them; strict leaves out equal times."""
     names = [c for c in points.columns if c not in keys and c != "t"]
     rows = points.select(*keys, "t", F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast("double").alias("_ref"))
@@ -27,7 +27,7 @@ def _with_neighbours(points: DataFrame, refs: DataFrame, keys: Keys, strict: boo
 
 def asof_nearest(points: DataFrame, refs: DataFrame, keys: Keys, farthest: float, force: bool = False) -> DataFrame:
     """Adds snapped_t: the nearest reference within `farthest` (any, if forced), else the point; of equally near ones the earlier."""
-    near = _with_neighbours(points, refs, keys)
+    near = with_neighbours(points, refs, keys)
     nearest = F.when(F.col("_after").isNull() | (F.col("t") - F.col("_before") <= F.col("_after") - F.col("t")), F.col("_before")).otherwise(F.col("_after"))
     found = near.withColumn("_near", nearest)
     usable = F.col("_near").isNotNull() & (F.lit(force) | (F.abs(F.col("_near") - F.col("t")) <= farthest))
@@ -36,13 +36,13 @@ def asof_nearest(points: DataFrame, refs: DataFrame, keys: Keys, farthest: float
 
 def asof_backward(points: DataFrame, refs: DataFrame, keys: Keys, tolerance: float) -> DataFrame:
     """Adds ref_t: the latest reference at or before the point, within the tolerance."""
-    near = _with_neighbours(points, refs, keys)
+    near = with_neighbours(points, refs, keys)
     return near.withColumn("ref_t", F.when(F.col("t") - F.col("_before") <= tolerance, F.col("_before"))).drop("_before", "_after")
 
 
 def asof_forward(points: DataFrame, refs: DataFrame, keys: Keys) -> DataFrame:
     """Adds ref_t: the earliest reference after the point."""
-    near = _with_neighbours(points, refs, keys, strict=True)
+    near = with_neighbours(points, refs, keys, strict=True)
     return near.withColumnRenamed("_after", "ref_t").drop("_before")
 
 

@@ -166,6 +166,11 @@ def words_to_chunks(words: DataFrame, keys: Keys, max_chars: int = 24, max_gap:
     ASCII letters or digits that would meet are parted by a space; blank words are left out.
     """
     rows = words.withColumn("word", F.trim("word")).where("word <> ''")
+    # a wide gap and punctuation begin a line whatever came before, so only what is between them is gathered
+    order = ["word_pos", "word", "start_s", "end_s"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ended = F.contains(F.lit(CHUNK_ENDS), F.right(F.lag("word").over(w), F.lit(1))) | (F.greatest(F.lit(0.0), F.col("start_s") - F.lag("end_s").over(w)) > max_gap)
+    rows = islands(rows.withColumn("_new", F.coalesce(ended, F.lit(True))), keys, order, F.col("_new"))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -177,7 +182,7 @@ def words_to_chunks(words: DataFrame, keys: Keys, max_chars: int = 24, max_gap:
         grown = F.struct(F.concat(text, joint, x["word"]).alias("text"), last["start_s"].alias("start_s"), x["end_s"].alias("end_s"))
         return F.when(apart, _kept(acc, new)).otherwise(_kept(F.slice(acc, 1, F.size(acc) - 1), grown))
 
-    return fold(rows, keys, ["word_pos", "word", "start_s", "end_s"], _typed("text: string, start_s: double, end_s: double"), step, lambda acc: acc)
+    return fold(rows, [*keys, "island"], order, _typed("text: string, start_s: double, end_s: double"), step, lambda acc: acc).drop("island")
 
 
 def merge_fragments(sentences: DataFrame, keys: Keys, max_gap: float = 0.45, max_chars: int = 15, max_s: float = 5.0, left_gap: float = 0.5, left_chars: int = 24) -> DataFrame:

@@ -113,6 +113,6 @@ def q21(v):
 @query("F07_title_score", r"""WITH x AS (SELECT page_id, trim(title) AS t, length(trim(title)) AS n, len(regexp_extract_all(title, '[a-zA-Z0-9]')) AS k FROM title)
     SELECT page_id, greatest(0.0, least(100.0, round(50 + CASE WHEN n BETWEEN 3 AND 15 THEN 20 WHEN n BETWEEN 16 AND 25 THEN 8 ELSE 0 END + CASE WHEN NOT regexp_matches(t, '[，。！？、；：""''【】《》()（）\[\].,!?;:\-]') THEN 8 ELSE 0 END + 5 + CASE WHEN regexp_matches(t, '^ *[A-Z][A-Za-z ]*$') THEN 8 ELSE 0 END
     - CASE WHEN n <= 2 OR n > 35 THEN 40 ELSE 0 END - CASE WHEN len(regexp_extract_all(t, '[，。！？!?;；]')) >= 2 THEN 25 ELSE 0 END - CASE WHEN t <> '' AND len(string_split_regex(t, '\s+')) >= 6 THEN least(25.0, 12.0 + 3 * (len(string_split_regex(t, '\s+')) - 6)) ELSE 0 END
-    - CASE WHEN len(regexp_extract_all(t, '[@_:;/\&*#%$~^]')) > 2 THEN 20 ELSE 0 END - CASE WHEN n > 0 AND k < 2 THEN 30 ELSE 0 END, 1))) AS score FROM x""", "score")
+    - CASE WHEN len(regexp_extract_all(t, '[@_:;/\&*#%$~^]')) > 2 THEN 20 ELSE 0 END - CASE WHEN n > 0 AND k < 2 THEN 30 ELSE 0 END - CASE WHEN len(list_filter(range(1, n - 1), lambda i: substr(t, i, 1) = substr(t, i + 1, 1) AND substr(t, i, 1) = substr(t, i + 2, 1))) > 0 THEN 22 ELSE 0 END, 1))) AS score FROM x""", "score")
 def f07(v):
     return v.title.select("page_id", sn.title_score(F.col("title")).alias("score"))
