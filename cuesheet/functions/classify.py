@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.labels import weighted_condition_score
@@ -133,3 +133,34 @@ def candidates(rows: DataFrame) -> DataFrame:
 def two_stage_classify(rows: DataFrame) -> DataFrame:
     """Adds label and confidence of segments on their own, as if no other came before."""
     return candidates(rows).select(*rows.columns, F.col("after")[0]["label"].alias("label"), F.col("after")[0]["confidence"].alias("confidence"))
+
+
+#: labels that aren't music
+UNMUSICAL = ("speech", "talk", "crowd", "audience")
+
+
+def score_table(rows: DataFrame) -> DataFrame:
+    """Adds top, top_score, chorus_score and verse_score by the rules of both stages, as if no segment came before; without features (rms) nulls. A gate's score stands alone."""
+    gated = rows.withColumns({"_gate": gate(), "_speech": weighted_condition_score(SPEECH), "_talk": weighted_condition_score(TALK), "_crowd": weighted_condition_score(CROWD), "_audience": weighted_condition_score(AUDIENCE)})
+    score = F.when(F.col("_gate") == "silence", 10.0).when(F.col("_speech") >= 6, F.col("_speech")).when(F.col("_gate") == "talk", F.col("_talk")).when(F.col("_gate") == "crowd", F.col("_crowd")).otherwise(F.col("_audience"))
+    scored = gated.withColumns({"_score": score} | {f"_{k}_0": F.round(F.expr(music_sql(k)) + 1e-9, 6) for k in MUSIC})
+    best = F.array_max(F.array(*(F.struct(F.col(f"_{k}_0").alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("l")) for i, k in enumerate(MUSIC))))
+    music, known = F.col("_gate").isNull(), F.col("rms").isNotNull()
+    only = lambda c: F.when(known, F.when(music, c).otherwise(0.0))
+    columns = {"top": F.when(known, F.coalesce("_gate", best["l"])), "top_score": F.when(known, F.when(music, best["s"]).otherwise(F.col("_score"))), "chorus_score": only(F.col("_chorus_0")), "verse_score": only(F.col("_verse_0"))}
+    return scored.select(*rows.columns, *(c.alias(k) for k, c in columns.items()))
+
+
+def refine_labels(rows: DataFrame, *song: str) -> DataFrame:
+    """Segments (label, confidence, features) with label and confidence revised by their score table; `song` are the columns that name a song.
+
+    What isn't music takes over from a score of 4, a solo from 3.5; a chorus whose verse score is 1.2 higher is a verse, and what scores best as chorus, 1.5 over verse, is one. Where then half of a
+    song or more is chorus, choruses of little relative energy (rel) and likelihood become verses. Confidence rises to the best score. Segments without features stay.
+    """
+    top, best, chorus, verse = (F.col(c) for c in ("top", "top_score", "chorus_score", "verse_score"))
+    over = F.when(top.isin(*UNMUSICAL) & (best >= 4), top).when((top == "solo") & (best >= 3.5), "solo")
+    label = F.coalesce(over, F.when((F.lower("label") == "chorus") & (verse >= chorus + 1.2), "verse").when((top == "chorus") & (chorus >= verse + 1.5), "chorus"), F.col("label"))
+    revised = score_table(rows).withColumns({"label": label, "confidence": F.when(best.isNull(), F.col("confidence")).otherwise(F.greatest(F.coalesce("confidence", F.lit(0.0)), best))})
+    share = F.avg((F.coalesce(F.col("label") == "chorus", F.lit(False)) & best.isNotNull()).cast("double")).over(Window.partitionBy(*song))
+    weak = (F.lower("label") == "chorus") & (F.coalesce("rel", F.lit(1.0)) < 0.95) & (F.coalesce("likelihood", F.lit(0.0)) < 0.40)
+    return revised.withColumn("_share", share).withColumn("label", F.when((F.col("_share") >= 0.5) & weak, "verse").otherwise(F.col("label"))).select(*rows.columns)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 # Punctuation dropped before lyrics are compared, title placeholders, words of file and title noise.
 ALIGN_PUNCTUATION = r"[\s　、。！，．：；？（）—‘’\"'…“”]"
@@ -45,9 +46,21 @@ def clean_ocr_text(text: Column) -> Column:
     return F.substring(F.regexp_replace(spaced, r"[|｜]+", " | "), 1, 120)
 
 
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """NFKC; null stays null."""
+    return pd.Series([None if x is None or x != x else unicodedata.normalize("NFKC", x) for x in text], dtype=object)
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC; ASCII texts, which it doesn't change, don't leave the JVM."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return F.when(plain, text).otherwise(compatible(F.when(~plain, text)))
+
+
 def sanitize_filename(text: Column, fallback: str = "unknown") -> Column:
-    """A safe file name: no control characters, illegal ones and blanks as `_`, reserved names suffixed. The text is taken as NFKC already."""
-    value = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"[\x00-\x1f]+", "")
+    """A safe file name: NFKC, no control characters, illegal ones and blanks as `_`, reserved names suffixed."""
+    value = F.regexp_replace(F.trim(nfkc(F.coalesce(text, F.lit("")))), r"[\x00-\x1f]+", "")
     value = F.regexp_replace(F.regexp_replace(value, r'[\\/:*?"<>|]+', "_"), r"\s+", "_")
     value = F.regexp_replace(F.regexp_replace(value, "_+", "_"), r"^[ ._]+|[ ._]+$", "")
     safe = F.when(F.upper(value).isin(*RESERVED_NAMES), F.concat(value, F.lit("_"))).otherwise(value)

@@ -10,15 +10,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.text import text_units
-from cuesheet.operators.cutsafety import EQUAL, NEAR_END, OVERLAP, PAD, SHARED
 from cuesheet.operators.folds import enforce_max_length
 from cuesheet.operators.intervals import Keys, overlap_join, split_gap, to_millis
 from cuesheet.operators.lyrics import cut_candidate_score
 
+# Fixed values, in seconds: what counts as equal, as an overlap, as a shared boundary, as a sentence's end, and the pad after one.
+EQUAL, OVERLAP, SHARED, NEAR_END, PAD = 0.05, 0.30, 0.50, 0.12, 0.35
+
 
 def neighbours(clips: DataFrame, keys: Keys, order: str, *more: str) -> DataFrame:
-    """Each clip with the next of its timeline, if both are of one song: l_start, l_end, r_start, r_end, the ids (order, next_id), and r_ of more columns."""
-    w = Window.partitionBy(*keys).orderBy("start_s", "end_s", order)
+    """Each clip with the next of its timeline, if both are of one song: l_start, l_end, r_start, r_end, the ids (order, next_id), and r_ of more columns.
+
+    Clips are in order of time, or of a column `nr` if they have one. Rows that are neighbours already (with l_start) stay as they are.
+    """
+    if "l_start" in clips.columns:
+        return clips
+    w = Window.partitionBy(*keys).orderBy(*(["nr"] if "nr" in clips.columns else ["start_s", "end_s", order]))
     after = {f"r_{c}": F.lead(c).over(w) for c in ("song_index", "start_s", "end_s", *more)}
     rows = clips.withColumns(after | {"next_id": F.lead(order).over(w)}).where(F.col("r_song_index") == F.col("song_index"))
     return rows.select(*keys, "song_index", order, "next_id", F.col("start_s").alias("l_start"), F.col("end_s").alias("l_end"), F.col("r_start_s").alias("r_start"), F.col("r_end_s").alias("r_end"), *more, *(f"r_{c}" for c in more))

@@ -1,252 +1,170 @@
-"""Cuts between clips that leave sung sentences whole.
+"""Cuts between clips that leave sung sentences whole, in steps over a whole catalogue.
 
-Each repair changes what the next one sees, so a media's segments are handled together, with its sentences and words beside them, in one
-grouped map: hundreds of rows for a recording, and recordings in parallel.
+A step's cuts are those of `cuts`, pair by pair; a pair depends on the one before it only by where its left clip begins. So all pairs are cut at once, and those whose left clip has moved are cut
+again, until none has: after k rounds at least the first k pairs of a chain stand, and mostly all do after two or three. Short clips are repaired in the few clips between neighbours that can't change each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuesheet.functions.labels import TYPE_WEIGHTS
-from cuesheet.operators.intervals import Keys
-
-# Fixed values, in seconds: what counts as equal, as an overlap, as a shared boundary, as a sentence's end, and the pad after one.
-EQUAL, OVERLAP, SHARED, NEAR_END, PAD = 0.05, 0.30, 0.50, 0.12, 0.35
-
-
-@dataclass(frozen=True)
-class Clip:
-    start: float
-    end: float
-    song: int
-    kind: str
-    highlight: bool
-    ident: int
-    filled: bool = False
-
-    @property
-    def size(self) -> float:
-        return self.end - self.start
-
-    @property
-    def weight(self) -> int:
-        return TYPE_WEIGHTS.get(self.kind, 0) + 20 * self.highlight
-
-
-@dataclass
-class Sung:
-    """A media's sentences (start, end) and words (start, end, units) by song, in order."""
-
-    sentences: dict[int, list[tuple[float, float]]] = field(default_factory=dict)
-    words: dict[int, list[tuple[float, float, int]]] = field(default_factory=dict)
-
-    def seconds(self, song: int, start: float, end: float) -> float:
-        return sum(max(0.0, min(end, e) - max(start, s)) for s, e in self.sentences.get(song, ()))
-
-
-@dataclass(frozen=True)
-class Limits:
-    shortest: float
-    longest: float
-
-    def best(self, left: Clip, right: Clip, reference: float, cuts: Iterable[tuple[float, float]]) -> float | None:
-        """Of cuts (place, cost) between two clips the one that fits the limits, else costs least, else is nearest; the first of equals."""
-        rated = []
-        for nr, (cut, cost) in enumerate(cuts):
-            sides = (cut - left.start, right.end - cut)
-            if min(sides) <= 0.1:
-                continue
-            fits = all(self.shortest <= x <= self.longest * 1.1 for x in sides)
-            for x in sides:
-                cost += 20 * max(0.0, self.shortest - x) + (4 * (x - self.longest) if x > self.longest * 1.1 else 0.0)
-            off = abs(cut - reference)
-            rated.append((not fits, cost + 0.05 * off, off, nr, cut))
-        return min(rated)[-1] if rated else None
-
-
-def overlap_cut(left: Clip, right: Clip, sentences: Sequence[tuple[float, float]], limits: Limits) -> float:
-    """Where two overlapping clips part: between sentences, at a sentence's edge, or with a shared sentence on its larger side."""
-    first, last = max(left.start, right.start), min(left.end, right.end)
-    middle = (first + last) / 2
-    cuts = [((max(a, first) + min(b, last)) / 2, 0.0) for (_, a), (b, _) in zip(sentences, sentences[1:], strict=False) if a < b and b >= first and a <= last]
-    cuts += [(edge, 1.0) for s in sentences for edge in s if first <= edge <= last]
-    for s, e in sentences:
-        mine, other = (max(0.0, min(e, c.end) - max(s, c.start)) for c in (left, right))
-        if mine > 0 and other > 0:
-            cuts.append((e if mine >= other else s, 2.0))
-    inside = any(s + EQUAL < middle < e - EQUAL for s, e in sentences)
-    usable = limits.best(left, right, middle, cuts) is not None
-    cuts.append((middle, 500.0 if inside and usable else 5.0))
-    found = limits.best(left, right, middle, cuts)
-    return middle if found is None else found
-
-
-def sentence_cut(left: Clip, right: Clip, sentence: tuple[float, float], boundary: float, words: Sequence[tuple[float, float, int]], limits: Limits) -> float | None:
-    """A boundary inside a sentence moves to its end if most of it was sung before, else to its start; None if it stays."""
-    s, e = sentence
-    rest = max(0.0, e - boundary)
-    held = [w for w in words if w[0] < e and w[1] > s]
-    total = sum(u for *_, u in held)
-    if total:
-        done = sum(u if boundary >= b else max(0, min(u, round(u * (boundary - a) / max(EQUAL, b - a)))) if boundary > a else 0 for a, b, u in held)
-        before = done / total >= 0.6 and (done > 3 or rest <= 0.45) or rest <= 0.45 and done / total >= 0.5
-    else:
-        before = (boundary - s) / (e - s) >= 0.55 or rest <= 0.45
-    found = limits.best(left, right, boundary, [(e, 0.0 if before else 3.0), (s, 3.5 if before else 0.0)])
-    return found if found is not None and abs(found - boundary) > EQUAL else None
-
-
-def padded_cut(left: Clip, right: Clip, sentences: Sequence[tuple[float, float]], boundary: float, limits: Limits) -> float | None:
-    """A boundary at a sentence's end moves a little past it, but not into the next sentence; None if it stays."""
-    ended = [e for _, e in sentences if abs(e - boundary) <= NEAR_END]
-    if not ended:
-        return None
-    end = min(ended, key=lambda e: abs(e - boundary))
-    after = [s for s, _ in sentences if s > end + EQUAL]
-    cut = end + PAD if not after else min(end + PAD, max(end, min(after) - EQUAL))
-    return limits.best(left, right, boundary, [(cut, 0.5)]) if cut > boundary + EQUAL else None
-
-
-def protect(clips: list[Clip], sung: Sung, limits: Limits) -> None:
-    """Moves boundaries that neighbours of one song share out of sentences, in order."""
-    for i, (left, right) in enumerate(zip(clips, clips[1:], strict=False)):
-        left = clips[i]
-        if abs(right.start - left.end) > SHARED or left.song != right.song:
-            continue
-        boundary, sentences = (left.end + right.start) / 2, sung.sentences.get(left.song, [])
-        inside = next((x for x in sentences if x[0] + EQUAL < boundary < x[1] - EQUAL), None)
-        cut = sentence_cut(left, right, inside, boundary, sung.words.get(left.song, ()), limits) if inside else padded_cut(left, right, sentences, boundary, limits)
-        if cut is not None:
-            clips[i], clips[i + 1] = replace(left, end=round(cut, 3)), replace(right, start=round(cut, 3))
-
-
-def part_overlaps(clips: list[Clip], sung: Sung, limits: Limits) -> None:
-    for i in range(len(clips) - 1):
-        left, right = clips[i], clips[i + 1]
-        over = left.end - right.start
-        if over <= 0:
-            continue
-        if over <= OVERLAP:
-            clips[i] = replace(left, end=right.start)
-            continue
-        cut = right.start if left.song != right.song else overlap_cut(left, right, sung.sentences.get(left.song, []), limits)
-        clips[i], clips[i + 1] = replace(left, end=round(cut, 3)), replace(right, start=round(cut, 3))
-
-
-def united(a: Clip, b: Clip) -> Clip:
-    kind = b.kind if b.weight > a.weight else a.kind
-    return replace(a, start=min(a.start, b.start), end=max(a.end, b.end), highlight=a.highlight or b.highlight, kind=kind)
-
-
-def repair_short(clips: list[Clip], sung: Sung, limits: Limits) -> list[Clip]:
-    """Clips that are too short borrow from a neighbour that can spare it, else join one of their kind, else stay if they are sung, else go.
-
-    After each change the clip before is looked at again.
-    """
-    clips, i = sorted(clips, key=lambda c: (c.start, c.end)), 0
-    if len(clips) < 2:
-        return clips
-    while i < len(clips):
-        clip = clips[i]
-        missing = limits.shortest - clip.size
-        if missing <= EQUAL:
-            i += 1
-            continue
-        before, after = clips[i - 1] if i else None, clips[i + 1] if i + 1 < len(clips) else None
-        spare = lambda c, gap: c is not None and gap <= OVERLAP and c.size - missing >= limits.shortest
-        joins = lambda c, size: c is not None and c.kind == clip.kind and c.song == clip.song and size <= limits.longest + EQUAL
-        if after is not None and spare(after, after.start - clip.end):
-            edge = round(clip.end + missing, 3)
-            clips[i : i + 2] = [replace(clip, end=edge), replace(after, start=edge)]
-        elif before is not None and spare(before, clip.start - before.end):
-            edge = round(clip.start - missing, 3)
-            clips[i - 1 : i + 1] = [replace(before, end=edge), replace(clip, start=edge)]
-        elif before is not None and joins(before, clip.end - before.start):
-            clips[i - 1 : i + 1] = [united(before, clip)]
-            i -= 1
-        elif after is not None and joins(after, after.end - clip.start):
-            clips[i : i + 2] = [united(clip, after)]
-        elif sung.seconds(clip.song, clip.start, clip.end) >= 0.3:
-            i += 2  # kept; the step back below makes it one
-        else:
-            del clips[i]
-        i = max(0, i - 1)
-    return clips
+from cuesheet.functions.labels import type_priority
+from cuesheet.operators.cuts import EQUAL, OVERLAP, SHARED, adjacent_cuts, covered_gap_fills, neighbours, overlap_cuts, padded_cuts
+from cuesheet.operators.intervals import Keys, islands, overlap_join, to_millis
+from cuesheet.sources.archives import scratch_folder
 
+STEPS = ("part", "protect", "repair", "protect", "fill")
+#: seconds of sung sentences that keep a clip that is too short
+SUNG = 0.3
+CLIP = "struct<start_s: double, end_s: double, type: string, is_highlight: boolean, song_index: int, ident: bigint>"
 
-def gap_parts(start: float, end: float, longest: float) -> list[tuple[float, float]]:
-    size = end - start
-    n = 1 if size <= longest + EQUAL else max(1, int((size + longest - EQUAL) // longest))
-    n += n > 1 and start + n * longest < end - EQUAL
-    edges = [start + size / n * k for k in range(n)] + [end]
-    return [(round(a, 3), round(b, 3)) for a, b in zip(edges, edges[1:], strict=False)]
 
+def _table(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: what later rounds read, and what a lost executor's tasks begin from."""
+    path = scratch_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-def fill_gaps(clips: list[Clip], sung: Sung, limits: Limits) -> list[Clip]:
-    """Fills gaps of a song that are sung enough, as the weightier neighbour."""
-    out = list(clips)
-    for left, right in zip(clips, clips[1:], strict=False):
-        gap = right.start - left.end
-        if gap <= SHARED or left.song != right.song or sung.seconds(left.song, left.end, right.start) < max(0.5, min(2.0, gap * 0.2)):
-            continue
-        model = left if left.weight >= right.weight else right
-        out += [replace(model, start=a, end=b, highlight=left.highlight or right.highlight, filled=True) for a, b in gap_parts(left.end, right.start, limits.longest) if b - a > EQUAL]
-    return sorted(out, key=lambda c: (c.start, c.end))
 
+def chained_cuts(pairs: DataFrame, keys: Keys, order: str, cut: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
+    """(keys, order, next_id, cut): the cuts of pairs (neighbours) in order, each with its left clip beginning where the pair before was cut."""
+    pair = [*keys, order]
+    columns = [*pair, "next_id", "cut"]
+    pairs = _table(pairs)
+    found = _table(cut(pairs).select(*columns))
+    used = pairs
+    for _ in range(rounds):
+        before = found.select(*keys, F.col("next_id").alias(order), F.col("cut").alias("_from"))
+        now = pairs.join(before, pair, "left").withColumn("_l", F.coalesce("_from", "l_start"))
+        moved = _table(now.join(used.select(*pair, F.col("l_start").alias("_was")), pair).where("_l <> _was").withColumn("l_start", F.col("_l")).select(*pairs.columns))
+        if moved.isEmpty():
+            return found
+        found = _table(found.join(moved.select(*pair), pair, "left_anti").unionByName(cut(moved).select(*columns)))
+        used = _table(used.join(moved.select(*pair), pair, "left_anti").unionByName(moved))
+    raise RuntimeError(f"cuts did not settle in {rounds} rounds")
 
-STEPS = ("part", "protect", "repair", "protect", "fill")
 
+def _ordered(clips: DataFrame, keys: Keys, *order: str) -> DataFrame:
+    return clips.withColumn("nr", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def _moved(clips: DataFrame, cuts: DataFrame, keys: Keys, order: str) -> DataFrame:
+    """Clips with the ends and starts that cuts between them give."""
+    ends, starts = cuts.select(*keys, order, F.col("cut").alias("_end")), cuts.select(*keys, F.col("next_id").alias(order), F.col("cut").alias("_start"))
+    both = clips.join(ends, [*keys, order], "left").join(starts, [*keys, order], "left")
+    return both.withColumns({"start_s": F.coalesce("_start", "start_s"), "end_s": F.coalesce("_end", "end_s")}).drop("_start", "_end")
 
-def normalize(clips: Iterable[Clip], sung: Sung, limits: Limits, steps: Sequence[str] = STEPS) -> list[Clip]:
-    """All steps by default: part overlaps, protect sentences, repair short clips, protect again, fill gaps."""
-    clips = sorted(clips, key=lambda c: (c.start, c.end))
-    if len(clips) < 2:
-        return clips
-    for step in steps:
-        if step == "part":
-            part_overlaps(clips, sung, limits)
-        elif step == "protect":
-            protect(clips, sung, limits)
-        elif step == "repair":
-            clips = repair_short([c for c in clips if c.size > EQUAL], sung, limits)
-        else:
-            clips = fill_gaps(clips, sung, limits)
-    return clips
 
+def part_overlaps(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
+    """Clips (nr) without overlaps: small ones, and those of two songs, go to the later clip, others are cut by `overlap_cuts`."""
+    w = Window.partitionBy(*keys).orderBy("nr")
+    rows = clips.withColumns({"_next": F.lead("start_s").over(w), "_song": F.lead("song_index").over(w), "_id": F.lead(order).over(w)}).withColumn("_over", F.col("end_s") - F.col("_next"))
+    own = chained_cuts(neighbours(clips, keys, order).where(F.col("l_end") - F.col("r_start") > OVERLAP), keys, order, lambda x: overlap_cuts(x, sentences, keys, order, shortest, longest))
+    other = rows.where((F.col("_over") > OVERLAP) & (F.col("_song") != F.col("song_index"))).select(*keys, order, F.col("_id").alias("next_id"), to_millis(F.col("_next")).alias("cut"))
+    small = (F.col("_over") > 0) & (F.col("_over") <= OVERLAP)
+    closed = rows.withColumn("end_s", F.when(small, F.col("_next")).otherwise(F.col("end_s"))).select(*clips.columns)
+    return _table(_moved(closed, own.unionByName(other), keys, order))
 
-def sung_of(rows: pd.DataFrame) -> Sung:
-    out = Sung()
-    for r in rows.sort_values(["start_s", "end_s"]).itertuples():
-        if r.end_s > r.start_s:
-            if r.word is None or r.word != r.word:
-                out.sentences.setdefault(int(r.song_index), []).append((r.start_s, r.end_s))
-            else:
-                out.words.setdefault(int(r.song_index), []).append((r.start_s, r.end_s, max(1, len("".join(r.word.split())))))
-    return out
 
+def protect_sentences(clips: DataFrame, sentences: DataFrame, words: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
+    """Clips (nr) whose shared boundaries lie in no sentence, by `adjacent_cuts`, or a little past a sentence's end, by `padded_cuts`."""
+    pairs = neighbours(clips, keys, order).where(F.abs(F.col("r_start") - F.col("l_end")) <= SHARED)
 
-def normalize_overlaps(segments: DataFrame, sentences: DataFrame, words: DataFrame | None, keys: Keys, shortest: float, longest: float, steps: Sequence[str] = STEPS) -> DataFrame:
+    def cut(some: DataFrame) -> DataFrame:
+        inside = adjacent_cuts(some, sentences, words, keys, order, shortest, longest)
+        return inside.select(*keys, order, "next_id", "cut").unionByName(padded_cuts(some, sentences, keys, order, shortest, longest).select(*keys, order, "next_id", "cut"))
+
+    return _table(_moved(clips, chained_cuts(pairs, keys, order, cut), keys, order))
+
+
+def repair_short(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
+    """Clips that are too short borrow from a neighbour that can spare it, else join one of their kind, else stay if they are sung, else go; with nr.
+
+    After each change the clip before is looked at again. Two neighbours that are long enough and don't overlap stay so and never change each other, and nothing joins over more than `longest`: the clips between such
+    places are one repair, with the sentences around them. A timeline's only clip stays.
+    """
+    rows = clips.where(F.col("end_s") - F.col("start_s") > EQUAL)
+    w = Window.partitionBy(*keys).orderBy("start_s", "end_s", "nr")
+    rows = rows.withColumns({"_short": shortest - (F.col("end_s") - F.col("start_s")) > EQUAL, "_all": F.count("*").over(Window.partitionBy(*keys))})
+    rows = rows.withColumns({"_before": F.lag("_short").over(w), "_reach": F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    apart = F.col("_before").isNull() | (~F.col("_short") & ~F.col("_before") & (F.col("start_s") >= F.col("_reach"))) | (F.col("start_s") - F.col("_reach") > longest + EQUAL)
+    rows = islands(rows, keys, ["start_s", "end_s", "nr"], apart)
+    part = [*keys, "island"]
+    item = F.struct("start_s", "end_s", "nr", "type", "is_highlight", "song_index", F.col(order).cast("long").alias("ident"))
+    parts = rows.groupBy(*part).agg((F.max("_short") & (F.first("_all") > 1)).alias("_any"), F.array_sort(F.collect_list(item)).alias("_x"), F.min("start_s").alias("_a"), F.max("end_s").alias("_b"))
+    clip = lambda x: F.struct(*(x[c].alias(c) for c in ("start_s", "end_s", "type", "is_highlight", "song_index", "ident")))
+    parts = parts.withColumn("_x", F.transform("_x", clip))
+    songs = rows.join(parts.where("_any").select(*part, "_a", "_b"), part).groupBy(*part, "song_index", "_a", "_b").count()
+    spans = songs.select(*part, "song_index", F.col("_a").alias("start_s"), F.col("_b").alias("end_s"))
+    said = overlap_join(spans, sentences.where("end_s > start_s").select(*keys, "song_index", "start_s", "end_s"), [*keys, "song_index"])
+    sung = said.groupBy(*part).agg(F.collect_list(F.struct("song_index", F.col("b_start_s").alias("s"), F.col("b_end_s").alias("e"))).alias("_said"))
+    parts = parts.join(sung, part, "left").withColumn("_said", F.coalesce("_said", F.array().cast("array<struct<song_index: int, s: double, e: double>>")))
+
+    def step(acc: Column, _: Column) -> Column:
+        clips_, i = acc["c"], acc["i"]
+        x, a, b = F.try_element_at(clips_, i), F.try_element_at(clips_, F.greatest(i - 1, F.lit(1))), F.try_element_at(clips_, i + 1)
+        size = lambda c: c["end_s"] - c["start_s"]
+        missing = shortest - size(x)
+        has_a, has_b = i > 1, i < F.size(clips_)
+        spare = lambda c, gap: F.coalesce((gap <= OVERLAP) & (size(c) - missing >= shortest), F.lit(False))
+        joins = lambda c, size: F.coalesce(c["type"].eqNullSafe(x["type"]) & (c["song_index"] == x["song_index"]) & (size <= longest + EQUAL), F.lit(False))
+        set_ = lambda c, start=None, end=None: F.struct((c["start_s"] if start is None else start).alias("start_s"), (c["end_s"] if end is None else end).alias("end_s"), *(c[k].alias(k) for k in ("type", "is_highlight", "song_index", "ident")))
+        weight = lambda c: type_priority(c["type"], c["is_highlight"])
+
+        def united(p: Column, q: Column) -> Column:
+            kind = F.when(weight(q) > weight(p), q["type"]).otherwise(p["type"])
+            return F.struct(F.least(p["start_s"], q["start_s"]).alias("start_s"), F.greatest(p["end_s"], q["end_s"]).alias("end_s"), kind.alias("type"), (p["is_highlight"] | q["is_highlight"]).alias("is_highlight"), p["song_index"].alias("song_index"), p["ident"].alias("ident"))
+
+        def put(at: Column, n: int, *new: Column) -> Column:
+            return F.concat(F.slice(clips_, F.lit(1), at - 1), F.array(*new).cast(f"array<{CLIP}>"), F.slice(clips_, at + n, F.greatest(F.lit(0), F.size(clips_) - at - n + 1)))
+
+        state = lambda c, at: F.struct(c.alias("c"), F.greatest(F.lit(1), at).alias("i"))
+        later, earlier = to_millis(x["end_s"] + missing), to_millis(x["start_s"] - missing)
+        held = F.aggregate(F.filter("_said", lambda s: s["song_index"] == x["song_index"]), F.lit(0.0), lambda t, s: t + F.greatest(F.lit(0.0), F.least(x["end_s"], s["e"]) - F.greatest(x["start_s"], s["s"])))
+        none = F.array().cast(f"array<{CLIP}>")
+        dropped = F.concat(F.slice(clips_, F.lit(1), i - 1), none, F.slice(clips_, i + 1, F.greatest(F.lit(0), F.size(clips_) - i)))
+        return (
+            F.when((i > F.size(clips_)), acc)
+            .when(missing <= EQUAL, state(clips_, i + 1))
+            .when(has_b & spare(b, b["start_s"] - x["end_s"]), state(put(i, 2, set_(x, end=later), set_(b, start=later)), i - 1))
+            .when(has_a & spare(a, x["start_s"] - a["end_s"]), state(put(i - 1, 2, set_(a, end=earlier), set_(x, start=earlier)), i - 1))
+            .when(has_a & joins(a, x["end_s"] - a["start_s"]), state(put(i - 1, 2, united(a, x)), i - 2))
+            .when(has_b & joins(b, b["end_s"] - x["start_s"]), state(put(i, 2, united(x, b)), i - 1))
+            .when(held >= SUNG, state(clips_, i + 1))
+            .otherwise(state(dropped, i - 1))
+        )
+
+    # each change makes one short clip less, and costs at most three more looks
+    looks = F.sequence(F.lit(1), 8 * F.size("_x") + 8)
+    start = F.struct(F.col("_x").cast(f"array<{CLIP}>").alias("c"), F.lit(1).alias("i"))
+    done = F.when(F.col("_any"), F.aggregate(looks, start, step, lambda acc: acc["c"])).otherwise(F.col("_x").cast(f"array<{CLIP}>"))
+    out = parts.select(*part, F.posexplode(done).alias("_at", "s")).select(*part, "_at", "s.*").withColumnRenamed("ident", order)
+    return _table(_ordered(out, keys, "island", "_at").drop("island", "_at"))
+
+
+def normalize_overlaps(segments: DataFrame, sentences: DataFrame, words: DataFrame | None, keys: Keys, shortest: float, longest: float, steps: Sequence[str] = STEPS, order: str = "seg_index") -> DataFrame:
     """Segments (song_index, seg_index, start_s, end_s, type, is_highlight) without overlaps, short ones repaired and sung gaps filled; adds filled.
 
-    Sentences and words (song_index, start_s, end_s, word) are on the media's timeline; words may be left out.
+    Sentences and words (song_index, start_s, end_s, word) are on the media's timeline; words may be left out. Segments are told apart by `order`; of joined ones the earlier's stays, and what fills
+    a gap has that of the segment before. A timeline's only segment stays as it is.
     """
-    said = sentences.select(*keys, "song_index", "start_s", "end_s", F.lit(None).cast("string").alias("word"))
-    if words is not None:
-        said = said.unionByName(words.select(*keys, "song_index", "start_s", "end_s", "word"))
-    names = ["song_index", "seg_index", "start_s", "end_s", "type", "is_highlight"]
-    rows = segments.select(*keys, *names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", filled boolean"
-    limits = Limits(shortest, longest)
-
-    def run(key: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        clips = [Clip(r.start_s, r.end_s, int(r.song_index), r.type or "", bool(r.is_highlight), int(r.seg_index)) for r in own.itertuples()]
-        done = normalize(clips, sung_of(other), limits, steps)
-        return pd.DataFrame([(*key, c.song, c.ident, c.start, c.end, c.kind, c.highlight, c.filled) for c in done], columns=[*keys, *names, "filled"])
-
-    return rows.groupBy(*keys).cogroup(said.groupBy(*keys)).applyInPandas(run, schema)
+    names = ["song_index", order, "start_s", "end_s", "type", "is_highlight"]
+    clips = segments.select(*keys, F.col("song_index").cast("int").alias("song_index"), order, "start_s", "end_s", F.coalesce("type", F.lit("")).alias("type"), F.coalesce("is_highlight", F.lit(False)).alias("is_highlight"))
+    clips = _table(_ordered(clips, keys, "start_s", "end_s", order))
+    said = sentences.where("end_s > start_s").select(*keys, "song_index", "start_s", "end_s")
+    heard = said.select("*", F.lit("").alias("word")).limit(0) if words is None else words.where("end_s > start_s").select(*keys, "song_index", "start_s", "end_s", "word")
+    filled = None
+    for name in steps:
+        if name == "part":
+            clips = part_overlaps(clips, said, keys, order, shortest, longest)
+        elif name == "protect":
+            clips = protect_sentences(clips, said, heard, keys, order, shortest, longest)
+        elif name == "repair":
+            clips = repair_short(clips, said, keys, order, shortest, longest)
+        else:
+            filled = covered_gap_fills(clips, said, keys, order, type_priority(F.col("type"), F.col("is_highlight")), longest)
+    out = clips.select(*keys, *names, F.lit(False).alias("filled"))
+    return out if filled is None else out.unionByName(filled.select(*keys, *names, F.lit(True).alias("filled")))

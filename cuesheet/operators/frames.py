@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cuesheet.operators.intervals import BUCKET_S, Keys, in_buckets, islands, overlap_join
+from cuesheet.operators.intervals import BUCKET_S, Keys, in_buckets, islands, merge_intervals, overlap_join
 
 
 def centred(keys: Keys, order: str, size: int) -> WindowSpec:
@@ -79,13 +79,50 @@ def binary_close(rows: DataFrame, flag: str, keys: Keys, order: str, size: int)
     return rows.withColumn(flag, dilated(flag, keys, order, size)).withColumn(flag, eroded(flag, keys, order, size))
 
 
-def static_runs(rows: DataFrame, col: str, keys: Keys, time: str, below: float, max_gap: float, min_len: float) -> DataFrame:
-    """Stretches of frames under a threshold with gaps up to max_gap between them, at least min_len long: start_s, end_s, n."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    low = rows.where(F.col(col) < below)
-    runs = islands(low.withColumn("_gap", F.col(time) - F.lag(time).over(w)), keys, [time], F.coalesce(F.col("_gap") > max_gap, F.lit(True)))
-    found = runs.groupBy(*keys, "island").agg(F.min(time).alias("start_s"), F.max(time).alias("end_s"), F.count("*").alias("n")).drop("island")
-    return found.where(F.col("end_s") - F.col("start_s") >= min_len)
+#: frames darker or brighter than this aren't compared with others
+DARK, BRIGHT = 10.0, 250.0
+
+
+def _runs(rows: DataFrame, keys: Keys, time: str, change: str, brightness: str, below: float, still_gap: int, dark_gap: int | None) -> DataFrame:
+    """Runs of still frames: keys, start_s, broken_s (the frame that ends the run; null if none does), dark (whether that is a dark or bright one).
+
+    Frames that change break a run when more than `still_gap` of them (and of dark or bright ones) came since its last still frame; dark or bright ones at once, or where `dark_gap` is given when more
+    than that many came. A frame without a change, as the first and one after a frame that isn't compared, is neither.
+    """
+    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    usable = F.col(brightness).between(DARK, BRIGHT)
+    still, moving = usable & (F.col(change) < below), usable & (F.col(change) >= below)
+    rows = rows.withColumns({"_still": F.coalesce(still, F.lit(False)), "_move": F.coalesce(moving, F.lit(False)), "_dark": ~usable})
+    rows = rows.withColumn("_n", F.sum((F.col("_move") | F.col("_dark")).cast("int")).over(w))
+    since = F.col("_n") - F.coalesce(F.last(F.when(F.col("_still"), F.col("_n")), ignorenulls=True).over(w), F.lit(0))
+    rows = rows.withColumn("_since", since)
+    broken = F.col("_move") & (F.col("_since") > still_gap) | F.col("_dark") & (F.col("_since") > (0 if dark_gap is None else dark_gap))
+    rows = rows.withColumn("_break", broken).withColumn("_run", F.sum(F.col("_break").cast("int")).over(w) - F.col("_break").cast("int"))
+    kept = rows.where("_still or _break").groupBy(*keys, "_run").agg(F.min(F.when(F.col("_still"), F.col(time))).alias("start_s"), F.min(F.when(F.col("_break"), F.struct(F.col(time).alias("t"), F.col("_dark").alias("dark")))).alias("_end"))
+    return kept.where("start_s is not null").select(*keys, "start_s", F.col("_end.t").alias("broken_s"), F.col("_end.dark").alias("dark"))
+
+
+def static_candidates(rows: DataFrame, totals: DataFrame, keys: Keys, time: str, change: str, brightness: str, below: float = 8.0, gap: int = 1, min_len: float = 2.0, expand: float = 6.0, merge: float = 10.0) -> DataFrame:
+    """Coarse stage: stretches around runs of still frames of a timeline (total_s): start_s, end_s, n.
+
+    Twice the gap is tolerated, in frames, and taken off a run's length in seconds; a run that meets a dark or bright frame goes. Stretches are wider by `expand` on both sides,
+    within the timeline, and those up to `merge` apart are one.
+    """
+    found = _runs(rows, keys, time, change, brightness, below, 2 * gap, None).join(totals.select(*keys, "total_s"), list(keys))
+    ended = F.coalesce(F.col("broken_s") - 2 * gap, F.col("total_s"))
+    long_enough = found.where(~F.coalesce("dark", F.lit(False)) & (ended - F.col("start_s") >= min_len))
+    wide = long_enough.select(*keys, F.greatest(F.lit(0.0), F.col("start_s") - expand).alias("start_s"), F.least(F.col("total_s"), F.coalesce(F.col("broken_s") + expand, F.col("total_s"))).alias("end_s"))
+    return merge_intervals(wide, keys, merge)
+
+
+def static_runs(rows: DataFrame, totals: DataFrame, keys: Keys, time: str, change: str, brightness: str, below: float = 8.0, gap: int = 1, min_len: float = 2.0) -> DataFrame:
+    """Fine stage: runs of still frames of a region or timeline (total_s is where it ends): start_s, size_s.
+
+    Up to `gap` frames in a row that change are tolerated, and of dark or bright frames among them twice as many; the gap is taken off the length of a run that was broken.
+    """
+    found = _runs(rows, keys, time, change, brightness, below, gap, 2 * gap).join(totals.select(*keys, "total_s"), list(keys))
+    size = F.coalesce(F.col("broken_s") - gap, F.col("total_s")) - F.col("start_s")
+    return found.select(*keys, "start_s", size.alias("size_s")).where(F.col("size_s") >= min_len)
 
 
 #: percentiles of the active frames

@@ -105,3 +105,20 @@ def j21(v):
 def j21_migrated(v):
     """The cache once the archive's hits are saved in it."""
     return ca.migrated(held(v, "cache"), held(v, "archive"), ["cache_key"]).select("cache_key", "payload", "usable")
+
+
+ORIGIN = "CASE (media_id + song_index) % 4 WHEN 0 THEN 'track' WHEN 1 THEN 'ocr' WHEN 2 THEN 'merged' ELSE 'unknown' END"
+
+
+@query("S15_run_report", f"""WITH so AS (SELECT DISTINCT media_id, song_index, {ORIGIN} AS source FROM seg), t AS (SELECT media_id, count(*) AS total_segments, count(*) FILTER (source <> 'unknown') AS identified_count, avg((source <> 'unknown')::INT) AS identification_rate, count(*) FILTER (source = 'ocr') AS ocr FROM so GROUP BY media_id),
+    l AS (SELECT media_id, song_index, label, count(*) AS n FROM seg GROUP BY ALL), a AS (SELECT media_id, label, sum(n)::BIGINT AS over_all FROM l GROUP BY ALL) SELECT media_id, total_segments, identified_count, identification_rate, ocr, song_index, source, label, n, over_all FROM t JOIN so USING (media_id) JOIN l USING (media_id, song_index) JOIN a USING (media_id, label)""", "identification_rate")
+def s15(v):
+    """Reports written as a text document for each recording, read back and taken apart."""
+    songs = v.seg.select("media_id", "song_index", F.expr(ORIGIN).alias("source")).distinct()
+    root = ar.scratch_folder(v.spark)
+    dc.write_documents(dc.run_report(songs, v.seg, ["media_id"]), ["media_id"], root)
+    docs = v.spark.read.text(root).select(F.col("media_id").cast("long").alias("media_id"), F.from_json("value", dc.REPORT).alias("r"))
+    i = F.col("r.identification")
+    rows = docs.select("media_id", i["total_segments"].alias("total_segments"), i["identified_count"].alias("identified_count"), i["identification_rate"].alias("identification_rate"), F.coalesce(i["identification_source_breakdown"]["ocr"], F.lit(0)).alias("ocr"), "r.structural_labels", F.explode(i["segment_details"]).alias("d"))
+    each = rows.select("*", "d.song_index", "d.source", F.explode("d.label_distribution").alias("label", "n"))
+    return each.withColumn("over_all", F.col("structural_labels")[F.col("label")]).drop("structural_labels", "d")

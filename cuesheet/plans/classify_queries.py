@@ -37,3 +37,18 @@ def sure(i: int) -> str:
 def q36(v):
     rows = v.tl.selectExpr(*FEATURES.replace("\n", " ").split(", "))
     return cn.classify_in_order(rows, ["media_id"], "frame", 16).select("media_id", "frame", "label", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"))
+
+
+LABELLED = "t, kind, CASE kind WHEN 'purchase' THEN 'chorus' WHEN 'click' THEN 'chorus' WHEN 'view' THEN 'verse' ELSE 'intro' END AS label, round(rms - floor(rms), 2) AS confidence, CAST(floor(t / 72) AS INT) AS song"
+GATE_SCORE = f"CASE WHEN gate = 'silence' THEN 10.0 WHEN {cl.as_sql(cl.SPEECH)} >= 6 THEN {cl.as_sql(cl.SPEECH)} WHEN gate = 'talk' THEN {cl.as_sql(cl.TALK)} WHEN gate = 'crowd' THEN {cl.as_sql(cl.CROWD)} ELSE {cl.as_sql(cl.AUDIENCE)} END"
+TOP = "CASE " + " ".join(f"WHEN s_{k}_0 = greatest({', '.join(f's_{x}_0' for x in ORDER)}) THEN '{k}'" for k in ORDER) + " END"
+
+
+@query("Q37_refine_labels", f"""WITH f AS (SELECT {FEATURES}, {LABELLED} FROM tl), s AS (SELECT *, {GATE} AS gate, {SCORES} FROM f),
+    x AS (SELECT *, coalesce(gate, {TOP}) AS top, CASE WHEN gate IS NULL THEN greatest({', '.join(f's_{k}_0' for k in ORDER)}) ELSE {GATE_SCORE} END::DOUBLE AS best, CASE WHEN gate IS NULL THEN s_chorus_0 ELSE 0 END AS chorus, CASE WHEN gate IS NULL THEN s_verse_0 ELSE 0 END AS verse FROM s),
+    r AS (SELECT *, CASE WHEN top IN ('speech', 'talk', 'crowd', 'audience') AND best >= 4 THEN top WHEN top = 'solo' AND best >= 3.5 THEN 'solo' WHEN label = 'chorus' AND verse >= chorus + 1.2 THEN 'verse' WHEN top = 'chorus' AND chorus >= verse + 1.5 THEN 'chorus' ELSE label END AS new FROM x),
+    q AS (SELECT *, avg((new = 'chorus')::INT) OVER (PARTITION BY media_id, song) AS share FROM r)
+    SELECT media_id, frame, CASE WHEN share >= 0.5 AND new = 'chorus' AND rel < 0.95 AND likelihood < 0.40 THEN 'verse' ELSE new END AS label, greatest(confidence, best) AS confidence FROM q""", "confidence")
+def q37(v):
+    rows = v.tl.selectExpr(*FEATURES.replace("\n", " ").split(", "), *LABELLED.split(", ", 2)[:2], LABELLED.split(", ", 2)[2].split(" AS label, ")[0] + " AS label", "round(rms - floor(rms), 2) AS confidence", "CAST(floor(t / 72) AS INT) AS song")
+    return cl.refine_labels(rows, "media_id", "song").select("media_id", "frame", "label", "confidence")

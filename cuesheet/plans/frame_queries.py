@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuesheet.operators import frames as fr
@@ -75,10 +76,35 @@ def w08(v):
     return fr.binary_close(fr.binary_open(rows, "flag", M, "frame", 3), "flag", M, "frame", 5)
 
 
-@query("W09_static_runs", """WITH l AS (SELECT *, t - lag(t) OVER (PARTITION BY media_id ORDER BY t) AS gap FROM tl WHERE rms < 40), g AS (SELECT *, sum(CASE WHEN gap > 120 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM l)
-    SELECT media_id, min(t) AS start_s, max(t) AS end_s, count(*) AS n FROM g GROUP BY media_id, island HAVING max(t) - min(t) >= 30""", "start_s end_s")
+#: frame numbers as seconds; the energy as the change, no change after a dark or bright frame and at first
+SHOWN = "x AS (SELECT media_id, frame, rms, (frame * 37 + media_id * 11) % 280 AS light FROM tl), f AS (SELECT media_id, frame, row_number() OVER (PARTITION BY media_id ORDER BY frame) AS nr, light NOT BETWEEN 10 AND 250 AS dark, CASE WHEN lag(light) OVER (PARTITION BY media_id ORDER BY frame) BETWEEN 10 AND 250 THEN rms END AS change FROM x), tt AS (SELECT media_id, max(frame) + 1 AS total FROM tl GROUP BY media_id)"
+#: frame by frame: the start of the run, how many frames interrupt it, and what ends here
+STILL = """w AS (SELECT media_id, 0::BIGINT AS nr, NULL::BIGINT AS start, 0 AS k, NULL::BIGINT AS s, NULL::BIGINT AS e FROM f WHERE nr = 1 UNION ALL
+      SELECT f.media_id, f.nr, CASE WHEN {dark_ends} THEN NULL WHEN NOT dark AND change < 40 THEN coalesce(w.start, frame) WHEN NOT dark AND change >= 40 AND w.k + 1 > {gap} THEN NULL ELSE w.start END, CASE WHEN NOT dark AND change < 40 THEN 0 WHEN dark OR change >= 40 THEN w.k + 1 ELSE w.k END,
+        CASE WHEN w.start IS NOT NULL AND ({dark_closes} OR NOT dark AND change >= 40 AND w.k + 1 > {gap}) THEN w.start END, frame FROM w JOIN f ON f.media_id = w.media_id AND f.nr = w.nr + 1)"""
+OPEN = "l AS (SELECT media_id, arg_max({'s': start}, nr).s AS s FROM w GROUP BY media_id)"
+
+
+def shown(v):
+    w = Window.partitionBy("media_id").orderBy("frame")
+    rows = v.tl.select("media_id", F.col("frame").cast("double").alias("second"), "rms", "frame", ((F.col("frame") * 37 + F.col("media_id") * 11) % 280).alias("light"))
+    rows = rows.withColumn("change", F.when(F.lag("light").over(w).between(10, 250), F.col("rms")))
+    return rows, v.tl.groupBy("media_id").agg((F.max("frame") + 1).cast("double").alias("total_s"))
+
+
+@query("W09_static_runs", f"WITH RECURSIVE {SHOWN}, {STILL.format(dark_ends='dark AND w.k + 1 > 2', dark_closes='dark AND w.k + 1 > 2', gap=1)}, {OPEN} SELECT media_id, start_s, size_s FROM (SELECT media_id, s::DOUBLE AS start_s, (e - 1 - s)::DOUBLE AS size_s FROM w WHERE s IS NOT NULL UNION ALL SELECT media_id, s::DOUBLE, (total - s)::DOUBLE FROM l JOIN tt USING (media_id) WHERE s IS NOT NULL) WHERE size_s >= 2".replace("WITH RECURSIVE", "SELECT * FROM (WITH RECURSIVE") + ")")
 def w09(v):
-    return fr.static_runs(v.tl, "rms", M, "t", 40.0, 120.0, 30.0)
+    rows, totals = shown(v)
+    return fr.static_runs(rows, totals, M, "second", "change", "light", 40.0)
+
+
+@query("W09_static_candidates", f"""SELECT * FROM (WITH RECURSIVE {SHOWN}, {STILL.format(dark_ends='dark', dark_closes='false', gap=2)}, {OPEN}, c AS (SELECT media_id, greatest(0, s - 6) AS a, least(total, e + 6) AS b FROM w JOIN tt USING (media_id) WHERE s IS NOT NULL AND e - s - 2 >= 2
+      UNION ALL SELECT media_id, greatest(0, s - 6), total FROM l JOIN tt USING (media_id) WHERE s IS NOT NULL AND total - s >= 2),
+    g AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY media_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 10 THEN 1 ELSE 0 END AS apart FROM c), i AS (SELECT *, sum(apart) OVER (PARTITION BY media_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM g)
+    SELECT media_id, min(a)::DOUBLE AS start_s, max(b)::DOUBLE AS end_s, count(*) AS n FROM i GROUP BY media_id, island)""")
+def w09_candidates(v):
+    rows, totals = shown(v)
+    return fr.static_candidates(rows, totals, M, "second", "change", "light", 40.0)
 
 
 @query("W10_local_self_similarity", f"""WITH u AS (SELECT song, frame, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vec), d AS (SELECT song, frame, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM u),

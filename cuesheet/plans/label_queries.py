@@ -272,16 +272,6 @@ def q09(v):
     return runs.groupBy("media_id", "label", "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n")).drop("island")
 
 
-@query("Q37_refine_labels", """WITH s AS (SELECT *, avg((label = 'purchase')::INT) OVER (PARTITION BY media_id, song_index) AS share FROM seg) SELECT media_id, seg_index, CASE WHEN confidence >= 0.95 THEN 'solo' WHEN label = 'view' AND seg_index % 7 - confidence * 4 > 1.2 THEN 'chorus' WHEN label = 'purchase' AND (share >= 0.5 AND confidence < 0.5 OR confidence * 4 - seg_index % 7 > 1.5) THEN 'verse' ELSE label END AS label FROM s""")
-def q37(v):
-    share = F.avg((F.col("label") == "purchase").cast("double")).over(Window.partitionBy("media_id", "song_index"))
-    rows = v.seg.withColumn("share", share)
-    margin = F.col("seg_index") % 7 - F.col("confidence") * 4
-    weak = (F.col("share") >= 0.5) & (F.col("confidence") < 0.5) | (-margin > 1.5)
-    label = F.when(F.col("confidence") >= 0.95, "solo").when((F.col("label") == "view") & (margin > 1.2), "chorus").when((F.col("label") == "purchase") & weak, "verse").otherwise(F.col("label"))
-    return rows.select("media_id", "seg_index", label.alias("label"))
-
-
 T03 = "SELECT media_id, bucket, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY media_id, bucket ORDER BY n DESC, kind) AS nr FROM (SELECT media_id, floor(t / 720)::BIGINT AS bucket, kind, count(*) AS n FROM tl GROUP BY ALL)) WHERE nr <= 3"
 
 

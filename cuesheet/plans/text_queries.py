@@ -458,12 +458,6 @@ def s14(v):
     return dc.inventory_report(rows, F.when(F.col("entry_id") % 2 == 0, "previews").otherwise("uploads"), F.timestamp_seconds(F.lit(2592000)), {"previews": 24, "uploads": 48})
 
 
-@query("S15_run_report", "SELECT song, count(*) AS probes, count(DISTINCT track_id) AS tracks, max(confidence) AS best FROM probe GROUP BY song")
-def s15(v):
-    report = v.probe.groupBy("song").agg(F.to_json(F.struct(F.count("*").alias("probes"), F.countDistinct("track_id").alias("tracks"), F.max("confidence").alias("best"))).alias("json"))
-    return report.select("song", F.from_json("json", "probes bigint, tracks bigint, best double").alias("r")).select("song", "r.*")
-
-
 @query("S16_explode_cache_index", "SELECT 'k' || cache_key || '_' || entry_id AS cache_key, 'p' || entry_id AS path, bytes FROM ttl")
 def s16(v):
     entry = F.struct(F.concat(F.lit("p"), F.col("entry_id")).alias("path"), "bytes")

@@ -123,6 +123,33 @@ def inventory_report(files: DataFrame, category: Column, now: Column, oldest: di
     return rows.groupBy("category").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.count_if(F.col("_age") > limit[F.col("category")]).alias("expired"))
 
 
+REPORT = (
+    "struct<version: string, identification: struct<total_segments: bigint, identified_count: bigint, unknown_count: bigint, identification_rate: double, identification_source_breakdown: map<string, bigint>,"
+    " segment_details: array<struct<song_index: int, source: string, label_distribution: map<string, bigint>>>>, structural_labels: map<string, bigint>>"
+)
+
+
+def run_report(songs: DataFrame, segments: DataFrame, keys: Keys, version: str = "1") -> DataFrame:
+    """One report document for each run (keys) of its songs (song_index, source) and their segments (song_index, label), in column json.
+
+    It counts songs by source, with the share that is identified, and labels for each song and over all. A song without segments has no labels; segments of no song aren't counted.
+    """
+    each = [*keys, "song_index"]
+    named = segments.join(songs.select(*each), each, "left_semi").groupBy(*each, "label").agg(F.count("*").alias("n"))
+    entries = lambda: F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n"))))
+    by_song, by_run = named.groupBy(*each).agg(entries().alias("labels")), named.groupBy(*keys, "label").agg(F.sum("n").alias("n")).groupBy(*keys).agg(entries().alias("structural_labels"))
+    none = F.create_map().cast("map<string, bigint>")
+    details = songs.select(*each, "source").join(by_song, each, "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("song_index", "source", F.map_entries(F.coalesce("labels", none)).alias("l")))).alias("d"))
+    details = details.select(*keys, F.transform("d", lambda x: F.struct(x["song_index"].alias("song_index"), x["source"].alias("source"), F.map_from_entries(x["l"]).alias("label_distribution"))).alias("segment_details"))
+    sources = songs.groupBy(*keys, "source").agg(F.count("*").alias("n"))
+    unknown = F.coalesce(F.sum(F.when(F.col("source") == "unknown", F.col("n"))), F.lit(0))
+    totals = sources.groupBy(*keys).agg(F.sum("n").alias("total_segments"), unknown.alias("unknown_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("identification_source_breakdown"))
+    rows = totals.join(details, list(keys)).join(by_run, list(keys), "left")
+    found = F.col("total_segments") - F.col("unknown_count")
+    identification = F.struct("total_segments", found.alias("identified_count"), "unknown_count", (found / F.greatest(F.col("total_segments"), F.lit(1))).alias("identification_rate"), "identification_source_breakdown", "segment_details")
+    return rows.select(*keys, F.to_json(F.struct(F.lit(version).alias("version"), identification.alias("identification"), F.coalesce("structural_labels", none).alias("structural_labels"))).alias("json"))
+
+
 def first_visible_time(sentences: Column, words: Column) -> Column:
     """The middle of the first sentence with text, else of the first word, else 0; both are arrays of structs text, start_s, end_s."""
     first = lambda a: F.try_element_at(F.filter(a, lambda x: F.trim(x["text"]) != ""), F.lit(1))
