@@ -1,4 +1,4 @@
-"""Cut safety on the driver's tables: cuts of pairs of clips, and order-dependent repairs without SQL; golden cases are in tests/test_cutsafety.py."""
+"""Cut safety on the driver's tables: cuts of pairs of clips, repairs, and whole chains of both, which tests/test_cutsafety.py compares with a plain version."""
 
 from __future__ import annotations
 
@@ -127,7 +127,19 @@ def q14(v):
     return ct.split_at_safe_boundaries(rows, points, ["media_id"], "seg_index", 20.0, 60.0)
 
 
-@query("Q27_repair_short")
+#: one timeline's clips as a list, and the number of the clip that is looked at
+REPAIRED = f"""SELECT * FROM (WITH RECURSIVE c0 AS (SELECT media_id, song_index, seg_index, start_s, end_s, {KINDS} AS k, confidence > 0.5 AS h FROM seg WHERE end_s - start_s > 0.05), g AS (SELECT media_id, list({{'s': start_s, 'e': end_s, 'k': k, 'h': h, 'g': song_index, 'id': seg_index}} ORDER BY start_s, end_s, seg_index) AS c FROM c0 GROUP BY media_id),
+    sn AS (SELECT media_id, list({{'g': floor(start_s / 720)::INT, 's': start_s, 'e': end_s}}) AS said FROM sent WHERE end_s > start_s GROUP BY media_id), w AS (SELECT media_id, c, 1::BIGINT AS i, coalesce(said, []) AS said, 0 AS step FROM g LEFT JOIN sn USING (media_id) UNION ALL
+      SELECT media_id, CASE act WHEN 1 THEN c[:i - 1] || [{{'s': x.s, 'e': later, 'k': x.k, 'h': x.h, 'g': x.g, 'id': x.id}}, {{'s': later, 'e': b.e, 'k': b.k, 'h': b.h, 'g': b.g, 'id': b.id}}] || c[i + 2:] WHEN 2 THEN c[:i - 2] || [{{'s': a.s, 'e': earlier, 'k': a.k, 'h': a.h, 'g': a.g, 'id': a.id}}, {{'s': earlier, 'e': x.e, 'k': x.k, 'h': x.h, 'g': x.g, 'id': x.id}}] || c[i + 1:]
+          WHEN 3 THEN c[:i - 2] || [{{'s': least(a.s, x.s), 'e': greatest(a.e, x.e), 'k': x.k, 'h': a.h OR x.h, 'g': a.g, 'id': a.id}}] || c[i + 1:] WHEN 4 THEN c[:i - 1] || [{{'s': least(x.s, b.s), 'e': greatest(x.e, b.e), 'k': x.k, 'h': x.h OR b.h, 'g': x.g, 'id': x.id}}] || c[i + 2:] WHEN 6 THEN c[:i - 1] || c[i + 1:] ELSE c END,
+        CASE WHEN act IN (0, 5) THEN i + 1 WHEN act = 3 THEN greatest(1, i - 2) ELSE greatest(1, i - 1) END, said, step + 1 FROM
+        (SELECT *, round(x.e + missing + 1e-9, 3) AS later, round(x.s - missing + 1e-9, 3) AS earlier, CASE WHEN missing <= 0.05 THEN 0 WHEN i < len(c) AND b.s - x.e <= 0.3 AND b.e - b.s - missing >= 8 THEN 1 WHEN i > 1 AND x.s - a.e <= 0.3 AND a.e - a.s - missing >= 8 THEN 2 WHEN i > 1 AND a.k = x.k AND a.g = x.g AND x.e - a.s <= 18.05 THEN 3
+          WHEN i < len(c) AND b.k = x.k AND b.g = x.g AND b.e - x.s <= 18.05 THEN 4 WHEN coalesce(list_sum(list_transform(list_filter(said, lambda q: q.g = x.g), lambda q: greatest(0.0, least(x.e, q.e) - greatest(x.s, q.s)))), 0) >= 0.3 THEN 5 ELSE 6 END AS act FROM
+          (SELECT *, c[i] AS x, CASE WHEN i > 1 THEN c[i - 1] END AS a, c[i + 1] AS b, 8 - (c[i].e - c[i].s) AS missing FROM w WHERE i <= len(c) AND (step > 0 OR len(c) > 1)))),
+    o AS (SELECT media_id, unnest(arg_max(c, step)) AS z FROM w GROUP BY media_id) SELECT media_id, z.g AS song_index, z.id AS seg_index, z.s AS start_s, z.e AS end_s, z.k AS type, z.h AS is_highlight, false AS filled FROM o)"""
+
+
+@query("Q27_repair_short", REPAIRED, "start_s end_s")
 def q27(v):
     return normalized(v, "repair")
 
