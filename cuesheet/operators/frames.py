@@ -5,6 +5,8 @@ Frames of a timeline are ordered by `order`; windows are over the key columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -18,6 +20,18 @@ def centred(keys: Keys, order: str, size: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(-(size // 2), size - 1 - size // 2)
 
 
+def in_chunks(rows: DataFrame, keys: Keys, order: str, reach: int, f: Callable[[DataFrame, list[str]], DataFrame], chunk: int = 1 << 16) -> DataFrame:
+    """What `f(rows, keys)` gives, where each frame depends on no more than `reach` frames on either side, without one task for a timeline.
+
+    Frames are numbered by `order` without holes. Each chunk of them is handled as a timeline of its own with the frames within reach on both sides beside it, whose own results are dropped; so a long recording is spread
+    over as many tasks as it has chunks.
+    """
+    own = F.floor(F.col(order) / chunk)
+    each = F.array_distinct(F.array(own, F.floor((F.col(order) - reach) / chunk), F.floor((F.col(order) + reach) / chunk)))
+    found = f(rows.withColumn("_chunk", F.explode(each)), [*keys, "_chunk"])
+    return found.where(F.col("_chunk") == own).drop("_chunk")
+
+
 def moving_average(col: str | Column, keys: Keys, order: str, size: int) -> Column:
     return F.avg(col).over(centred(keys, order, size))
 

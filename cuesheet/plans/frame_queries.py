@@ -26,7 +26,7 @@ def w01(v):
 
 @query("W02_local_extrema", """SELECT media_id, frame, rms FROM (SELECT *, max(rms) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS a, max(rms) OVER (PARTITION BY media_id ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS b FROM tl) WHERE rms > a AND rms > b""")
 def w02(v):
-    return fr.local_extrema(v.tl, "rms", M, "frame", 3).select("media_id", "frame", "rms")
+    return fr.in_chunks(v.tl, M, "frame", 3, lambda rows, keys: fr.local_extrema(rows, "rms", keys, "frame", 3), 64).select("media_id", "frame", "rms")
 
 
 CHANGE = f"""s AS (SELECT *, coalesce(abs(rms - lag(rms) OVER (PARTITION BY media_id ORDER BY frame)), 0.0) AS step FROM tl), m AS (SELECT *, avg(step) {SMOOTH5} AS smooth FROM s),
@@ -73,7 +73,8 @@ OPENED = """o1 AS (SELECT media_id, frame, min((rms > 20)::INT) OVER (PARTITION
 @query("W08_binary_open_close", f"WITH {OPENED} SELECT * FROM o4")
 def w08(v):
     rows = v.tl.select("media_id", "frame", (F.col("rms") > 20).alias("flag"))
-    return fr.binary_close(fr.binary_open(rows, "flag", M, "frame", 3), "flag", M, "frame", 5)
+    both = lambda some, keys: fr.binary_close(fr.binary_open(some, "flag", keys, "frame", 3), "flag", keys, "frame", 5)
+    return fr.in_chunks(rows, M, "frame", 6, both, 64)
 
 
 #: frame numbers as seconds; the energy as the change, no change after a dark or bright frame and at first

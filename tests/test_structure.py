@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuesheet.operators import alignment, asof, classification, durations, structure
+from cuesheet.operators import alignment, asof, classification, durations, frames, structure
 
 
 def test_a_passage_that_comes_again_is_found(spark):
@@ -182,3 +182,17 @@ def test_every_line_has_a_time(spark):
     assert got[1, 3].start_s == pytest.approx(14.4 + (12 - 4) / (24 - 4) * (36.4 - 14.4)) and got[1, 3].confidence == pytest.approx(0.62)
     assert got[1, 5].start_s == pytest.approx(14.4 + (20 - 4) / 20 * 22) and got[1, 5].end_s <= 36.35
     assert got[3, 0].start_s == pytest.approx(0.55 * 18 + 0.45 * 7) and got[3, 0].confidence == 0.25
+
+
+def test_chunks_give_what_whole_timelines_give(spark):
+    """Half of all frames are in one recording."""
+    rng = random.Random(8)
+    rows = [(m, i, float(rng.randrange(50)), rng.random() < 0.5) for m, n in ((1, 600), (2, 200), (3, 1), (4, 399)) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "m int, frame long, rms double, flag boolean")
+    for reach, f in (
+        (4, lambda x, k: x.withColumn("rms", frames.moving_average("rms", k, "frame", 8))),
+        (5, lambda x, k: frames.local_extrema(x, "rms", k, "frame", 5, "min")),
+        (12, lambda x, k: frames.binary_close(frames.binary_open(x, "flag", k, "frame", 4), "flag", k, "frame", 8)),
+    ):
+        want = sorted(map(str, f(df, ["m"]).select("m", "frame", "rms", "flag").collect()))
+        assert want and all(sorted(map(str, frames.in_chunks(df, ["m"], "frame", reach, f, chunk).select("m", "frame", "rms", "flag").collect())) == want for chunk in (16, 64, 1 << 16))
