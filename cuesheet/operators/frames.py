@@ -93,6 +93,13 @@ def binary_close(rows: DataFrame, flag: str, keys: Keys, order: str, size: int)
     return rows.withColumn(flag, dilated(flag, keys, order, size)).withColumn(flag, eroded(flag, keys, order, size))
 
 
+def time_sessions(rows: DataFrame, keys: Keys, time: str, gap: float) -> DataFrame:
+    """Stretches of frames not more than the gap apart: start_s, end_s, n. The stream's reading is `streaming.live.session_regions`."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    runs = islands(rows.withColumn("_gap", F.col(time) - F.lag(time).over(w)), keys, [time], F.coalesce(F.col("_gap") > gap, F.lit(True)))
+    return runs.groupBy(*keys, "island").agg(F.min(time).alias("start_s"), F.max(time).alias("end_s"), F.count("*").alias("n")).drop("island")
+
+
 #: frames darker or brighter than this aren't compared with others
 DARK, BRIGHT = 10.0, 250.0
 

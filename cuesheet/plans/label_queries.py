@@ -290,4 +290,4 @@ def t04(v):
 
 @query("T05_session_regions", "WITH g AS (SELECT *, sum(CASE WHEN gap > 100 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, t - lag(t) OVER (PARTITION BY media_id ORDER BY t) AS gap FROM tl)) SELECT media_id, min(t) AS start_s, max(t) AS end_s, count(*) AS n FROM g GROUP BY media_id, island", "start_s end_s")
 def t05(v):
-    return fr.static_runs(v.tl, "rms", M, "t", float("inf"), 100.0, 0.0)
+    return fr.time_sessions(v.tl, M, "t", 100.0)
