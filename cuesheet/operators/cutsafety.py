@@ -83,14 +83,16 @@ def protect_sentences(clips: DataFrame, sentences: DataFrame, words: DataFrame,
 def repair_short(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
     """Clips that are too short borrow from a neighbour that can spare it, else join one of their kind, else stay if they are sung, else go; with nr.
 
-    After each change the clip before is looked at again. Two neighbours that are long enough and don't overlap stay so and never change each other, and nothing joins over more than `longest`: the clips between such
+    After each change the clip before is looked at again. Two neighbours that are long enough and overlap no clip stay so and never change each other, and nothing joins over more than `longest`: the clips between such
     places are one repair, with the sentences around them. A timeline's only clip stays.
     """
     rows = clips.where(F.col("end_s") - F.col("start_s") > EQUAL)
     w = Window.partitionBy(*keys).orderBy("start_s", "end_s", "nr")
     rows = rows.withColumns({"_short": shortest - (F.col("end_s") - F.col("start_s")) > EQUAL, "_all": F.count("*").over(Window.partitionBy(*keys))})
-    rows = rows.withColumns({"_before": F.lag("_short").over(w), "_reach": F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    apart = F.col("_before").isNull() | (~F.col("_short") & ~F.col("_before") & (F.col("start_s") >= F.col("_reach"))) | (F.col("start_s") - F.col("_reach") > longest + EQUAL)
+    rows = rows.withColumns({"_reach": F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.lead("start_s").over(w)})
+    alone = F.coalesce(F.col("start_s") >= F.col("_reach"), F.lit(True)) & F.coalesce(F.col("_next") >= F.col("end_s"), F.lit(True))
+    rows = rows.withColumn("_firm", ~F.col("_short") & alone).withColumn("_before", F.lag("_firm").over(w))
+    apart = F.col("_before").isNull() | (F.col("_firm") & F.col("_before")) | (F.col("start_s") - F.col("_reach") > longest + EQUAL)
     rows = islands(rows, keys, ["start_s", "end_s", "nr"], apart)
     part = [*keys, "island"]
     item = F.struct("start_s", "end_s", "nr", "type", "is_highlight", "song_index", F.col(order).cast("long").alias("ident"))
