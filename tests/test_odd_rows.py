@@ -16,3 +16,15 @@ def test_share_of_a_segment_without_length(spark):
     found = {r.seg_index: (r.click, r.view) for r in iv.overlap_ratio(segments, activity, ["media_id"], ["seg_index"], ["click", "view"]).collect()}
     assert found[2] == (0.8, 0.0)
     assert all(math.isnan(x) for i in (1, 3) for x in found[i])
+
+
+def test_label_of_a_segment_without_length(spark):
+    from pyspark.sql import functions as F
+
+    from cuesheet.functions import labels as lb
+
+    segments = spark.createDataFrame([(1, 1, 5.0, 5.0, "signup", 0.0)], SEG)
+    activity = spark.createDataFrame([(1, 1, "click", 0.0, 8.0)], ACT)
+    shares = iv.overlap_ratio(segments, activity, ["media_id"], ["seg_index", "label", "confidence"], ["click", "view"])
+    found = lb.refined_by_activity(F.col("label"), F.col("confidence"), F.col("click"), F.col("view"), intro="purchase", spoken=("error", "signup"))
+    assert shares.select(found.alias("x")).select("x.label", "x.confidence").collect() == [("verse", 0.3)]
