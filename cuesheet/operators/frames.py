@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cuesheet.operators.intervals import BUCKET_S, Keys, in_buckets, islands, merge_intervals, overlap_join
+from cuesheet.operators.intervals import BUCKET_S, Keys, in_buckets, islands, merge_intervals, overlap_join, share_of
 
 
 def centred(keys: Keys, order: str, size: int) -> WindowSpec:
@@ -349,8 +349,9 @@ def voice_mask(rows: DataFrame, keys: Keys) -> DataFrame:
 
 
 def vocal_share(vocal: Column, full: Column) -> Column:
-    """The voice ratio where voices were separated: their energy over that of everything, at most 1."""
-    return F.coalesce(F.least(F.lit(1.0), vocal / F.nullif(full, F.lit(0.0))), F.lit(0.0))
+    """The voice ratio where voices were separated: their energy (null where there are none) over that of everything, at most 1; 1 in silence."""
+    # least skips nulls, so that none may reach it; NaN is more than 1
+    return F.least(F.lit(1.0), share_of(F.coalesce(vocal, F.lit(0.0)), full))
 
 
 def agreeing_signals(points: DataFrame, keys: Keys, time: str, signal: str, tolerance: float = 3.0, fewest: int = 2) -> DataFrame:

@@ -36,3 +36,12 @@ def test_segment_without_length_in_a_region(spark):
     totals = spark.createDataFrame([(1, 100.0)], "media_id long, total_s double")
     found = iv.upgrade_by_region_overlap(segments, regions, totals, ["media_id"], ["seg_index"], ["error"]).select("seg_index", "label").collect()
     assert sorted(found) == [(1, "chorus"), (2, "error")]
+
+
+def test_vocal_share_without_voices_and_in_silence(spark):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.frames import vocal_share
+
+    rows = spark.createDataFrame([(1, None, 2.0), (2, 1.0, 2.0), (3, 0.0, 0.0), (4, None, 0.0), (5, 3.0, 2.0)], "k long, vocal double, full double")
+    assert sorted(rows.select("k", vocal_share(F.col("vocal"), F.col("full"))).collect()) == [(1, 0.0), (2, 0.5), (3, 1.0), (4, 1.0), (5, 1.0)]
