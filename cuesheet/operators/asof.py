@@ -25,10 +25,11 @@ def with_neighbours(points: DataFrame, refs: DataFrame, keys: Keys, strict: bool
     return near.where("_side = 1").select(*keys, "t", "_row.*", "_before", "_after")
 
 
-def asof_nearest(points: DataFrame, refs: DataFrame, keys: Keys, farthest: float, force: bool = False) -> DataFrame:
-    """Adds snapped_t: the nearest reference within `farthest` (any, if forced), else the point; of equally near ones the earlier."""
+def asof_nearest(points: DataFrame, refs: DataFrame, keys: Keys, farthest: float, force: bool = False, digits: int | None = None) -> DataFrame:
+    """Adds snapped_t: the nearest reference within `farthest` (any, if forced), else the point; of equally near ones (to so many digits, if given) the earlier."""
     near = with_neighbours(points, refs, keys)
-    nearest = F.when(F.col("_after").isNull() | (F.col("t") - F.col("_before") <= F.col("_after") - F.col("t")), F.col("_before")).otherwise(F.col("_after"))
+    far = lambda x: x if digits is None else F.round(x, digits)
+    nearest = F.when(F.col("_after").isNull() | (far(F.col("t") - F.col("_before")) <= far(F.col("_after") - F.col("t"))), F.col("_before")).otherwise(F.col("_after"))
     found = near.withColumn("_near", nearest)
     usable = F.col("_near").isNotNull() & (F.lit(force) | (F.abs(F.col("_near") - F.col("t")) <= farthest))
     return found.withColumn("snapped_t", F.when(usable, F.col("_near")).otherwise(F.col("t"))).drop("_near", "_before", "_after")
@@ -50,7 +51,7 @@ def lookup_with_tolerance(points: DataFrame, scores: DataFrame, keys: Keys, tole
     """Adds score: that of the time (to one decimal) equal to the point's, else of the nearest within the tolerance, else 0."""
     one = lambda x: F.round(x + 1e-9, 1)
     known = scores.groupBy(*keys, one(F.col("t")).alias("t")).agg(F.max("score").alias("score"))
-    near = asof_nearest(points.withColumn("_t", F.col("t")).withColumn("t", one(F.col("t"))), known, keys, tolerance + 1e-9)
+    near = asof_nearest(points.withColumn("_t", F.col("t")).withColumn("t", one(F.col("t"))), known, keys, tolerance + 1e-9, digits=6)
     found = near.join(known.select(*keys, F.col("t").alias("snapped_t"), "score"), [*keys, "snapped_t"], "left")
     return found.withColumn("t", F.col("_t")).withColumn("score", F.coalesce("score", F.lit(0.0))).drop("_t", "snapped_t")
 

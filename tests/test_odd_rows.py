@@ -45,3 +45,12 @@ def test_vocal_share_without_voices_and_in_silence(spark):
 
     rows = spark.createDataFrame([(1, None, 2.0), (2, 1.0, 2.0), (3, 0.0, 0.0), (4, None, 0.0), (5, 3.0, 2.0)], "k long, vocal double, full double")
     assert sorted(rows.select("k", vocal_share(F.col("vocal"), F.col("full"))).collect()) == [(1, 0.0), (2, 0.5), (3, 1.0), (4, 1.0), (5, 1.0)]
+
+
+def test_equally_near_scores_give_the_earlier(spark):
+    from cuesheet.operators.asof import lookup_with_tolerance
+
+    points = spark.createDataFrame([(1, 1, 10.3)], "media_id long, point_id long, t double")
+    scores = spark.createDataFrame([(1, 10.1, 1.0), (1, 10.5, 2.0)], "media_id long, t double, score double")
+    assert 10.3 - 10.1 > 10.5 - 10.3
+    assert lookup_with_tolerance(points, scores, ["media_id"], 5.0).select("score").collect() == [(1.0,)]
