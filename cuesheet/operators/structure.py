@@ -198,7 +198,9 @@ def song_boundaries(points: DataFrame, frames: DataFrame, totals: DataFrame, key
     few = counts.where((F.col("_end") > song) & (F.coalesce("_n", F.lit(0)) < F.greatest(F.lit(fewest), F.floor(F.col("_end") / song)))).select(*keys, "_end")
     valleys = local_extrema(frames.join(few, list(keys)), energy, keys, time, reach, "min").where(F.col("_end") - F.col(time) >= tail)
     spaced = min_spacing_filter(valleys.select(*keys, F.col(time).alias("t")), keys, "t", distance, 0.0)
-    around = chosen.select(*keys, (F.col("t") - distance).alias("start_s"), (F.col("t") + distance).alias("end_s"))
-    near = overlap_join(spaced.withColumns({"start_s": F.col("t"), "end_s": F.col("t")}), around, keys, eps=-1e-9).select(*keys, "t").distinct()
+    around = chosen.select(*keys, "t", (F.col("t") - distance).alias("start_s"), (F.col("t") + distance).alias("end_s"))
+    met = overlap_join(spaced.withColumns({"start_s": F.col("t"), "end_s": F.col("t")}), around, keys, eps=-1e-6)
+    # the edges of the stretches are rounded, the distance decides
+    near = met.where(F.abs(F.col("b_t") - F.col("t")) <= distance).select(*keys, "t").distinct()
     added = spaced.join(near, [*keys, "t"], "left_anti")
     return chosen.select(*keys, "t", F.lit("score").alias("origin")).unionByName(added.select(*keys, "t", F.lit("valley").alias("origin")))

@@ -54,3 +54,14 @@ def test_equally_near_scores_give_the_earlier(spark):
     scores = spark.createDataFrame([(1, 10.1, 1.0), (1, 10.5, 2.0)], "media_id long, t double, score double")
     assert 10.3 - 10.1 > 10.5 - 10.3
     assert lookup_with_tolerance(points, scores, ["media_id"], 5.0).select("score").collect() == [(1.0,)]
+
+
+def test_valley_just_beyond_the_distance(spark):
+    from cuesheet.operators.structure import song_boundaries
+
+    chosen, valley = next((a / 1000, (a + 60_000) / 1000) for a in range(100_001, 200_000) if (a + 60_000) / 1000 - a / 1000 > 60.0)
+    points = spark.createDataFrame([(1, chosen, 1.0)], "media_id long, t double, rms double")
+    frames = spark.createDataFrame([(1, t, r) for t, r in ((valley - 2, 5.0), (valley - 1, 5.0), (valley, 1.0), (valley + 1, 5.0), (valley + 2, 5.0))], "media_id long, t double, rms double")
+    totals = spark.createDataFrame([(1, 900.0)], "media_id long, total_s double")
+    found = song_boundaries(points, frames, totals, ["media_id"], "t", "rms", "rms", distance=60.0, song=250.0, reach=2)
+    assert sorted(found.select("t", "origin").collect()) == [(chosen, "score"), (valley, "valley")]
