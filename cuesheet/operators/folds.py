@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuesheet.operators.frames import quantile
 from cuesheet.operators.intervals import Keys, islands
 
 
@@ -244,7 +245,7 @@ def structure_split(frames: DataFrame, beats: DataFrame, totals: DataFrame, keys
     counting for up to 0.3 of it, else at the target; then it moves to the nearest beat (t) within 2 s. Changes above the 70th percentile are strong, or where
     fewer than three are, above the median. Gathered are the strong frames and beats of one timeline.
     """
-    q = frames.groupBy(*keys).agg(F.percentile("change", F.lit(0.7)).alias("_p70"), F.percentile("change", F.lit(0.5)).alias("_p50"))
+    q = frames.groupBy(*keys).agg(quantile("change", 0.7).alias("_p70"), quantile("change", 0.5).alias("_p50"))
     marked = frames.join(q, list(keys))
     counts = marked.groupBy(*keys).agg((F.count_if(F.col("change") > F.col("_p70")) < 3).alias("_few"))
     strong = marked.join(counts, list(keys)).where((F.col("change") > F.col("_p70")) | F.col("_few") & (F.col("change") > F.col("_p50")))

@@ -20,6 +20,17 @@ def centred(keys: Keys, order: str, size: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(-(size // 2), size - 1 - size // 2)
 
 
+def quantile(col: str, share: float) -> Column:
+    """The share-quantile of a group's values, as the lower neighbour and part of the step to the upper one.
+
+    F.percentile weighs both neighbours, which rounds otherwise; where values lie as close as sums in another order do, another of them is then above the quantile.
+    """
+    values = F.sort_array(F.collect_list(col))
+    at = (F.size(values) - 1) * F.lit(share)
+    low, high = (F.element_at(values, (f(at) + 1).cast("int")) for f in (F.floor, F.ceil))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def in_chunks(rows: DataFrame, keys: Keys, order: str, reach: int, f: Callable[[DataFrame, list[str]], DataFrame], chunk: int = 1 << 16) -> DataFrame:
     """What `f(rows, keys)` gives, where each frame depends on no more than `reach` frames on either side, without one task for a timeline.
 

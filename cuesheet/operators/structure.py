@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.operators.folds import min_spacing_filter, select_by_score
-from cuesheet.operators.frames import local_extrema, moving_average, unit
+from cuesheet.operators.frames import local_extrema, moving_average, quantile, unit
 from cuesheet.operators.intervals import Keys, islands, overlap_join
 
 #: of the grid on which similarities are counted and compared
@@ -177,7 +177,7 @@ def energy_regions(rows: DataFrame, keys: Keys, order: str, col: str, smooth: in
     cut at the timeline's ends and has `shortest` frames or more.
     """
     series = numbered_frames(rows.select(*keys, order, moving_average(col, keys, order, smooth).alias("_s")), keys, order, "_s")
-    level = series.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("_p50"), F.max("v").alias("_top"), F.count("*").alias("_n"))
+    level = series.groupBy(*keys).agg(quantile("v", 0.5).alias("_p50"), F.max("v").alias("_top"), F.count("*").alias("_n"))
     tops = flat_peaks(series, "v", keys, "nr").join(level, list(keys)).where(F.col("v") >= F.col("_p50")).select(*keys, F.col("nr").cast("double").alias("_at"), "v")
     peaks = select_by_score(tops, keys, "_at", "v", float(distance)).select(*keys, F.col("_at").cast("long").alias("nr"), "v")
     found = prominences(series, peaks, keys, chunk).where(F.col("prominence") >= prominence).join(level, list(keys))

@@ -65,3 +65,15 @@ def test_valley_just_beyond_the_distance(spark):
     totals = spark.createDataFrame([(1, 900.0)], "media_id long, total_s double")
     found = song_boundaries(points, frames, totals, ["media_id"], "t", "rms", "rms", distance=60.0, song=250.0, reach=2)
     assert sorted(found.select("t", "origin").collect()) == [(chosen, "score"), (valley, "valley")]
+
+
+def test_quantile_between_values_an_ulp_apart(spark):
+    from cuesheet.operators.folds import structure_split
+
+    low, high = 0.5484816546999538, 0.5484816546999539
+    change = [(1, 10.0, 0.1)] * 40 + [(1, 10.0, low), (1, 200.0, high)] + [(1, 10.0, 0.9)] * 17
+    frames = spark.createDataFrame(change, "media_id long, t double, change double")
+    totals = spark.createDataFrame([(1, 500.0)], "media_id long, total_s double")
+    beats = spark.createDataFrame([], "media_id long, t double")
+    found = structure_split(frames, beats, totals, ["media_id"], 300.0, 150.0, 450.0)
+    assert sorted(found.select("start_s", "end_s").collect()) == [(0.0, 300.0), (300.0, 500.0)]
