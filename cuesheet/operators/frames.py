@@ -306,16 +306,16 @@ def top_classes(frames: DataFrame, keys: Keys, frame: str, size: int, k: int = 3
     return counts.withColumn("nr", nr).where(F.col("nr") <= k)
 
 
-def segment_features(frames: DataFrame, segments: DataFrame, keys: Keys, segment_id: str, time: str, energy: str, centroid: str, likelihood: str, silent: float) -> DataFrame:
+def segment_features(frames: DataFrame, segments: DataFrame, keys: Keys, segment_id: str, time: str, order: str, energy: str, centroid: str, likelihood: str, silent: float) -> DataFrame:
     """Of the frames in each segment: energy and centroid by mean, deviation, relation to the timeline's mean and (centroid) first-to-last change, the share of
-    silence, the energy's variance, and the mean likelihood of a repeat."""
+    silence, the energy's variance, and the mean likelihood of a repeat. Of frames at one time the first by `order` counts at either end."""
     whole = frames.groupBy(*keys).agg(F.avg(energy).alias("_e"), F.avg(centroid).alias("_c"))
     held = in_buckets(segments.select(*keys, segment_id, "start_s", "end_s"), "start_s", "end_s")
-    timed = frames.select(*keys, time, energy, centroid, likelihood, F.floor(F.col(time) / BUCKET_S).alias("_bucket"))
+    timed = frames.select(*keys, time, order, energy, centroid, likelihood, F.floor(F.col(time) / BUCKET_S).alias("_bucket"))
     inside = held.join(timed, [*keys, "_bucket"]).where((F.col(time) >= F.col("start_s")) & (F.col(time) < F.col("end_s")))
     found = inside.groupBy(*keys, segment_id).agg(
         F.avg(energy).alias("energy"), F.stddev_pop(energy).alias("deviation"), F.var_pop(energy).alias("variance"), F.avg((F.col(energy) < silent).cast("double")).alias("silence_ratio"),
-        F.avg(centroid).alias("centroid"), F.stddev_pop(centroid).alias("centroid_std"), (F.max_by(centroid, time) - F.min_by(centroid, time)).alias("centroid_gradient"), F.avg(likelihood).alias("repeat_likelihood"),
+        F.avg(centroid).alias("centroid"), F.stddev_pop(centroid).alias("centroid_std"), (F.max_by(centroid, F.struct(time, -F.col(order))) - F.min_by(centroid, F.struct(time, order))).alias("centroid_gradient"), F.avg(likelihood).alias("repeat_likelihood"),
     )
     both = found.join(whole, list(keys))
     return both.withColumns({"relative_energy": F.col("energy") / F.nullif("_e", F.lit(0.0)), "centroid_relative": F.col("centroid") / F.nullif("_c", F.lit(0.0))}).drop("_e", "_c")

@@ -153,7 +153,7 @@ def a02(v):
     avg(likelihood) AS repeat_likelihood, avg(rms) / any_value(we) AS relative_energy, avg(centroid) / any_value(wc) AS centroid_relative FROM i JOIN w USING (media_id) GROUP BY i.media_id, seg_index""",
     "energy deviation variance silence_ratio centroid centroid_std centroid_gradient repeat_likelihood relative_energy centroid_relative")
 def a03(v):
-    return fr.segment_features(featured(v), v.seg, M, "seg_index", "t", "rms", "centroid", "likelihood", 10.0)
+    return fr.segment_features(featured(v), v.seg, M, "seg_index", "t", "frame", "rms", "centroid", "likelihood", 10.0)
 
 
 @query("A20_interval_stability", """WITH g AS (SELECT media_id, t - lag(t) OVER (PARTITION BY media_id ORDER BY t) AS gap FROM tl WHERE kind = 'click')

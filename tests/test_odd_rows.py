@@ -77,3 +77,13 @@ def test_quantile_between_values_an_ulp_apart(spark):
     beats = spark.createDataFrame([], "media_id long, t double")
     found = structure_split(frames, beats, totals, ["media_id"], 300.0, 150.0, 450.0)
     assert sorted(found.select("start_s", "end_s").collect()) == [(0.0, 300.0), (300.0, 500.0)]
+
+
+def test_first_of_frames_at_one_time(spark):
+    from cuesheet.operators.frames import segment_features
+
+    frames = spark.createDataFrame([(1, 2, 0.0, 1.0, 30.0, 0.5), (1, 1, 0.0, 1.0, 10.0, 0.5), (1, 4, 5.0, 1.0, 90.0, 0.5), (1, 3, 5.0, 1.0, 40.0, 0.5)], "media_id long, frame long, t double, rms double, centroid double, likelihood double")
+    segments = spark.createDataFrame([(1, 1, 0.0, 9.0, "error", 0.0)], SEG)
+    for some in (frames, frames.orderBy("frame"), frames.orderBy("frame", ascending=False)):
+        found = segment_features(some, segments, ["media_id"], "seg_index", "t", "frame", "rms", "centroid", "likelihood", 10.0)
+        assert found.select("centroid_gradient").collect() == [(30.0,)]
