@@ -175,16 +175,19 @@ def title_from_lyrics(text: Column) -> Column:
     return F.coalesce(*found)
 
 
+def lifted_ratio(matcher: SequenceMatcher, x: str, y: str) -> float:
+    """The ratio of x and the matcher's second text y, neither of them empty, raised to floors where one holds the other."""
+    matcher.set_seq1(x)
+    held = 0.45 * len(y) / len(x) + 0.08 if y in x else 0.40 * len(x) / len(y) + 0.08 if x in y else 0.0
+    return min(1.0, max(matcher.ratio(), held))
+
+
 @F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio, raised to floors where one text holds the other; 0 where either is empty."""
 
     def one(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        ratio = SequenceMatcher(None, x, y).ratio()
-        held = 0.45 * len(y) / len(x) + 0.08 if y in x else 0.40 * len(x) / len(y) + 0.08 if x in y else 0.0
-        return min(1.0, max(ratio, held))
+        return lifted_ratio(SequenceMatcher(None, "", y), x, y) if x and y else 0.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 

@@ -17,11 +17,62 @@ from cuesheet.operators.asof import NO_ANCHOR_S, fill_between_anchors
 from cuesheet.operators.intervals import Keys
 
 
+#: lines of one song that a task compares at a time, and the tasks of a comparison; given by number, they aren't joined for having few bytes
+LINES, PARTS = 64, 96
+
+
+class WindowTexts:
+    """The windows of one song, in order, with their characters counted."""
+
+    def __init__(self, texts: list[str], centres: np.ndarray) -> None:
+        self.texts, self.centres = texts, centres
+        places = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
+        self.places, self.sizes = places, np.array([len(x) for x in texts])
+        distinct, self.which = np.unique(np.array(texts, dtype=object), return_inverse=True)
+        counts = np.zeros((len(distinct), len(places)), np.int32)
+        for row, x in zip(counts, distinct, strict=True):
+            np.add.at(row, [places[c] for c in x], 1)
+        self.distinct, self.counts = distinct, counts
+
+    def best(self, text: str, expected: float | None, penalty: float, drift: float, k: int, least: float, reach: float | None) -> list[tuple[float, float, float]]:
+        """The k best windows (centre, similarity, score) for a line.
+
+        Characters in common, whatever their order, bound the similarity and so the score; windows are compared from the highest bound on,
+        until k have a score that none of the others can reach. Equal texts are compared once.
+        """
+        own = np.zeros(len(self.places), np.int32)
+        for c, n in Counter(text).items():
+            if c in self.places:
+                own[self.places[c]] = n
+        size = len(text)
+        both = np.minimum(self.counts, own).sum(1)[self.which]
+        bound = 2 * both / (self.sizes + size)
+        # a text that holds the other may be lifted (see `similarity_ratio`)
+        held = np.where(both == size, 0.45 * size / self.sizes + 0.08, np.where(both == self.sizes, 0.40 * self.sizes / size + 0.08, 0.0))
+        bound = np.minimum(1.0, np.maximum(bound, held))
+        near = np.full(len(bound), 0.5) if expected is None else np.maximum(0.0, 1 - np.abs(self.centres - expected) / drift)
+        usable = bound >= least
+        if reach is not None and expected is not None:
+            usable &= np.abs(self.centres - expected) <= reach
+        most = 0.82 * bound + 0.18 * near - penalty
+        matcher, known, kept = SequenceMatcher(None, "", text), {}, []
+        for i in sorted(np.flatnonzero(usable).tolist(), key=lambda i: (-most[i], i)):
+            if len(kept) == k and most[i] < -kept[-1][0] - 1e-8:
+                break
+            of = self.which[i]
+            if of not in known:
+                known[of] = tx.lifted_ratio(matcher, self.texts[i], text)
+            if known[of] >= least:
+                score = round(0.82 * known[of] + 0.18 * near[i] - penalty, 9)
+                kept = sorted([*kept, (-score, float(self.centres[i]), known[of])])[:k]
+        return [(centre, ratio, -score) for score, centre, ratio in kept]
+
+
 def line_window_candidates(lines: DataFrame, windows: DataFrame, keys: Keys, scale: float = 1.0, offset: float = 0.0, drift: float = 6.0, k: int = 8, least: float = 0.06, reach: float | None = None) -> DataFrame:
     """The k best windows (center, text) for each line (line, text, t): keys, line, center, similarity, score.
 
     The score is 0.82 of the similarity and 0.18 of how near the window is to the line's expected time, less for short lines and for
-    lines that occur often. Windows that can't reach the least similarity by their length aren't compared; nor are, where `reach` is given,
+    lines that occur often. Windows that by their characters can't be among the k best, or reach the least similarity, aren't compared; nor are, where `reach` is given,
     those further than that from a timed line's expected time. Of equals the earlier window.
     """
     norm = tx.norm_text_align(F.col("text"))
@@ -30,14 +81,28 @@ def line_window_candidates(lines: DataFrame, windows: DataFrame, keys: Keys, sca
     penalty = F.when(F.length("_n").between(1, 3), 0.08).otherwise(0.0) + F.when(F.col("_n") != "", F.least(F.lit(0.12), (F.col("_often") - 1) * 0.03)).otherwise(0.0)
     own = own.withColumn("_often", often).select(*keys, "line", "t", "_n", penalty.alias("_p")).where("_n <> ''")
     said = windows.select(*keys, "center", norm.alias("_w")).where("_w <> ''")
-    reaches = (tx.ratio_bound(F.col("_w"), F.col("_n")) >= least) | F.contains("_w", "_n") | F.contains("_n", "_w")
-    if reach is not None:
-        reaches = reaches & (F.col("t").isNull() | (F.abs(F.col("center") - (F.col("t") * scale + offset)) <= reach))
-    pairs = own.join(said, list(keys)).where(reaches).withColumn("similarity", tx.similarity_ratio("_w", "_n")).where(F.col("similarity") >= least)
-    nearness = F.when(F.col("t").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("center") - (F.col("t") * scale + offset)) / max(drift, 0.6)))
-    scored = pairs.withColumn("score", F.round(0.82 * F.col("similarity") + 0.18 * nearness - F.col("_p"), 9))
-    nr = F.row_number().over(Window.partitionBy(*keys, "line").orderBy(F.desc("score"), "center"))
-    return scored.withColumn("_nr", nr).where(F.col("_nr") <= k).select(*keys, "line", "t", "center", "similarity", "score")
+    dealt = own.withColumn("_part", F.pmod(F.xxhash64("line"), F.ceil(F.count("*").over(Window.partitionBy(*keys)) / LINES)))
+    group = [*keys, "_part"]
+    asked = dealt.withColumns({"t": F.col("t").cast("double"), "_p": F.col("_p").cast("double")}).repartition(PARTS, *group)
+    met = said.withColumn("center", F.col("center").cast("double")).join(dealt.select(*group).distinct(), list(keys))
+    met = met.select(*(F.col(c).alias(c) for c in (*group, "center", "_w"))).repartition(PARTS, *group)  # columns of its own, as both sides come from the lines
+    types = {f.name: f.dataType.simpleString() for f in own.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "line")) + ", t double, center double, similarity double, score double"
+
+    def run(mine: pa.Table, others: pa.Table) -> pa.Table:
+        found, of = [], []
+        if len(mine) and len(others):
+            others = others.sort_by("center")
+            known = WindowTexts(others.column("_w").to_pylist(), others.column("center").to_numpy())
+            for i, (text, t, p) in enumerate(zip(mine.column("_n").to_pylist(), mine.column("t").to_pylist(), mine.column("_p").to_pylist(), strict=True)):
+                some = known.best(text, None if t is None else t * scale + offset, p, max(drift, 0.6), k, least, reach)
+                found += some
+                of += [i] * len(some)
+        heads = {c: mine.column(c).take(pa.array(of, pa.int64())) for c in (*keys, "line", "t")}
+        values = {c: pa.array([x[j] for x in found], pa.float64()) for j, c in enumerate(("center", "similarity", "score"))}
+        return pa.table(heads | values)
+
+    return asked.groupBy(*group).cogroup(met.groupBy(*group)).applyInArrow(run, schema)
 
 
 def best_path(groups: list[tuple[float | None, np.ndarray, np.ndarray]], scale: float, drift: float, back: float = 0.2) -> list[int]:
