@@ -234,4 +234,4 @@ def sequential_line_match(lines: DataFrame, words: DataFrame, keys: Keys, least:
 
     mine = lines.select(*keys, "line", "text", F.col("t").cast("double").alias("t"))
     said = words.select(*(F.col(k).alias(k) for k in keys), F.col("nr").cast("long").alias("nr"), "word", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
-    return mine.groupBy(*keys).cogroup(said.groupBy(*keys)).applyInArrow(run, schema)
+    return mine.repartition(PARTS, *keys).groupBy(*keys).cogroup(said.repartition(PARTS, *keys).groupBy(*keys)).applyInArrow(run, schema)
