@@ -7,9 +7,10 @@ which a spanning forest is kept. In a larger group each fingerprint names the wo
 it (in the bits outside the key); two fingerprints are within three bits exactly if one has a word at one bit that the
 other has at two. Rows then grow in proportion to the group, and no pair is lost.
 
-The pipeline's stage asks for another similarity: a Jaccard similarity of 0.8 or more between sets of five-word shingles. Such
-texts are around 10 of 64 bits apart, which no layout of blocks reaches in few keys, so its candidates share a band of least
-hashes instead, and are verified by their whole sets.
+The pipeline's stage asks for another similarity: a Jaccard similarity of 0.8 or more between sets of five-word shingles. Its
+candidates are the rows that SimHash brings together: the components of fingerprints (of five-word shingles) within three bits. Texts at
+0.8 are around 10 of 64 bits apart, which no layout of blocks reaches in few keys, so rows that share a band of least hashes are
+candidates too. All of them are verified by their whole sets.
 """
 
 from __future__ import annotations
@@ -46,17 +47,26 @@ def shingles(text: str, size: int = 3) -> list[str]:
     return list(map(" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def fingerprint(text: str, size: int = 3) -> int:
-    """Bits that are 1 in more than half of the shingles' hashes; zero for a text without words."""
-    parts = shingles(text, size)
-    if not parts:
-        return 0
+def hashed(parts: list[str]) -> np.ndarray:
+    """The shingles' hashes, repeats included."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, 42) for x in parts), np.uint64, len(parts))
+    return np.fromiter((digest(x, 42) for x in parts), np.uint64, len(parts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are 1 in more than half of the hashes; zero for none."""
+    n = len(hashes)
+    if not n:
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
     # 255 rows at a time, eight one-byte counters in each word
-    sums = np.add.reduceat(bits, np.arange(0, len(parts), 255), axis=0).view(np.uint8).reshape(-1, 64)
-    return int(np.packbits(sums.sum(0, dtype=np.int64) * 2 > len(parts), bitorder="little").view(np.uint64)[0])
+    sums = np.add.reduceat(bits, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64)
+    return int(np.packbits(sums.sum(0, dtype=np.int64) * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, size: int = 3) -> int:
+    """Bits that are 1 in more than half of the shingles' hashes; zero for a text without words."""
+    return majority(hashed(shingles(text, size)))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -155,8 +165,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shingle_set(text: str, size: int = STAGE_SIZE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text without words has one, so that all of these are alike."""
-    parts = set(shingles(text, size)) or {""}
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in parts), np.uint64, len(parts)))
+    return np.unique(hashed(shingles(text, size) or [""]))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -227,9 +236,9 @@ def _compared(plain: DataFrame, members: DataFrame, lists: list[str]) -> DataFra
 
 
 def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int = BAND_LIMIT) -> DataFrame:
-    """(u, v): rows, by the number in column `row`, whose shingle sets have a similarity of SIMILAR or more: enough to connect all that share a band.
+    """(u, v): rows, by the number in column `row`, whose shingle sets have a similarity of SIMILAR or more: enough to connect all that share a band or a component of fingerprints.
 
-    Candidates share a band; equal lists of candidates are compared once, by their whole sets. A list longer than `band_limit` is
+    Candidates are in one component of fingerprints within three bits (SimHash; its lists are those of band BANDS), or share a band of least hashes; equal lists of candidates are compared once, by their whole sets. A list longer than `band_limit` is
     dealt into parts, and one of its rows joins every part, so that its component is one after this first step in all but rare cases.
     Where it isn't, its rows are listed anew by their prefixes (see `_prefixes`), which all similar rows share and rows that have only some passage in
     common don't. In such a list the rows outside its largest component are compared with every row, block by block.
@@ -238,10 +247,15 @@ def similar_links(rows: DataFrame, row: str, text: str = "text", band_limit: int
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [band_keys(shingle_set(x.as_py())) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "keys"])
-
-    keyed = written(plain.mapInArrow(keys, "row long, keys array<long>")).select("row", F.posexplode("keys").alias("band", "key"))
+            every = [hashed(shingles(x.as_py(), STAGE_SIZE) or [""]) for x in b.column(1)]
+            fps = np.array([majority(x) for x in every], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([band_keys(np.unique(x)) for x in every], pa.list_(pa.int64()))], names=["row", "fp", "keys"])
+
+    made = written(plain.mapInArrow(keys, "row long, fp long, keys array<long>"))
+    nodes = made.select("fp").distinct()
+    near = nodes.join(components(links(nodes)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("key"))
+    grouped = written(made.select("row", "fp").join(near, "fp").select("row", F.lit(BANDS).alias("band"), "key"))
+    keyed = made.select("row", F.posexplode("keys").alias("band", "key")).union(grouped)
     dealt = F.xxhash64("row", "band")
     # the number of rows and two sums of hashes name a list
     name = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("list"), F.sum(F.hash("row").cast("long")).alias("list2")]

@@ -140,3 +140,16 @@ def test_odd_rows_leave_one_of_each_group(odd, empty, spark):
     assert left.columns == odd.columns and len(texts) == len(set(texts))
     assert sum(not (t or "").strip() for t in texts) == 1 and sum(len(t or "") > 100_000 for t in texts) == 1
     assert simhash.keep_one_of_each_group(spark, empty, DIR).count() == 0
+
+
+def test_rows_that_only_their_fingerprints_bring_together(spark):
+    """A pair at 0.8 that shares no band of least hashes, but whose fingerprints are within three bits; and one within three bits that is not alike."""
+    rng = random.Random(1002)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = own(40) * 12
+    docs = [(1, " ".join(base + own(5))), (2, " ".join(base + own(5))), (3, " ".join(base + own(40)))]
+    sets, bits = [simhash.shingle_set(t) for _, t in docs], [simhash.fingerprint(t, 5) for _, t in docs]
+    assert not (simhash.band_keys(sets[0]) == simhash.band_keys(sets[1])).any()
+    assert max((bits[0] ^ x).bit_count() for x in bits[1:]) <= 3
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(spark, df, DIR).collect()) == [1, 3]
