@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -175,31 +176,87 @@ def title_from_lyrics(text: Column) -> Column:
     return F.coalesce(*found)
 
 
+class BitMatcher(SequenceMatcher):
+    """difflib's matcher, with the same matches; the longest one of a large block is found in one integer, a bit for each equal pair of characters."""
+
+    #: blocks of fewer pairs are left to difflib
+    LEAST = 1000
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> tuple[int, int, int]:
+        a, b = self.a, self.b
+        ahi, bhi = len(a) if ahi is None else ahi, len(b) if bhi is None else bhi
+        if (ahi - alo) * (bhi - blo) < self.LEAST:
+            return super().find_longest_match(alo, ahi, blo, bhi)
+        # a row of bytes for each character of a, with a free bit at its end, so that no run of the diagonal goes on in the next row but one
+        wide, rows = (bhi - blo) // 8 + 1, {}
+        for c in set(a[alo:ahi]):
+            rows[c] = sum(1 << j - blo for j in self.b2j.get(c, ()) if blo <= j < bhi).to_bytes(wide, "little")
+        runs = [int.from_bytes(b"".join(map(rows.__getitem__, a[alo:ahi])), "little")]
+        i, j, size, step = alo, blo, 0, 8 * wide + 1
+        if runs[0]:
+            # runs[k] has the places where 2^k equal pairs begin
+            while longer := runs[-1] & runs[-1] >> (step << len(runs) - 1):
+                runs.append(longer)
+            found, size = runs[-1], 1 << len(runs) - 1
+            for k in range(len(runs) - 2, -1, -1):
+                if longer := found & runs[k] >> step * size:
+                    found, size = longer, size + (1 << k)
+            y, x = divmod((found & -found).bit_length() - 1, 8 * wide)
+            i, j = alo + y, blo + x
+        # very frequent characters of a long text are not in b2j; they lengthen a match only
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        return i, j, size
+
+
+def whole_ratio(x: str, y: str) -> float:
+    return BitMatcher(None, x, y).ratio()
+
+
+#: the ratios of short texts, which recur, are remembered
+short_ratio = lru_cache(1 << 16)(whole_ratio)
+
+
+def ratio(x: str, y: str) -> float:
+    """difflib's ratio of two texts."""
+    return short_ratio(x, y) if len(x) + len(y) <= 128 else whole_ratio(x, y)
+
+
+def lifted(found: float, x: str, y: str) -> float:
+    """A ratio of two texts, neither of them empty, raised to floors where one holds the other."""
+    held = 0.45 * len(y) / len(x) + 0.08 if y in x else 0.40 * len(x) / len(y) + 0.08 if x in y else 0.0
+    return min(1.0, max(found, held))
+
+
 def lifted_ratio(matcher: SequenceMatcher, x: str, y: str) -> float:
-    """The ratio of x and the matcher's second text y, neither of them empty, raised to floors where one holds the other."""
+    """The ratio of x and the matcher's second text y, lifted."""
     matcher.set_seq1(x)
-    held = 0.45 * len(y) / len(x) + 0.08 if y in x else 0.40 * len(x) / len(y) + 0.08 if x in y else 0.0
-    return min(1.0, max(matcher.ratio(), held))
+    return lifted(matcher.ratio(), x, y)
 
 
 @F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio, raised to floors where one text holds the other; 0 where either is empty."""
-
-    def one(x: str | None, y: str | None) -> float:
-        return lifted_ratio(SequenceMatcher(None, "", y), x, y) if x and y else 0.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series([lifted(ratio(x, y), x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 @F.pandas_udf(DoubleType())
 def plain_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio alone."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series([ratio(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def text_similarity(a: Column, b: Column, keep_ascii: bool = True) -> Column:
-    return similarity_ratio(norm_text_align(a, keep_ascii), norm_text_align(b, keep_ascii))
+    """`similarity_ratio` of the texts without blanks and punctuation; where one holds the other its matches are known, and they don't leave the JVM."""
+    x, y = norm_text_align(a, keep_ascii), norm_text_align(b, keep_ascii)
+    n, m = F.length(x), F.length(y)
+    # from 200 characters on difflib leaves out the frequent ones
+    inside = (x != "") & (y != "") & (m < 200) & (F.contains(x, y) | F.contains(y, x))
+    held = F.when(F.contains(x, y), 0.45 * m / n + 0.08).otherwise(0.40 * n / m + 0.08)
+    known = F.least(F.lit(1.0), F.greatest(2.0 * F.least(n, m) / (n + m), held))
+    return F.when(inside, known).otherwise(similarity_ratio(F.when(~inside, x), F.when(~inside, y)))
 
 
 def title_similarity(a: Column, b: Column) -> Column:

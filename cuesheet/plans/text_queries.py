@@ -17,6 +17,7 @@ from cuesheet.plans.song_queries import SPLIT
 from cuesheet.sources import documents as dc
 
 M = ["media_id"]
+TASKS = 96
 # a lyric text for each sentence: its words as stamped lines
 LRC = "lrc AS (SELECT media_id, pos, '[ti:x]' || chr(10) || '[00:' || lpad((pos % 60)::VARCHAR, 2, '0') || '.5][01:' || lpad((pos % 60)::VARCHAR, 2, '0') || '.25]' || replace(text, chr(10), chr(10) || '[02:10.125]') || chr(10) || ' tail ' AS lrc FROM sent)"
 
@@ -116,7 +117,9 @@ def f04(v):
 
 @query("F05_text_similarity")
 def f05(v):
-    pairs = v.line.where("line > 0").select("media_id", "line", "text").join(v.line.select("media_id", (F.col("line") + 1).alias("line"), F.col("text").alias("before")), ["media_id", "line"])
+    # dealt by number: comparing takes long for few bytes, and small parts would be put together
+    dealt = lambda rows: rows.repartition(TASKS, "media_id", "line")
+    pairs = dealt(v.line.where("line > 0").select("media_id", "line", "text")).join(dealt(v.line.select("media_id", (F.col("line") + 1).alias("line"), F.col("text").alias("before"))), ["media_id", "line"])
     return pairs.select("media_id", "line", tx.text_similarity(F.col("text"), F.col("before")).alias("similarity"))
 
 

@@ -174,3 +174,24 @@ def test_candidates_of_lines(spark):
                 rated.append((-round(0.82 * s + 0.18 * near - penalty, 9), c))
         want += [(i, c, -s) for s, c in sorted(rated)[:8]]
     assert sorted((r.line, r.center, r.score) for r in got) == sorted(want)
+
+
+def test_matches_are_those_of_difflib(monkeypatch):
+    rng = random.Random(4)
+    for k in range(1500):
+        monkeypatch.setattr(tx.BitMatcher, "LEAST", 0 if k % 3 else 1000)
+        letters = rng.choice(("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz鼠😀"))
+        x, y = ("".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 7, 60, 199, 200, 320)))) for _ in "xy")
+        assert tx.BitMatcher(None, x, y).get_matching_blocks() == SequenceMatcher(None, x, y).get_matching_blocks()
+
+
+def test_texts_inside_each_other_and_repeated_pairs_are_not_compared_again(spark, monkeypatch):
+    texts = ["", "abcabc", "bca", "😀鼠a", "xx 😀鼠a yy", "q" * 150 + "abc", "abc" * 66 + "zz", "abcabcabc", "zab", "ab" * 99 + "abc", "a, b!c"]
+    rows = [(x, y) for x in texts for y in texts]
+    bare = lambda t: t.replace(" ", "")
+    want = {(x, y): tx.lifted_ratio(SequenceMatcher(None, "", bare(y)), bare(x), bare(y)) if bare(x) and bare(y) else 0.0 for x, y in rows}
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert {(r.x, r.y): r.s for r in df.select("x", "y", tx.text_similarity(F.col("x"), F.col("y")).alias("s")).collect()} == want
+    calls = []
+    monkeypatch.setattr(tx, "short_ratio", tx.lru_cache(1 << 16)(lambda x, y: calls.append((x, y)) or 0.5))
+    assert [tx.ratio("old ring", "hot bolt") for _ in range(50)] == [0.5] * 50 and len(calls) == 1
