@@ -5,6 +5,8 @@ A series is cut into chunks of frames with what they need of their neighbours, s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -129,45 +131,65 @@ def prominences(series: DataFrame, peaks: DataFrame, keys: Keys, chunk: int = 40
     """Peaks (keys, nr, v) with their prominence in a series (keys, nr from 0, v): how far it falls on both sides before it rises higher, or ends.
 
     A peak looks for the nearest higher frame in its own chunk of frames first, then for the nearest chunk with one among the chunks' highest and lowest values,
-    and last inside that chunk; so a task holds a chunk and its questions, however long a timeline is.
+    and last inside that chunk. A task reads its chunks one after the other, each before its questions, and holds those of an Arrow batch and one more, however long a timeline is.
     """
     types = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
     at = [*keys, "c"]
-    # columns of its own, as both sides of a grouping come from one series
+    # columns of its own, as both sides of a union come from one series
     dealt = series.select(*(F.col(x).alias(x) for x in (*keys, "nr", "v")), F.floor(F.col("nr") / chunk).alias("c"))
-
-    def looked(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        """Questions (p, nr, v, side, low): frames from nr on towards the side, until one is above v."""
-        part = part.sort_values("nr")
-        base, values = (int(part["nr"].iloc[0]), part["v"].to_numpy()) if len(part) else (0, np.zeros(0))
-        out = []
-        for nr, v, side in zip(asked["nr"], asked["v"], asked["side"], strict=True):
-            way = values[: nr - base + 1][::-1] if side < 0 else values[nr - base :]
-            higher = np.flatnonzero(way > v)
-            seen = way[: higher[0]] if len(higher) else way
-            out.append((len(higher) > 0, seen.min() if len(seen) else np.inf))
-        found = asked[[*keys, "p", "v", "side", "c"]].copy()
-        found["met"], found["here"] = [x[0] for x in out], [x[1] for x in out]
-        found["low"] = np.minimum(found.pop("here"), asked["low"].to_numpy())
-        return found
+    asked_of = [*at, "nr", "v", "p", "side", "low"]
+
+    def answered(part: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """Questions (p, nr, v, side, low) behind the frames (side 0) of their chunk: from frame nr on towards the side, until one is above v."""
+        frames = part["side"].to_numpy() == 0
+        asked, own = part[~frames], group[~frames]
+        values, numbers = part["v"].to_numpy()[frames], part["nr"].to_numpy()[frames]
+        first, end = np.searchsorted(group[frames], own, "left"), np.searchsorted(group[frames], own, "right")
+        v, side, low = asked["v"].to_numpy(), asked["side"].to_numpy(), asked["low"].to_numpy().copy()
+        base = numbers[np.minimum(first, len(numbers) - 1)] if len(numbers) else first
+        spot = first + asked["nr"].to_numpy() - base
+        spot, met = np.where(side < 0, np.minimum(spot, end - 1), spot), np.zeros(len(asked), bool)
+        on = np.flatnonzero((spot >= first) & (spot < end))
+        while len(on):
+            x = values[spot[on]]
+            higher = x > v[on]
+            met[on[higher]] = True
+            on, x = on[~higher], x[~higher]
+            low[on] = np.minimum(low[on], x)
+            spot[on] += side[on]
+            on = on[(spot[on] >= first[on]) & (spot[on] < end[on])]
+        return asked.assign(met=met, low=low)[[*keys, "p", "v", "side", "c", "met", "low"]]
+
+    def looked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in parts:
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            ids, before = part[at], part[at].shift()
+            group = (~((ids == before) | (ids.isna() & before.isna())).all(axis=1)).to_numpy().cumsum()
+            # the last chunk may go on in the next batch
+            last = int(np.searchsorted(group, group[-1])) if len(part) else 0
+            held = part[last:]
+            yield answered(part[:last], group[:last])
+        if held is not None:
+            yield answered(held, np.zeros(len(held), int))
 
     def ask(questions: DataFrame) -> DataFrame:
-        schema = f"{types}, p long, v double, side int, c long, met boolean, low double"
-        return questions.groupBy(*at).cogroup(dealt.groupBy(*at)).applyInPandas(lambda a, b: looked(a, b)[[*keys, "p", "v", "side", "c", "met", "low"]], schema)
+        frames = dealt.select(*at, "nr", "v", F.lit(-1).cast("long").alias("p"), F.lit(0).alias("side"), F.lit(0.0).alias("low"))
+        rows = frames.unionByName(questions.select(*asked_of)).repartition(*at).sortWithinPartitions(*at, F.col("side") != 0, "nr")
+        return rows.mapInPandas(looked, f"{types}, p long, v double, side int, c long, met boolean, low double")
 
     sides = F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")
     own = ask(peaks.select(*keys, F.col("nr").alias("p"), "nr", "v", sides).withColumns({"c": F.floor(F.col("nr") / chunk), "low": F.lit(float("inf"))}))
-    chunks = dealt.groupBy(*at).agg(F.max("v").alias("top"), F.min("v").alias("least")).withColumnRenamed("c", "other")
-    beyond = own.where("not met").join(chunks, list(keys), "left").withColumn("far", (F.col("other") - F.col("c")) * F.col("side")).where("far > 0")
-    ways = beyond.groupBy(*keys, "p", "side").agg(F.array_sort(F.collect_list(F.struct("far", "other", "top", "least"))).alias("way"), F.first("v").alias("v"))
-    start = F.struct(F.lit(None).cast("long").alias("other"), F.lit(float("inf")).alias("low"))
+    chunks = dealt.groupBy(*at).agg(F.max("v").alias("top"), F.min("v").alias("least"))
+    ways = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("c").alias("other"), "top", "least"))).alias("way"))
+    start = F.struct(F.lit(None).cast("long").alias("other"), F.col("low").alias("low"))
     step = lambda s, x: F.when(s["other"].isNotNull(), s).when(x["top"] > F.col("v"), F.struct(x["other"].alias("other"), s["low"].alias("low"))).otherwise(F.struct(s["other"].alias("other"), F.least(s["low"], x["least"]).alias("low")))
-    passed = ways.withColumn("end", F.aggregate("way", start, step)).select(*keys, "p", "v", "side", F.col("end.other").alias("c"), F.col("end.low").alias("low"))
-    # inside the chunk with a higher frame the way begins at its near end
-    last = ask(passed.where("c is not null").withColumn("nr", F.when(F.col("side") < 0, (F.col("c") + 1) * chunk - 1).otherwise(F.col("c") * chunk)))
-    lows = own.select(*keys, "p", "side", "low").union(passed.select(*keys, "p", "side", "low")).union(last.select(*keys, "p", "side", "low"))
-    by_side = lows.groupBy(*keys, "p", "side").agg(F.min("low").alias("low")).groupBy(*keys, "p").agg(F.max("low").alias("low"))
-    return peaks.join(by_side.withColumnRenamed("p", "nr"), [*keys, "nr"]).select(*keys, "nr", "v", (F.col("v") - F.col("low")).alias("prominence"))
+    way = F.when(F.col("side") < 0, F.reverse(F.filter("way", lambda x: x["other"] < F.col("c")))).otherwise(F.filter("way", lambda x: x["other"] > F.col("c")))
+    far = F.when(~F.col("met"), F.aggregate(way, start, step)).otherwise(start)
+    passed = own.join(ways, list(keys)).withColumn("far", far).select(*keys, "p", "v", "side", F.col("far.other").alias("c"), F.col("far.low").alias("low"))
+    # inside the chunk with a higher frame the way begins at its near end; who has none is in no chunk now
+    last = ask(passed.withColumn("nr", F.coalesce(F.when(F.col("side") < 0, (F.col("c") + 1) * chunk - 1).otherwise(F.col("c") * chunk), F.col("p"))))
+    return last.groupBy(*keys, "p").agg(F.first("v").alias("v"), F.max("low").alias("low")).select(*keys, F.col("p").alias("nr"), "v", (F.col("v") - F.col("low")).alias("prominence"))
 
 
 def energy_regions(rows: DataFrame, keys: Keys, order: str, col: str, smooth: int, distance: int, before: int, after: int, shortest: int, prominence: float = 0.03, chunk: int = 4096) -> DataFrame:

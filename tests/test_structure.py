@@ -67,6 +67,24 @@ def test_prominence(spark, shape):
     assert got == {(m, i): plain_prominence(values, i) for m in (1, 2) for i in want}
 
 
+def test_prominence_over_arrow_batches(spark):
+    """Chunks of many timelines are read one after the other, not as a group each, and go on over the ends of batches."""
+    rng = random.Random(4)
+    values = {m: [float(rng.randrange(9)) for _ in range(40)] for m in range(30)}
+    series = spark.createDataFrame([(m, i, x) for m, xs in values.items() for i, x in enumerate(xs)], "m int, nr long, v double")
+    at = {(m, i) for m, xs in values.items() for i in range(1, 39) if xs[i - 1] < xs[i] > xs[i + 1]}
+    tops = spark.createDataFrame([(m, i, values[m][i]) for m, i in sorted(at)], "m int, nr long, v double")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        found = structure.prominences(series, tops, ["m"], chunk=16)
+        assert "CoGroup" not in found._jdf.queryExecution().toString()
+        assert {(r.m, r.nr): r.prominence for r in found.collect()} == {(m, i): plain_prominence(values[m], i) for m, i in at}
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_states_run_on_over_chunks(spark):
     rng = random.Random(6)
     labels = ["verse", "chorus", "intro", "solo"]
