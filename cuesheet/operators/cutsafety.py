@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.labels import type_priority
 from cuesheet.operators.cuts import EQUAL, OVERLAP, SHARED, adjacent_cuts, covered_gap_fills, neighbours, overlap_cuts, padded_cuts
 from cuesheet.operators.intervals import Keys, islands, overlap_join, to_millis
-from cuesheet.sources.archives import scratch_folder
+from cuesheet.sources.archives import shared_table as _table
 
 STEPS = ("part", "protect", "repair", "protect", "fill")
 #: seconds of sung sentences that keep a clip that is too short
@@ -22,13 +22,6 @@ SUNG = 0.3
 CLIP = "struct<start_s: double, end_s: double, type: string, is_highlight: boolean, song_index: int, ident: bigint>"
 
 
-def _table(rows: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: what later rounds read, and what a lost executor's tasks begin from."""
-    path = scratch_folder(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def chained_cuts(pairs: DataFrame, keys: Keys, order: str, cut: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
     """(keys, order, next_id, cut): the cuts of pairs (neighbours) in order, each with its left clip beginning where the pair before was cut."""
     pair = [*keys, order]

@@ -24,7 +24,7 @@ def recognised(v):
 
 def archived(v):
     """Two archives: of all songs, and later of every third recording, with half of the sentences and a quarter of its songs failed or empty."""
-    root, songs = ar.scratch_folder(v.spark), recognised(v)
+    root, songs = ar.scratch_folder(v.spark), ar.shared_table(recognised(v))
     ar.write_asr_archive(songs, root, "20240101_000000_all", "2024-01-01T00:00:00")
     later = songs.where("media_id % 3 = 0").withColumn("sentences", F.filter("sentences", lambda x, i: i % 2 == 0))
     failed = (F.col("media_id") + F.col("song_index")) % 8

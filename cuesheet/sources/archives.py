@@ -1,7 +1,7 @@
 """Archives of recognised songs as folders of JSON: payloads, an index, and file metadata as table input.
 
 An archive is a folder under a root with `index.json` (a document for each recording, listing its songs) and the payloads that the index names. Written here, both are
-folders of JSON lines, the payloads under `payload/media_id=...`; documents written by other tools, a file each, are read with `documents=True`.
+folders of JSON lines, as many files as tasks wrote, whatever the number of recordings; documents written by other tools, a file each, are read with `documents=True`.
 """
 
 from __future__ import annotations
@@ -31,6 +31,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
+def shared_table(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: what later steps read, and what a lost executor's tasks begin from."""
+    path = scratch_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_asr_archive(songs: DataFrame, root: str, archive: str, created_at: str) -> None:
     """Songs (media_id, video_path, song_index, song_name, song_title, song_artist, song_start, song_end, error, text, sentences, words) as one archive.
 
@@ -42,7 +49,7 @@ def write_asr_archive(songs: DataFrame, root: str, archive: str, created_at: str
     rows = rows.select("*", size("sentences"), size("words"))
     result = F.struct("error", "text", "sentences", "words").alias("asr_result")
     payload = rows.select("media_id", "file", "song_index", "song_name", "song_title", "song_artist", "song_start", "song_end", "sentence_count", "word_count", result)
-    payload.repartition("media_id").write.mode("overwrite").partitionBy("media_id").json(f"{root}/{archive}/payload")
+    payload.write.mode("overwrite").json(f"{root}/{archive}/payload")
     listed = F.array_sort(F.collect_list(F.struct("song_index", "song_name", "song_title", "song_start", "song_end", "sentence_count", "word_count", "file"))).alias("songs")
     index = rows.groupBy("video_path").agg(listed).select(F.lit(created_at).alias("created_at"), "video_path", F.lit(f"{root}/{archive}").alias("cache_dir"), "songs")
     index.write.mode("overwrite").json(f"{root}/{archive}/index.json")
