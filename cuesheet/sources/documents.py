@@ -75,7 +75,7 @@ def hundredths(seconds: Column) -> Column:
 def ass_documents(sentences: DataFrame, keys: Keys) -> DataFrame:
     """Sentences as one subtitle text for each key, in time order."""
     line = F.concat(F.lit("Dialogue: 0,"), tx.format_ass_time(hundredths(F.col("start_s"))), F.lit(","), tx.format_ass_time(hundredths(F.col("end_s"))), F.lit(",Default,,0,0,0,,"), tx.escape_ass(F.col("text")))
-    rows = sentences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", line.alias("line")))).alias("x"))
+    rows = sentences.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s", line.alias("line")))).alias("x"))
     return rows.select(*keys, F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("document"))
 
 

@@ -43,3 +43,17 @@ def test_a_title_is_scored_only_where_none_with_more_votes_is_likely(spark):
     found = title_pool_vote(rows, ["song"])
     assert sorted(found.select("song", "title", "votes").collect()) == [(1, "Blue Moon", 2.6), (3, "Aa Aa", 1.3)]
     assert "Window" not in plan(found)
+
+
+def test_shares_of_a_subtitle_are_worked_out_once(spark):
+    from cuesheet.operators.snapping import split_subtitles
+
+    found = split_subtitles(spark.createDataFrame([(1, "one, two three four. " * 20, 3.0, 20.0), (2, "short", 0.0, 0.1), (3, None, 0.0, 1.0)], "id int, text string, start_s double, end_s double"))
+    # the sum of lengths and the running sum, neither of them for each part
+    assert plan(found).count("aggregate(") == 2
+    rows = sorted(found.where("id = 1").select("part", "text", "start_s", "end_s").collect())
+    total, at = sum(len(r.text) for r in rows), 0.0
+    for r in rows:
+        assert r.start_s == min(20.0, 3.0 + at)
+        at += 17.0 * len(r.text) / total
+    assert rows[-1].end_s == 20.0 and len(rows) > 30
