@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import text as tx
 from cuesheet.operators.frames import cosine
 from cuesheet.operators.intervals import Keys
+from cuesheet.operators.snapping import let
 
 
 #: characters are counted in so many classes; lengths are put together in buckets a quarter wider each
@@ -141,16 +142,28 @@ def fit_time_transform(pairs: DataFrame, keys: Keys, low: float = 0.45, high: fl
 
     Deterministic. Pairs are a song's few matched lines. Without a usable proposal the scale is 1 and the offset the mean difference. Columns scale, offset, inliers.
     """
-    a = pairs.select(*keys, F.col("x").alias("xa"), F.col("y").alias("ya"))
-    b = pairs.select(*keys, F.col("x").alias("xb"), F.col("y").alias("yb"))
-    models = a.join(b, list(keys)).where("xb > xa").withColumn("scale", F.round(F.try_divide(F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa")), 6))
-    models = models.where(F.col("scale").between(low, high)).withColumn("offset", F.round(F.col("ya") - F.col("scale") * F.col("xa"), 6)).select(*keys, "scale", "offset").distinct()
-    fits = models.join(pairs, list(keys)).where(F.abs(F.col("scale") * F.col("x") + F.col("offset") - F.col("y")) <= tolerance)
-    rated = fits.groupBy(*keys, "scale", "offset").agg(F.count("*").alias("inliers"), F.sum("w").alias("_w"))
-    order = F.struct(F.round(2 * F.col("inliers") + F.col("_w"), 6).alias("v"), F.round(-F.abs(F.col("scale") - 1), 6).alias("d"), F.round(-F.abs("offset"), 6).alias("o"), (-F.col("offset")).alias("t"))
-    best = rated.groupBy(*keys).agg(F.max_by(F.struct("scale", "offset", "inliers"), order).alias("_x"))
-    plain = pairs.groupBy(*keys).agg(F.avg(F.col("y") - F.col("x")).alias("_m"))
-    return plain.join(best, list(keys), "left").select(*keys, F.coalesce("_x.scale", F.lit(1.0)).alias("scale"), F.coalesce("_x.offset", "_m").alias("offset"), F.coalesce("_x.inliers", F.lit(0)).alias("inliers"))
+    songs = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y", "w"))).alias("_p"), F.avg(F.col("y") - F.col("x")).alias("_m"))
+    fits = lambda m, p: F.abs(m["scale"] * p["x"] + m["offset"] - p["y"]) <= tolerance
+
+    def proposed(a: Column) -> Column:
+        scales = F.transform(F.filter("_p", lambda b: b["x"] > a["x"]), lambda b: F.round(F.try_divide(b["y"] - a["y"], b["x"] - a["x"]), 6))
+        return F.transform(F.filter(scales, lambda s: s.between(low, high)), lambda s: F.struct(s.alias("scale"), F.round(a["y"] - s * a["x"], 6).alias("offset")))
+
+    def rated(m: Column) -> Column:
+        value = F.aggregate("_p", F.lit(0.0), lambda t, p: F.when(fits(m, p), t + 2.0 + F.coalesce(p["w"], F.lit(0.0))).otherwise(t))
+        return F.struct(value.alias("v"), m.alias("m"))
+
+    def first(rows: Column) -> Column:
+        """Of equal values the scale nearest to one, the smallest offset, the lower offset, the larger scale."""
+        order = lambda v, m: F.struct(F.round(v, 6).alias("v"), F.round(-F.abs(m["scale"] - 1), 6).alias("d"), F.round(-F.abs(m["offset"]), 6).alias("o"), (-m["offset"]).alias("t"), m["scale"].alias("scale"))
+        most = F.array_max(F.transform(rows, lambda r: r["v"]))
+        return F.array_max(let(most, lambda v: F.transform(F.filter(rows, lambda r: r["v"] >= v - 2e-6), lambda r: order(r["v"], r["m"]))))
+
+    best = let(F.transform(F.flatten(F.transform(F.filter("_p", lambda p: p["x"].isNotNull()), proposed)), rated), first)
+    out = songs.withColumn("_x", F.when(F.size("_p") > 1, best))
+    scale, offset = F.coalesce("_x.scale", F.lit(1.0)), F.coalesce(-F.col("_x.t"), F.col("_m"))
+    inliers = F.size(F.filter("_p", lambda p: fits({"scale": F.col("_x.scale"), "offset": -F.col("_x.t")}, p)))
+    return out.select(*keys, scale.alias("scale"), offset.alias("offset"), F.when(F.col("_x").isNull(), 0).otherwise(inliers).cast("long").alias("inliers"))
 
 
 def structural_remap(segments: DataFrame, keys: Keys, order: str) -> DataFrame:

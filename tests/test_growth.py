@@ -57,3 +57,12 @@ def test_shares_of_a_subtitle_are_worked_out_once(spark):
         assert r.start_s == min(20.0, 3.0 + at)
         at += 17.0 * len(r.text) / total
     assert rows[-1].end_s == 20.0 and len(rows) > 30
+
+
+def test_time_transform_gathers_a_song_once(spark):
+    from cuesheet.operators.songs import fit_time_transform
+
+    pairs = [(1, x, 2.0 + 1.1 * x, 0.5) for x in (0.0, 10.0, 20.0, 30.0)] + [(1, 40.0, 3.0, None), (2, 1.0, 5.0, 1.0), (3, None, 4.0, 1.0), (3, 1.0, 2.0, 1.0), (4, 0.0, 0.0, 1.0), (4, 1.0, 9.0, 1.0)]
+    found = fit_time_transform(spark.createDataFrame(pairs, "song int, x double, y double, w double"), ["song"])
+    assert sorted(found.select("song", F.round("scale", 6), F.round("offset", 6), "inliers").collect()) == [(1, 1.1, 2.0, 4), (2, 1.0, 4.0, 0), (3, 1.0, 1.0, 0), (4, 1.0, 4.0, 0)]
+    assert "Join" not in plan(found)
