@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.text import text_units
 from cuesheet.operators.folds import enforce_max_length
-from cuesheet.operators.intervals import Keys, overlap_join, split_gap, to_millis
+from cuesheet.operators.intervals import Keys, gathered, overlap_join, split_gap, to_millis
 from cuesheet.operators.lyrics import cut_candidate_score
 
 # Fixed values, in seconds: what counts as equal, as an overlap, as a shared boundary, as a sentence's end, and the pad after one.
@@ -37,33 +37,46 @@ def best_cut(candidates: DataFrame, keys: Keys, reference: str, shortest: float,
     return candidates.groupBy(*keys).agg(F.min(score).alias("_x")).select(*keys, F.col("_x.cut").alias("cut"))
 
 
-def overlap_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
-    """Where neighbours of a song that overlap by more than 0.30 s part: keys, order, next_id, cut to 3 decimals.
+def overlapping_neighbours(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, *more: str) -> DataFrame:
+    """Neighbours of a song that overlap by more than 0.30 s, with the sentences and the gaps between sentences that meet the overlap: said and gaps, arrays of s and e."""
+    song = [*keys, "song_index"]
+    rows = neighbours(clips, keys, order, *more).where(F.col("l_end") - F.col("r_start") > OVERLAP)
+    rows = rows.withColumns({"start_s": F.greatest("l_start", "r_start"), "end_s": F.least("l_end", "r_end")})
+    said = sentences.where("end_s > start_s").select(*song, "start_s", "end_s")
+    w = Window.partitionBy(*song).orderBy("start_s", "end_s")
+    gap = F.struct(F.col("end_s").alias("start_s"), F.col("_next").alias("end_s"), F.lit(True).alias("gap"))
+    both = said.withColumn("_next", F.lead("start_s").over(w)).select(*song, F.explode(F.array(F.struct("start_s", "end_s", F.lit(False).alias("gap")), gap)).alias("x")).select(*song, "x.*").where("end_s > start_s")
+    x = F.struct(F.col("b_start_s").alias("s"), F.col("b_end_s").alias("e"))
+    return gathered(rows, both, song, -1e-9, said=F.collect_list(F.when(~F.col("b_gap"), x)), gaps=F.collect_list(F.when(F.col("b_gap"), x))).drop("start_s", "end_s")
+
+
+def overlap_cut(l_start: Column, l_end: Column, r_start: Column, r_end: Column, said: Column, gaps: Column, shortest: float, longest: float) -> Column:
+    """Where two overlapping clips part, to 3 decimals; said and gaps as in `overlapping_neighbours`, for this l_start or an earlier one.
 
     Candidates: the middle of the gaps between sentences (cost 0), edges of sentences (1), a shared sentence's end or start, so that the larger side has
     it whole (2), and the middle of the overlap (5; inside a sentence, if another candidate will do, 500).
     """
-    song, pair = [*keys, "song_index"], [*keys, order]
-    rows = neighbours(clips, keys, order).where(F.col("l_end") - F.col("r_start") > OVERLAP)
-    rows = rows.withColumns({"start_s": F.greatest("l_start", "r_start"), "end_s": F.least("l_end", "r_end")}).withColumn("middle", (F.col("start_s") + F.col("end_s")) / 2)
-    said = sentences.where("end_s > start_s").select(*song, "start_s", "end_s")
-    w = Window.partitionBy(*song).orderBy("start_s", "end_s")
-    gaps = said.select(*song, F.col("end_s").alias("start_s"), F.lead("start_s").over(w).alias("end_s")).where("end_s > start_s")
-    met = overlap_join(rows, said, song, eps=-1e-9)
-    between = overlap_join(rows, gaps, song, eps=-1e-9).select(*rows.columns, ((F.greatest("b_start_s", "start_s") + F.least("b_end_s", "end_s")) / 2).alias("cut"), F.lit(0.0).alias("cost"))
-    edges = met.withColumn("cut", F.explode(F.array("b_start_s", "b_end_s"))).where("cut between start_s and end_s").select(*rows.columns, "cut", F.lit(1.0).alias("cost"))
-    part = lambda a, b: F.least("b_end_s", b) - F.greatest("b_start_s", a)
-    mine, other = part("l_start", "l_end"), part("r_start", "r_end")
-    shared = met.where((mine > 0) & (other > 0)).select(*rows.columns, F.when(mine >= other, F.col("b_end_s")).otherwise(F.col("b_start_s")).alias("cut"), F.lit(2.0).alias("cost"))
-    placed = between.unionByName(edges).unionByName(shared)
-    usable = (F.col("cut") - F.col("l_start") > 0.1) & (F.col("r_end") - F.col("cut") > 0.1)
-    known = placed.groupBy(*pair).agg(F.max(usable).alias("_usable"))
-    inside = met.groupBy(*pair).agg(F.max((F.col("b_start_s") + EQUAL < F.col("middle")) & (F.col("middle") < F.col("b_end_s") - EQUAL)).alias("_inside"))
-    middle = rows.join(known, pair, "left").join(inside, pair, "left")
-    dear = F.coalesce("_usable", F.lit(False)) & F.coalesce("_inside", F.lit(False))
-    middle = middle.select(*rows.columns, F.col("middle").alias("cut"), F.when(dear, 500.0).otherwise(5.0).alias("cost"))
-    found = best_cut(placed.unionByName(middle), [*pair, "next_id", "middle"], "middle", shortest, longest)
-    return found.select(*pair, "next_id", to_millis(F.coalesce("cut", "middle")).alias("cut"))
+    start, end = F.greatest(l_start, r_start), F.least(l_end, r_end)
+    middle = (start + end) / 2
+    score = lambda cut, cost: cut_candidate_score(l_start, r_end, cut, middle, shortest, longest, cost)
+    meets = lambda x: (start < x["e"] + 1e-9) & (end > x["s"] - 1e-9)
+    part = lambda x, a, b: F.least(x["e"], b) - F.greatest(x["s"], a)
+    met = F.filter(said, meets)
+    between = F.transform(F.filter(gaps, meets), lambda x: score((F.greatest(x["s"], start) + F.least(x["e"], end)) / 2, F.lit(0.0)))
+    edges = F.filter(F.flatten(F.transform(met, lambda x: F.array(x["s"], x["e"]))), lambda x: x.between(start, end))
+    shared = F.filter(met, lambda x: (part(x, l_start, l_end) > 0) & (part(x, r_start, r_end) > 0))
+    whole = F.transform(shared, lambda x: score(F.when(part(x, l_start, l_end) >= part(x, r_start, r_end), x["e"]).otherwise(x["s"]), F.lit(2.0)))
+    placed = F.array_min(F.concat(between, F.transform(edges, lambda x: score(x, F.lit(1.0))), whole))
+    inside = F.exists(met, lambda x: (x["s"] + EQUAL < middle) & (middle < x["e"] - EQUAL))
+    # an array of one, so that what is placed is worked out once
+    best = F.transform(F.array(placed), lambda x: F.least(x, score(middle, F.when(x.isNotNull() & inside, 500.0).otherwise(5.0))))
+    return to_millis(F.coalesce(best[0]["cut"], middle))
+
+
+def overlap_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
+    """Where neighbours of a song that overlap by more than 0.30 s part, by `overlap_cut`: keys, order, next_id, cut."""
+    rows = overlapping_neighbours(clips, sentences, keys, order)
+    return rows.select(*keys, order, "next_id", overlap_cut(*map(F.col, ("l_start", "l_end", "r_start", "r_end", "said", "gaps")), shortest, longest).alias("cut"))
 
 
 def aligned_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, soft_min: float = 4.0) -> DataFrame:
@@ -93,17 +106,17 @@ def aligned_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str,
     return cuts.where((left > EQUAL) & (right > EQUAL)).groupBy(*pair).agg(F.min(F.struct(cost.alias("cost"), F.col("cut"))).alias("_x")).select(*pair, F.col("_x.cut").alias("cut"))
 
 
-def boundaries(clips: DataFrame, keys: Keys, order: str) -> DataFrame:
+def boundaries(clips: DataFrame, keys: Keys, order: str, *more: str) -> DataFrame:
     """Neighbours of a song at most 0.5 s apart, with the boundary (t) that they share."""
-    rows = neighbours(clips, keys, order).where(F.abs(F.col("r_start") - F.col("l_end")) <= SHARED)
+    rows = neighbours(clips, keys, order, *more).where(F.abs(F.col("r_start") - F.col("l_end")) <= SHARED)
     return rows.withColumn("t", (F.col("l_end") + F.col("r_start")) / 2)
 
 
-def adjacent_cuts(clips: DataFrame, sentences: DataFrame, words: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
-    """Shared boundaries inside a sentence that move to its end or start: keys, order, next_id, t, cut to 3 decimals.
+def adjacent_candidates(clips: DataFrame, sentences: DataFrame, words: DataFrame, keys: Keys, order: str) -> DataFrame:
+    """Shared boundaries inside a sentence, each with the sentence's end and start: keys, order, next_id, t, l_start, r_end, cut, cost.
 
     By its words the sentence counts as sung before the boundary from 60 % on (with more than 3 characters or at most 0.45 s left) or from 50 % with at
-    most 0.45 s left; without words from 55 % of its time, or at most 0.45 s left. The other edge costs 3 or 3.5. Moves of up to 0.05 s are none.
+    most 0.45 s left; without words from 55 % of its time, or at most 0.45 s left. The other edge costs 3 or 3.5.
     """
     song, pair = [*keys, "song_index"], [*keys, order]
     rows = boundaries(clips, keys, order)
@@ -119,13 +132,17 @@ def adjacent_cuts(clips: DataFrame, sentences: DataFrame, words: DataFrame, keys
     by_time = ((F.col("t") - F.col("start_s")) / (F.col("end_s") - F.col("start_s")) >= 0.55) | (F.col("_rest") <= 0.45)
     rows = rows.withColumn("_before", F.when(F.col("_all") > 0, by_words).otherwise(by_time))
     end, start = F.struct(F.col("end_s").alias("cut"), F.when(F.col("_before"), 0.0).otherwise(3.0).alias("cost")), F.struct(F.col("start_s").alias("cut"), F.when(F.col("_before"), 3.5).otherwise(0.0).alias("cost"))
-    candidates = rows.select(*pair, "next_id", "t", "l_start", "r_end", F.explode(F.array(end, start)).alias("_c")).select("*", "_c.*")
-    found = best_cut(candidates, [*pair, "next_id", "t"], "t", shortest, longest)
+    return rows.select(*pair, "next_id", "t", "l_start", "r_end", F.explode(F.array(end, start)).alias("_c")).select(*pair, "next_id", "t", "l_start", "r_end", "_c.*")
+
+
+def adjacent_cuts(clips: DataFrame, sentences: DataFrame, words: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
+    """Shared boundaries inside a sentence that move to its end or start: keys, order, next_id, t, cut to 3 decimals. Moves of up to 0.05 s are none."""
+    found = best_cut(adjacent_candidates(clips, sentences, words, keys, order), [*keys, order, "next_id", "t"], "t", shortest, longest)
     return found.where(F.abs(F.col("cut") - F.col("t")) > EQUAL).withColumn("cut", to_millis(F.col("cut")))
 
 
-def padded_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
-    """Shared boundaries at a sentence's end (within 0.12 s, and in no sentence) that move 0.35 s past it, or to just before the next sentence: keys, order, next_id, t, cut."""
+def padded_candidates(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str) -> DataFrame:
+    """Shared boundaries at a sentence's end (within 0.12 s, and in no sentence) with the place 0.35 s past it, or just before the next sentence: keys, order, next_id, t, l_start, r_end, cut, cost."""
     song, pair = [*keys, "song_index"], [*keys, order]
     rows = boundaries(clips, keys, order)
     said = sentences.where("end_s > start_s").select(*song, "start_s", "end_s")
@@ -140,7 +157,20 @@ def padded_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str,
     after = overlap_join(reach, begins, song, eps=-1e-9).where(F.col("b_start_s") > F.col("e") + EQUAL).groupBy(*pair).agg(F.min("b_start_s").alias("_next"))
     cut = F.least(F.col("e") + PAD, F.greatest(F.col("e"), F.coalesce(F.col("_next") - EQUAL, F.col("e") + PAD)))
     rows = near.join(after, pair, "left").withColumns({"cut": cut, "cost": F.lit(0.5)}).where(F.col("cut") > F.col("t") + EQUAL)
-    return best_cut(rows, [*pair, "next_id", "t"], "t", shortest, longest).where("cut is not null").withColumn("cut", to_millis(F.col("cut")))
+    return rows.select(*pair, "next_id", "t", "l_start", "r_end", "cut", "cost")
+
+
+def padded_cuts(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
+    """Shared boundaries that move to the place of `padded_candidates`, if that leaves both clips more than 0.1 s: keys, order, next_id, t, cut to 3 decimals."""
+    found = best_cut(padded_candidates(clips, sentences, keys, order), [*keys, order, "next_id", "t"], "t", shortest, longest)
+    return found.where("cut is not null").withColumn("cut", to_millis(F.col("cut")))
+
+
+def boundary_cut(l_start: Column, r_end: Column, t: Column, candidates: Column, shortest: float, longest: float) -> Column:
+    """The best of a boundary's candidates (structs cut, cost, moves) to 3 decimals; null if that doesn't move it, or every one leaves a side of 0.1 s or less."""
+    score = lambda x: cut_candidate_score(l_start, r_end, x["cut"], t, shortest, longest, x["cost"])
+    best = F.array_min(F.filter(F.transform(candidates, lambda x: F.struct(score(x).alias("x"), x["moves"].alias("moves"))), lambda x: x["x"].isNotNull()))
+    return F.transform(F.array(best), lambda x: F.when(x["moves"], to_millis(x["x"]["cut"])))[0]
 
 
 def covered_gap_fills(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, weight: Column, longest: float) -> DataFrame:

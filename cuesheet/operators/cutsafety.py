@@ -1,7 +1,7 @@
 """Cuts between clips that leave sung sentences whole, in steps over a whole catalogue.
 
-A step's cuts are those of `cuts`, pair by pair; a pair depends on the one before it only by where its left clip begins. So all pairs are cut at once, and those whose left clip has moved are cut
-again, until none has: after k rounds at least the first k pairs of a chain stand, and mostly all do after two or three. Short clips are repaired in the few clips between neighbours that can't change each other.
+A step's cuts are those of `cuts`, pair by pair; a pair depends on the one before it only by where its left clip begins. So what is sung around each pair is gathered once, and chains of pairs are
+folded, long ones in chunks that are folded again where the chunk before has changed. Short clips are repaired in the few clips between neighbours that can't change each other.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.labels import type_priority
-from cuesheet.operators.cuts import EQUAL, OVERLAP, SHARED, adjacent_cuts, covered_gap_fills, neighbours, overlap_cuts, padded_cuts
+from cuesheet.operators.cuts import EQUAL, OVERLAP, adjacent_candidates, boundaries, boundary_cut, covered_gap_fills, overlap_cut, overlapping_neighbours, padded_candidates
 from cuesheet.operators.intervals import Keys, islands, overlap_join, to_millis
 from cuesheet.sources.archives import shared_table as _table
 
@@ -22,22 +22,39 @@ SUNG = 0.3
 CLIP = "struct<start_s: double, end_s: double, type: string, is_highlight: boolean, song_index: int, ident: bigint>"
 
 
-def chained_cuts(pairs: DataFrame, keys: Keys, order: str, cut: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
-    """(keys, order, next_id, cut): the cuts of pairs (neighbours) in order, each with its left clip beginning where the pair before was cut."""
-    pair = [*keys, order]
-    columns = [*pair, "next_id", "cut"]
-    pairs = _table(pairs)
-    found = _table(cut(pairs).select(*columns))
-    used = pairs
-    for _ in range(rounds):
-        before = found.select(*keys, F.col("next_id").alias(order), F.col("cut").alias("_from"))
-        now = pairs.join(before, pair, "left").withColumn("_l", F.coalesce("_from", "l_start"))
-        moved = _table(now.join(used.select(*pair, F.col("l_start").alias("_was")), pair).where("_l <> _was").withColumn("l_start", F.col("_l")).select(*pairs.columns))
+def chained_cuts(pairs: DataFrame, keys: Keys, order: str, cut: Callable[[Column, Column], Column], values: Sequence[str], size: int = 256, rounds: int = 1000) -> DataFrame:
+    """(keys, order, next_id, cut): the cuts of pairs (neighbours, with nr of the left clip) in order, each with its left clip beginning where the pair before was cut.
+
+    `cut` makes a pair's cut, or null, from a struct of its l_start, r_end and `values` and from where the left clip begins. A chain is folded in chunks of up to `size` pairs; chunks that go on a chain
+    are folded again with the last cut of the chunk before, until that stays the same.
+    """
+    part = [*keys, "island"]
+    goes_on = F.coalesce(F.lag("nr").over(Window.partitionBy(*keys).orderBy("nr")) == F.col("nr") - 1, F.lit(False))
+    rows = islands(pairs.withColumn("_on", goes_on), keys, ["nr"], ~F.col("_on") | (F.col("nr") % size == 0))
+    item = F.struct("nr", F.col(order).alias("ident"), "next_id", "l_start", "r_end", "_on", *values)
+    chunks = rows.groupBy(*part).agg(F.sort_array(F.collect_list(item)).alias("_x")).withColumn("_on", F.col("_x")[0]["_on"])
+
+    def folded(before: Column) -> Column:
+        """The cut before the chunk and those of its pairs."""
+        step = lambda acc, x: F.concat(acc, F.transform(F.array(F.coalesce(F.element_at(acc, -1), x["l_start"])), lambda at: cut(x, at)))
+        return F.aggregate("_x", F.array(before.cast("double")), step)
+
+    ids = F.transform("_x", lambda x: F.struct(x["ident"].alias(order), x["next_id"].alias("next_id")))
+    chunks = _table(chunks.select(*part, "_on", F.when(F.col("_on"), F.col("_x")).alias("_x"), ids.alias("_ids"), folded(F.lit(None)).alias("_cuts")))
+    later = chunks.where("_on")
+    found = chunks.select(*part, "_ids", "_cuts")
+    for _ in range(0 if later.isEmpty() else rounds):
+        last = found.select(*keys, (F.col("island") + 1).alias("island"), F.element_at("_cuts", -1).alias("_last"))
+        now = later.drop("_cuts").join(last, part).join(found.select(*part, F.col("_cuts")[0].alias("_was")), part).where(~F.col("_last").eqNullSafe(F.col("_was")))
+        moved = _table(now.select(*part, "_ids", folded(F.col("_last")).alias("_cuts")))
         if moved.isEmpty():
-            return found
-        found = _table(found.join(moved.select(*pair), pair, "left_anti").unionByName(cut(moved).select(*columns)))
-        used = _table(used.join(moved.select(*pair), pair, "left_anti").unionByName(moved))
-    raise RuntimeError(f"cuts did not settle in {rounds} rounds")
+            break
+        found = _table(found.join(moved.select(*part), part, "left_anti").unionByName(moved))
+    else:
+        if not later.isEmpty():
+            raise RuntimeError(f"cuts did not settle in {rounds} rounds")
+    cuts = F.arrays_zip("_ids", F.slice("_cuts", F.lit(2), F.size("_ids")).alias("cut"))
+    return found.select(*keys, F.explode(cuts).alias("x")).select(*keys, f"x._ids.{order}", "x._ids.next_id", "x.cut").where("cut is not null")
 
 
 def _ordered(clips: DataFrame, keys: Keys, *order: str) -> DataFrame:
@@ -52,10 +69,10 @@ def _moved(clips: DataFrame, cuts: DataFrame, keys: Keys, order: str) -> DataFra
 
 
 def part_overlaps(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
-    """Clips (nr) without overlaps: small ones, and those of two songs, go to the later clip, others are cut by `overlap_cuts`."""
+    """Clips (nr) without overlaps: small ones, and those of two songs, go to the later clip, others are cut by `overlap_cut`."""
     w = Window.partitionBy(*keys).orderBy("nr")
     rows = clips.withColumns({"_next": F.lead("start_s").over(w), "_song": F.lead("song_index").over(w), "_id": F.lead(order).over(w)}).withColumn("_over", F.col("end_s") - F.col("_next"))
-    own = chained_cuts(neighbours(clips, keys, order).where(F.col("l_end") - F.col("r_start") > OVERLAP), keys, order, lambda x: overlap_cuts(x, sentences, keys, order, shortest, longest))
+    own = chained_cuts(overlapping_neighbours(clips, sentences, keys, order, "nr"), keys, order, lambda x, at: overlap_cut(at, x["l_end"], x["r_start"], x["r_end"], x["said"], x["gaps"], shortest, longest), ["l_end", "r_start", "said", "gaps"])
     other = rows.where((F.col("_over") > OVERLAP) & (F.col("_song") != F.col("song_index"))).select(*keys, order, F.col("_id").alias("next_id"), to_millis(F.col("_next")).alias("cut"))
     small = (F.col("_over") > 0) & (F.col("_over") <= OVERLAP)
     closed = rows.withColumn("end_s", F.when(small, F.col("_next")).otherwise(F.col("end_s"))).select(*clips.columns)
@@ -63,14 +80,13 @@ def part_overlaps(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str
 
 
 def protect_sentences(clips: DataFrame, sentences: DataFrame, words: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
-    """Clips (nr) whose shared boundaries lie in no sentence, by `adjacent_cuts`, or a little past a sentence's end, by `padded_cuts`."""
-    pairs = neighbours(clips, keys, order).where(F.abs(F.col("r_start") - F.col("l_end")) <= SHARED)
-
-    def cut(some: DataFrame) -> DataFrame:
-        inside = adjacent_cuts(some, sentences, words, keys, order, shortest, longest)
-        return inside.select(*keys, order, "next_id", "cut").unionByName(padded_cuts(some, sentences, keys, order, shortest, longest).select(*keys, order, "next_id", "cut"))
-
-    return _table(_moved(clips, chained_cuts(pairs, keys, order, cut), keys, order))
+    """Clips (nr) whose shared boundaries lie in no sentence, as in `adjacent_cuts`, or a little past a sentence's end, as in `padded_cuts`."""
+    pairs = _table(boundaries(clips, keys, order, "nr"))
+    inside = adjacent_candidates(pairs, sentences, words, keys, order).withColumn("moves", F.abs(F.col("cut") - F.col("t")) > EQUAL)
+    past = padded_candidates(pairs, sentences, keys, order).withColumn("moves", F.lit(True))
+    places = inside.unionByName(past).groupBy(*keys, order).agg(F.collect_list(F.struct("cut", "cost", "moves")).alias("places"))
+    cuts = chained_cuts(pairs.join(places, [*keys, order]), keys, order, lambda x, at: boundary_cut(at, x["r_end"], x["t"], x["places"], shortest, longest), ["t", "places"])
+    return _table(_moved(clips, cuts, keys, order))
 
 
 def repair_short(clips: DataFrame, sentences: DataFrame, keys: Keys, order: str, shortest: float, longest: float) -> DataFrame:
@@ -149,7 +165,7 @@ def normalize_overlaps(segments: DataFrame, sentences: DataFrame, words: DataFra
     names = ["song_index", order, "start_s", "end_s", "type", "is_highlight"]
     clips = segments.select(*keys, F.col("song_index").cast("int").alias("song_index"), order, "start_s", "end_s", F.coalesce("type", F.lit("")).alias("type"), F.coalesce("is_highlight", F.lit(False)).alias("is_highlight"))
     clips = _table(_ordered(clips, keys, "start_s", "end_s", order))
-    said = sentences.where("end_s > start_s").select(*keys, "song_index", "start_s", "end_s")
+    said = _table(sentences.where("end_s > start_s").select(*keys, "song_index", "start_s", "end_s"))
     heard = said.select("*", F.lit("").alias("word")).limit(0) if words is None else words.where("end_s > start_s").select(*keys, "song_index", "start_s", "end_s", "word")
     filled = None
     for name in steps:

@@ -66,3 +66,40 @@ def test_time_transform_gathers_a_song_once(spark):
     found = fit_time_transform(spark.createDataFrame(pairs, "song int, x double, y double, w double"), ["song"])
     assert sorted(found.select("song", F.round("scale", 6), F.round("offset", 6), "inliers").collect()) == [(1, 1.1, 2.0, 4), (2, 1.0, 4.0, 0), (3, 1.0, 1.0, 0), (4, 1.0, 4.0, 0)]
     assert "Join" not in plan(found)
+
+
+def overlapping_chain(spark, clips: int):
+    """Two timelines of clips that overlap the next by 5 s, each cut at a sentence's edge beside what the cut before leaves."""
+    segments = [(m, 1, i, 8.0 * i + m, 8.0 * i + m + 13.0, "x", False) for m in (1, 2) for i in range(clips)]
+    sentences = [(m, 1, 3.7 * i, 3.7 * i + 2.9) for m in (1, 2) for i in range(3 * clips)]
+    rows = spark.createDataFrame(segments, "media_id long, song_index int, seg_index long, start_s double, end_s double, type string, is_highlight boolean")
+    return segments, sentences, rows, spark.createDataFrame(sentences, "media_id long, song_index int, start_s double, end_s double")
+
+
+def test_a_chain_of_cuts_takes_no_round_for_each_pair(spark, monkeypatch):
+    from cuesheet.operators import cutsafety as cs
+
+    made, table = [], cs._table
+    monkeypatch.setattr(cs, "_table", lambda rows: made.append(1) or table(rows))
+    tables = []
+    for clips in (3, 24):
+        *_, rows, sentences = overlapping_chain(spark, clips)
+        cs.normalize_overlaps(rows, sentences, None, ["media_id"], 8.0, 18.0, ("part",))
+        tables.append(len(made))
+        made.clear()
+    assert tables[0] == tables[1]
+
+
+def test_chunks_of_a_chain_give_its_cuts(spark, monkeypatch):
+    from functools import partial
+
+    from cuesheet.operators import cutsafety as cs
+    from tests.test_cutsafety import plain
+
+    segments, sung, rows, sentences = overlapping_chain(spark, 14)
+    want = plain(segments, sung, [], (8, 18), ("part", "protect"))
+    chained = cs.chained_cuts
+    for size in (3, 256):
+        monkeypatch.setattr(cs, "chained_cuts", partial(chained, size=size))
+        found = cs.normalize_overlaps(rows, sentences, None, ["media_id"], 8.0, 18.0, ("part", "protect")).collect()
+        assert sorted((r.media_id, round(r.start_s, 2), round(r.end_s, 2), r.type, r.is_highlight, r.filled) for r in found) == want
