@@ -21,14 +21,15 @@ def centred(keys: Keys, order: str, size: int) -> WindowSpec:
 
 
 def quantile(col: str, share: float) -> Column:
-    """The share-quantile of a group's values, as the lower neighbour and part of the step to the upper one.
+    """The share-quantile of a group's values: both neighbours weighed, the lower one's product and the sum rounded together, as DuckDB does.
 
-    F.percentile weighs both neighbours, which rounds otherwise; where values lie as close as sums in another order do, another of them is then above the quantile.
+    F.percentile rounds each step; where values lie as close as sums in another order do, another of them is then above the quantile.
     """
     values = F.sort_array(F.collect_list(col))
     at = (F.size(values) - 1) * F.lit(share)
     low, high = (F.element_at(values, (f(at) + 1).cast("int")) for f in (F.floor, F.ceil))
-    return low + (high - low) * (at - F.floor(at))
+    part = at - F.floor(at)
+    return F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double")
 
 
 def in_chunks(rows: DataFrame, keys: Keys, order: str, reach: int, f: Callable[[DataFrame, list[str]], DataFrame], chunk: int = 1 << 16) -> DataFrame:

@@ -79,6 +79,23 @@ def test_quantile_between_values_an_ulp_apart(spark):
     assert sorted(found.select("start_s", "end_s").collect()) == [(0.0, 300.0), (300.0, 500.0)]
 
 
+def test_quantile_rounds_as_the_sql_does(spark):
+    import random
+
+    import duckdb
+
+    from cuesheet.operators.frames import quantile
+
+    rng = random.Random(5)
+    # 90 x 0.7 and 340 x 0.7 come out just below a whole number
+    rows = [(k, rng.random()) for k in range(300) for _ in range(91 if k % 2 else 341)]
+    frames = spark.createDataFrame(rows, "k long, v double")
+    table = frames.toArrow()  # noqa: F841
+    want = dict(duckdb.sql("SELECT k, quantile_cont(v, 0.7) FROM \"table\" GROUP BY k").fetchall())
+    got = dict(map(tuple, frames.groupBy("k").agg(quantile("v", 0.7)).collect()))
+    assert got == want
+
+
 def test_first_of_frames_at_one_time(spark):
     from cuesheet.operators.frames import segment_features
 
