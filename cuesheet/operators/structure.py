@@ -207,18 +207,19 @@ def energy_regions(rows: DataFrame, keys: Keys, order: str, col: str, smooth: in
     return spans.where(F.col("last") - F.col("first") >= shortest)
 
 
-def song_boundaries(points: DataFrame, frames: DataFrame, totals: DataFrame, keys: Keys, time: str, score: str, energy: str, distance: float = 15.0, tail: float = 15.0, song: float = 180.0, fewest: int = 5, reach: int = 10) -> DataFrame:
+def song_boundaries(points: DataFrame, frames: DataFrame, totals: DataFrame, keys: Keys, time: str, score: str, energy: str, distance: float = 15.0, tail: float = 15.0, song: float = 180.0, fewest: int = 5, reach: int = 10, order: str | None = None) -> DataFrame:
     """Boundaries (t, origin) of timelines (total_s): the best candidates (time, score) `distance` apart, none within `tail` of the end.
 
     Where a timeline longer than one song has fewer than one boundary for each `song` seconds, or than `fewest`, valleys of the frames' energy are added: frames lower than all of `reach`
-    neighbours on both sides, `distance` from each other and from the start, more than that from every boundary chosen, none within `tail` of the end.
+    neighbours on both sides, `distance` from each other and from the start, more than that from every boundary chosen, none within `tail` of the end. Frames are neighbours by
+    `order`, which tells those at one time apart, or by their time alone.
     """
     ends = totals.select(*keys, F.col("total_s").alias("_end"))
     early = points.select(*keys, F.col(time).alias("t"), F.col(score).alias("score")).join(ends, list(keys)).where(F.col("_end") - F.col("t") >= tail).drop("_end")
     chosen = select_by_score(early, keys, "t", "score", distance)
     counts = ends.join(chosen.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys), "left")
     few = counts.where((F.col("_end") > song) & (F.coalesce("_n", F.lit(0)) < F.greatest(F.lit(fewest), F.floor(F.col("_end") / song)))).select(*keys, "_end")
-    valleys = local_extrema(frames.join(few, list(keys)), energy, keys, time, reach, "min").where(F.col("_end") - F.col(time) >= tail)
+    valleys = local_extrema(frames.join(few, list(keys)), energy, keys, order or time, reach, "min").where(F.col("_end") - F.col(time) >= tail)
     spaced = min_spacing_filter(valleys.select(*keys, F.col(time).alias("t")), keys, "t", distance, 0.0)
     around = chosen.select(*keys, "t", (F.col("t") - distance).alias("start_s"), (F.col("t") + distance).alias("end_s"))
     met = overlap_join(spaced.withColumns({"start_s": F.col("t"), "end_s": F.col("t")}), around, keys, eps=-1e-6)

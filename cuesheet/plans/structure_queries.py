@@ -68,4 +68,4 @@ NEIGHBOURS = "min(rms) OVER (PARTITION BY tl.media_id ORDER BY t ROWS BETWEEN {}
     SELECT media_id, t, 'score' AS origin FROM ch UNION ALL SELECT media_id, t, 'valley' FROM sp WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.media_id = sp.media_id AND abs(ch.t - sp.t) <= 60)""", "t")
 def q08(v):
     points = v.tl.where("kind = 'error'").select("media_id", "t", "rms")
-    return st.song_boundaries(points, v.tl.select("media_id", "t", "rms"), totals(v), M, "t", "rms", "rms", distance=60.0, song=250.0, reach=2)
+    return st.song_boundaries(points, v.tl.select("media_id", "frame", "t", "rms"), totals(v), M, "t", "rms", "rms", distance=60.0, song=250.0, reach=2, order="frame")

@@ -67,6 +67,20 @@ def test_valley_just_beyond_the_distance(spark):
     assert sorted(found.select("t", "origin").collect()) == [(chosen, "score"), (valley, "valley")]
 
 
+def test_valleys_among_frames_at_one_time(spark):
+    from types import SimpleNamespace
+
+    from cuesheet.plans.structure_queries import q08
+
+    # the last of the three frames at 310 s is out of the reach of the valley at 305 s
+    rows = [(1, i + 1, t, x, "view") for i, (t, x) in enumerate([(301.0, 9.0), (303.0, 9.0), (305.0, 2.0), (310.0, 9.0), (310.0, 9.0), (310.0, 1.0), (312.0, 9.0), (314.0, 9.0)])]
+    seg = spark.createDataFrame([(1, 900.0)], "media_id long, end_s double")
+    for some in (rows, rows[::-1]):
+        tl = spark.createDataFrame(some, "media_id long, frame long, t double, rms double, kind string").coalesce(1)
+        found = q08(SimpleNamespace(tl=tl, seg=seg)).collect()
+        assert found == [(1, 305.0, "valley")]
+
+
 def test_quantile_between_values_an_ulp_apart(spark):
     from cuesheet.operators.folds import structure_split
 
