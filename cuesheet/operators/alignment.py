@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text as tx
@@ -17,51 +20,170 @@ from cuesheet.operators.asof import NO_ANCHOR_S, fill_between_anchors
 from cuesheet.operators.intervals import Keys
 
 
-#: lines of one song that a task compares at a time, and the tasks of a comparison; given by number, they aren't joined for having few bytes
-LINES, PARTS = 64, 96
+#: the tasks of a comparison; given by number, they aren't joined for having few bytes
+PARTS = 96
+#: counts of characters that are compared at a time
+COUNTS = 1 << 22
+
+
+def begins(rows: pa.Table, keys: Keys) -> np.ndarray:
+    """Of each row whether its keys are others than those of the row before."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in keys:
+        x = rows.column(k).combine_chunks()
+        a, b = x.slice(0, max(0, len(x) - 1)), x.slice(1)
+        new[1:] |= pc.coalesce(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return new
+
+
+def whole_songs(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a song does."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        before = [held[-1].slice(len(held[-1]) - 1)] if held else []
+        new = np.flatnonzero(begins(pa.Table.from_batches([*before, batch]), keys)[len(before) :])
+        if not len(new):
+            held.append(batch)
+            continue
+        last = int(new[-1])
+        if held or last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def song_by_song(rows: DataFrame, keys: Keys, order: list[str | Column], f: Callable[[pa.Table, list[tuple[int, int]]], pa.Table], schema: str) -> DataFrame:
+    """What `f` gives for tables of whole songs, each sorted, and where their songs begin and end; a task reads its songs in batches, not in a group for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_songs(batches, keys):
+            first = np.flatnonzero(begins(table, keys)).tolist()
+            yield from f(table, list(zip(first, [*first[1:], len(table)], strict=True))).to_batches()
+
+    return rows.repartition(PARTS, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def common_subsequence(masks: Iterable[int], size: int) -> int:
+    """The length of the longest common subsequence of a text, as the mask of each character's places in another, with that other of `size` characters. No matches of difflib's are more."""
+    left = (1 << size) - 1
+    for mask in masks:
+        some = left & mask
+        left = (left + some) | (left - some)
+    return size - (left & (1 << size) - 1).bit_count()
 
 
 class WindowTexts:
-    """The windows of one song, in order, with their characters counted."""
+    """The windows of one song, in order, as stretches (first, end) of one text, with their characters counted."""
 
     def __init__(self, texts: list[str], centres: np.ndarray) -> None:
-        self.texts, self.centres = texts, centres
-        places = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
-        self.places, self.sizes = places, np.array([len(x) for x in texts])
-        distinct, self.which = np.unique(np.array(texts, dtype=object), return_inverse=True)
-        counts = np.zeros((len(distinct), len(places)), np.int32)
-        for row, x in zip(counts, distinct, strict=True):
-            np.add.at(row, [places[c] for c in x], 1)
-        self.distinct, self.counts = distinct, counts
+        places, end = {}, 0
+        for x in texts:
+            if x not in places:
+                places[x] = (end, end + len(x))
+                end += len(x)
+        self._lay("".join(places), [places[x] for x in texts], centres)
+
+    def _lay(self, text: str, spans: list[tuple[int, int]], centres: np.ndarray) -> None:
+        self.text, self.centres = text, centres
+        self.places = {c: i for i, c in enumerate(sorted(set(text)))}
+        distinct, self.which = np.unique(np.array(spans, np.int64).reshape(-1, 2), axis=0, return_inverse=True)
+        upto = np.zeros((len(text) + 1, len(self.places)), np.int32)
+        upto[np.arange(1, len(text) + 1), [self.places[c] for c in text]] = 1
+        upto = upto.cumsum(0, dtype=np.int32)
+        self.spans, self.counts, self.sizes = distinct.tolist(), upto[distinct[:, 1]] - upto[distinct[:, 0]], distinct[:, 1] - distinct[:, 0]
+
+    @classmethod
+    def of_words(cls, words: list[str], starts: np.ndarray, ends: np.ndarray, step: float, half: float) -> WindowTexts:
+        """The windows of 2 x half seconds every `step` seconds over words in order; those without characters are left out (see `lyrics.time_windows`)."""
+        timed = np.flatnonzero(~(np.isnan(starts) | np.isnan(ends)))
+        words = [words[i] for i in timed.tolist()]
+        low = np.maximum(np.ceil((starts[timed] - half) / step), 0).astype(np.int64)
+        high = np.floor((ends[timed] + half) / step).astype(np.int64)
+        if (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all():
+            upto = np.append(0, np.cumsum([len(x) for x in words])).astype(np.int64)
+            at = np.arange(low.min(initial=0), high.max(initial=-1) + 1)
+            a, b = upto[np.searchsorted(high, at, "left")], upto[np.searchsorted(low, at, "right")]
+            windows = cls.__new__(cls)
+            windows._lay("".join(words), np.stack([a, b], 1)[a < b].tolist(), at[a < b] * step)
+            return windows
+        # words out of time: the windows' texts one after the other
+        said: dict[int, list[str]] = {}
+        for word, a, b in zip(words, low.tolist(), high.tolist(), strict=True):
+            for c in range(a, b + 1) if word else ():
+                said.setdefault(c, []).append(word)
+        at = sorted(said)
+        return cls(["".join(said[c]) for c in at], np.array(at, float) * step)
+
+    def bounds(self, texts: list[str]) -> np.ndarray:
+        """Of each text the bound of its similarity with each window (see `bound`) by the characters in common, whatever their order."""
+        own, size = np.zeros((len(texts), len(self.places)), np.int32), np.array([len(x) for x in texts])[:, None]
+        for row, x in zip(own, texts, strict=True):
+            for c, n in Counter(x).items():
+                if c in self.places:
+                    row[self.places[c]] = n
+        both = np.minimum(self.counts[None], own[:, None]).sum(2)
+        held = np.where(both == size, 0.45 * size / self.sizes + 0.08, np.where(both == self.sizes, 0.40 * self.sizes / size + 0.08, 0.0))
+        return np.minimum(1.0, np.maximum(2 * both / (self.sizes + size), held))[:, self.which]
 
     def best(self, text: str, expected: float | None, penalty: float, drift: float, k: int, least: float, reach: float | None) -> list[tuple[float, float, float]]:
-        """The k best windows (centre, similarity, score) for a line.
-
-        Characters in common, whatever their order, bound the similarity and so the score; windows are compared from the highest bound on,
-        until k have a score that none of the others can reach. Equal texts are compared once.
+        """The k best windows (centre, similarity, score) for a line."""
+        return next(self.best_of([(text, expected, penalty)], drift, k, least, reach))
+
+    def best_of(self, lines: list[tuple[str, float | None, float]], drift: float, k: int, least: float, reach: float | None) -> Iterator[list[tuple[float, float, float]]]:
+        """The k best windows (centre, similarity, score) for each line (text, expected time, penalty)."""
+        at_once = max(1, COUNTS // max(1, self.counts.size))
+        for i in range(0, len(lines), at_once):
+            some = lines[i : i + at_once]
+            for line, bound in zip(some, self.bounds([x for x, *_ in some]), strict=True):
+                yield self._best(*line, bound, drift, k, least, reach)
+
+    def _best(self, text: str, expected: float | None, penalty: float, bound: np.ndarray, drift: float, k: int, least: float, reach: float | None) -> list[tuple[float, float, float]]:
+        """Windows are bounded by their characters in common and, from the highest bound on, by their longest common subsequence with the line; from the highest of those on they are
+        compared, until k have a score that none of the others can reach. Equal texts are compared once.
         """
-        own = np.zeros(len(self.places), np.int32)
-        for c, n in Counter(text).items():
-            if c in self.places:
-                own[self.places[c]] = n
-        size = len(text)
-        both = np.minimum(self.counts, own).sum(1)[self.which]
-        bound = 2 * both / (self.sizes + size)
-        # a text that holds the other may be lifted (see `similarity_ratio`)
-        held = np.where(both == size, 0.45 * size / self.sizes + 0.08, np.where(both == self.sizes, 0.40 * self.sizes / size + 0.08, 0.0))
-        bound = np.minimum(1.0, np.maximum(bound, held))
         near = np.full(len(bound), 0.5) if expected is None else np.maximum(0.0, 1 - np.abs(self.centres - expected) / drift)
         usable = bound >= least
         if reach is not None and expected is not None:
             usable &= np.abs(self.centres - expected) <= reach
         most = 0.82 * bound + 0.18 * near - penalty
-        matcher, known, kept = SequenceMatcher(None, "", text), {}, []
-        for i in sorted(np.flatnonzero(usable).tolist(), key=lambda i: (-most[i], i)):
-            if len(kept) == k and most[i] < -kept[-1][0] - 1e-8:
+        order = np.argsort(-most, kind="stable")
+        order = order[usable[order]].tolist()
+        most, near, size = most.tolist(), near.tolist(), len(text)
+        masks = dict.fromkeys(self.places, 0)
+        for i, c in enumerate(text):
+            masks[c] = masks.get(c, 0) | 1 << i
+        matcher, closer, known, kept, heap, nr = None, {}, {}, [], [], 0
+        while nr < len(order) or heap:
+            here = heap[0][0] if heap else np.inf
+            first = nr < len(order) and -most[order[nr]] <= here
+            if len(kept) == k and -(-most[order[nr]] if first else here) < -kept[-1][0] - 1e-8:
                 break
-            of = self.which[i]
+            i = order[nr] if first else heap[0][1]
+            of = int(self.which[i])
+            a, b = self.spans[of]
+            if first:
+                nr += 1
+                if of not in closer:
+                    x, m = self.text[a:b], b - a
+                    # from 200 characters on difflib leaves out the frequent ones
+                    if size < 200 and (text in x or x in text):
+                        closer[of] = known[of] = tx.lifted(2.0 * min(m, size) / (m + size), x, text)
+                    else:
+                        n = common_subsequence(map(masks.__getitem__, x), size)
+                        # a text that holds the other may be lifted (see `similarity_ratio`)
+                        held = 0.45 * size / m + 0.08 if n == size else 0.40 * m / size + 0.08 if n == m else 0.0
+                        closer[of] = min(1.0, max(2 * n / (m + size), held))
+                if closer[of] >= least:
+                    heapq.heappush(heap, (-(0.82 * closer[of] + 0.18 * near[i] - penalty), i))
+                continue
+            heapq.heappop(heap)
             if of not in known:
-                known[of] = tx.lifted_ratio(matcher, self.texts[i], text)
+                matcher = matcher or tx.BitMatcher(None, "", text)
+                known[of] = tx.lifted_ratio(matcher, self.text[a:b], text)
             if known[of] >= least:
                 score = round(0.82 * known[of] + 0.18 * near[i] - penalty, 9)
                 kept = sorted([*kept, (-score, float(self.centres[i]), known[of])])[:k]
@@ -69,40 +191,54 @@ class WindowTexts:
 
 
 def line_window_candidates(lines: DataFrame, windows: DataFrame, keys: Keys, scale: float = 1.0, offset: float = 0.0, drift: float = 6.0, k: int = 8, least: float = 0.06, reach: float | None = None) -> DataFrame:
-    """The k best windows (center, text) for each line (line, text, t): keys, line, center, similarity, score.
+    """The k best windows (center, text) for each line (line, text, t): keys, line, t, center, similarity, score.
 
     The score is 0.82 of the similarity and 0.18 of how near the window is to the line's expected time, less for short lines and for
     lines that occur often. Windows that by their characters can't be among the k best, or reach the least similarity, aren't compared; nor are, where `reach` is given,
     those further than that from a timed line's expected time. Of equals the earlier window.
     """
-    norm = tx.norm_text_align(F.col("text"))
-    own = lines.withColumn("_n", norm)
-    often = F.count("*").over(Window.partitionBy(*keys, "_n"))
-    penalty = F.when(F.length("_n").between(1, 3), 0.08).otherwise(0.0) + F.when(F.col("_n") != "", F.least(F.lit(0.12), (F.col("_often") - 1) * 0.03)).otherwise(0.0)
-    own = own.withColumn("_often", often).select(*keys, "line", "t", "_n", penalty.alias("_p")).where("_n <> ''")
-    said = windows.select(*keys, "center", norm.alias("_w")).where("_w <> ''")
-    dealt = own.withColumn("_part", F.pmod(F.xxhash64("line"), F.ceil(F.count("*").over(Window.partitionBy(*keys)) / LINES)))
-    group = [*keys, "_part"]
-    asked = dealt.withColumns({"t": F.col("t").cast("double"), "_p": F.col("_p").cast("double")}).repartition(PARTS, *group)
-    met = said.withColumn("center", F.col("center").cast("double")).join(dealt.select(*group).distinct(), list(keys))
-    met = met.select(*(F.col(c).alias(c) for c in (*group, "center", "_w"))).repartition(PARTS, *group)  # columns of its own, as both sides come from the lines
-    types = {f.name: f.dataType.simpleString() for f in own.schema}
+    others = windows.select(*keys, tx.norm_text_align(F.col("text")).alias("_n"), F.col("center").cast("double").alias("_a"), F.lit(None).cast("double").alias("_b"), F.lit(None).cast("long").alias("_nr"))
+
+    def known(texts: list[str], a: np.ndarray, b: np.ndarray) -> WindowTexts:
+        at = np.argsort(a, kind="stable")
+        return WindowTexts([texts[i] for i in at.tolist()], a[at])
+
+    return _candidates(lines, others.where("_n <> ''"), keys, known, scale, offset, drift, k, least, reach)
+
+
+def line_word_candidates(lines: DataFrame, words: DataFrame, keys: Keys, order: str, scale: float = 1.0, offset: float = 0.0, drift: float = 6.0, k: int = 8, least: float = 0.06, reach: float | None = None, step: float = 0.25, half: float = 3.2) -> DataFrame:
+    """`line_window_candidates` with the windows of `lyrics.time_windows` over the words (order, word, start_s, end_s), which are made song by song and not stored."""
+    times = (F.col("start_s").cast("double").alias("_a"), F.col("end_s").cast("double").alias("_b"))
+    others = words.select(*(F.col(c).alias(c) for c in keys), tx.norm_text_align(F.col("word")).alias("_n"), *times, F.col(order).cast("long").alias("_nr"))
+    return _candidates(lines, others, keys, lambda texts, a, b: WindowTexts.of_words(texts, a, b, step, half), scale, offset, drift, k, least, reach)
+
+
+def _candidates(lines: DataFrame, others: DataFrame, keys: Keys, known: Callable[[list[str], np.ndarray, np.ndarray], WindowTexts], scale: float, offset: float, drift: float, k: int, least: float, reach: float | None) -> DataFrame:
+    """The k best of the windows that `known` makes of a song's others (_n, _a, _b by _nr) for each of its lines."""
+    types = {f.name: f.dataType.simpleString() for f in lines.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "line")) + ", t double, center double, similarity double, score double"
+    mine = lines.select(*keys, F.lit(False).alias("_said"), "line", tx.norm_text_align(F.col("text")).alias("_n"), F.col("t").cast("double").alias("_a"), F.lit(None).cast("double").alias("_b"), F.lit(None).cast("long").alias("_nr"))
+    both = mine.where("_n <> ''").unionByName(others.withColumns({"_said": F.lit(True), "line": F.lit(None).cast(types["line"])}))
 
-    def run(mine: pa.Table, others: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, songs: list[tuple[int, int]]) -> pa.Table:
         found, of = [], []
-        if len(mine) and len(others):
-            others = others.sort_by("center")
-            known = WindowTexts(others.column("_w").to_pylist(), others.column("center").to_numpy())
-            for i, (text, t, p) in enumerate(zip(mine.column("_n").to_pylist(), mine.column("t").to_pylist(), mine.column("_p").to_pylist(), strict=True)):
-                some = known.best(text, None if t is None else t * scale + offset, p, max(drift, 0.6), k, least, reach)
-                found += some
-                of += [i] * len(some)
-        heads = {c: mine.column(c).take(pa.array(of, pa.int64())) for c in (*keys, "line", "t")}
+        texts, said = rows.column("_n").to_pylist(), rows.column("_said").to_numpy()
+        a, b = (rows.column(c).to_numpy() for c in ("_a", "_b"))
+        for first, end in songs:
+            mid = first + int(np.searchsorted(said[first:end], True))
+            if first < mid < end:
+                windows = known(texts[mid:end], a[mid:end], b[mid:end])
+                often = Counter(texts[first:mid])
+                penalty = lambda x: (0.08 if len(x) <= 3 else 0.0) + min(0.12, (often[x] - 1) * 0.03)  # noqa: B023, E731
+                asked = [(x, None if np.isnan(t) else float(t) * scale + offset, penalty(x)) for x, t in zip(texts[first:mid], a[first:mid], strict=True)]
+                for i, some in enumerate(windows.best_of(asked, max(drift, 0.6), k, least, reach)):
+                    found += some
+                    of += [first + i] * len(some)
+        heads = {c: rows.column(c).take(pa.array(of, pa.int64())) for c in (*keys, "line")} | {"t": rows.column("_a").take(pa.array(of, pa.int64()))}
         values = {c: pa.array([x[j] for x in found], pa.float64()) for j, c in enumerate(("center", "similarity", "score"))}
         return pa.table(heads | values)
 
-    return asked.groupBy(*group).cogroup(met.groupBy(*group)).applyInArrow(run, schema)
+    return song_by_song(both, keys, ["_said", "line", "_nr", "_n"], run, schema)
 
 
 def best_path(groups: list[tuple[float | None, np.ndarray, np.ndarray]], scale: float, drift: float, back: float = 0.2) -> list[int]:

@@ -12,14 +12,13 @@ from cuesheet.plans.registry import query
 def parts(v):
     """Sentences as songs of their own, with the lines of their text, and windows over their words."""
     lines = v.sent.select("media_id", "pos", "start_s", F.posexplode(F.split("text", r"(?<=[.\n])\s*")).alias("line", "text")).where("trim(text) <> ''")
-    lines = lines.repartition(16, "media_id")  # few rows, but dear ones
     windows = ly.time_windows(v.word, ["media_id", "pos"], ["word_pos"])
     return lines.select("media_id", "pos", "line", "text", (F.col("start_s") + F.col("line") * 4.0).alias("t")), windows
 
 
 @query("J13_line_window_candidates")
 def j13(v):
-    return al.line_window_candidates(*parts(v), ["media_id", "pos"], drift=12.0)
+    return al.line_word_candidates(parts(v)[0], v.word, ["media_id", "pos"], "word_pos", drift=12.0)
 
 
 @query("Q34_monotone_alignment")
