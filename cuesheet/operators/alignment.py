@@ -272,25 +272,31 @@ def best_path(groups: list[tuple[float | None, np.ndarray, np.ndarray]], scale:
 
 def monotone_alignment(lines: DataFrame, candidates: DataFrame, keys: Keys, scale: float = 1.0, drift: float = 6.0) -> DataFrame:
     """Each line with the candidate on the best path: keys, line, start_s, similarity, confidence (the score from 0 to 1), status (confirmed from a similarity of 0.5 on, review, or interpolated without)."""
-    both = lines.select(*keys, "line", "t").join(candidates.select(*keys, "line", "center", "similarity", "score"), [*keys, "line"], "left")
-    types = {f.name: f.dataType.simpleString() for f in both.schema}
+    types = {f.name: f.dataType.simpleString() for f in lines.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "line")) + ", start_s double, similarity double, confidence double, status string"
+    values = ("center", "similarity", "score")
+    mine = lines.select(*keys, "line", F.lit(False).alias("_placed"), F.col("t").cast("double").alias("t"), *(F.lit(None).cast("double").alias(c) for c in values))
+    others = candidates.select(*(F.col(c).alias(c) for c in keys), F.col("line").cast(types["line"]).alias("line"), F.lit(True).alias("_placed"), F.lit(None).cast("double").alias("t"), *(F.col(c).cast("double").alias(c) for c in values))
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("line", "ascending"), ("center", "ascending")])
-        line, t, center, similarity, score = (rows.column(c).to_numpy() for c in ("line", "t", "center", "similarity", "score"))
-        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-        found = [np.arange(a, b)[~np.isnan(center[a:b])] for a, b in zip(first, np.append(first[1:], len(line)), strict=True)]
-        path = best_path([(None if np.isnan(t[a]) else float(t[a]), center[g], score[g]) for a, g in zip(first, found, strict=True)], scale, drift)
-        at = np.array([-1 if i < 0 else g[i] for g, i in zip(found, path, strict=True)])
+    def run(rows: pa.Table, songs: list[tuple[int, int]]) -> pa.Table:
+        t, center, similarity, score = (rows.column(c).to_numpy() for c in ("t", *values))
+        placed = rows.column("_placed").to_numpy()
+        new = begins(rows, [*keys, "line"])
+        heads, at = [], []
+        for a, b in songs:
+            first = a + np.flatnonzero(new[a:b])
+            groups = [(i, np.arange(i, j)[placed[i:j] & ~np.isnan(center[i:j])]) for i, j in zip(first.tolist(), [*first[1:].tolist(), b], strict=True) if not placed[i]]
+            path = best_path([(None if np.isnan(t[i]) else float(t[i]), center[g], score[g]) for i, g in groups], scale, drift)
+            heads += [i for i, _ in groups]
+            at += [-1 if x < 0 else g[x] for (_, g), x in zip(groups, path, strict=True)]
+        at = np.array(at, np.int64)
         none = at < 0
         sure = np.clip(score[at], 0.0, 1.0)
         status = np.where(none, "interpolated", np.where(similarity[at] >= 0.5, "confirmed", "review"))
-        heads = {k: rows.column(k).take(first) for k in (*keys, "line")}
-        return pa.table(heads | {"start_s": pa.array(center[at], mask=none), "similarity": pa.array(similarity[at], mask=none), "confidence": pa.array(sure, mask=none), "status": pa.array(status.tolist())})
+        named = {k: rows.column(k).take(pa.array(heads, pa.int64())) for k in (*keys, "line")}
+        return pa.table(named | {"start_s": pa.array(center[at], mask=none), "similarity": pa.array(similarity[at], mask=none), "confidence": pa.array(sure, mask=none), "status": pa.array(status.tolist(), pa.string())})
 
-    floats = {c: F.col(c).cast("double") for c in ("t", "center", "similarity", "score")}
-    return both.withColumns(floats).groupBy(*keys).applyInArrow(run, schema)
+    return song_by_song(mine.unionByName(others), keys, ["line", "_placed", "center"], run, schema)
 
 
 def placed_lines(lines: DataFrame, candidates: DataFrame, keys: Keys, scale: float = 1.0, offset: float = NO_ANCHOR_S, drift: float = 6.0) -> DataFrame:

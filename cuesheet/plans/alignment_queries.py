@@ -23,8 +23,8 @@ def j13(v):
 
 @query("Q34_monotone_alignment")
 def q34(v):
-    lines, windows = parts(v)
-    found = al.line_window_candidates(lines, windows, ["media_id", "pos"], drift=12.0)
+    lines, _ = parts(v)
+    found = al.line_word_candidates(lines, v.word, ["media_id", "pos"], "word_pos", drift=12.0)
     return al.placed_lines(lines, found, ["media_id", "pos"], drift=12.0).drop("text")
 
 

@@ -49,3 +49,19 @@ def test_windows_made_of_words_are_those_of_time_windows(spark):
     assert got.columns == want.columns
     rows = sorted(got.collect(), key=str)
     assert rows == sorted(want.collect(), key=str) and len({(r.song, r.line) for r in rows}) == 36
+
+
+def test_songs_are_read_whole_from_any_batches(spark):
+    rng = random.Random(4)
+    lines = [(song if song < 9 else None, i, " ".join(sung(rng, 4)), i * 2.0) for song in range(10) for i in range(6)]
+    words = [(song, 100 + k, w, i + k / 9, i + k / 9 + 0.3) for song, i, text, _ in lines for k, w in enumerate(text.split(), i * 4)]
+    ldf = spark.createDataFrame(lines, "song int, line int, text string, t double")
+    wdf = spark.createDataFrame(words, "song int, nr int, word string, start_s double, end_s double")
+    size, found = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    for n in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        some = al.line_word_candidates(ldf, wdf, ["song"], "nr")
+        each = (some, al.monotone_alignment(ldf, some, ["song"]), al.sequential_line_match(ldf, wdf, ["song"]))
+        found.append([sorted(map(str, x.collect())) for x in each])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert found[0] == found[1] == found[2] and [len(x) for x in found[0][1:]] == [60, 60]
