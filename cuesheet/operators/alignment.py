@@ -310,6 +310,104 @@ def placed_lines(lines: DataFrame, candidates: DataFrame, keys: Keys, scale: flo
 SKIPPED = re.compile(r"[\s，。、？！…—·\-\(\)\[\]]")
 
 
+class Likeness:
+    """difflib's ratio of one line with windows of a text, which share what they hold: the matches of a part of the line in a stretch of the text are found once."""
+
+    #: a larger table of pairs of characters isn't made
+    MOST = 1 << 22
+
+    def __init__(self, line: str, chars: str) -> None:
+        self.line, self.chars, self.runs, self.known, self.matcher = line, chars, None, {}, None
+        self.masks = dict.fromkeys(chars, 0)
+        for i, c in enumerate(line):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+    def bound(self, first: int, end: int) -> float:
+        """What the ratio can't exceed."""
+        return 2 * common_subsequence(map(self.masks.__getitem__, self.chars[first:end]), len(self.line)) / (len(self.line) + end - first)
+
+    def ratio(self, first: int, end: int) -> float:
+        line, window = self.line, self.chars[first:end]
+        if len(window) >= 200:
+            return 2.0 * self._matched_by_rare(first, end) / (len(line) + len(window))
+        if len(line) * len(self.chars) > self.MOST:
+            self.matcher = self.matcher or SequenceMatcher(None, line, "")
+            self.matcher.set_seq2(window)
+            return self.matcher.ratio()
+        inside = window in line or line in window
+        return 2.0 * (min(len(line), len(window)) if inside else self.matched(0, len(line), first, end)) / (len(line) + len(window))
+
+    def matched(self, alo: int, ahi: int, blo: int, bhi: int) -> int:
+        """How many characters of a part of the line are matched in a stretch of the text: its longest match, the first of equals, and what is matched on both sides of it."""
+        if self.runs is None:
+            self._count_runs()
+        total, parts, known = 0, [(alo, ahi, blo, bhi)], self.known
+        while parts:
+            part = parts.pop()
+            found = known.get(part)
+            if found is None:
+                found = known[part] = self._longest(*part)
+            i, j, size = found
+            if size:
+                total += size
+                alo, ahi, blo, bhi = part
+                if alo < i and blo < j:
+                    parts.append((alo, i, blo, j))
+                if i + size < ahi and j + size < bhi:
+                    parts.append((i + size, ahi, j + size, bhi))
+        return total
+
+    def _longest(self, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        if ahi - alo == 1:
+            j = self.chars.find(self.line[alo], blo, bhi)
+            return alo, max(j, blo), int(j >= 0)
+        if bhi - blo == 1:
+            i = self.line.find(self.chars[blo], alo, ahi)
+            return max(i, alo), blo, int(i >= 0)
+        # a run that leaves the part is cut at its edge
+        sizes = np.minimum(self.runs[alo:ahi, blo:bhi], np.minimum(self.left[len(self.left) - (ahi - alo) :, None], self.left[None, len(self.left) - (bhi - blo) :]))
+        at = int(sizes.argmax())
+        i, j = divmod(at, bhi - blo)
+        return alo + i, blo + j, int(sizes[i, j])
+
+    def _matched_by_rare(self, first: int, end: int) -> int:
+        """The same for windows of 200 characters or more, where frequent characters only lengthen a match."""
+        line, chars, most, seeds = self.line, self.chars, (end - first) // 100 + 1, []
+        for c, n in Counter(chars[first:end]).items():
+            if n <= most and c in line:
+                mine, j = [i for i, x in enumerate(line) if x == c], first - 1
+                for _ in range(n):
+                    j = chars.index(c, j + 1)
+                    seeds += [(i, j) for i in mine]
+        total, parts = 0, [(0, len(line), first, end, sorted(seeds))]
+        while parts:
+            alo, ahi, blo, bhi, seeds = parts.pop()
+            i, j, size, lengths = alo, blo, 0, {}
+            for x, y in seeds:
+                lengths[x, y] = k = lengths.get((x - 1, y - 1), 0) + 1
+                if k > size:
+                    i, j, size = x - k + 1, y - k + 1, k
+            while i > alo and j > blo and line[i - 1] == chars[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < ahi and j + size < bhi and line[i + size] == chars[j + size]:
+                size += 1
+            if size:
+                total += size
+                if alo < i and blo < j:
+                    parts.append((alo, i, blo, j, [(x, y) for x, y in seeds if x < i and y < j]))
+                if i + size < ahi and j + size < bhi:
+                    parts.append((i + size, ahi, j + size, bhi, [(x, y) for x, y in seeds if x >= i + size and y >= j + size]))
+        return total
+
+    def _count_runs(self) -> None:
+        """Of each pair of places in line and text how many characters are equal from there on."""
+        a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (self.line, self.chars))
+        self.runs = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+        for i in range(len(a) - 1, -1, -1):
+            np.multiply(self.runs[i + 1, 1:] + 1, b == a[i], out=self.runs[i, :-1])
+        self.left = np.arange(max(len(a), len(b)), 0, -1, dtype=np.int32)
+
+
 def next_match(line: str, chars: str, least: float, reach: int) -> tuple[float, int, int] | None:
     """The window of `chars` most like a line (score, first, end), among those that begin up to `reach` times its length on; None under `least`. Of equals the first."""
     if len(line) < 2 or not chars:
@@ -324,18 +422,30 @@ def next_match(line: str, chars: str, least: float, reach: int) -> tuple[float,
             both -= left[chars[at - size]] > 0
         if at >= size - 1:
             bounds.append(2 * both / (len(line) + size))
-    for first in range(len(bounds), n):  # windows cut short by the end
-        rest = chars[first:]
-        bounds.append(2 * sum((Counter(line) & Counter(rest)).values()) / (len(line) + len(rest)))
-    best, score = None, -1.0
-    matcher = SequenceMatcher(None, line, "")
-    for first in sorted(range(n), key=lambda i: (-bounds[i], i)):
-        if bounds[first] < score:
+    left, both, short = Counter(line), 0, []
+    for at in range(len(chars) - 1, len(bounds) - 1, -1) if len(bounds) < n else ():  # windows cut short by the end
+        both += left[chars[at]] > 0
+        left[chars[at]] -= 1
+        if at < n:
+            short.append(2 * both / (len(line) + len(chars) - at))
+    bounds += reversed(short)
+    best, score, likeness = None, -1.0, Likeness(line, chars[: n - 1 + size])
+    # from the highest bound on: by characters, then by the longest common subsequence, then compared
+    waiting, heap, nr = sorted(range(n), key=lambda i: (-bounds[i], i)), [], 0
+    while nr < n or heap:
+        fresh = nr < n and (not heap or (-bounds[waiting[nr]], waiting[nr]) <= heap[0])
+        bound, first = (-bounds[waiting[nr]], waiting[nr]) if fresh else heap[0]
+        if best is not None and (bound, first) > (-score, best[1]):
             break
-        matcher.set_seq2(chars[first : first + size])
-        ratio = matcher.ratio()
-        if best is None or ratio > score or ratio == score and first < best[1]:
-            best, score = (ratio, first, min(first + size, len(chars))), ratio
+        if fresh:
+            nr += 1
+            heapq.heappush(heap, (-likeness.bound(first, min(first + size, len(chars))), first))
+            continue
+        heapq.heappop(heap)
+        end = min(first + size, len(chars))
+        ratio = likeness.ratio(first, end)
+        if best is None or (-ratio, first) < (-score, best[1]):
+            best, score = (ratio, first, end), ratio
     return best if score >= least else None
 
 
@@ -344,17 +454,29 @@ def sequential_line_match(lines: DataFrame, words: DataFrame, keys: Keys, least:
 
     The words' characters run on from the cursor, which stands behind the last word of the match before; a window over them has about the line's length and begins within `reach` times it. The match
     ends with the word of the character after its window, and so does its time. A line whose best window is less like it than `least`, or that has under two characters, has score 0 and its
-    own time until the next line's, or for `default_s` seconds. One song's lines and words are one group.
+    own time until the next line's, or for `default_s` seconds. One song's lines and words are in one task.
     """
     types = {f.name: f.dataType.simpleString() for f in lines.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "line")) + ", score double, matched string, start_s double, end_s double, first_word long, last_word long"
 
-    def run(mine: pa.Table, said: pa.Table) -> pa.Table:
-        mine, said = mine.sort_by("line"), said.sort_by("nr")
-        texts = [SKIPPED.sub("", x or "") for x in mine.column("text").to_pylist()]
-        times = [*mine.column("t").to_pylist(), None]
-        spoken = [SKIPPED.sub("", x or "") for x in said.column("word").to_pylist()]
-        nr, starts, ends = (said.column(c).to_pylist() for c in ("nr", "start_s", "end_s"))
+    def run(rows: pa.Table, songs: list[tuple[int, int]]) -> pa.Table:
+        texts = [SKIPPED.sub("", x or "") for x in rows.column("text").to_pylist()]
+        said = rows.column("_said").to_numpy()
+        nr, t, end_s = (rows.column(c).to_pylist() for c in ("nr", "_a", "_b"))
+        out, of_row = [], []
+        for a, b in songs:
+            mid = a + int(np.searchsorted(said[a:b], True))
+            out += matched(texts[a:mid], t[a:mid], nr[mid:b], texts[mid:b], t[mid:b], end_s[mid:b])
+            of_row += range(a, mid)
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        kinds = (pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        names = ("score", "matched", "start_s", "end_s", "first_word", "last_word")
+        heads = {k: rows.column(k).take(pa.array(of_row, pa.int64())) for k in (*keys, "line")}
+        return pa.table(heads | {n: pa.array(list(x), k) for n, x, k in zip(names, columns, kinds, strict=True)})
+
+    def matched(texts: list[str], times: list[float | None], nr: list[int], spoken: list[str], starts: list[float], ends: list[float]) -> list[tuple]:
+        """Of one song's lines, without what doesn't count, the matches in its words."""
+        times = [*times, None]
         chars, of = "".join(spoken), np.repeat(np.arange(len(spoken)), [len(x) for x in spoken])
         first_char = np.append(0, np.cumsum([len(x) for x in spoken])).astype(int)
         out, cursor = [], 0
@@ -369,11 +491,9 @@ def sequential_line_match(lines: DataFrame, words: DataFrame, keys: Keys, least:
             one, last = int(of[begin + a]), int(of[min(begin + b, len(of) - 1)])
             out.append((round(ratio, 3), chars[begin + a : begin + b], round(starts[one], 2), round(ends[last], 2), nr[one], nr[last]))
             cursor = last + 1
-        columns = zip(*out, strict=True) if out else [[]] * 6
-        kinds = (pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
-        names = ("score", "matched", "start_s", "end_s", "first_word", "last_word")
-        return pa.table({k: mine.column(k) for k in (*keys, "line")} | {n: pa.array(list(x), k) for n, x, k in zip(names, columns, kinds, strict=True)})
+        return out
 
-    mine = lines.select(*keys, "line", "text", F.col("t").cast("double").alias("t"))
-    said = words.select(*(F.col(k).alias(k) for k in keys), F.col("nr").cast("long").alias("nr"), "word", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
-    return mine.repartition(PARTS, *keys).groupBy(*keys).cogroup(said.repartition(PARTS, *keys).groupBy(*keys)).applyInArrow(run, schema)
+    none = F.lit(None)
+    mine = lines.select(*keys, F.lit(False).alias("_said"), "line", none.cast("long").alias("nr"), "text", F.col("t").cast("double").alias("_a"), none.cast("double").alias("_b"))
+    said = words.select(*(F.col(k).alias(k) for k in keys), F.lit(True).alias("_said"), none.cast(types["line"]).alias("line"), F.col("nr").cast("long").alias("nr"), F.col("word").alias("text"), F.col("start_s").cast("double").alias("_a"), F.col("end_s").cast("double").alias("_b"))
+    return song_by_song(mine.unionByName(said), keys, ["_said", "line", "nr"], run, schema)

@@ -65,3 +65,32 @@ def test_songs_are_read_whole_from_any_batches(spark):
         found.append([sorted(map(str, x.collect())) for x in each])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert found[0] == found[1] == found[2] and [len(x) for x in found[0][1:]] == [60, 60]
+
+
+def match(line, chars, least, reach):
+    """Every window compared."""
+    if len(line) < 2 or not chars:
+        return None
+    size, n = max(len(line) - 2, min(len(line) + 5, 20)), min(len(chars), reach * len(line) + 2)
+    ratio, first = max((SequenceMatcher(None, line, chars[i : i + size]).ratio(), -i) for i in range(n))
+    return (ratio, -first, min(size - first, len(chars))) if ratio >= least else None
+
+
+def test_next_match_is_the_best_of_all_windows(monkeypatch):
+    rng = random.Random(6)
+    for k in range(150):
+        monkeypatch.setattr(al.Likeness, "MOST", 0 if k % 5 == 0 else 1 << 22)
+        letters = rng.choice(("ab", "abcdefgh", "etaoinshrdlu" * 3 + "xyz", "é鼠😀abc"))
+        text = lambda *n: "".join(rng.choice(letters) for _ in range(rng.choice(n)))  # noqa: B023, E731
+        line, chars = text(0, 1, 2, 5, 18, 23, 40, 202, 260), text(0, 1, 5, 30, 120, 300)
+        chars += line[rng.choice((0, 2)) :] + text(0, 9, 60)
+        assert al.next_match(line, chars, 0.25, 3) == match(line, chars, 0.25, 3)
+
+
+def test_a_line_that_is_not_sung_is_compared_with_few_windows(monkeypatch):
+    """Between random words the likeness of all windows is about the same; the matches that they share are found once."""
+    rng, calls, ratio = random.Random(9), [0], SequenceMatcher.find_longest_match
+    monkeypatch.setattr(SequenceMatcher, "find_longest_match", lambda *args: (calls.__setitem__(0, calls[0] + 1), ratio(*args))[1])
+    for _ in range(20):
+        al.next_match("".join(sung(rng, 8)), "".join(sung(rng, 40)), 0.25, 3)
+    assert calls[0] < 20
